@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import apportion_mix, chunk_dedup, flac_media, pfor_tokens, url_templates
+from folioforge.llm import apportion_mix, chunk_dedup, flac_media, pfor_tokens, residual_packing, url_templates, zstd_toxicity
 from folioforge.llm.common import table
 
 
@@ -31,6 +31,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judged(pages, named.join(labels, "doc_id").select("page_id", "bad"))
 
 
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = zstd_toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
+    scores = zstd_toxicity.scored(docs, model)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion_mix.shares(table(spark, sf_dir, "documents"))
 
@@ -39,5 +51,5 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.read_back(flac_media.stored(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_url_filter, op9_mix_sources, op10_flac_media)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_url_filter, op6_pack_sequences, op8_toxicity, op9_mix_sources, op10_flac_media)}
 SQL: dict[str, str] = {}
