@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -62,6 +62,21 @@ def _lengths(column: pa.Array) -> pa.Array:
     return pc.binary_length(column)
 
 
+def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int, groups: int = 64) -> DataFrame:
+    """At most ``most`` rows of each of the ``groups`` largest groups, chosen by a hash of their ids.
+
+    Counts come first, so that a hash limit leaves few more rows than are asked for; only
+    those are ordered.
+    """
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
+    keep = F.lit(False)
+    for name, n in counts:
+        keep = keep | ((F.col(group) == F.lit(name)) & (draw < min(1 << 30, -(-(1 << 30) * 2 * most // n) + (1 << 30) * 64 // n)))
+    order = Window.partitionBy(group).orderBy("__draw", F.col(id_col))
+    return rows.where(keep).withColumn("__draw", draw).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__draw", "__n")
+
+
 class FastEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import apportion_mix, chunk_dedup, flac_media, pfor_tokens, residual_packing, url_templates, zstd_toxicity
+from folioforge.llm import apportion_mix, chosen_path, chunk_dedup, flac_media, lang_fusion, pfor_tokens, pii_crf, residual_packing, url_templates, zstd_toxicity
 from folioforge.llm.common import table
 
 
@@ -31,10 +31,39 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judged(pages, named.join(labels, "doc_id").select("page_id", "bad"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.components(table(spark, sf_dir, "documents"))
+
+
+def documents_language(docs: DataFrame) -> dict:
+    """The model and the evidence of ``documents``: their declared language, their source as host."""
+    return {"model": lang_fusion.train(docs, "lang", "doc_id", "text"), "declared": F.col("lang"), "host": F.col("source")}
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lang_fusion.fused(docs, "doc_id", "text", **documents_language(docs))
+
+
+def op5_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over pages: declared in their markup, by suffix and host of their address."""
+    model = lang_fusion.train(table(spark, sf_dir, "documents"), "lang", "doc_id", "text")
+    shown = F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    declared = F.lower(F.regexp_extract("html", "(?i)<html[^>]*\\blang\\s*=\\s*[\"']?([A-Za-z]+)", 1))
+    host = url_templates.host_of(F.col("url"))
+    none = lambda c: F.when(c != "", c)
+    pages = table(spark, sf_dir, "pages").select("page_id", shown.alias("text"), none(declared).alias("declared"), none(host).alias("host"))
+    return lang_fusion.fused(pages, "page_id", "text", model, F.col("declared"), none(F.regexp_extract("host", r"\.([a-z]+)$", 1)), F.col("host"))
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.found(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -51,5 +80,5 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac_media.read_back(flac_media.stored(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_url_filter, op6_pack_sequences, op8_toxicity, op9_mix_sources, op10_flac_media)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_url_filter, op4_near_dedup, op5_language_id, op5_language_id_pages, op6_pack_sequences, op7_personal_data, op8_toxicity, op9_mix_sources, op10_flac_media)}
 SQL: dict[str, str] = {}

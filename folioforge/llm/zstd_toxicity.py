@@ -9,7 +9,7 @@ dictionary's content: what both know cancels out. The mean and the extremes of t
 differences give the score through a logistic calibration, whose prior is the labels' own.
 
 The fit is on a sample of labelled documents bounded by ``SAMPLE`` per class and
-``LONGEST_SAMPLE`` characters each, taken in the order of a hash of their ids; all else covers
+``LONGEST_SAMPLE`` characters each, chosen by a hash of their ids; all else covers
 all documents and whole texts. Labels and ids are no inputs of a score.
 
 Cases: null is empty; an empty text has no window and the score of no evidence; ties in the
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import utf8_of
+from folioforge.llm.common import bounded_sample, utf8_of
 
 SAMPLE = 1500
 LONGEST_SAMPLE = 20_000
@@ -192,13 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of ``labels`` (``doc_id, toxic``), which must hold training rows only."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found: list[list[bytes]] = []
-    for label in (1, 0):
-        ids = known.where(F.col("toxic") == label).orderBy(*order).limit(sample)  # the bound of what is broadcast
-        rows = texts.where(F.length("text") <= longest).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select(F.col("doc_id"), "text").dropDuplicates(["doc_id"]).orderBy(*order).limit(sample).collect()
-        found.append([r["text"].encode() for r in rows])
+    ids = bounded_sample(known, "toxic", "doc_id", sample)  # the bound of what is broadcast
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= longest)
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    found = [[r["text"].encode() for r in rows if r["toxic"] == label] for label in (1, 0)]
     return fit(found[0], found[1], bad / n if n else 0.5)
 
 
