@@ -172,9 +172,16 @@ def _luhn(text: str) -> bool:
     return sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(digits)) % 10 == 0
 
 
+def _plausible(name: str, found: str) -> bool:
+    """A card number passes its check digit, a phone number has 7 to 15 digits."""
+    if name == "phone":
+        return 7 <= sum(c.isdigit() for c in found) <= 15
+    return name != "credit-card" or _luhn(found)
+
+
 def spans(text: str, detectors: dict[str, re.Pattern]) -> list[tuple[int, int, str]]:
     """Spans by start, the longest first; later ones that overlap go."""
-    found = [(m.start(), m.end(), name) for name, p in detectors.items() for m in p.finditer(text) if name != "credit-card" or _luhn(m.group())]
+    found = [(m.start(), m.end(), name) for name, p in detectors.items() for m in p.finditer(text) if _plausible(name, m.group())]
     out: list[tuple[int, int, str]] = []
     for s in sorted(found, key=lambda s: (s[0], -s[1], list(detectors).index(s[2]))):
         if not out or s[0] >= out[-1][1]:
