@@ -19,27 +19,28 @@ of tables in the shared folder.
 
 Cases: null or empty texts, and those of white space alone, have no set and are their own
 component; with fewer words than a shingle has, all of them are one shingle; repeated rows
-of one id are one document; ties of size or similarity are settled by id; an empty table
+of one id are one document; a row without an id is linked with nothing and stays; ties of size or similarity are settled by id; an empty table
 gives no rows; further columns are not read by ``components`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import flat_bytes, slices
+from folioforge.llm.common import flat_bytes, slices, unused
 from folioforge.plans.scratch import written
 
 WORDS = 5
 NUM, DEN = 75, 100
 TREES = 5
 POSITIONS = 128
-NODE = 1000
+#: Documents of a node that are compared exhaustively, and of a cluster whose full sets meet in one task.
+NODE, CLUSTER = 8192, 2048
 DEPTH = 6
 #: Signatures that agree in fewer positions are no candidates: 0.75 less four standard deviations.
 LEAST_AGREE = 0.60
@@ -184,49 +185,32 @@ def descended(rows: DataFrame, roots: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "node long, id long")
 
 
-class Forest:
-    """Disjoint sets of the numbers below n; a set's root is its least number."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.parent[max(i, j)] = min(i, j)
-        return True
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(i) for i in range(len(self.parent))], np.int64)
-
-
-def similar_signs(signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j whose signatures agree in enough positions, most alike first, and how alike."""
-    n, need = len(signs), int(np.ceil(LEAST_AGREE * POSITIONS))
-    left, right, agree = [], [], []
-    columns = np.ascontiguousarray(signs.T)
-    step = max(1, (1 << 20) // max(1, n))
-    for a in range(0, n, step):
-        b = min(n, a + step)
-        same = np.zeros((b - a, n - a), np.uint8)
-        for c in columns:
-            same += c[a:b, None] == c[None, a:]
-        i, j = np.nonzero(same >= need)
-        keep = j > i
-        left.append(i[keep] + a), right.append(j[keep] + a), agree.append(same[i[keep], j[keep]])
-    if not left:
-        return (np.zeros(0, np.int64),) * 3
-    i, j, s = np.concatenate(left), np.concatenate(right), np.concatenate(agree)
-    order = np.lexsort((j, i, -s.astype(np.int64)))
-    return i[order], j[order], s[order]
+def spread(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Roots of n members, joined where ``alike(i, others)`` says so; a set's root is its least member.
+
+    Each member is compared only with those that no set has reached yet, so members of one set
+    are not compared with each other again: a group of copies costs about one look at each.
+    """
+    roots = np.arange(n)
+    left = np.arange(n)
+    while len(left):
+        seed, left = int(left[0]), left[1:]
+        queue = [seed]
+        while queue and len(left):
+            i = queue.pop()
+            hit = alike(i, left)
+            if hit.any():
+                new = left[hit]
+                roots[new] = seed
+                queue += new.tolist()
+                left = left[~hit]
+    return roots
+
+
+def signs_alike(signs: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of others agree with a member in enough positions."""
+    need = int(np.ceil(LEAST_AGREE * POSITIONS))
+    return lambda i, others: (signs[others] == signs[i]).sum(1) >= need
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -267,15 +251,7 @@ def compared(nodes: DataFrame, signs: DataFrame) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             rows = _signs(group.column("signature").combine_chunks())[order]
-            if len(ids) == 2:
-                alike = int((rows[0] == rows[1]).sum()) >= LEAST_AGREE * POSITIONS
-                roots = np.array([0, 0 if alike else 1])
-            else:
-                forest = Forest(len(ids))
-                i, j, _ = similar_signs(rows)
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    forest.join(a, b)
-                roots = forest.roots()
+            roots = spread(len(ids), signs_alike(rows))
             if (star := _stars(ids, roots)) is not None:
                 yield star
 
@@ -354,21 +330,34 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], signs: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Roots of the documents, joined where the full sets are similar enough."""
-    forest = Forest(len(ids))
-    i, j, _ = similar_signs(signs)
+def linked(sets: list[np.ndarray], signs: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Roots of the documents, joined where the full sets are similar enough.
+
+    A member's shingles are marked once, and those of all candidates are looked up together.
+    """
     sizes = np.array([len(s) for s in sets])
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = sizes[a], sizes[b]
-        if den * min(x, y) < num * max(x, y) or forest.find(a) == forest.find(b):
-            continue
-        s, t = (sets[a], sets[b]) if x < y else (sets[b], sets[a])
-        at = np.searchsorted(t, s)
-        same = int((t[np.minimum(at, len(t) - 1)] == s).sum())
-        if den * same >= num * (int(x) + int(y) - same):
-            forest.join(a, b)
-    return forest.roots()
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(words), np.uint8)
+    near = signs_alike(signs)
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        hit = near(i, others)
+        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        hit &= den * small >= num * large
+        k = np.flatnonzero(hit)
+        if not len(k):
+            return hit
+        mine = flat[at[i] : at[i + 1]]
+        marked[mine] = 1
+        asked = others[k]
+        starts = np.concatenate(([0], np.cumsum(sizes[asked])[:-1]))
+        same = np.add.reduceat(marked[np.concatenate([flat[at[j] : at[j + 1]] for j in asked.tolist()])], starts, dtype=np.int64)
+        marked[mine] = 0
+        hit[k] = den * same >= num * (sizes[asked] + sizes[i] - same)
+        return hit
+
+    return spread(len(sets), alike)
 
 
 def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, most: int) -> DataFrame:
@@ -388,7 +377,7 @@ def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, w
                 h, offsets = shingle_sets(*flat_bytes(batch.column(0)), words)
                 sets += [h[a:b].copy() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 rows.append(signatures(h, offsets))
-            if (star := _stars(ids, linked(ids, sets, np.concatenate(rows), num, den))) is not None:
+            if (star := _stars(ids, linked(sets, np.concatenate(rows), num, den))) is not None:
                 yield star
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -397,23 +386,23 @@ def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, w
     return met.mapInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, trees: int = TREES, node: int = NODE, depth: int = DEPTH) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, trees: int = TREES, node: int = NODE, cluster: int = CLUSTER, depth: int = DEPTH) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
     made = written(sketched(docs, id_col, text_col, words), "sketches")
-    once = made.where("n_shingles > 0")
+    once = made.where("n_shingles > 0 and doc_id is not null")
     equal = once.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     copies = equal.where("n > 1").select("set_key", F.col("id").alias("__rep"))
     stands = written(once.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "__rep").distinct(), "copies")
     others = stands.where("doc_id <> __rep").select("doc_id")
     signs = written(once.select(F.col("doc_id").alias("id"), "signature").join(others.withColumnRenamed("doc_id", "id"), "id", "left_anti").dropDuplicates(["id"]), "signatures")
     clusters = written(connected(candidates(signs, trees, node, depth)), "clusters")
-    links = verified(docs.dropDuplicates([id_col]) if _repeats(made) else docs, clusters, id_col, text_col, words, num, den, node)
+    links = verified(docs.dropDuplicates([id_col]) if _repeats(made) else docs, clusters, id_col, text_col, words, num, den, cluster)
     roots = written(connected(written(links, "links")), "roots")
     final = stands.join(roots, F.col("__rep") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("root", "__rep").alias("root"))
     final = final.unionByName(roots.join(stands.select(F.col("doc_id").alias("id")), "id", "left_anti"))
     own = made.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("root", "doc_id")
-    return own.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _repeats(made: DataFrame) -> bool:
@@ -423,5 +412,6 @@ def _repeats(made: DataFrame) -> bool:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents kept, one of each component, with their own columns."""
-    gone = components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = components(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
