@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WORD
+from folioforge.llm.common import WORD, unused
 from folioforge.plans.scratch import written
 
 WEIGHTS = (5, 2, 1)
@@ -118,12 +118,13 @@ def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix as documents with their own columns: whole copies, and for a part of a
     document its first words up to the last one taken, cut from the text."""
-    got = shares(docs, id_col, text_col, source_col, **how).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    joined = docs.join(got, docs[id_col] == F.col("__id"))
-    whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    over = F.col("__taken") % F.col("__size")
+    key, size, taken, part, parts = (unused(docs, n) for n in ("mix_id", "mix_size", "mix_taken", "mix_part", "mix_parts"))
+    got = shares(docs, id_col, text_col, source_col, **how).where("taken > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias(size), F.max("taken").alias(taken))
+    joined = docs.join(got, docs[id_col].eqNullSafe(got[key]))
+    whole = F.floor(F.col(taken) / F.col(size)).cast("int")
+    over = F.col(taken) % F.col(size)
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(over > 0, F.array(over)).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("__part", F.explode(copies))
-    words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (F.col("__part") + 1).cast("int"))
-    head = F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), "")
-    return rows.withColumn(text_col, F.when(F.col("__part") > 0, head).otherwise(F.col(text_col))).select(*docs.columns)
+    rows = joined.withColumn(parts, copies).withColumn(part, F.explode(parts))
+    words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (F.col(part) + 1).cast("int"))
+    head = F.array_join(F.slice(words, F.lit(1), F.col(part).cast("int")), "")
+    return rows.withColumn(text_col, F.when(F.col(part) > 0, head).otherwise(F.col(text_col))).select(*docs.columns)

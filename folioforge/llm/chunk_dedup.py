@@ -8,7 +8,8 @@ only, so a long document is not moved for each comparison. Documents whose recip
 refuted digest meet by their whole text instead, so the result is exact at any digest size.
 
 Cases: a null text counts as empty; empty texts are equal to each other; a text shorter
-than a chunk is one chunk; repeated rows of one id count as copies; an empty table gives no
+than a chunk is one chunk; repeated rows of one id count as copies, and all stay if theirs is the
+largest; a row without an id stays only if no equal one has an id; an empty table gives no
 rows; further columns are not read by ``groups`` and are kept by ``deduplicate``.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import utf8_of
+from folioforge.llm.common import unused, utf8_of
 from folioforge.plans.scratch import written
 
 #: Mean distance of cut points in bytes is 2 ** CUT_BITS past MIN_CHUNK; none is longer than MAX_CHUNK.
@@ -124,10 +125,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     several = found.where("group_size > 1").select(F.col("recipe").alias("r"), F.col("whole").alias("w"), "keep_id", "group_size")
     out = known.join(several, F.col("recipe").eqNullSafe(F.col("r")) & F.col("whole").eqNullSafe(F.col("w")), "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with their own columns; rows that repeat a kept id stay together."""
-    stay = groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].cast("long") == F.col("__stay"), "left_semi")
+    name = unused(docs, "stay")
+    stay = groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay[name]), "left_semi")

@@ -19,6 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What stands for a null id inside files and bins; it comes first, and is null again in results.
+NO_ID = -(1 << 63)
+
+
+def known_id(column: Column) -> Column:
+    return F.coalesce(column.cast("long"), F.lit(NO_ID))
+
+
+def shown_id(column: Column) -> Column:
+    return F.when(column != NO_ID, column)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, UPPER.lower())

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import bounded_sample, flat_bytes, slices
+from folioforge.llm.common import bounded_sample, flat_bytes, slices, unused
 from folioforge.plans.scratch import written
 
 SAMPLE = 1500
@@ -172,5 +172,6 @@ def fused(rows: DataFrame, id_col: str, text_col: str, model: tuple[list[str], n
 
 def accepted(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str], np.ndarray], **fields) -> DataFrame:
     """The rows whose language is accepted, with their own columns."""
-    out = fused(docs, id_col, text_col, model, **fields).where("not accepted").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(out, docs[id_col] == F.col("__id"), "left_anti")
+    name = unused(docs, "gone")
+    gone = fused(docs, id_col, text_col, model, **fields).where("not accepted").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")

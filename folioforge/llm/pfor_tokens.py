@@ -19,7 +19,7 @@ Parquet table in the shared folder, so they are written and read through Spark's
 readers and writers wherever that folder is, and a task that runs again replaces its own.
 
 Cases: a null or empty text has the end id alone; documents of one id keep their rows, in no
-order among themselves but by their text; an empty table gives no file and no rows; further
+order among themselves but by their text; a null id comes first; an empty table gives no file and no rows; further
 columns are not read.
 """
 
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import FastEncoder, slices
+from folioforge.llm.common import FastEncoder, known_id, shown_id, slices
 from folioforge.plans.scratch import written
 
 MAGIC = b"PFB1"
@@ -181,7 +181,7 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         if ids_of:
             yield made()
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(dealt.mapInArrow(run, "shard long, file long, first_doc long, n_docs long, n_ids long, data binary"), "tokens")
 
@@ -208,4 +208,4 @@ def read_files(files: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(file.doc_ids), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs), pa.array(np.full(n, shard)), pa.array(np.full(n, number))], ["doc_id", "within", "n_tokens", "ids_crc32", "shard", "file"])
 
     rows = files.select("shard", "file", "data").mapInArrow(run, "doc_id long, within long, n_tokens long, ids_crc32 long, shard long, file long")
-    return rows.join(begins, ["shard", "file"]).select("doc_id", (F.col("begin") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard", "file")
+    return rows.join(begins, ["shard", "file"]).select(shown_id(F.col("doc_id")).alias("doc_id"), (F.col("begin") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard", "file")
