@@ -305,3 +305,13 @@ def window_problem(context: Column, history: Column, system: Column, reserve: Co
     """How many tokens a prompt is over its window; null if it fits."""
     need = context + history + system + reserve
     return F.when(need > window, need - window)
+
+
+def promoted(definitions: DataFrame, ranked: DataFrame, visible: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, score, rank, cold`` of the chunks that define a query's terms, if they are
+    visible; ``cold`` ones weren't ranked by any leg. ``definitions``: ``query_id, chunk_id, confidence``."""
+    seen = definitions.join(visible.select("chunk_id"), "chunk_id", "left_semi")
+    known = ranked.select("query_id", "chunk_id", F.col("score").alias("__s"))
+    joined = seen.join(known, ["query_id", "chunk_id"], "left")
+    order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "chunk_id")
+    return joined.select("query_id", "chunk_id", F.coalesce("__s", F.lit(0.0)).alias("score"), F.row_number().over(order).alias("rank"), F.col("__s").isNull().alias("cold"))

@@ -17,6 +17,7 @@ from folioforge.plans.corpus_queries import tab
 from folioforge.plans.registry import Registry
 from folioforge.plans.scratch import new_dir
 from folioforge.sources import filesystem as S
+from folioforge.sources import snapshots
 from folioforge.streaming import watch
 
 query = Registry()
@@ -89,6 +90,13 @@ def src14_include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS titled, contains(html, '<article') AS adapted FROM pages")
+def src17_saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-17: metadata and body of saved pages by profile."""
+    out = snapshots.adapted(tab(spark, sf_dir, "pages"), (snapshots.Profile("wiki", "main"), snapshots.Profile("site", "article")))
+    return out.select(F.col("id").alias("page_id"), (F.length(F.coalesce("title", F.lit(""))) > 0).alias("titled"), (F.col("outcome") == "adapted").alias("adapted"))
+
+
 # --- parsing and chunking ---
 
 
@@ -356,7 +364,9 @@ def cit02_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eva01_known_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that occur verbatim; the benchmark is the stated query set, against all documents."""
     b, d = tab(spark, sf_dir, "benchmark"), tab(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    hits = d.join(F.broadcast(b.limit(10_000)), F.contains("doc_text", "text")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    if (n := b.count()) > 10_000:
+        raise ValueError(f"{n} passages are too many to look for at once")
+    hits = d.join(F.broadcast(b), F.contains("doc_text", "text")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", (n > 0).alias("found"), n.alias("n_documents"))
 

@@ -178,6 +178,16 @@ def ret23_merge_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_rankings(legs.where("leg = 'dense'"), lexical, promoted, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH {BM25}, r AS (SELECT * FROM ranked WHERE rank <= 3), defs AS (SELECT query_id, chunk_id, 0.5 + (query_id % 3) / 10.0 AS confidence FROM ranked WHERE rank IN (1, 5))
+SELECT d.query_id, d.chunk_id, round(coalesce(r.score, 0), 6) AS score, CAST(row_number() OVER (PARTITION BY d.query_id ORDER BY confidence DESC, d.chunk_id) AS INTEGER) AS rank, r.score IS NULL AS cold
+FROM defs d JOIN chunks c USING (chunk_id) LEFT JOIN r ON r.query_id = d.query_id AND r.chunk_id = d.chunk_id WHERE c.document_id % 2 = 0""")
+def ret24_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _bm25(spark, sf_dir, 5)
+    defs = found.where("rank in (1, 5)").select("query_id", "chunk_id", (0.5 + F.col("query_id") % 3 / 10.0).alias("confidence"))
+    visible = fx.chunks(spark, sf_dir).where("document_id % 2 = 0")
+    return R.promoted(defs, found.where("rank <= 3"), visible).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "cold")
+
+
 @query(f"""WITH {BM25}, head AS (SELECT * FROM ranked WHERE rank <= 20),
 s AS (SELECT h.query_id, h.chunk_id, len(list_intersect(list_distinct({TOK.format("q.text")}), {TOK.format("c.text")})) / greatest(len(list_distinct({TOK.format("q.text")})), 1) AS score FROM head h JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id))
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s""")

@@ -263,3 +263,17 @@ def test_settled_changes(spark):
     present = spark.createDataFrame([("b",), ("x.tmp",)], "path string")
     got = watch.settled(watch.coalesced(c), filesystem.ignored(F.col("path"), ("*.tmp",)), present).orderBy("place").collect()
     assert [(r.path, r.change) for r in got] == [("a", "deleted"), ("b", "changed")]
+
+
+def test_snapshot_and_saved_pages(spark, tmp_path):
+    from folioforge.sources import snapshots
+
+    (tmp_path / "bodies").mkdir()
+    (tmp_path / "bodies" / "a.html").write_text("A")
+    (tmp_path / "bodies" / "b.html").write_text("B")
+    lines = [{"id": "1", "title": "a", "file": "a.html", "sha256": hashlib.sha256(b"A").hexdigest(), "version": "1"}, {"id": "2", "title": "b", "file": "b.html", "sha256": "00", "version": "1"}, {"id": "3", "title": "c", "file": "c.html", "sha256": "00", "version": "1"}]
+    (tmp_path / "manifest.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    assert {r.id: r.outcome for r in snapshots.snapshot(spark, str(tmp_path)).collect()} == {"1": "taken", "2": "checksum", "3": "missing"}
+    page = "<html><head><title>T</title></head><body><dl><dt>Author:</dt><dd>Jo</dd></dl><article><p>x &amp; y</p></article></body></html>"
+    got = snapshots.adapted(spark.createDataFrame([(1, page), (2, "<p>no</p>"), (3, None)], "page_id int, html string"), (snapshots.Profile("site"),)).orderBy("id").collect()
+    assert [(r.outcome, r.title, r.author, r.body) for r in got] == [("adapted", "T", "Jo", "<p>x &amp; y</p>"), ("no_profile", None, None, None), ("empty", None, None, None)]
