@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import normal_key, stemmed, tokens, unaccented
+from folioforge.plans.scratch import written
 
 # --- lexical leg -------------------------------------------------------------------------
 
@@ -58,7 +59,8 @@ class Bm25:
         weighed = F.concat(*[F.transform(f"t{i}", weighs(w)) for i, (_, w) in enumerate(self.weights)])
         wanted = asked.select("term").distinct()
         held = split.select("chunk_id", "dl", F.explode(weighed).alias("x")).select("chunk_id", "dl", "x.term", "x.w").join(wanted, "term", "left_semi")
-        tf = held.groupBy("term", "chunk_id", "dl").agg(F.sum("w").alias("tf"))
+        # The queries' postings are few; written, they cost one pass over the texts and not two.
+        tf = written(held.groupBy("term", "chunk_id", "dl").agg(F.sum("w").alias("tf")), "postings")
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         scored = tf.join(df, "term").crossJoin(F.broadcast(corpus))  # one row

@@ -111,7 +111,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as HTML and documents as plain text, as bytes."""
     p = tab(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("document_id"), F.encode("html", "UTF-8").alias("content"), F.lit("text/html").alias("media_type"))
     d = tab(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.encode("text", "UTF-8").alias("content"), F.when(F.col("doc_id") % 9 == 0, "text/markdown").otherwise("text/plain").alias("media_type"))
-    return p.unionByName(d)
+    return fx.dealt(p).unionByName(fx.dealt(d))
 
 
 @query()

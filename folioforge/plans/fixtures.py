@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Over all cores, if a table has fewer splits than there are: a small file is one split. Large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with status, media type and times."""
     d = table(spark, sf_dir, "documents")
@@ -37,7 +43,7 @@ DOCUMENTS = """docs AS (SELECT doc_id AS document_id, source, lang, text, n_char
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per line of a document; its heading is the document's source and language."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("position", "text"))
     return d.select(
         F.concat_ws("-", "doc_id", "position").alias("chunk_id"),
         F.col("doc_id").alias("document_id"),
