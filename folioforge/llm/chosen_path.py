@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import flat_bytes, slices, unused
+from folioforge.llm.common import flat_bytes, slices, tidy, unused
 from folioforge.plans.scratch import written
 
 WORDS = 5
@@ -144,11 +144,13 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 h, offsets = shingle_sets(*flat_bytes(batch.column(1)), words)
                 raw = signatures(h, offsets).astype("<u4").tobytes()
                 width = 4 * POSITIONS
                 yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(_set_keys(h, offsets), pa.binary()), pa.array([raw[i : i + width] for i in range(0, len(raw), width)], pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
+        _POWERS.clear()
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
@@ -254,6 +256,7 @@ def compared(nodes: DataFrame, signs: DataFrame) -> DataFrame:
             roots = spread(len(ids), signs_alike(rows))
             if (star := _stars(ids, roots)) is not None:
                 yield star
+        tidy()
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return nodes.join(signs, "id").select("node", "id", "signature").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
@@ -373,12 +376,14 @@ def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, w
             texts = group.column("text").combine_chunks()
             texts = (texts if isinstance(texts, pa.Array) else texts.chunk(0)).take(pa.array(order))
             sets, rows = [], []
-            for batch in slices(pa.record_batch([texts], ["text"]), "text", 2 << 20):
+            for batch in slices(pa.record_batch([texts], ["text"]), "text", 1 << 20):
                 h, offsets = shingle_sets(*flat_bytes(batch.column(0)), words)
                 sets += [h[a:b].copy() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 rows.append(signatures(h, offsets))
             if (star := _stars(ids, linked(sets, np.concatenate(rows), num, den))) is not None:
                 yield star
+        _POWERS.clear()
+        tidy()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import unused, utf8_of
+from folioforge.llm.common import tidy, unused, utf8_of
 from folioforge.plans.scratch import written
 
 #: Mean distance of cut points in bytes is 2 ** CUT_BITS past MIN_CHUNK; none is longer than MAX_CHUNK.
@@ -96,6 +96,7 @@ def refuted(docs: DataFrame, text_col: str, digest_bytes: int) -> DataFrame:
                         other.append((d, c))
             rows = [*met.items(), *set(other)]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["digest", "chunk"])
+        tidy()
 
     sent = docs.select(F.col(text_col)).mapInArrow(run, "digest binary, chunk binary")
     return sent.distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")

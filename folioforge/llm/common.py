@@ -97,6 +97,17 @@ def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int, groups:
     return rows.where(keep).withColumn("__draw", draw).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__draw", "__n")
 
 
+def tidy() -> None:
+    """At the end of a task: give freed memory back, as workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class FastEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -110,7 +121,7 @@ class FastEncoder:
     #: Any white space of any definition after a space, or a space at the end.
     BAD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 150_000):
         import json
         import os
         import re

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import bounded_sample, flat_bytes, slices, unused
+from folioforge.llm.common import bounded_sample, flat_bytes, slices, tidy, unused
 from folioforge.plans.scratch import written
 
 SAMPLE = 1500
@@ -76,7 +76,7 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keys: list[str], text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value
         for whole in batches:
-            for batch in slices(whole, "__text", 8 << 20):
+            for batch in slices(whole, "__text", 1 << 20):
                 flat, offsets = flat_bytes(batch.column("__text"))
                 grams = _trigrams(flat)
                 n = np.maximum(np.diff(offsets) - 2, 0)
@@ -91,6 +91,7 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keys: list[str], text_col: s
                     out *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(score)), pa.int32()), pa.array(out.reshape(-1)))
                 yield pa.record_batch([*[batch.column(k) for k in keys], lists], [*keys, "loglik"])
+        tidy()
 
     return kept.mapInArrow(run, schema)
 

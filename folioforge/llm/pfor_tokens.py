@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import FastEncoder, known_id, shown_id, slices
+from folioforge.llm.common import FastEncoder, known_id, shown_id, slices, tidy
 from folioforge.plans.scratch import written
 
 MAGIC = b"PFB1"
@@ -156,7 +156,7 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             return pa.record_batch([*[pa.array([v], pa.int64()) for v in row], pa.array([data], pa.binary())], ["shard", "file", "first_doc", "n_docs", "n_ids", "data"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, offsets = enc.encode_column(batch.column(1))
                 lengths = np.diff(offsets) + 1
                 out = np.full(int(lengths.sum()), end_id, np.uint32)
@@ -180,6 +180,7 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
                         held.clear(), ids_of.clear(), sizes.clear()
         if ids_of:
             yield made()
+        tidy()
 
     texts = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
