@@ -1,7 +1,7 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host.
 
-A text's likelihood under each language is that of its hashed byte trigrams, A-Z lower-cased,
-from counts over a bounded sample of labelled texts; one more hypothesis, no language at
+A text's likelihood under each language is that of its hashed byte trigrams of letters and
+blanks, A-Z lower-cased, from counts over a bounded sample of labelled texts; one more hypothesis, no language at
 all, spreads its mass over all trigrams. By the text alone every row gets a first guess.
 Grouped sums of these guesses then give the likelihoods of what a row declares and of its
 address suffix, and the priors of its host, smoothed towards its suffix's, which are
@@ -43,10 +43,15 @@ NONE = "und"
 
 
 def _trigrams(flat: np.ndarray) -> np.ndarray:
-    """Buckets of the trigrams that start at each byte but the last two."""
+    """Buckets of the trigrams that start at each byte but the last two; 0 if they hold a digit or mark,
+    as these tell no language."""
     low = np.where((flat >= 65) & (flat <= 90), flat + 32, flat).astype(np.uint32)
-    whole = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:] if len(low) > 2 else np.zeros(0, np.uint32)
-    return ((whole * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    if len(low) < 3:
+        return np.zeros(0, np.int64)
+    whole = (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
+    plain = ((low >= 97) & (low <= 122)) | (low >= 128) | (low == 32)
+    bucket = ((whole * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64) % (BUCKETS - 1) + 1
+    return bucket * (plain[:-2] & plain[1:-1] & plain[2:])
 
 
 def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int = SAMPLE, longest: int = LONGEST_SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -64,7 +69,10 @@ def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int =
         for text in texts[name]:
             rows[i] += np.bincount(_trigrams(np.frombuffer(text.encode(), np.uint8)), minlength=BUCKETS)
     rows[-1] = 1.0
-    return names, np.log(rows / rows.sum(1, keepdims=True)).astype(np.float32)
+    rows[:, 0] = 0
+    table = np.zeros(rows.shape, np.float32)
+    table[:, 1:] = np.log(rows[:, 1:] / rows.sum(1, keepdims=True))
+    return names, table
 
 
 def likelihoods(rows: DataFrame, table: np.ndarray, keys: list[str], text_col: str) -> DataFrame:
@@ -88,7 +96,9 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keys: list[str], text_col: s
                     edges = edges[:-1] if edges[-1] >= len(grams) else edges
                     for j, s in enumerate(score):
                         out[live, j] = np.add.reduceat(s[grams].astype(np.float64), edges)[::2]
-                    out *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
+                    told = np.zeros(len(n))
+                    told[live] = np.add.reduceat(grams > 0, edges, dtype=np.int64)[::2]
+                    out *= np.minimum(1.0, EVIDENCE / np.maximum(told, 1))[:, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(score)), pa.int32()), pa.array(out.reshape(-1)))
                 yield pa.record_batch([*[batch.column(k) for k in keys], lists], [*keys, "loglik"])
         tidy()
