@@ -156,7 +156,7 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
             return pa.record_batch([*[pa.array([v], pa.int64()) for v in row], pa.array([data], pa.binary())], ["shard", "file", "first_doc", "n_docs", "n_ids", "data"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 6 << 20):
                 ids, offsets = enc.encode_column(batch.column(1))
                 lengths = np.diff(offsets) + 1
                 out = np.full(int(lengths.sum()), end_id, np.uint32)
