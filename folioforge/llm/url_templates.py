@@ -3,9 +3,11 @@
 Addresses without a rule are judged by their host's template. A path's segments are first
 reduced to a skeleton: those with a digit or of great length vary from page to page and
 become wildcards. The tree is then grown level by level over the counted skeletons, never
-over the pages: below each node a segment stays literal if enough of the node's pages have
-it, and if the labelled share of bad pages below it differs from that of its siblings beyond
-chance; all other branches are merged into one wildcard. A template is rejected if its bad
+over the pages, down to the deepest: below each node a segment stays literal if a few pages
+have it, and if the labelled share of bad pages below it differs from that of its siblings
+beyond chance, whatever part of the node it is; all other branches are merged into one
+wildcard. A node of too few pages or of one skeleton can't branch and is closed at once, so
+there are as many levels as shared paths have, not as the longest path. A template is rejected if its bad
 share, smoothed towards its host's and the whole table's, is above a limit.
 
 All is DataFrame arithmetic. Counts are summed before any shuffle, so a hot host costs one
@@ -27,9 +29,8 @@ from folioforge.plans.scratch import written
 
 #: (verdict, host, path); the longest that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH = 6
 LONG_SEGMENT = 24
-LEAST_SHARE, LEAST_PAGES = 0.02, 5
+LEAST_PAGES = 5
 Z_MERGE = 1.96
 STRENGTH, LIMIT = 20.0, 0.5
 WILD = "*"
@@ -52,20 +53,19 @@ def matched(rules: tuple[tuple[str, str, str], ...], host: Column, path: Column)
     return rule, verdict
 
 
-def skeleton(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones as wildcards, those past ``depth`` as one ``**``."""
+def skeleton(path: Column) -> Column:
+    """The path's segments, variable ones as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shown = F.transform(F.slice(parts, 1, depth), lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG_SEGMENT), WILD).otherwise(s))
-    return F.concat(shown, F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG_SEGMENT), WILD).otherwise(s))
 
 
-def grown(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+def grown(counted: DataFrame) -> DataFrame:
     """Adds ``template`` to counted skeletons ``host, skeleton, pages, labelled, bad``."""
-    at = counted.withColumn("template", F.lit(""))
-    deepest = counted.agg(F.max(F.size("skeleton"))).first()[0] or 0
-    for d in range(min(deepest, depth + 1)):
+    at = counted.withColumn("template", F.lit("")).withColumn("open", F.size("skeleton") > 0)
+    d = 0
+    while not at.where("open").isEmpty():
         segment = F.get(F.col("skeleton"), F.lit(d))
-        level = at.withColumn("segment", segment)
+        level = at.withColumn("segment", F.when(F.col("open"), segment))
         node = ["host", "template"]
         sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
         branches = level.where("segment is not null").groupBy(*node, "segment").agg(*sums)
@@ -73,16 +73,29 @@ def grown(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
         judged = branches.join(whole, node)
         rest_n, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = F.col("all_bad") / F.greatest(F.col("all_labelled"), F.lit(1))
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
-        differs = (F.col("labelled") > 0) & (rest_n > 0) & (F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1))) > Z_MERGE * spread) & (spread > 0)
+        inverse = 1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))
+        spread = F.sqrt(pooled * (1 - pooled) * inverse)
+        apart = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1)))
+        # Less half a page on either side, as counts are whole: a branch of few labels needs more.
+        differs = (F.col("labelled") > 0) & (rest_n > 0) & (apart - inverse / 2 > Z_MERGE * spread) & (spread > 0)
         only = F.col("pages") == F.col("all_pages")
-        stays = (F.col("segment") != WILD) & (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages")) & (only | differs)
+        stays = (F.col("segment") != WILD) & (F.col("pages") >= LEAST_PAGES) & (only | differs)
         literal = judged.where(stays).select(*node, "segment", F.lit(True).alias("literal"))
         level = level.join(literal, [*node, "segment"], "left")
         step = F.when(F.col("segment").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), F.col("segment"))).otherwise(f"/{WILD}")
+        level = level.withColumn("template", F.concat("template", step))
+        reached = level.where("segment is not null").groupBy(*node).agg(F.sum("pages").alias("__pages"), F.count(F.lit(1)).alias("__skeletons"))
+        level = level.join(reached, node, "left")
+        few = F.col("__pages") < LEAST_PAGES
+        closes = few | (F.col("__skeletons") == 1)
+        left = F.slice("skeleton", F.lit(d + 2), F.size("skeleton"))
+        tail = F.concat(F.lit("/"), F.array_join(F.transform(left, lambda s: F.when(few, WILD).otherwise(s)), "/"))
+        goes_on = F.col("segment").isNotNull() & (F.size("skeleton") > d + 1)
+        template = F.concat("template", F.when(goes_on & closes, tail).otherwise(""))
         # A level reads the one before twice; written, it isn't planned anew for each.
-        at = written(level.select(*counted.columns, F.concat("template", step).alias("template")), "level")
-    return at
+        at = written(level.select(*counted.columns, template.alias("template"), (goes_on & ~closes).alias("open")), "level")
+        d += 1
+    return at.drop("open")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", strength: float = STRENGTH, limit: float = LIMIT) -> DataFrame:

@@ -145,6 +145,28 @@ def test_url_rules_and_templates(spark):
             assert got[i]["template"] == f"/{branch}/*/*" and got[i]["verdict"] == ("block" if branch == "bad" else "allow")
 
 
+def test_url_branches_of_any_share_and_depth(spark):
+    """A small bad section of a large host, and bad branches below a deep path, are told apart."""
+    deep = "/".join("abcdefgh")
+    urls = [f"http://big.org/s{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}/{i}" for i in range(6000)]
+    urls += [f"http://big.org/tiny/{i}" for i in range(60)]
+    urls += [f"http://deep.org/{deep}/{'worse' if i % 2 else 'fine'}/{i}" for i in range(200)]
+    urls += [f"http://long.org/{'x/' * 300}{i}" for i in range(8)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("/tiny/" in u or "/worse/" in u)) for i, u in enumerate(urls)], "page_id long, bad int")
+    got = {r["page_id"]: r for r in collect(url_templates.judged(pages, labels))}
+    for i, u in enumerate(urls):
+        if "/tiny/" in u:
+            assert (got[i]["template"], got[i]["verdict"]) == ("/tiny/*", "block")
+        elif "deep" in u:
+            branch = "worse" if "/worse/" in u else "fine"
+            assert (got[i]["template"], got[i]["verdict"]) == (f"/{deep}/{branch}/*", "block" if branch == "worse" else "allow")
+        elif "long" in u:
+            assert got[i]["template"] == "/x" * 300 + "/*"
+        else:
+            assert got[i]["verdict"] == "allow"
+
+
 def test_url_filter_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_templates.judged(pages, spark.createDataFrame([], "page_id long, bad int")).count() == 0
