@@ -3,10 +3,10 @@
 The words of all documents are the house; a block of ``block_words`` words is a seat. The
 sources' targets follow their weights, no source above ``most`` times its own words. Seats
 go to sources by the highest quotients target / (2 k + 1), then, in each source, to its
-shards by the same rule over the shards' words. A shard lays its documents end to end in
-an order seeded by their ids, cuts that line into blocks and selects its seats of them from
-a seeded phase, evenly along the line; with more seats than blocks, every block is taken as
-often as fits and the rest is selected so. A document's words count as often as its blocks.
+shards by the same rule over the shards' words. A shard's quota is the words of its seats.
+Every document is taken whole as often as all of the shard fit into the quota; for the rest
+the documents are laid end to end in an order seeded by their ids and are taken whole up to
+the quota's end, so that at most one document of a shard is taken in part.
 
 Shards keep a hot source off any one task: their number follows the total of words, and
 only sums per source and per shard are gathered. All is DataFrame arithmetic; the same rows
@@ -98,26 +98,23 @@ def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     parts = parts.join(quota, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     parts = parts.withColumn("__group", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
     parts = seats(parts, ["__group"], ["part"], "part_size", "source_seats")
-    blocks = F.ceil(F.col("part_size") / block_words).cast("long")
-    parts = parts.withColumn("blocks", blocks).withColumn("seats", F.least("seats", most * F.col("blocks")))
-    parts = written(parts.select("part", "source_size", "target", "seats", "blocks", F.pmod(F.xxhash64("part", F.lit(seed)), F.greatest("blocks", F.lit(1))).alias("phase")), "parts")
+    # The last block of a shard may be a short one.
+    quota_words = F.least(F.col("seats") * block_words, most * F.col("part_size"))
+    parts = written(parts.select("part", "source_size", "target", "part_size", quota_words.alias("quota")), "parts")
     line = Window.partitionBy("part").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     lined = placed.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
     full = lined.join(parts, "part")
 
-    def upto(at: Column) -> Column:
-        """Words taken of the part's first ``at`` words."""
-        j = F.floor(at / block_words).cast("long")
-        seen = lambda i: F.floor((i * F.col("seats") + F.col("phase")) / F.col("blocks")).cast("long")
-        return block_words * seen(j) + (seen(j + 1) - seen(j)) * (at - j * block_words)
-
-    taken = F.when(F.col("blocks") > 0, upto(F.col("end")) - upto(F.col("start"))).otherwise(0).cast("long")
+    every = F.floor(F.col("quota") / F.col("part_size")).cast("long")
+    rest = F.col("quota") - every * F.col("part_size")
+    once = F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
+    taken = F.when(F.col("part_size") > 0, every * F.col("size") + once).otherwise(0).cast("long")
     return full.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix as documents with their own columns: whole copies, and for a part of a
-    document its first words up to the last one taken, cut from the text."""
+    """The mix as documents with their own columns: whole copies, and of the one document that
+    ends a shard's quota its first words up to the last one taken, cut from the text."""
     key, size, taken, part, parts = (unused(docs, n) for n in ("mix_id", "mix_size", "mix_taken", "mix_part", "mix_parts"))
     got = shares(docs, id_col, text_col, source_col, **how).where("taken > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("size").alias(size), F.max("taken").alias(taken))
     joined = docs.join(got, docs[id_col].eqNullSafe(got[key]))

@@ -465,6 +465,21 @@ def test_mixed_rows(spark):
     assert words == want
 
 
+def test_mix_takes_documents_whole(spark):
+    """No source, and none below its target least of all, consists of documents' beginnings."""
+    rng = random.Random(21)
+    rows = [(i, data.words(rng, rng.choice([30, 200, 400])), f"s{i % 3}") for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    shares = collect(apportion_mix.shares(d, shard_words=20_000))
+    assert any(r["target"] < 0.8 * r["source_size"] for r in shares)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    cut = Counter(r["source"] for r in shares if r["taken"] % r["size"])
+    assert cut and max(cut.values()) <= -(-total // 20_000)  # one a shard
+    text_of = {i: t for i, t, _ in rows}
+    got = Counter((r.source, r.text == text_of[r.doc_id]) for r in apportion_mix.mixed(d, shard_words=20_000).collect())
+    assert all(got[f"s{k}", True] > 5 and got[f"s{k}", False] <= -(-total // 20_000) for k in range(3))
+
+
 # --- 10 ---
 
 
