@@ -82,19 +82,21 @@ def _lengths(column: pa.Array) -> pa.Array:
     return pc.binary_length(column)
 
 
-def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int, groups: int = 64) -> DataFrame:
-    """At most ``most`` rows of each of the ``groups`` largest groups, chosen by a hash of their ids.
+def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, chosen by a hash of their ids.
 
     Counts come first, so that a hash limit leaves few more rows than are asked for; only
-    those are ordered.
+    those are ordered. Only groups that need a limit are gathered.
     """
-    counts = rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
+    known = rows.where(F.col(group).isNotNull())
+    large = known.groupBy(group).count().where(F.col("count") > 2 * most + 64).collect()
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    keep = F.lit(False)
-    for name, n in counts:
-        keep = keep | ((F.col(group) == F.lit(name)) & (draw < min(1 << 30, -(-(1 << 30) * 2 * most // n) + (1 << 30) * 64 // n)))
+    if large:
+        kind = rows.schema[group].dataType
+        limits = F.create_map(*[x for name, n in large for x in (F.lit(name).cast(kind), F.lit(-(-(1 << 30) * 2 * most // n) + (1 << 30) * 64 // n))])
+        known = known.where(draw < F.coalesce(F.try_element_at(limits, F.col(group)), F.lit(1 << 30)))
     order = Window.partitionBy(group).orderBy("__draw", F.col(id_col))
-    return rows.where(keep).withColumn("__draw", draw).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__draw", "__n")
+    return known.withColumn("__draw", draw).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__draw", "__n")
 
 
 def tidy() -> None:

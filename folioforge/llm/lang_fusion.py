@@ -6,7 +6,8 @@ all, spreads its mass over all trigrams. By the text alone every row gets a firs
 Grouped sums of these guesses then give the likelihoods of what a row declares and of its
 address suffix, and the priors of its host, smoothed towards its suffix's, which are
 smoothed towards the whole table's. The posterior is their product; a row is rejected if no
-language reaches ``LEAST`` of it or if it isn't one of those wanted.
+language reaches ``LEAST`` of it or if it isn't one of those wanted. A row that declares a language
+without a model can't reach it and isn't rejected for that.
 
 The likelihood of a text counts at most as ``EVIDENCE`` trigrams of it, since neighbouring
 ones depend on each other; otherwise no other evidence could ever count.
@@ -57,17 +58,23 @@ def _trigrams(flat: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int = SAMPLE, longest: int = LONGEST_SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the log-likelihood of each bucket under each and under none.
 
-    The sample is ``sample`` texts per language at most, of the 64 most frequent languages.
+    Every language with a text that holds a trigram has a model. The sample is ``sample`` texts
+    per language at most; of a text longer than ``longest`` it has a window placed by its id.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(lang).alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    texts: dict[str, list[str]] = {}
-    for name, text in bounded_sample(known, "lang", "id", sample).select("lang", "text").collect():
-        texts.setdefault(name, []).append(text)
-    names = sorted(name for name, found in texts.items() if len(found) >= 5)
+    length = F.length(text_col)
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), length - longest + 1) + 1
+    shown = F.when(length > longest, F.substr(text_col, at.cast("int"), F.lit(longest))).otherwise(F.col(text_col))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang).alias("lang"), F.col(id_col).cast("string").alias("id"), shown.alias("text"))
+    counts: dict[str, np.ndarray] = {}
+    # Partition by partition: the driver holds counts, not all languages' texts.
+    for name, text in bounded_sample(known, "lang", "id", sample).select("lang", "text").toLocalIterator():
+        found = np.bincount(_trigrams(np.frombuffer(text.encode(), np.uint8)), minlength=BUCKETS)
+        if found[1:].any():
+            counts[name] = counts[name] + found if name in counts else found
+    names = sorted(counts)
     rows = np.full((len(names) + 1, BUCKETS), SMOOTHING)
     for i, name in enumerate(names):
-        for text in texts[name]:
-            rows[i] += np.bincount(_trigrams(np.frombuffer(text.encode(), np.uint8)), minlength=BUCKETS)
+        rows[i] += counts.pop(name)
     rows[-1] = 1.0
     rows[:, 0] = 0
     table = np.zeros(rows.shape, np.float32)
@@ -178,6 +185,9 @@ def fused(rows: DataFrame, id_col: str, text_col: str, model: tuple[list[str], n
     good = (F.col("lang_pred") != NONE) & (F.col("confidence") >= LEAST)
     if wanted is not None:
         good = good & F.col("lang_pred").isin(*wanted)
+    if declared is not None:
+        unmodelled = F.col("__declared").isNotNull() & ~F.col("__declared").isin(*names)
+        good = good | (unmodelled if wanted is None else unmodelled & F.col("__declared").isin(*wanted))
     return out.select(id_col, "lang_pred", "confidence", best(F.col("loglik")).alias("lang_text"), good.alias("accepted"))
 
 

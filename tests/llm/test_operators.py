@@ -254,6 +254,28 @@ def test_language_fusion(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, v in got.items() if v["accepted"]}
 
 
+def test_every_labelled_language_has_a_model(spark):
+    """Many languages, one of a single text, and one of long texts only."""
+    rng = random.Random(41)
+    names = [f"l{i:02}" for i in range(70)]
+    vocabulary = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for n in [*names, "long", "one"]}
+    say = lambda n, k: " ".join(rng.choice(vocabulary[n]) for _ in range(k))
+    rows = [(say(n, 40), n) for n in names for _ in range(6)] + [(say("long", 4000), "long") for _ in range(6)] + [(say("one", 200), "one")]
+    d = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = lang_fusion.train(d, "lang", "doc_id", "text")
+    assert model[0] == sorted([*names, "long", "one"])
+    got = {r["doc_id"]: r for r in collect(lang_fusion.fused(d, "doc_id", "text", model, declared=F.col("lang")))}
+    assert all(got[i]["lang_pred"] == n and got[i]["accepted"] for i, (_, n) in enumerate(rows))
+
+
+def test_no_row_is_rejected_for_a_language_without_model(spark):
+    d = spark.createDataFrame([(i, "the and with that " * 8, "en") for i in range(20)], "doc_id long, text string, lang string")
+    model = lang_fusion.train(d, "lang", "doc_id", "text")
+    new = spark.createDataFrame([(1, "qzx vkj wqp " * 20, "new"), (2, "qzx vkj wqp " * 20, None), (3, "qzx vkj wqp " * 20, "en")], "doc_id long, text string, lang string")
+    judge = lambda wanted: {r["doc_id"]: r["accepted"] for r in collect(lang_fusion.fused(new, "doc_id", "text", model, declared=F.col("lang"), wanted=wanted))}
+    assert judge(None)[1] and not judge(None)[2] and not judge(("en",))[1] and judge(("new",))[1]
+
+
 def test_language_likelihoods_are_of_whole_rows():
     import pyarrow as pa
 
