@@ -36,12 +36,12 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{base_dir(spark)}/folioforge/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, with options of the Parquet writer, and return the table read back."""
     spark = df.sparkSession
     path = new_dir(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
