@@ -1,18 +1,24 @@
 """Media columns as FLAC: 8-bit mono streams, written and read with numpy over many frames.
 
-A payload's bytes, less 128, are the samples, in frames of 576. Each frame is stored by the
-cheapest of a constant, fixed predictors of order 0 to 2, a linear predictor of order 4, or
-verbatim; residuals are Rice-coded. A seek point per frame holds its first sample and its
-place, so any block is read without the frames before it, and a batch's frames are decoded
-side by side: the residuals of one sample of all frames at a time. A stream without such a
-table is cut at its frame headers instead. Reading checks the header's CRC-8, the frame's
-CRC-16, and the MD5 of all samples.
+A payload's bytes, less 128, are the samples, in frames of four times 576. Each frame is stored by
+the cheapest of a constant, fixed predictors of order 0 to 2, a linear predictor of order 4, or
+verbatim; residuals are Rice-coded in up to four partitions. A seek point per frame holds its first
+sample and its place, so any block is read without the frames before it, and a batch's frames
+are decoded side by side: the residuals of one sample of all frames at a time. A stream without
+a point for every frame (the table holds 932,067 at most, so beyond ``MOST_POINTS`` frames
+only every so many get one) is cut at its frame headers instead. Reading checks the header's
+CRC-8, the frame's CRC-16, and the MD5 of all samples.
+
+``media_table`` writes the streams to the shared folder, ``read_back`` digests what is read
+from there, and ``pcm_blocks`` decodes the streams to a written table of PCM blocks, each with
+its first sample, from which ``samples_at`` takes single samples by an equi-join.
 
 The decoder reads mono streams of 4 to 16 bits with constant, verbatim, fixed and linear
 subframes, both Rice codings, any partition order, and escaped partitions.
 
-Cases: null text is empty; an empty payload is padded to one frame; equal texts give equal
-streams; repeated rows stay; an empty table gives no rows; further columns are not read.
+Cases: null text is empty; an empty payload is padded to one frame; a very long text is one
+stream, encoded and decoded by itself; equal texts give equal streams; repeated rows, and rows
+without an id, stay; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import slices, utf8_of
+from folioforge.llm.common import slices, tidy, utf8_of
+from folioforge.plans.scratch import written
 
 BLOCK = 576
 RATE = 8000
@@ -40,6 +47,11 @@ BLOCK_SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, **{c: 256 << (c - 8) f
 SAMPLE_BITS = {1: 8, 2: 12, 4: 16}
 MOST_ZEROS = 24
 FRAMES = 4096
+#: Samples of a frame; the last one of a stream has fewer.
+FRAME = 4 * BLOCK
+MOST_POINTS = 900_000
+#: Samples of a row of ``pcm_blocks``.
+PCM_BLOCK = 8 * BLOCK
 
 
 class BrokenStream(ValueError):
@@ -93,8 +105,9 @@ def frame_number(n: int) -> bytes:
             return bytes([((0xFF << (room + 1)) & 0xFF) | n, *reversed(tail)])
 
 
-def _header(n: int) -> bytes:
-    head = b"\xff\xf8" + bytes([0x20 | 0x04, 0x02]) + frame_number(n)  # 576 samples, 8 kHz; mono, 8 bits
+def _header(n: int, size: int) -> bytes:
+    code, tail = next(((c, b"") for c, s in BLOCK_SIZES.items() if s == size), (7, (size - 1).to_bytes(2, "big")))
+    head = b"\xff\xf8" + bytes([code << 4 | 0x04, 0x02]) + frame_number(n) + tail  # 8 kHz; mono, 8 bits
     return head + bytes([crc8(head)])
 
 
@@ -120,17 +133,30 @@ def _linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(np.rint(a * (1 << shift)[:, None]), -limit, limit).astype(np.int64), shift
 
 
-def _rice(res: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best parameter per frame, and the bits that all its codes take."""
-    u = _zigzag(res)
-    mean = u.sum(1) / max(1, u.shape[1])
+def _partitions(u: np.ndarray, size: int) -> np.ndarray:
+    """Frames x partitions x samples of residuals, zeros in the place of warm-up samples."""
+    missing = size - u.shape[1]
+    whole = np.concatenate((np.zeros((len(u), missing), u.dtype), u), 1) if missing else u
+    return whole.reshape(len(u), 1 << _partition_order(size), -1)
+
+
+def _partition_order(size: int) -> int:
+    return (size // BLOCK).bit_length() - 1 if size % (2 * BLOCK) == 0 else 0
+
+
+def _rice(res: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best parameters per frame and partition, and the bits that all of a frame's codes take."""
+    u = _partitions(_zigzag(res), size)
+    n = np.full(u.shape[1], u.shape[2])
+    n[0] -= size - res.shape[1]
+    mean = u.sum(2) / np.maximum(n, 1)
     k0 = np.clip(np.frexp(np.maximum(mean * 0.7, 0.5))[1] - 1, 0, 13)
-    need = np.clip(np.frexp((u.max(1) // MOST_ZEROS).astype(np.float64))[1], 0, 14)
+    need = np.clip(np.frexp((u.max(2) // MOST_ZEROS).astype(np.float64))[1], 0, 14)
     k0 = np.maximum(k0, need)
-    cost0 = (u >> k0[:, None]).sum(1) + u.shape[1] * (k0 + 1)
+    cost0 = (u >> k0[:, :, None]).sum(2) + n * (k0 + 1)
     k1 = np.minimum(k0 + 1, 14)
-    cost1 = (u >> k1[:, None]).sum(1) + u.shape[1] * (k1 + 1)
-    return np.where(cost1 < cost0, k1, k0), np.minimum(cost0, cost1)
+    cost1 = (u >> k1[:, :, None]).sum(2) + n * (k1 + 1)
+    return np.where(cost1 < cost0, k1, k0), (np.minimum(cost0, cost1) + 4).sum(1)
 
 
 def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> None:
@@ -138,43 +164,38 @@ def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> Non
         bits[at + j] = (value >> (width - 1 - j)) & 1
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """FLAC streams of payloads whose length is a positive multiple of 576."""
-    if not payloads:
-        return []
-    counts = np.array([len(p) // BLOCK for p in payloads])
-    x = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128).reshape(-1, BLOCK)
-    n = len(x)
-    numbers = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+def _coded(x: np.ndarray, numbers: np.ndarray) -> list[bytes]:
+    """Frames of equal size, each row of samples one, with their numbers in their streams."""
+    n, size = x.shape
     coefs, shifts = _linear(x)
     residuals = [x, x[:, 1:] - x[:, :-1]]
     residuals.append(residuals[1][:, 1:] - residuals[1][:, :-1])
-    guess = np.zeros((n, BLOCK - LPC_ORDER), np.int32)
+    guess = np.zeros((n, size - LPC_ORDER), np.int32)
     narrow = coefs.astype(np.int32)
     for j in range(LPC_ORDER):
-        guess += narrow[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : BLOCK - 1 - j]
+        guess += narrow[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : size - 1 - j]
     residuals.append((x[:, LPC_ORDER:] - (guess >> shifts.astype(np.int32)[:, None])))
     orders, extra = [0, 1, 2, LPC_ORDER], [0, 0, 0, 9 + LPC_ORDER * LPC_PRECISION]
-    # The predictor with the least residuals, by the bits their mean size asks for.
-    means = np.stack([np.abs(r).sum(1) / BLOCK for r in residuals], 1)
-    best = (BLOCK * np.log2(means + 0.5) + np.array([8 * o + e for o, e in zip(orders, extra, strict=True)])).argmin(1)
+    # The predictor with the least residuals, by the bits their mean size asks for in each partition.
+    asked = [np.log2(np.abs(_partitions(r, size)).mean(2, dtype=np.float32) + np.float32(0.5)).mean(1) for r in residuals]
+    best = (size * np.stack(asked, 1) + np.array([8 * o + e for o, e in zip(orders, extra, strict=True)])).argmin(1)
+    parts = 1 << _partition_order(size)
     rice: list[tuple[np.ndarray, np.ndarray]] = []
     coded = np.empty(n, np.int64)
     for k in range(4):
         i = np.flatnonzero(best == k)
-        par, taken = _rice(residuals[k][i]) if len(i) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        full = np.zeros(n, np.int64)
+        par, taken = _rice(residuals[k][i], size) if len(i) else (np.zeros((0, parts), np.int64), np.zeros(0, np.int64))
+        full = np.zeros((n, parts), np.int64)
         full[i] = par
-        coded[i] = 8 + 8 * orders[k] + extra[k] + 10 + taken
+        coded[i] = 8 + 8 * orders[k] + extra[k] + 6 + taken
         rice.append((full, taken))
     constant = (x == x[:, :1]).all(1)
-    costs = np.stack([np.where(best == k, coded, 1 << 40) for k in range(4)] + [np.full(n, 8 + 8 * BLOCK), np.where(constant, 16, 1 << 40)], 1)
+    costs = np.stack([np.where(best == k, coded, 1 << 40) for k in range(4)] + [np.full(n, 8 + 8 * size), np.where(constant, 16, 1 << 40)], 1)
     kind = costs.argmin(1)
     bits_of = costs[np.arange(n), kind]
-    heads = [_header(i) for i in numbers.tolist()]
+    heads = [_header(i, size) for i in numbers.tolist()]
     head_len = np.fromiter(map(len, heads), np.int64, n)
-    body_len = (bits_of + 7) // 8
-    sizes = head_len + body_len + 2
+    sizes = head_len + (bits_of + 7) // 8 + 2
     starts = np.cumsum(sizes) - sizes
     flat = np.zeros(int(sizes.sum()), np.uint8)
     joined = np.frombuffer(b"".join(heads), np.uint8)
@@ -185,7 +206,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     code = np.choose(kind, [8, 9, 10, 32 + LPC_ORDER - 1, 1, 0])
     _put(bits, at, code << 1, 8)
     at = at + 8
-    for k, samples in ((4, BLOCK), (5, 1)):
+    for k, samples in ((4, size), (5, 1)):
         i = np.flatnonzero(kind == k)
         _put(bits, at[i][:, None] + 8 * np.arange(samples), x[i, :samples] & 255, 8)
     for k in range(4):
@@ -201,31 +222,56 @@ def encode(payloads: list[bytes]) -> list[bytes]:
             _put(bits, p + 4, shifts[i], 5)
             _put(bits, p[:, None] + 9 + LPC_PRECISION * np.arange(o), coefs[i] & ((1 << LPC_PRECISION) - 1), LPC_PRECISION)
             p = p + 9 + LPC_PRECISION * o
-        par = rice[k][0][i]
-        _put(bits, p + 6, par, 4)  # Rice coding 0, partition order 0
+        pars = rice[k][0][i]
+        _put(bits, p + 2, np.full(len(i), _partition_order(size)), 4)  # Rice coding 0
         u = _zigzag(residuals[k][i])
-        ends = p[:, None] + 10 + np.cumsum((u >> par[:, None]) + par[:, None] + 1, 1)
-        for v in np.unique(par).tolist():
-            rows = par == v
-            stop, low = ends[rows] - v - 1, u[rows]
+        part = (np.arange(o, size) * parts) // size
+        heads_at = np.flatnonzero(np.diff(part, prepend=-1))
+        par = pars[:, part]
+        long = (u >> par) + par + 1
+        long[:, heads_at] += 4  # the parameter stands before a partition's first code
+        ends = p[:, None] + 6 + np.cumsum(long, 1)
+        _put(bits, ends[:, heads_at] - long[:, heads_at], pars[:, part[heads_at]], 4)
+        for v in np.unique(pars).tolist():
+            mine = par == v
+            stop, low = ends[mine] - v - 1, u[mine]
             bits[stop] = 1
             for j in range(v):
                 bits[stop + 1 + j] = (low >> (v - 1 - j)) & 1
     flat |= np.packbits(bits)
     crc = crc16(flat, starts, starts + sizes - 2)
     flat[starts + sizes - 2], flat[starts + sizes - 1] = crc >> 8, crc & 255
-    raw, out, first = flat.tobytes(), [], 0
+    raw = flat.tobytes()
+    return [raw[a : a + b] for a, b in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """FLAC streams of payloads whose length is a positive multiple of 576."""
+    if not payloads:
+        return []
+    lengths = np.array(list(map(len, payloads)))
+    counts = -(-lengths // FRAME)
+    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
+    numbers = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    begins = np.repeat(np.cumsum(lengths) - lengths, counts) + numbers * FRAME
+    sizes = np.minimum(np.repeat(lengths, counts) - numbers * FRAME, FRAME)
+    frames: list[bytes] = [b""] * len(sizes)
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        for i, frame in zip(rows.tolist(), _coded(x[begins[rows][:, None] + np.arange(size)], numbers[rows]), strict=True):
+            frames[i] = frame
+    out, first = [], 0
     for payload, count in zip(payloads, counts.tolist(), strict=True):
-        mine = slice(first, first + count)
-        begin, stop = int(starts[first]), int(starts[first + count - 1] + sizes[first + count - 1])
+        mine = frames[first : first + count]
+        long = np.fromiter(map(len, mine), np.int64, count)
         points = np.zeros(count, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = np.arange(count) * BLOCK, starts[mine] - begin, BLOCK
+        points["sample"], points["offset"], points["n"] = np.arange(count) * FRAME, np.cumsum(long) - long, sizes[first : first + count]
         signed = (np.frombuffer(payload, np.uint8) ^ 128).tobytes()
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes[mine].min()).to_bytes(3, "big") + int(sizes[mine].max()).to_bytes(3, "big")
+        block = min(FRAME, len(payload))
+        info = struct.pack(">HH", block, block) + int(long.min()).to_bytes(3, "big") + int(long.max()).to_bytes(3, "big")
         info += ((RATE << 44) | (7 << 36) | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
-        table = points.tobytes()
-        seek = b"".join(table[i : i + 18 * 900_000] for i in range(0, len(table), 18 * 900_000))[: 18 * 900_000]
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + raw[begin:stop])
+        seek = points[:: -(-count // MOST_POINTS)].tobytes()
+        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(mine))
         first += count
     return out
 
@@ -458,6 +504,12 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The streams of ``stored``, written to the shared folder."""
+    # Rice codes don't repeat, so a dictionary page is of no use to them.
+    return written(stored(docs, id_col, text_col), "media", compression="zstd", **{"parquet.enable.dictionary": "false"})
+
+
 def read_back(media: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     """Decode the streams of ``stored`` and digest what they hold."""
 
@@ -478,6 +530,37 @@ def read_back(media: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def pcm_blocks(media: DataFrame, samples: int = PCM_BLOCK, most_bytes: int = 2 << 20) -> DataFrame:
+    """The streams of ``media_table`` as a written table of PCM blocks: ``doc_id, block, first_sample,
+    n_samples, pcm``, block n of a stream with its samples from ``n * samples`` on, as signed bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "media", most_bytes):
+                ids, numbers, firsts, parts = [], [], [], []
+                for doc, got in zip(batch.column("doc_id").to_pylist(), decode(batch.column("media").to_pylist()), strict=True):
+                    raw = got.astype(np.int8).tobytes()
+                    for first in range(0, len(raw), samples):
+                        ids.append(doc)
+                        numbers.append(first // samples)
+                        firsts.append(first)
+                        parts.append(raw[first : first + samples])
+                longs = [pa.array(v, pa.int64()) for v in (ids, numbers, firsts, list(map(len, parts)))]
+                yield pa.record_batch([*longs, pa.array(parts, pa.binary())], ["doc_id", "block", "first_sample", "n_samples", "pcm"])
+        tidy()
+
+    rows = media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, first_sample long, n_samples long, pcm binary")
+    return written(rows, "pcm", compression="zstd")
+
+
+def samples_at(blocks: DataFrame, asked: DataFrame, samples: int = PCM_BLOCK) -> DataFrame:
+    """``doc_id, sample, value`` of each ``doc_id, sample`` asked for, from the blocks that hold them."""
+    wanted = asked.select("doc_id", "sample", F.floor(F.col("sample") / samples).cast("long").alias("block"))
+    found = blocks.join(wanted, ["doc_id", "block"]).where(F.col("sample") < F.col("first_sample") + F.col("n_samples"))
+    byte = F.conv(F.hex(F.substring("pcm", (F.col("sample") - F.col("first_sample") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return found.select("doc_id", "sample", F.when(byte > 127, byte - 256).otherwise(byte).alias("value"))
+
+
 def block_at(stream: bytes, sample: int) -> np.ndarray:
     """The samples of the frame that holds ``sample``, read by its seek point alone."""
     lay = read_layout(stream)

@@ -77,10 +77,16 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac_media.read_back(flac_media.stored(table(spark, sf_dir, "documents")))
+    return flac_media.read_back(flac_media.media_table(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_url_filter, op4_near_dedup, op5_language_id, op5_language_id_pages, op6_pack_sequences, op7_personal_data, op8_toxicity, op9_mix_sources, op10_flac_media)}
+def op10_flac_media_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written streams as a written table of PCM blocks, one row per block with its sample offset."""
+    blocks = flac_media.pcm_blocks(flac_media.media_table(table(spark, sf_dir, "documents")))
+    return blocks.select("doc_id", "block", "first_sample", "n_samples", F.crc32("pcm").alias("pcm_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_url_filter, op4_near_dedup, op5_language_id, op5_language_id_pages, op6_pack_sequences, op7_personal_data, op8_toxicity, op9_mix_sources, op10_flac_media, op10_flac_media_pcm)}
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The other queries depend on hashes, codecs, tokenizers or trained models, and are tested by brute force.
 SQL: dict[str, str] = {

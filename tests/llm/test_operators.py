@@ -513,7 +513,7 @@ def test_flac_round_trip():
     for p, s, d in zip(payloads, streams, flac_media.decode(streams), strict=True):
         assert (d + 128).astype(np.uint8).tobytes() == p
         for at in range(0, len(p), 1000):
-            assert (flac_media.block_at(s, at) == d[at // 576 * 576 :][:576]).all()
+            assert (flac_media.block_at(s, at) == d[at // flac_media.FRAME * flac_media.FRAME :][: flac_media.FRAME]).all()
         bare = s[:4] + b"\x80" + s[5:42] + s[46 + int.from_bytes(s[43:46], "big") :]  # without seek points
         assert (flac_media.decode([bare])[0] == d).all()
     for at in (-1, -100, -300):
@@ -551,7 +551,7 @@ def test_flac_reads_other_encoders_frames():
 
 
 def test_media_query(spark):
-    got = collect(flac_media.read_back(flac_media.stored(data.docs(spark))))
+    got = collect(flac_media.read_back(flac_media.media_table(data.docs(spark))))
     text_of = {r[0]: (r[1] or "").encode() for r in data.rows()}
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in data.rows())
     by_text = {}
@@ -562,6 +562,32 @@ def test_media_query(spark):
         assert by_text.setdefault(t, (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
 
 
+def test_media_features():
+    """The feature string against plain Python over the samples."""
+    payload = flac_media.payload_of("Some words, é, and 12 numbers. ".encode() * 30)
+    x = [b - 128 for b in payload]
+    turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    want = f"n={len(x)};mean={sum(x) / len(x):.4f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.4f};zcr={turns / (len(x) - 1):.6f};peak={max(map(abs, x))}"
+    assert flac_media.features(flac_media.decode(flac_media.encode([payload]))[0]) == want
+
+
+def test_pcm_blocks_are_sought_by_sample(spark):
+    """Single samples from the written table, among them those of a null id's and of a very long text."""
+    rows = [(1, "a b c " * 3000), (2, ""), (3, None), (4, "x" * 5000), (None, "no id"), (5, "".join(map(chr, range(32, 900)))), (6, "long " * 400_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    media = flac_media.media_table(d)
+    blocks = flac_media.pcm_blocks(media)
+    payload = {i: flac_media.payload_of((t or "").encode()) for i, t in rows}
+    got = defaultdict(list)
+    for r in blocks.collect():
+        assert r.first_sample == r.block * flac_media.PCM_BLOCK and r.n_samples == len(r.pcm)
+        got[r.doc_id].append((r.block, bytes(b ^ 128 for b in r.pcm)))
+    assert {i: b"".join(p for _, p in sorted(v)) for i, v in got.items()} == payload
+    asked = [(i, at) for i in (1, 2, 4, 5, 6, 99) for at in (0, 1, 575, 576, 4608, 10_000, 1_999_999, 10**9)]
+    found = {(r.doc_id, r.sample): r.value for r in flac_media.samples_at(blocks, spark.createDataFrame(asked, "doc_id long, sample long")).collect()}
+    assert found == {(i, at): payload[i][at] - 128 for i, at in asked if at < len(payload.get(i, b""))}
+
+
 # --- all ---
 
 
@@ -573,7 +599,7 @@ def test_empty_tables(spark):
     assert residual_packing.packed(e, PATH).count() == 0
     assert pii_crf.found(e).count() == 0
     assert apportion_mix.shares(e).count() == 0 and apportion_mix.mixed(e).count() == 0
-    assert flac_media.read_back(flac_media.stored(e)).count() == 0
+    assert flac_media.read_back(flac_media.media_table(e)).count() == 0
 
 
 def test_null_ids(spark):
@@ -584,3 +610,4 @@ def test_null_ids(spark):
     assert {r["doc_id"] for r in collect(residual_packing.packed(d, PATH))} == {None, 1}
     assert {r["doc_id"] for r in collect(apportion_mix.shares(d))} == {None, 1}
     assert {r["doc_id"] for r in collect(pii_crf.found(d))} == {None, 1}
+    assert {r["doc_id"] for r in collect(flac_media.read_back(flac_media.media_table(d)))} == {None, 1}
