@@ -99,6 +99,25 @@ def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int) -> DataF
     return known.withColumn("__draw", draw).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__draw", "__n")
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of equal keys of a sorted partition; one run at a time is held."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = np.asarray(batch.column(key))
+        if not len(keys):
+            continue
+        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and keys[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def tidy() -> None:
     """At the end of a task: give freed memory back, as workers outlive their tasks."""
     import ctypes

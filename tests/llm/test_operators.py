@@ -322,6 +322,43 @@ def test_packing(spark, tokenizer):
     assert len(seq) <= -(-total // 1024) + 2
 
 
+def test_packing_is_the_same_with_all_bins_sent(spark):
+    """What travels is bounded without loss: as many sequences as with every underfull bin sent up."""
+    rng = random.Random(61)
+    rows = [(i, " ".join(rng.choice(data.WORDS) for _ in range(rng.choice([5, 40, 90, 150, 170, 260, 300])))) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")
+    few = {s: collect(residual_packing.packed(d, PATH, spare=s, at_once=20)) for s in (None, 10**6, 0)}
+    n = {s: len({r["sequence_id"] for r in got}) for s, got in few.items()}
+    pieces = {s: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) for s, got in few.items()}
+    assert n[None] == n[10**6] <= n[0] and pieces[None] == pieces[10**6] == pieces[0]
+    fills = Counter()
+    for r in few[None]:
+        fills[r["sequence_id"]] += r["length"]
+    assert sum(f <= 512 for f in fills.values()) <= 1
+
+
+def test_merges_leave_out_no_useful_bin():
+    """Rounds over bins of random sizes, with the bound and without it."""
+    import pyarrow as pa
+
+    rng = random.Random(62)
+    for _ in range(20):
+        leaves = [[rng.choice([100, 520, 600, 601, 700, 900]) for _ in range(rng.randint(0, 60))] for _ in range(64)]
+        ends = []
+        for bounded in (True, False):
+            level = [residual_packing._merged(p, p << 32, [[(0, 0, 0, n, 0, 0)] for n in sizes], None, 1024) for p, sizes in enumerate(leaves)]
+            done = 0
+            for left in (2, 1, 0):
+                spare = residual_packing.FAN_IN * left if bounded else 10**9
+                marked = [residual_packing._closed(b, 1024, 1, spare if left else 10**9) for b in level]
+                done += sum(sum(b.column("closed").to_pylist()) for b in marked)
+                still = [b.filter(pa.compute.invert(b.column("closed"))) for b in marked]
+                if left:
+                    level = [residual_packing._merged(p, p << 32, [], pa.concat_tables(still[8 * p : 8 * p + 8]), 1024) for p in range(len(still) // 8)]
+            ends.append(done + sum(b.num_rows for b in still))
+        assert ends[0] == ends[1]
+
+
 def test_best_fit():
     rng = random.Random(6)
     for _ in range(50):
