@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from folioforge.llm import apportion_mix, chosen_path, chunk_dedup, flac_media, lang_fusion, pfor_tokens, pii_crf, residual_packing, url_templates, zstd_toxicity
+from folioforge.llm import queries as llm_queries
 from folioforge.llm.common import FastEncoder
 
 from . import data
@@ -138,13 +139,104 @@ def test_url_rules_and_templates(spark):
         assert (got[i]["host"], got[i]["path"]) == (host, path)
         rule = _rule(host, path)
         assert got[i]["rule"] == (rule and rule[0])
-        want = rule[1] if rule else ("block" if got[i]["purity"] > url_templates.LIMIT else "allow")
+        want = rule[1] if rule else ("block" if got[i]["purity"] > got[i]["limit"] else "allow")
         assert got[i]["verdict"] == want
         if i < 600:  # the branch that tells stays literal, the others are wildcards
             branch = path.split("/")[1]
             assert got[i]["template"] == f"/{branch}/*/*" and got[i]["verdict"] == ("block" if branch == "bad" else "allow")
 
 
+def _tree(pages, labels):
+    """Brute force of templates, purities and verdicts of pages without a rule: ``(host, path segments)`` by id."""
+    bad = {}
+    for i, b in labels:
+        if b is not None:
+            bad[i] = max(b, bad.get(i, 0))
+    skeletons = {i: (h, tuple("*" if re.search("[0-9]", s) else s for s in p.split("/") if s)) for i, (h, p) in pages}
+    template = {}
+
+    def grow(ids, depth, prefix):
+        """Templates of the pages below one node."""
+        ended = [i for i in ids if len(skeletons[i][1]) == depth]
+        for i in ended:
+            template[i] = prefix
+        ids = [i for i in ids if len(skeletons[i][1]) > depth]
+        seen = {skeletons[i] for i in ids}
+        if depth and len(ids) < url_templates.LEAST_PAGES:
+            for i in ids:
+                template[i] = prefix + "/*" * (len(skeletons[i][1]) - depth)
+            return
+        if depth and len(seen) == 1:
+            for i in ids:
+                template[i] = prefix + "".join(f"/{s}" for s in skeletons[i][1][depth:])
+            return
+        by = defaultdict(list)
+        for i in ids:
+            by[skeletons[i][1][depth]].append(i)
+        merged = defaultdict(list)
+        for segment, mine in by.items():
+            n, b = sum(i in bad for i in mine), sum(bad.get(i, 0) for i in mine)
+            rest_n, rest_b = sum(i in bad for i in ids) - n, sum(bad.get(i, 0) for i in ids) - b
+            pooled, inverse = (b + rest_b) / max(1, n + rest_n), 1 / max(1, n) + 1 / max(1, rest_n)
+            spread = (pooled * (1 - pooled) * inverse) ** 0.5
+            differs = n and rest_n and spread > 0 and abs(b / max(1, n) - rest_b / max(1, rest_n)) - inverse / 2 > 1.96 * spread
+            literal = segment != "*" and len(mine) >= url_templates.LEAST_PAGES and (len(mine) == len(ids) or differs)
+            merged[segment if literal else "*"] += mine
+        for segment, mine in merged.items():
+            grow(mine, depth + 1, f"{prefix}/{segment}")
+
+    hosts = defaultdict(list)
+    for i, (h, _) in pages:
+        hosts[h].append(i)
+    known = [i for i in skeletons if i in bad]
+    base = (sum(bad[i] for i in known) + 1) / (len(known) + 2)
+    out = {}
+    for ids in hosts.values():
+        grow(ids, 0, "")
+        n, b = sum(i in bad for i in ids), sum(bad.get(i, 0) for i in ids)
+        host_share = (b + 20 * base) / (n + 20)
+        groups = defaultdict(list)
+        for i in ids:
+            groups[template[i]].append(i)
+        for t, mine in groups.items():
+            n, b = sum(i in bad for i in mine), sum(bad.get(i, 0) for i in mine)
+            purity = (b + 20 * host_share) / (n + 20)
+            limit = min(base, 0.5) + 1.2816 * (purity * (1 - purity) / (n + 20)) ** 0.5 if not n or b / n > base else 1.0
+            out |= dict.fromkeys(mine, (t, round(purity, 9), "block" if purity > limit else "allow"))
+    return out
+
+
+def test_url_tree_by_brute_force(spark):
+    """Random sites, among them repeated rows, a null id's page and columns of clashing names."""
+    rng = random.Random(81)
+    urls = []
+    for i in range(3000):
+        host = rng.choice(["one", "two", "two", "two", "three"]) + ".info"
+        path = "".join(f"/{rng.choice(['a', 'b', 'c', 'long-named-section-of-the-site', str(rng.randrange(99))])}" for _ in range(rng.randint(0, 5)))
+        urls.append((i, f"http://{host}{path}"))
+    share = lambda u: 0.85 if "/b" in u and "two" in u else 0.5 if u.endswith("/c") else 0.1
+    labels = [(i, int(rng.random() < share(u))) for i, u in urls if rng.random() < 0.6]
+    pages = [(i, (re.search("//([^/]*)", u).group(1), re.search("//[^/]*(.*)", u).group(1))) for i, u in urls]
+    want = _tree(pages, labels)
+    d = spark.createDataFrame([(i, u, "x", 1.0, "y") for i, u in urls], "page_id long, url string, host string, bad double, skeleton string")
+    got = collect(url_templates.judged(d, spark.createDataFrame([(*r, "z") for r in labels], "page_id long, bad int, host string")))
+    assert {r["page_id"]: (r["template"], round(r["purity"], 9), r["verdict"]) for r in got} == want
+    assert {v for _, _, v in want.values()} == {"allow", "block"} and len({t for t, _, _ in want.values()}) > 10
+    twice = spark.createDataFrame([(None, "http://a.info/b"), (1, "http://a.info/b"), (1, "http://a.info/b"), (None, None)], "page_id long, url string")
+    assert Counter((r["page_id"], r["host"], r["verdict"]) for r in collect(url_templates.judged(twice, spark.createDataFrame([], "page_id long, bad int")))) == Counter({(None, "a.info", "allow"): 1, (1, "a.info", "allow"): 2, (None, "", "allow"): 1})
+
+
+def test_url_query_judges_by_its_method(spark):
+    """On the given pages: the number that ends an address is its document, of the language that the path
+    names, and pages without a rule get both verdicts."""
+    sf = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = llm_queries.op3_url_filter(spark, sf).collect()
+    assert all(docs[int(m.group(2))] == m.group(1) for r in got if (m := re.search(r"^/([a-z]+)/([0-9]+)", r.path)))
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+    assert all((r.verdict == "block") == (r.purity > r.limit) for r in got if r.rule is None)
+
+
 def test_url_branches_of_any_share_and_depth(spark):
     """A small bad section of a large host, and bad branches below a deep path, are told apart."""
     deep = "/".join("abcdefgh")
