@@ -3,16 +3,20 @@
 The words of all documents are the house; a block of ``block_words`` words is a seat. The
 sources' targets follow their weights, no source above ``most`` times its own words. Seats
 go to sources by the highest quotients target / (2 k + 1), then, in each source, to its
-shards by the same rule over the shards' words. A shard's quota is the words of its seats.
-Every document is taken whole as often as all of the shard fit into the quota; for the rest
-the documents are laid end to end in an order seeded by their ids and are taken whole up to
-the quota's end, so that at most one document of a shard is taken in part.
-
-Shards keep a hot source off any one task: their number follows the total of words, and
-only sums per source and per shard are gathered. All is DataFrame arithmetic; the same rows
-give the same mix at any partitioning.
-
-Cases: a null or empty text has no words and is taken 0 times; a null source is a source of
+groups of shards, and in each group to its shards, by the same rule over their words. A
+shard's quota is the words of its seats. Every document is taken whole as often as all of the
+shard fit into the quota; for the rest the documents are laid end to end in an order seeded by
+their ids and texts and are taken whole up to the quota's end, so that at most one document of
+a shard is taken in part.
+
+Shards keep a hot source off any one task: each has about ``shard_words`` words of one source,
+so a source has as many as its size asks for, and a source's shards stand in about the root of
+their number of groups, so no window ranks more than that. Rows without an id are dealt by
+their texts. Only sums per source, group and shard are gathered. All is DataFrame arithmetic;
+the same rows give the same mix at any partitioning.
+
+Cases: a null or empty text has no words and is taken 0 times; a very long text is one
+document, taken whole or, at a quota's end, up to its last word taken; a null source is a source of
 its own, after all others; repeated rows of one id are documents of their own in ``shares``,
 and in ``mixed`` each follows the one of them that is taken most; an empty table gives no
 rows; further columns are kept by ``mixed`` and are not read by ``shares``.
@@ -29,7 +33,7 @@ from folioforge.plans.scratch import written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 16
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 200_000
 SEED = 17
 
 
@@ -84,26 +88,27 @@ def seats(parties: DataFrame, by: list[str], party: list[str], claim: str, house
 
 def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken``."""
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "sources")
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_words))
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
-    # Source and shard make one key that is never null, so that all joins below are on it.
-    key = F.concat_ws("/", F.col("shard").cast("string"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
-    placed = placed.withColumn("part", key)
-    parts = placed.groupBy("part", "source", "shard").agg(F.sum("size").alias("part_size"))
+    draw = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(seed))
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), draw.alias("draw")), "sizes")
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     quota = sources.withColumn("__all", F.lit(1)).withColumn("house", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long"))
-    quota = seats(quota, ["__all"], ["source"], "target", "house").select(F.col("source").alias("__source"), "source_size", "target", F.col("seats").alias("source_seats"))
-    parts = parts.join(quota, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    parts = parts.withColumn("__group", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
-    parts = seats(parts, ["__group"], ["part"], "part_size", "source_seats")
+    quota = seats(quota, ["__all"], ["source"], "target", "house")
+    shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long")
+    # The name is never null, so that all joins below are on it.
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    quota = written(quota.select(name.alias("name"), "source_size", "target", F.col("seats").alias("source_seats"), shards.alias("shards")), "sources")
+    placed = sized.withColumn("name", name).join(quota, "name")
+    placed = placed.withColumn("shard", F.pmod("draw", "shards")).withColumn("group", F.floor(F.col("shard") / F.ceil(F.sqrt("shards"))).cast("long"))
+    parts = written(placed.groupBy("name", "group", "shard").agg(F.sum("size").alias("part_size")), "part-sizes")
+    groups = parts.groupBy("name", "group").agg(F.sum("part_size").alias("group_size")).join(quota.select("name", "source_seats"), "name")
+    groups = seats(groups, ["name"], ["group"], "group_size", "source_seats").select("name", "group", F.col("seats").alias("group_seats"))
+    parts = seats(parts.join(groups, ["name", "group"]), ["name", "group"], ["shard"], "part_size", "group_seats")
     # The last block of a shard may be a short one.
     quota_words = F.least(F.col("seats") * block_words, most * F.col("part_size"))
-    parts = written(parts.select("part", "source_size", "target", "part_size", quota_words.alias("quota")), "parts")
-    line = Window.partitionBy("part").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    parts = written(parts.select("name", "shard", "part_size", quota_words.alias("quota")), "parts")
+    line = Window.partitionBy("name", "shard").orderBy(F.xxhash64("draw", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     lined = placed.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
-    full = lined.join(parts, "part")
+    full = lined.join(parts, ["name", "shard"])
 
     every = F.floor(F.col("quota") / F.col("part_size")).cast("long")
     rest = F.col("quota") - every * F.col("part_size")

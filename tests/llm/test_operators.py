@@ -1,6 +1,8 @@
 """Each operator against a brute-force version on small tables."""
 
 import hashlib
+import heapq
+import math
 import random
 import re
 import zlib
@@ -605,6 +607,61 @@ def test_sainte_lague(spark):
         assert got == {p: sum(q == p for _, q in heap) for p in claims}
 
 
+def _apportioned(claims, house):
+    """Sainte-Laguë by a heap; ties go to the first by name."""
+    heap = [(-c / 1, p, 0) for p, c in claims.items() if c > 0]
+    heapq.heapify(heap)
+    got = dict.fromkeys(claims, 0)
+    for _ in range(house if heap else 0):
+        _, p, k = heapq.heappop(heap)
+        got[p] += 1
+        heapq.heappush(heap, (-claims[p] / (2 * k + 3), p, k + 1))
+    return got
+
+
+def test_mix_by_brute_force(spark):
+    """What each document gives: seats of sources, groups and shards, then documents in seeded order.
+
+    Among the rows are null ids, repeated rows, a null source and columns of clashing names."""
+    rng = random.Random(91)
+    rows = [(rng.choice([None, i, i, i]), data.words(rng, rng.choice([0, 1, 5, 40, 300])), rng.choice([None, "a", "b", "b", "b", "B", "é"]), "x", 1) for i in range(700)]
+    rows += rows[:30] + [(None, None, "a", None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, name string, shard long").repartition(3)
+    block, shard_words, seed = 4, 1500, apportion_mix.SEED
+    got = collect(apportion_mix.shares(d, block_words=block, shard_words=shard_words))
+    draw = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed))
+    drawn = d.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), draw.alias("draw"), F.xxhash64(draw, F.lit(seed + 1)).alias("at")).collect()
+    sizes, parts, size_of = Counter(), Counter(), lambda r: len(WORD.findall(r.text))
+    for r in drawn:
+        sizes[r.source] += size_of(r)
+    shards = {s: max(1, -(-n // shard_words)) for s, n in sizes.items()}
+    target = _targets(sizes)
+    seats = _apportioned({(s is None, s or ""): target[s] for s in sizes}, round(sum(target.values()) / block))
+    members = defaultdict(list)
+    for r in drawn:
+        members[r.source, r.draw % shards[r.source]].append(r)
+    for key, mine in members.items():
+        parts[key] = sum(map(size_of, mine))
+    want = Counter()
+    for s in sizes:
+        per = math.ceil(math.sqrt(shards[s]))
+        groups = Counter()
+        for (source, shard), n in parts.items():
+            if source == s:
+                groups[shard // per] += n
+        for g, n in _apportioned(groups, seats[(s is None, s or "")]).items():
+            inside = {k[1]: v for k, v in parts.items() if k[0] == s and k[1] // per == g}
+            for shard, won in _apportioned(inside, n).items():
+                whole = inside[shard]
+                quota, at = min(won * block, 3 * whole), 0
+                for r in sorted(members[s, shard], key=lambda r: (r.at, r.doc_id is not None, r.doc_id or 0, size_of(r))):
+                    n_words = size_of(r)
+                    once = min(max(quota % whole - at, 0), n_words) if whole else 0
+                    want[r.doc_id, s, n_words, (quota // whole * n_words if whole else 0) + once] += 1
+                    at += n_words
+    assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got) == want
+
+
 def test_mixed_rows(spark):
     d = data.docs(spark).dropDuplicates(["doc_id"])
     out = apportion_mix.mixed(d, block_words=4)
