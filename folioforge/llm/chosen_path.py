@@ -6,21 +6,33 @@ node, named by the path that leads to it, selects two of the signature's minwise
 and each document goes to the child of its token at either. Two documents of similarity s
 part at a node with probability (1 - s)^2 and keep one child at least in common otherwise,
 so with two children a node loses a pair of s = 0.75 in 11 % of all trees at any depth, and
-``TREES`` independent trees lose it together with probability 0.111^TREES. Nodes of up to
-``NODE`` documents are compared exhaustively by signature; larger ones are cut further, and at
-``DEPTH`` they are dealt out in blocks, each pair of blocks to one task.
-
-What nodes find is gathered into clusters, and the full sets decide inside these: each
-cluster's documents meet once, largest clusters in pairs of blocks, and links are those with
-an intersection of ``num / den`` of the union at least. Only pairs not linked already through
+``TREES`` independent trees lose it together with probability 0.111^TREES.
+
+Nodes of up to ``NODE`` documents are compared exhaustively by signature. A larger node is
+dealt out in blocks, each with the same ``REPS`` representatives of the node: documents that
+hang together through representatives are one set already, and only the rest, those outside
+the largest set, have to meet all blocks. If the rest is small it does, once; if it is larger
+than a node, the node is cut into its children instead, and at ``DEPTH`` its rest meets all
+blocks in blocks of its own. So a large group of near copies, which no token parts, costs its
+size, and a node of unlike documents is cut further.
+
+What nodes find is gathered into clusters, and the full sets alone decide inside these, by
+the same rule: a cluster's texts meet in one task, those of one heavier than ``CLUSTER`` in
+blocks with representatives, and a rest once more with all blocks. Links are those with an
+intersection of ``num / den`` of the union at least. Only pairs not linked already through
 others need their sets compared, so a group of copies costs about its size in comparisons.
 Stars of links, never pairs, leave a task; components come from repeated star contraction
 of tables in the shared folder.
 
+Two documents of similarity 0.75 agree in fewer positions than ``LEAST_AGREE`` asks for once
+in about ten million cases; that is the signature's own loss beside the trees'.
+
 Cases: null or empty texts, and those of white space alone, have no set and are their own
-component; with fewer words than a shingle has, all of them are one shingle; repeated rows
-of one id are one document; a row without an id is linked with nothing and stays; ties of size or similarity are settled by id; an empty table
-gives no rows; further columns are not read by ``components`` and kept by ``deduplicate``.
+component; with fewer words than a shingle has, all of them are one shingle; a very long text
+has all its shingles and weighs as much in its block; of rows that repeat an id the least text
+counts; a row without an id is linked with nothing and stays; ties of size or similarity are
+settled by id; an empty table gives no rows; further columns are not read by ``components``
+and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -29,21 +41,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import flat_bytes, slices, tidy, unused
+from folioforge.llm.common import flat_bytes, key_runs, slices, tidy, unused
 from folioforge.plans.scratch import written
 
 WORDS = 5
 NUM, DEN = 75, 100
 TREES = 5
 POSITIONS = 128
-#: Documents of a node that are compared exhaustively, and of a cluster whose full sets meet in one task.
-NODE, CLUSTER = 8192, 2048
+#: Documents of a node that are compared exhaustively, and shingles of a cluster whose full sets meet in one task.
+NODE, CLUSTER = 512, 1 << 21
+#: What a document weighs in a cluster besides its shingles.
+DOC_WEIGHT = 500
+#: Representatives of a group that is dealt out in blocks.
+REPS = 32
 DEPTH = 6
-#: Signatures that agree in fewer positions are no candidates: 0.75 less four standard deviations.
-LEAST_AGREE = 0.60
+#: Signatures that agree in fewer positions are no candidates: 0.75 less five standard deviations.
+LEAST_AGREE = 0.55
 SEED = 20240229
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -215,64 +231,136 @@ def signs_alike(signs: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
     return lambda i, others: (signs[others] == signs[i]).sum(1) >= need
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted partition; one run at a time is held."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        keys = np.asarray(batch.column(key))
-        if not len(keys):
-            continue
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if held and keys[a] != now:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _stars(ids: np.ndarray, roots: np.ndarray) -> pa.RecordBatch | None:
-    """Links of each member to its set's least member."""
-    away = np.flatnonzero(roots != np.arange(len(ids)))
-    if not len(away):
-        return None
-    return pa.record_batch([pa.array(ids[away]), pa.array(ids[roots[away]])], ["a", "b"])
-
-
-def compared(nodes: DataFrame, signs: DataFrame) -> DataFrame:
-    """Stars of alike signatures in each node of ``node, id``; ``signs`` has ``id, signature``."""
+#: Members of a group in order of their ids, and the roots of those that belong together.
+Find = Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _members(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Ids in order, once each, the rows they are first met in, and the bodies of these rows."""
+    ids, rows = np.unique(np.asarray(group.column("id").combine_chunks(), np.int64), return_index=True)
+    bodies = group.column("body").combine_chunks()
+    bodies = bodies if isinstance(bodies, pa.Array) else bodies.chunk(0)
+    return ids, rows, bodies.take(pa.array(rows))
+
+
+def by_signature(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, rows, bodies = _members(group)
+    return ids, rows, spread(len(ids), signs_alike(_signs(bodies)))
+
+
+def by_sets(words: int, num: int, den: int) -> Find:
+    def find(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, rows, bodies = _members(group)
+        sets: list[np.ndarray] = []
+        for batch in slices(pa.record_batch([bodies], ["text"]), "text", 1 << 20):
+            h, offsets = shingle_sets(*flat_bytes(batch.column(0)), words)
+            sets += [h[a:b].copy() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return ids, rows, linked(sets, num, den)
+
+    return find
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows of one ``place`` next to each other, in one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "place").sortWithinPartitions("place")
+
+
+def stars(rows: DataFrame, find: Find) -> DataFrame:
+    """Links ``a, b`` of each member to its set's least member, from ``place, id, body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "node"):
-            ids = np.asarray(group.column("id").combine_chunks(), np.int64)
-            if len(ids) < 2:
+        for group in key_runs(batches, "place"):
+            if group.num_rows < 2:
                 continue
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            rows = _signs(group.column("signature").combine_chunks())[order]
-            roots = spread(len(ids), signs_alike(rows))
-            if (star := _stars(ids, roots)) is not None:
-                yield star
+            ids, _, roots = find(group)
+            away = np.flatnonzero(roots != np.arange(len(ids)))
+            if len(away):
+                yield pa.record_batch([pa.array(ids[away]), pa.array(ids[roots[away]])], ["a", "b"])
+        _POWERS.clear()
         tidy()
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return nodes.join(signs, "id").select("node", "id", "signature").repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+    return _met(rows).mapInArrow(run, "a long, b long")
 
 
-def in_block_pairs(rows: DataFrame, key: str, counts: DataFrame, most: int) -> DataFrame:
-    """Deal groups of more than ``most`` rows out: each pair of their blocks gets a key of its own.
+def in_blocks(rows: DataFrame, sizes: DataFrame, most: int, find: Find) -> tuple[DataFrame, DataFrame]:
+    """Large groups, dealt out in blocks of about ``most`` that share representatives.
 
-    ``counts`` has ``key`` and ``n``; smaller groups keep one key.
+    ``rows`` has ``key, id, weight, body``, ``sizes`` has ``key, n, blocks``. Returns the links found, and
+    the rest of each group: ``key, id, weight`` of members outside its largest set.
     """
-    blocks = F.ceil(F.col("n") / most).cast("int")
-    joined = rows.join(counts.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key")).drop("__key")
-    joined = joined.withColumn("__blocks", blocks).withColumn("__own", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("__blocks")).cast("int"))
-    with_other = joined.withColumn("__other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__blocks") - 1, F.lit(0)))))
-    low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
-    return with_other.withColumn(key, F.when(F.col("__blocks") > 1, F.xxhash64(F.col(key), low, high)).otherwise(F.col(key))).drop("n", "__blocks", "__own", "__other")
+    own = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks"))
+    placed = rows.join(sizes, "key").withColumn("block", own)
+    # About four times as many as are wanted, by a hash limit; only those are ranked.
+    draw = F.pmod(F.xxhash64("id", "key", F.lit(SEED + 1)), F.lit(1 << 30))
+    few = placed.withColumn("draw", draw).where(F.col("draw") * F.col("n") < F.lit(4 * REPS << 30))
+    order = Window.partitionBy("key").orderBy("draw", "id")
+    reps = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= REPS)
+    reps = reps.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["key", "id", "weight", "body", "block"]
+    met = reps.select(*columns, F.lit(True).alias("rep")).unionByName(placed.select(*columns, F.lit(False).alias("rep")))
+    met = met.withColumn("place", F.xxhash64("key", "block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_runs(batches, "place"):
+            ids, at, roots = find(group)
+            rep_ids = np.asarray(group.column("id").combine_chunks().filter(group.column("rep").combine_chunks()), np.int64)
+            rep = np.isin(ids, rep_ids)
+            # A set is named by its least representative, if it has one.
+            label = np.full(len(ids), -1)
+            label[roots[rep][::-1]] = np.flatnonzero(rep)[::-1]
+            named = label[roots]
+            mine = [group.column(c).combine_chunks().take(pa.array(at)) for c in ("key", "weight")]
+            yield pa.record_batch([mine[0], pa.array(ids), mine[1], pa.array(ids[roots]), pa.array(ids[named], mask=named < 0), pa.array(rep)], ["key", "id", "weight", "root", "label", "rep"])
+        _POWERS.clear()
+        tidy()
+
+    out = written(_met(met).mapInArrow(run, "key long, id long, weight long, root long, label long, rep boolean"), "blocks")
+    # One row per group, with the links of its representatives: REPS squared at most.
+    pairs = out.where("rep and id <> label").groupBy("key").agg(F.collect_set(F.struct(F.col("id").alias("a"), F.col("label").alias("b"))).alias("pairs"))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, links in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent: dict[int, int] = {}
+
+                def top(x: int, parent: dict[int, int] = parent) -> int:
+                    while parent.setdefault(x, x) != x:
+                        x = parent[x]
+                    return x
+
+                for link in links:
+                    x, y = top(link["a"]), top(link["b"])
+                    parent[max(x, y)] = min(x, y)
+                found += [(key, x, top(x)) for x in list(parent)]
+            yield pa.record_batch([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["key", "label", "set"])
+
+    sets = pairs.mapInArrow(united, "key long, label long, set long")
+    named = written(out.where("label is not null").groupBy("key", "label").agg(F.countDistinct("id").alias("n")).join(sets, ["key", "label"], "left").withColumn("set", F.coalesce("set", "label")), "sets")
+    main = named.groupBy("key", "set").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max_by("set", F.struct("n", "set")).alias("set"))
+    inside = named.join(main, ["key", "set"], "left_semi").select("key", "label")
+    rest = out.where("not rep").join(inside, ["key", "label"], "left_anti").select("key", "id", "weight")
+    rest = rest.unionByName(out.where("rep").select("key", "id", "weight", "label").distinct().join(inside, ["key", "label"], "left_anti").select("key", "id", "weight"))
+    return out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), written(rest.distinct(), "rest")
+
+
+def rest_stars(rows: DataFrame, sizes: DataFrame, rest: DataFrame, rest_sizes: DataFrame, find: Find) -> DataFrame:
+    """Links of each group's rest with all its members: each block of one with each block of the other.
+
+    ``rest_sizes`` has ``key, rest_blocks``; where that is one, each member is sent once.
+    """
+    hashed = F.xxhash64("id", F.lit(SEED))
+    all_ = rows.join(sizes.select("key", "blocks"), "key").join(rest_sizes, "key")
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    members = all_.withColumn("block", F.pmod(hashed, "blocks")).withColumn("other", each("rest_blocks"))
+    others = all_.join(rest.select("key", "id"), ["key", "id"], "left_semi").withColumn("other", F.pmod(hashed, "rest_blocks")).withColumn("block", each("blocks"))
+    place = F.xxhash64("key", "block", "other").alias("place")
+    return stars(members.select(place, "id", "body").unionByName(others.select(place, "id", "body")), find)
+
+
+def blocks_of(rest: DataFrame, most: int) -> DataFrame:
+    return rest.groupBy("key").agg(F.sum("weight").alias("w")).select("key", F.ceil(F.col("w") / most).cast("long").alias("rest_blocks"))
 
 
 def candidates(signs: DataFrame, trees: int, node: int, depth: int) -> DataFrame:
@@ -282,17 +370,24 @@ def candidates(signs: DataFrame, trees: int, node: int, depth: int) -> DataFrame
     for level in range(1, depth + 1):
         # Another tree may lead a document to a node twice, as long as names differ by path it doesn't.
         rows = written(rows.distinct() if level > 1 else rows, "nodes")
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        small = rows.join(counts.where(F.col("n") <= node).select("node"), "node", "left_semi")
-        found.append(written(compared(small, signs), "stars"))
-        large = written(counts.where(F.col("n") > node), "large")
-        if large.isEmpty():
+        counts = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
+        small = rows.join(counts.where(F.col("n") <= node).select("node"), "node", "left_semi").join(signs, "id")
+        found.append(written(stars(small.select(F.col("node").alias("place"), "id", F.col("signature").alias("body")), by_signature).distinct(), "stars"))
+        sizes = counts.where(F.col("n") > node).select(F.col("node").alias("key"), "n", F.ceil(F.col("n") / node).cast("long").alias("blocks"))
+        if sizes.isEmpty():
             break
-        crowded = rows.join(large.select("node"), "node", "left_semi")
-        if level == depth:
-            found.append(written(compared(in_block_pairs(crowded, "node", large, node), signs), "stars"))
+        crowded = rows.join(sizes.select(F.col("key").alias("node")), "node", "left_semi").join(signs, "id")
+        crowded = written(crowded.select(F.col("node").alias("key"), "id", F.lit(1).cast("long").alias("weight"), F.col("signature").alias("body")), "crowded")
+        links, rest = in_blocks(crowded, sizes, node, by_signature)
+        found.append(written(links, "stars"))
+        left = written(blocks_of(rest, node), "rest-sizes")
+        now = left if level == depth else left.where("rest_blocks = 1")
+        if not now.isEmpty():
+            found.append(written(rest_stars(crowded, sizes, rest, now, by_signature).distinct(), "stars"))
+        if level == depth or left.where("rest_blocks > 1").isEmpty():
             break
-        rows = descended(crowded.join(signs, "id").select("node", "id", "signature"))
+        unlike = crowded.join(left.where("rest_blocks > 1").select("key"), "key", "left_semi")
+        rows = descended(unlike.select(F.col("key").alias("node"), "id", F.col("body").alias("signature")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -333,67 +428,66 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def linked(sets: list[np.ndarray], signs: np.ndarray, num: int, den: int) -> np.ndarray:
+def linked(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Roots of the documents, joined where the full sets are similar enough.
 
-    A member's shingles are marked once, and those of all candidates are looked up together.
+    A member's shingles are marked once, and those of all others that can be as similar by
+    their sizes are looked up together.
     """
     sizes = np.array([len(s) for s in sets])
     at = np.concatenate(([0], np.cumsum(sizes)))
     words, flat = np.unique(np.concatenate(sets), return_inverse=True)
     marked = np.zeros(len(words), np.uint8)
-    near = signs_alike(signs)
 
     def alike(i: int, others: np.ndarray) -> np.ndarray:
-        hit = near(i, others)
         small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        hit &= den * small >= num * large
+        hit = den * small >= num * large
         k = np.flatnonzero(hit)
         if not len(k):
             return hit
         mine = flat[at[i] : at[i + 1]]
         marked[mine] = 1
         asked = others[k]
-        starts = np.concatenate(([0], np.cumsum(sizes[asked])[:-1]))
-        same = np.add.reduceat(marked[np.concatenate([flat[at[j] : at[j + 1]] for j in asked.tolist()])], starts, dtype=np.int64)
+        long = sizes[asked]
+        starts = np.cumsum(long) - long
+        same = np.add.reduceat(marked[flat[np.repeat(at[asked] - starts, long) + np.arange(int(long.sum()))]], starts, dtype=np.int64)
         marked[mine] = 0
-        hit[k] = den * same >= num * (sizes[asked] + sizes[i] - same)
+        hit[k] = den * same >= num * (long + sizes[i] - same)
         return hit
 
     return spread(len(sets), alike)
 
 
 def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, most: int) -> DataFrame:
-    """Stars of true links inside ``id, root`` clusters."""
-    counts = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = in_block_pairs(clusters, "root", counts, most)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "root"):
-            ids = np.asarray(group.column("id").combine_chunks(), np.int64)
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            texts = group.column("text").combine_chunks()
-            texts = (texts if isinstance(texts, pa.Array) else texts.chunk(0)).take(pa.array(order))
-            sets, rows = [], []
-            for batch in slices(pa.record_batch([texts], ["text"]), "text", 1 << 20):
-                h, offsets = shingle_sets(*flat_bytes(batch.column(0)), words)
-                sets += [h[a:b].copy() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                rows.append(signatures(h, offsets))
-            if (star := _stars(ids, linked(sets, np.concatenate(rows), num, den))) is not None:
-                yield star
-        _POWERS.clear()
-        tidy()
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = texts.join(dealt, "id").select("root", "id", "text").repartition(parts, "root").sortWithinPartitions("root")
-    return met.mapInArrow(run, "a long, b long")
+    """Stars of true links inside clusters of ``id, root, n_shingles``."""
+    find = by_sets(words, num, den)
+    weighed = clusters.select(F.col("root").alias("key"), "id", (F.col("n_shingles") + DOC_WEIGHT).alias("weight"))
+    sizes = written(weighed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("n > 1"), "cluster-sizes")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    small = weighed.join(sizes.where(F.col("w") <= most).select("key"), "key", "left_semi")
+    found = stars(texts.join(small, "id").select(F.col("key").alias("place"), "id", "body"), find)
+    large = sizes.where(F.col("w") > most).select("key", "n", F.ceil(F.col("w") / most).cast("long").alias("blocks"))
+    if large.isEmpty():
+        return found
+    rows = texts.join(weighed.join(large.select("key"), "key", "left_semi"), "id").select("key", "id", "weight", "body")
+    links, rest = in_blocks(rows, large, most, find)
+    found = found.unionByName(links)
+    left = written(blocks_of(rest, most), "rest-sizes")
+    return found if left.isEmpty() else found.unionByName(rest_stars(rows, large, rest, left, find))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, trees: int = TREES, node: int = NODE, cluster: int = CLUSTER, depth: int = DEPTH) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``."""
-    made = written(sketched(docs, id_col, text_col, words), "sketches")
+    rows = written(sketched(docs, id_col, text_col, words), "sketches")
+    made = rows
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        # One text for each id: the least one. All rows of the id show its result.
+        named = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
+        again = named.join(repeated.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+        least = again.groupBy(id_col).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias(text_col))
+        docs = written(named.join(repeated.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").unionByName(least), "once")
+        made = written(sketched(docs, id_col, text_col, words), "sketches")
     once = made.where("n_shingles > 0 and doc_id is not null")
     equal = once.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     copies = equal.where("n > 1").select("set_key", F.col("id").alias("__rep"))
@@ -401,20 +495,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = stands.where("doc_id <> __rep").select("doc_id")
     signs = written(once.select(F.col("doc_id").alias("id"), "signature").join(others.withColumnRenamed("doc_id", "id"), "id", "left_anti").dropDuplicates(["id"]), "signatures")
     clusters = written(connected(candidates(signs, trees, node, depth)), "clusters")
-    links = verified(docs.dropDuplicates([id_col]) if _repeats(made) else docs, clusters, id_col, text_col, words, num, den, cluster)
+    weighed = clusters.join(once.select(F.col("doc_id").alias("id"), "n_shingles"), "id")
+    links = verified(docs, weighed, id_col, text_col, words, num, den, cluster)
     roots = written(connected(written(links, "links")), "roots")
     final = stands.join(roots, F.col("__rep") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("root", "__rep").alias("root"))
     final = final.unionByName(roots.join(stands.select(F.col("doc_id").alias("id")), "id", "left_anti"))
-    own = made.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("id"), "left")
+    own = made.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("id"), "left").drop("id")
+    if made is not rows:
+        known = rows.select(F.col("doc_id").alias("id")).join(own, F.col("id") == F.col("doc_id")).drop("id")
+        own = known.unionByName(own.where("doc_id is null"))
     component = F.coalesce("root", "doc_id")
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _repeats(made: DataFrame) -> bool:
-    """Whether an id has several rows."""
-    return not made.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents kept, one of each component, with their own columns."""
     name = unused(docs, "gone")

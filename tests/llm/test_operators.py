@@ -295,9 +295,9 @@ def _components(sets):
     return {d: find(d) for d in sets}
 
 
-@pytest.mark.parametrize(("node", "cluster", "depth"), [(1000, 1000, 6), (2, 3, 3)])
+@pytest.mark.parametrize(("node", "cluster", "depth"), [(1000, 1 << 21, 6), (2, 1500, 3)])
 def test_near_dedup(spark, node, cluster, depth):
-    """Small nodes are cut to the full depth and dealt out in blocks; the components are the same."""
+    """Small nodes and clusters are cut to the full depth and dealt out in blocks; the components are the same."""
     got = collect(chosen_path.components(data.docs(spark), node=node, cluster=cluster, depth=depth))
     sets = _sets(data.rows())
     want = _components(sets)
@@ -316,10 +316,82 @@ def test_near_dedup_of_one_large_group(spark):
         base = list(base)
         base[rng.randrange(80)] = f"w{i}"
         rows.append((i, " ".join(base), None, None, None, None, None, None, None))
-    got = {r["doc_id"]: r["component_id"] for r in collect(chosen_path.components(spark.createDataFrame(rows, data.SCHEMA), node=40, cluster=50, depth=3))}
+    got = {r["doc_id"]: r["component_id"] for r in collect(chosen_path.components(spark.createDataFrame(rows, data.SCHEMA), node=40, cluster=20_000, depth=3))}
     assert got == _components(_sets(rows))
 
 
+@pytest.mark.parametrize("loose", [False, True])
+def test_large_groups_in_blocks(spark, loose):
+    """A group of several kinds that share one node: links inside blocks, by representatives and by the rest."""
+    rng = random.Random(71)
+    kinds = [data.words(rng, 60).split(" ") for _ in range(60 if loose else 6)]
+    rows = []
+    for i in range(500):
+        w = list(kinds[min(int(rng.expovariate(0.05 if loose else 3.0)), len(kinds) - 1)])
+        w[rng.randrange(60)] = f"w{i}"
+        rows.append((i, 7, " ".join(w)))
+    want = _components(_sets([(i, t) for i, _, t in rows]))
+    d = spark.createDataFrame(rows, "id long, key long, body string").withColumn("weight", F.lit(1).cast("long"))
+    find = chosen_path.by_sets(5, 75, 100)
+    sizes = spark.createDataFrame([(7, 500, 13)], "key long, n long, blocks long")
+    links, rest = chosen_path.in_blocks(d, sizes, 40, find)
+    left = chosen_path.blocks_of(rest, 40)
+    assert (left.first().rest_blocks > 1) == loose
+    links = links.unionByName(chosen_path.rest_stars(d, sizes, rest, left, find))
+    got = {r.id: r.root for r in chosen_path.connected(links).collect()}
+    assert {i: got.get(i, i) for i in range(500)} == want
+
+
+def test_near_dedup_recurses_and_finds_all_links(spark):
+    """Thousands of texts that share passages: nodes larger than ``NODE`` are cut, at the production parameters, and
+    the components are those of an exact join over an inverted index of shingles."""
+    rng = random.Random(73)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage, bases = say(12), [say(40) for _ in range(900)]
+    rows = []
+    for i in range(4500):
+        w = list(rng.choice(bases)) if i % 3 else say(40)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(passage + w)))
+    sets = _sets(rows)
+    index = defaultdict(list)
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
+    for i, _ in rows:
+        shared = Counter(j for s in sets[i] for j in index[s])
+        for j, same in shared.items():
+            if 100 * same >= 75 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+        for s in sets[i]:
+            index[s].append(i)
+    levels = []
+    plain, chosen_path.descended = chosen_path.descended, lambda *a: levels.append(1) or plain(*a)
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in collect(chosen_path.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)))}
+    finally:
+        chosen_path.descended = plain
+    assert len(levels) > 1
+    assert got == {i: find(i) for i, _ in rows}
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Of rows that repeat an id the least text counts, whatever the partitioning; null ids stay by themselves."""
+    rng = random.Random(74)
+    one, two = data.words(rng, 30), data.words(rng, 30)
+    rows = [(1, max(one, two)), (1, min(one, two)), (2, min(one, two)), (3, max(one, two)), (None, one), (None, one), (4, None), (4, "")]
+    for n in (1, 4):
+        got = collect(chosen_path.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)))
+        assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter({(1, 1, True): 2, (2, 1, False): 1, (3, 3, True): 1, (None, None, True): 2, (4, 4, True): 2})
+
+
 def test_signature_estimates_similarity():
     a = chosen_path.mix(np.arange(1, 1001, dtype=np.uint64))
     h = np.concatenate((np.sort(a[:900]), np.sort(a[100:])))
