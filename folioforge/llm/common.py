@@ -82,6 +82,12 @@ def _lengths(column: pa.Array) -> pa.Array:
     return pc.binary_length(column)
 
 
+def stretch(text: Column, id_col: Column, longest: int) -> Column:
+    """The text, or of a longer one ``longest`` characters from a place that a hash of its id chooses."""
+    at = F.pmod(F.xxhash64(id_col.cast("string"), F.lit(1)), F.length(text) - longest + 1) + 1
+    return F.when(F.length(text) > longest, F.substr(text, at.cast("int"), F.lit(longest))).otherwise(text)
+
+
 def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
     """At most ``most`` rows of each group, chosen by a hash of their ids.
 

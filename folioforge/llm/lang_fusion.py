@@ -5,7 +5,8 @@ blanks, A-Z lower-cased, from counts over a bounded sample of labelled texts; on
 all, spreads its mass over all trigrams. By the text alone every row gets a first guess.
 Grouped sums of these guesses then give the likelihoods of what a row declares and of its
 address suffix, and the priors of its host, smoothed towards its suffix's, which are
-smoothed towards the whole table's. The posterior is their product; a row is rejected if no
+smoothed towards the whole table's. A row's own guess is taken out of its groups' sums, so no
+row is evidence for itself. The posterior is their product; a row is rejected if no
 language reaches ``LEAST`` of it or if it isn't one of those wanted. A row that declares a language
 without a model can't reach it and isn't rejected for that.
 
@@ -13,9 +14,10 @@ The likelihood of a text counts at most as ``EVIDENCE`` trigrams of it, since ne
 ones depend on each other; otherwise no other evidence could ever count.
 
 Cases: a null or empty text has no likelihood of its own, and a declared language, suffix or
-host that is null or never met adds nothing, so a row without any evidence has the prior;
-ties go to the first language by name; repeated rows stay; an empty table gives no rows;
-further columns are not read by ``fused`` and kept by ``accepted``.
+host that is null or never met adds nothing, so a row without any evidence has the prior; a very
+long text is read whole;
+ties go to the first language by name; repeated rows, and those without an id, stay; an empty
+table gives no rows; further columns are not read by ``fused`` and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import bounded_sample, flat_bytes, slices, tidy, unused
+from folioforge.llm.common import bounded_sample, flat_bytes, slices, stretch, tidy, unused
 from folioforge.plans.scratch import written
 
 SAMPLE = 1500
@@ -61,9 +63,7 @@ def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int =
     Every language with a text that holds a trigram has a model. The sample is ``sample`` texts
     per language at most; of a text longer than ``longest`` it has a window placed by its id.
     """
-    length = F.length(text_col)
-    at = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), length - longest + 1) + 1
-    shown = F.when(length > longest, F.substr(text_col, at.cast("int"), F.lit(longest))).otherwise(F.col(text_col))
+    shown = stretch(F.col(text_col), F.col(id_col), longest)
     known = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang).alias("lang"), F.col(id_col).cast("string").alias("id"), shown.alias("text"))
     counts: dict[str, np.ndarray] = {}
     # Partition by partition: the driver holds counts, not all languages' texts.
@@ -82,11 +82,12 @@ def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int =
     return names, table
 
 
-def likelihoods(rows: DataFrame, table: np.ndarray, keys: list[str], text_col: str) -> DataFrame:
-    """Adds ``loglik``, an array over the languages and none, to the columns ``keys``."""
+def likelihoods(rows: DataFrame, table: np.ndarray, prior: np.ndarray, keys: list[str], text_col: str) -> DataFrame:
+    """Adds two arrays over the languages and none to the columns ``keys``: ``loglik``, and ``guess``, the
+    posterior by the text and the prior alone."""
     shared = rows.sparkSession.sparkContext.broadcast(table)  # languages x BUCKETS numbers
     kept = rows.select(*keys, F.col(text_col).alias("__text"))
-    schema = kept.drop("__text").schema.add("loglik", T.ArrayType(T.DoubleType()))
+    schema = kept.drop("__text").schema.add("loglik", T.ArrayType(T.DoubleType())).add("guess", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value
@@ -106,31 +107,35 @@ def likelihoods(rows: DataFrame, table: np.ndarray, keys: list[str], text_col: s
                     told = np.zeros(len(n))
                     told[live] = np.add.reduceat(grams > 0, edges, dtype=np.int64)[::2]
                     out *= np.minimum(1.0, EVIDENCE / np.maximum(told, 1))[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(score)), pa.int32()), pa.array(out.reshape(-1)))
-                yield pa.record_batch([*[batch.column(k) for k in keys], lists], [*keys, "loglik"])
+                guess = out + np.log(prior)
+                guess = np.exp(guess - guess.max(1, keepdims=True))
+                guess /= guess.sum(1, keepdims=True)
+                ends = pa.array(np.arange(0, out.size + 1, len(score)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v.reshape(-1))) for v in (out, guess)]
+                yield pa.record_batch([*[batch.column(k) for k in keys], *lists], [*keys, "loglik", "guess"])
         tidy()
 
     return kept.mapInArrow(run, schema)
 
 
-def _normal(values: Column) -> Column:
-    """Logs to shares that sum to 1."""
-    top = F.array_max(values)
-    raised = F.transform(values, lambda v: F.exp(v - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(raised, lambda v: v / total)
-
-
 def _summed(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     """Per group, the guesses' sums ``mass`` (an array) over all its rows."""
     sums = [F.sum(F.get("guess", F.lit(j))).alias(f"__m{j}") for j in range(n)]
     return rows.groupBy(*by).agg(*sums).select(*by, F.array(*[f"__m{j}" for j in range(n)]).alias("mass"))
 
 
-def _share(mass: Column, towards: Column, strength: float) -> Column:
-    """Smoothed shares of a group's mass."""
-    total = F.aggregate(mass, F.lit(0.0), lambda a, v: a + v)
-    return F.zip_with(mass, towards, lambda m, t: (m + strength * t) / (total + strength))
+def _matrix(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x n of a column of arrays, zeros for a null one, and which are not null."""
+    known = np.asarray(column.is_valid())
+    out = np.zeros((len(column), n))
+    out[known] = np.asarray(column.drop_null().flatten(), np.float64).reshape(-1, n)
+    return out, known
+
+
+def _share(mass: np.ndarray, guess: np.ndarray, towards: np.ndarray, strength: float) -> np.ndarray:
+    """Smoothed shares of the groups' masses, each without the row's own guess."""
+    others = np.maximum(mass - guess, 0)
+    return (others + strength * towards) / (others.sum(1, keepdims=True) + strength)
 
 
 def fused(rows: DataFrame, id_col: str, text_col: str, model: tuple[list[str], np.ndarray], declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, wanted: tuple[str, ...] | None = None) -> DataFrame:
@@ -142,53 +147,54 @@ def fused(rows: DataFrame, id_col: str, text_col: str, model: tuple[list[str], n
     fields = {"declared": declared, "suffix": suffix, "host": host}
     given = rows.select(F.col(id_col), F.col(text_col), *[(nothing if c is None else c.cast("string")).alias(f"__{k}") for k, c in fields.items()])
     keys = [id_col, "__declared", "__suffix", "__host"]
-    scored = written(likelihoods(given, table, keys, text_col), "likelihoods")
-    base = [(1 - NONE_PRIOR) / max(1, len(names))] * len(names) + [NONE_PRIOR]
-    prior = F.array(*[F.lit(float(np.log(b))) for b in base])
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    guessed = scored.withColumn("guess", _normal(add(F.col("loglik"), prior)))
-    base_shares = F.array(*[F.lit(float(b)) for b in base])
-    # One row: the whole table's sums.
-    whole = _summed(guessed, [], n).select(F.when(F.get("mass", F.lit(0)).isNull(), base_shares).otherwise(_share(F.col("mass"), base_shares, 1.0)).alias("__all"))
-    suffixes = _summed(guessed.where("__suffix is not null"), ["__suffix"], n).crossJoin(F.broadcast(whole)).select("__suffix", _share(F.col("mass"), F.col("__all"), SUFFIX_STRENGTH).alias("__suffix_share"))
-    hosts = _summed(guessed.where("__host is not null"), ["__host", "__suffix"], n)
-    hosts = hosts.join(suffixes, "__suffix", "left").crossJoin(F.broadcast(whole))
-    hosts = hosts.select(F.col("__host"), F.col("__suffix").alias("__s"), _share(F.col("mass"), F.coalesce("__suffix_share", "__all"), HOST_STRENGTH).alias("__host_share"))
-
-    def evidence(field: str) -> DataFrame:
-        """Per value of a field, the log of P(value | language) over P(value)."""
-        own = _summed(guessed.where(f"{field} is not null"), [field], n).crossJoin(F.broadcast(whole))
-        ratio = F.zip_with(_share(F.col("mass"), F.col("__all"), FIELD_STRENGTH), F.col("__all"), lambda s, a: F.log(s / a))
-        return own.select(field, ratio.alias(f"{field}_ratio"))
-
-    out = scored
-    if declared is not None:
-        out = out.join(evidence("__declared"), "__declared", "left")
-    if suffix is not None:
-        out = out.join(suffixes, "__suffix", "left")
+    base = np.array([(1 - NONE_PRIOR) / max(1, len(names))] * len(names) + [NONE_PRIOR])
+    guessed = written(likelihoods(given, table, base, keys, text_col), "likelihoods")
+    # One row: the whole table's sums; one per value of a field, or per host and suffix, for the rest.
+    whole = _summed(guessed, [], n).withColumnRenamed("mass", "__all")
+    out = guessed.crossJoin(F.broadcast(whole))
+    masses = ["__all"]
+    for field, given_it in (("__declared", declared), ("__suffix", suffix)):
+        if given_it is not None:
+            masses.append(f"{field}_mass")
+            out = out.join(_summed(guessed.where(f"{field} is not null"), [field], n).withColumnRenamed("mass", masses[-1]), field, "left")
     if host is not None:
-        hosts = hosts.withColumnRenamed("__host", "__h")
+        masses.append("__host_mass")
+        hosts = _summed(guessed.where("__host is not null"), ["__host", "__suffix"], n).select(F.col("__host").alias("__h"), F.col("__suffix").alias("__s"), F.col("mass").alias("__host_mass"))
         out = out.join(hosts, (F.col("__host") == F.col("__h")) & F.col("__suffix").eqNullSafe(F.col("__s")), "left")
-    out = out.crossJoin(F.broadcast(whole))
-    zeros = F.array(*[F.lit(0.0)] * n)
-    start = F.col("__all")
-    if suffix is not None:
-        start = F.coalesce("__suffix_share", start)
-    if host is not None:
-        start = F.coalesce("__host_share", start)
-    total = add(F.col("loglik"), F.transform(start, lambda v: F.log(v)))
-    if declared is not None:
-        total = add(total, F.coalesce("__declared_ratio", zeros))
-    names_of = F.array(*[F.lit(x) for x in labels])
-    best = lambda a: F.get(names_of, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
-    out = out.withColumn("posterior", _normal(total)).withColumn("lang_pred", best(F.col("posterior"))).withColumn("confidence", F.array_max("posterior"))
-    good = (F.col("lang_pred") != NONE) & (F.col("confidence") >= LEAST)
-    if wanted is not None:
-        good = good & F.col("lang_pred").isin(*wanted)
-    if declared is not None:
-        unmodelled = F.col("__declared").isNotNull() & ~F.col("__declared").isin(*names)
-        good = good | (unmodelled if wanted is None else unmodelled & F.col("__declared").isin(*wanted))
-    return out.select(id_col, "lang_pred", "confidence", best(F.col("loglik")).alias("lang_text"), good.alias("accepted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = np.array(labels)
+        for batch in batches:
+            loglik, guess = (_matrix(batch.column(c), n)[0] for c in ("loglik", "guess"))
+            mass = {c: _matrix(batch.column(c), n) for c in masses}
+            everyone = mass["__all"][0]
+            everyone = (everyone + base) / (everyone.sum(1, keepdims=True) + 1)
+            start = everyone
+            for c, strength in (("__suffix_mass", SUFFIX_STRENGTH), ("__host_mass", HOST_STRENGTH)):
+                if c in mass:
+                    start = np.where(mass[c][1][:, None], _share(mass[c][0], guess, start, strength), start)
+            total = loglik + np.log(start)
+            if declares:
+                # The log of P(value | language) over P(value).
+                value, known = mass["__declared_mass"]
+                total += np.where(known[:, None], np.log(_share(value, guess, everyone, FIELD_STRENGTH) / everyone), 0)
+            posterior = np.exp(total - total.max(1, keepdims=True))
+            posterior /= posterior.sum(1, keepdims=True)
+            best = posterior.argmax(1) if len(posterior) else np.zeros(0, np.int64)
+            confidence = posterior.max(1) if len(posterior) else np.zeros(0)
+            good = (best < n - 1) & (confidence >= LEAST)
+            if wanted is not None:
+                good &= np.isin(said[best], wanted)
+            if declares:
+                names_of = batch.column("__declared").to_pylist()
+                unmodelled = np.array([d is not None and d not in modelled and (wanted is None or d in wanted) for d in names_of], bool)
+                good |= unmodelled
+            by_text = loglik.argmax(1) if len(loglik) else np.zeros(0, np.int64)
+            yield pa.record_batch([batch.column(id_col), pa.array(said[best].tolist(), pa.string()), pa.array(confidence), pa.array(said[by_text].tolist(), pa.string()), pa.array(good)], [id_col, "lang_pred", "confidence", "lang_text", "accepted"])
+
+    declares, modelled = declared is not None, frozenset(names)
+    schema = guessed.select(id_col).schema.add("lang_pred", T.StringType()).add("confidence", T.DoubleType()).add("lang_text", T.StringType()).add("accepted", T.BooleanType())
+    return out.select(id_col, "__declared", "loglik", "guess", *masses).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str], np.ndarray], **fields) -> DataFrame:

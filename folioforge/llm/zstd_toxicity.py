@@ -8,11 +8,12 @@ in more toxic than ordinary documents beyond chance, and it ends with the ordina
 dictionary's content: what both know cancels out. The mean and the extremes of the windows'
 differences give the score through a logistic calibration, whose prior is the labels' own.
 
-The fit is on a sample of labelled documents bounded by ``SAMPLE`` per class and
-``LONGEST_SAMPLE`` characters each, chosen by a hash of their ids; all else covers
-all documents and whole texts. Labels and ids are no inputs of a score.
+The fit is on a sample of labelled documents bounded by ``SAMPLE`` per class, chosen by a hash
+of their ids; of a text longer than ``LONGEST_SAMPLE`` characters it takes a stretch of that
+length, placed by the same hash. All else covers all documents and whole texts. Labels and ids
+are no inputs of a score.
 
-Cases: null is empty; an empty text has no window and the score of no evidence; ties in the
+Cases: null is empty; a very long text has all its windows; an empty text has no window and the score of no evidence; ties in the
 sample are broken by id; without labels of both classes every score is the share of toxic
 labels (0.5 without any); repeated rows stay; an empty table gives no rows; further columns
 are not read.
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import bounded_sample, utf8_of
+from folioforge.llm.common import bounded_sample, stretch, utf8_of
 
 SAMPLE = 1500
 LONGEST_SAMPLE = 20_000
@@ -193,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     ids = bounded_sample(known, "toxic", "doc_id", sample)  # the bound of what is broadcast
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= longest)
+    texts = docs.select(F.col(id_col).alias("doc_id"), stretch(F.coalesce(F.col(text_col), F.lit("")), F.col(id_col), longest).alias("text"))
     rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     found = [[r["text"].encode() for r in rows if r["toxic"] == label] for label in (1, 0)]
     return fit(found[0], found[1], bad / n if n else 0.5)
