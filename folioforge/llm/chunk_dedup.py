@@ -2,13 +2,14 @@
 
 Each text is cut where a hash of its last bytes says so, which puts equal passages into
 equal chunks wherever they stand. A document's recipe is the ordered list of its chunks'
-identifiers. Chunks meet by digest once, each task sending a distinct chunk once; a digest
+identifiers. Chunks meet by digest once, each task sending a distinct chunk once while it remembers
+it (``MOST_HELD`` bytes of chunks; one that is sent again changes nothing); a digest
 that turns out to stand for different bytes is no identifier. Documents meet by recipe
 only, so a long document is not moved for each comparison. Documents whose recipe holds a
 refuted digest meet by their whole text instead, so the result is exact at any digest size.
 
 Cases: a null text counts as empty; empty texts are equal to each other; a text shorter
-than a chunk is one chunk; repeated rows of one id count as copies, and all stay if theirs is the
+than a chunk is one chunk, and a very long one many of at most ``MAX_CHUNK`` bytes; repeated rows of one id count as copies, and all stay if theirs is the
 largest; a row without an id stays only if no equal one has an id; an empty table gives no
 rows; further columns are not read by ``groups`` and are kept by ``deduplicate``.
 """
@@ -28,6 +29,7 @@ from folioforge.plans.scratch import written
 
 #: Mean distance of cut points in bytes is 2 ** CUT_BITS past MIN_CHUNK; none is longer than MAX_CHUNK.
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 11, 512, 16384
+MOST_HELD = 64 << 20
 #: Odd multiplier of the hash of the last eight bytes (the golden ratio in 64 bits).
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,15 +88,21 @@ def refuted(docs: DataFrame, text_col: str, digest_bytes: int) -> DataFrame:
     """Digests that stand for more than one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
-            met: dict[bytes, bytes] = {}
-            other: list[tuple[bytes, bytes]] = []
+            rows: list[tuple[bytes, bytes]] = []
             for raw in utf8_of(batch.column(0)):
                 for c in chunks(raw.lower()):
                     d = _digest(c, digest_bytes)
-                    if met.setdefault(d, c) != c:
-                        other.append((d, c))
-            rows = [*met.items(), *set(other)]
+                    if (known := met.get(d)) == c:
+                        continue
+                    rows.append((d, c))
+                    if known is None:
+                        met[d] = c
+                        held += len(c)
+            if held > MOST_HELD:
+                met, held = {}, 0
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["digest", "chunk"])
         tidy()
 

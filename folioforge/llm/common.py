@@ -145,6 +145,8 @@ class FastEncoder:
     every text if the pre-tokenizer is of another kind.
     """
 
+    #: Longer pieces and words are encoded anew each time, which bounds the caches' bytes.
+    LONGEST_CACHED = 64
     #: Any white space of any definition after a space, or a space at the end.
     BAD_SPACE = r" ([\s\x0b\x1c-\x1f\x{85}\p{Z}]|$)"
 
@@ -187,10 +189,14 @@ class FastEncoder:
             word, marks = m.groups()
             if (ids := words.get(word)) is None:
                 shape = word if word.isascii() else word.encode().decode("latin-1").translate(shown)
-                words[word] = ids = array(code, [t.id for t in tokenize("\u0120" + shape)]).tobytes()
+                ids = array(code, [t.id for t in tokenize("\u0120" + shape)]).tobytes()
+                if len(word) <= self.LONGEST_CACHED:
+                    words[word] = ids
             if marks:
                 if (after := words.get(marks)) is None:
-                    words[marks] = after = array(code, [t.id for t in tokenize(marks)]).tobytes()
+                    after = array(code, [t.id for t in tokenize(marks)]).tobytes()
+                    if len(marks) <= self.LONGEST_CACHED:
+                        words[marks] = after
                 ids += after
             found[p] = ids
         if len(words) > self.cached:
@@ -212,7 +218,7 @@ class FastEncoder:
                         new[p] = None
             new = self._learn(list(new))
             found = [new[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
-            self.young.update(new)
+            self.young.update((p, v) for p, v in new.items() if len(p) <= self.LONGEST_CACHED)
             if len(self.young) > self.cached:
                 self.old, self.young = self.young, {}
         return found

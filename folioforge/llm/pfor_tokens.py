@@ -18,8 +18,11 @@ ids, which bounds what a task holds by that and one document. The files are the
 Parquet table in the shared folder, so they are written and read through Spark's own
 readers and writers wherever that folder is, and a task that runs again replaces its own.
 
-Cases: a null or empty text has the end id alone; documents of one id keep their rows, in no
-order among themselves but by their text; a null id comes first; an empty table gives no file and no rows; further
+``saved`` puts them down as files of their own in a folder of any file system that Arrow reaches.
+
+Cases: a null or empty text has the end id alone; a very long text is one document, whole in its
+file; documents of one id keep their rows, in no
+order among themselves but by a hash of their text; a null id comes first; an empty table gives no file and no rows; further
 columns are not read.
 """
 
@@ -183,15 +186,19 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         tidy()
 
     texts = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, and those without any, are told apart by a hash, so that no range need hold them all.
+    texts = texts.withColumn("draw", F.xxhash64("text"))
+    dealt = texts.repartitionByRange(shards, "doc_id", "draw").sortWithinPartitions("doc_id", "draw", "text").drop("draw")
     return written(dealt.mapInArrow(run, "shard long, file long, first_doc long, n_docs long, n_ids long, data binary"), "tokens")
 
 
 def read_files(files: DataFrame) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32, shard, file``."""
-    order = Window.orderBy("shard", "file").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per file, without its data: a few numbers for each of the files.
-    begins = files.select("shard", "file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("begin"))
+    ahead = (Window.unboundedPreceding, -1)
+    # One row per shard, then one per file of a shard, without the data.
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(*ahead)), F.lit(0)).alias("first"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("file").rowsBetween(*ahead)), F.lit(0))
+    begins = files.select("shard", "file", inside.alias("inside")).join(shards, "shard").select("shard", "file", (F.col("first") + F.col("inside")).alias("begin"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,3 +217,28 @@ def read_files(files: DataFrame) -> DataFrame:
 
     rows = files.select("shard", "file", "data").mapInArrow(run, "doc_id long, within long, n_tokens long, ids_crc32 long, shard long, file long")
     return rows.join(begins, ["shard", "file"]).select(shown_id(F.col("doc_id")).alias("doc_id"), (F.col("begin") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard", "file")
+
+
+def saved(files: DataFrame, folder: str) -> DataFrame:
+    """Write each file as ``shard-file.pfb1`` to ``folder`` (an address) and return ``shard, file, name, bytes``.
+
+    A file gets its name when it is whole, so a task that runs again replaces its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            shards, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names, sizes = [f"{s:06}-{n:06}.pfb1" for s, n in zip(shards, numbers, strict=True)], []
+            for name, data in zip(names, batch.column(2).to_pylist(), strict=True):
+                part = f"{base}/.{name}.{TaskContext.get().taskAttemptId()}"
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, f"{base}/{name}")
+                sizes.append(len(data))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["shard", "file", "name", "bytes"])
+
+    return files.select("shard", "file", "data").mapInArrow(run, "shard long, file long, name string, bytes long")
