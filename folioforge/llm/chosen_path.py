@@ -38,6 +38,7 @@ and kept by ``deduplicate``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ NUM, DEN = 75, 100
 TREES = 5
 POSITIONS = 128
 #: Documents of a node that are compared exhaustively, and shingles of a cluster whose full sets meet in one task.
-NODE, CLUSTER = 512, 1 << 21
+NODE, CLUSTER = 1024, 1 << 21
 #: What a document weighs in a cluster besides its shingles.
 DOC_WEIGHT = 500
 #: Representatives of a group that is dealt out in blocks.
@@ -316,39 +317,17 @@ def in_blocks(rows: DataFrame, sizes: DataFrame, most: int, find: Find) -> tuple
         tidy()
 
     out = written(_met(met).mapInArrow(run, "key long, id long, weight long, root long, label long, rep boolean"), "blocks")
-    # One row per group, with the links of its representatives: REPS squared at most.
-    pairs = out.where("rep and id <> label").groupBy("key").agg(F.collect_set(F.struct(F.col("id").alias("a"), F.col("label").alias("b"))).alias("pairs"))
+    # Sets that share a representative anywhere are one: each goes by the least name its own one has in any block.
+    up = out.where("rep").groupBy("key", F.col("id").alias("label")).agg(F.min("label").alias("set"))
+    sets = out.join(up, ["key", "label"], "left").select("key", "id", "weight", "rep", "set")
+    main = sets.where("set is not null and not rep").groupBy("key", "set").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("set", F.struct("n", "set")).alias("main"))
+    rest = sets.join(main, "key", "left").where(~F.col("set").eqNullSafe(F.col("main")) | F.col("set").isNull()).select("key", "id", "weight")
+    return out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), written(rest.distinct(), "rest")
 
-    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for key, links in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parent: dict[int, int] = {}
-
-                def top(x: int, parent: dict[int, int] = parent) -> int:
-                    while parent.setdefault(x, x) != x:
-                        x = parent[x]
-                    return x
-
-                for link in links:
-                    x, y = top(link["a"]), top(link["b"])
-                    parent[max(x, y)] = min(x, y)
-                found += [(key, x, top(x)) for x in list(parent)]
-            yield pa.record_batch([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["key", "label", "set"])
-
-    sets = pairs.mapInArrow(united, "key long, label long, set long")
-    named = written(out.where("label is not null").groupBy("key", "label").agg(F.countDistinct("id").alias("n")).join(sets, ["key", "label"], "left").withColumn("set", F.coalesce("set", "label")), "sets")
-    main = named.groupBy("key", "set").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max_by("set", F.struct("n", "set")).alias("set"))
-    inside = named.join(main, ["key", "set"], "left_semi").select("key", "label")
-    rest = out.where("not rep").join(inside, ["key", "label"], "left_anti").select("key", "id", "weight")
-    rest = rest.unionByName(out.where("rep").select("key", "id", "weight", "label").distinct().join(inside, ["key", "label"], "left_anti").select("key", "id", "weight"))
-    return out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), written(rest.distinct(), "rest")
-
-
-def rest_stars(rows: DataFrame, sizes: DataFrame, rest: DataFrame, rest_sizes: DataFrame, find: Find) -> DataFrame:
-    """Links of each group's rest with all its members: each block of one with each block of the other.
-
-    ``rest_sizes`` has ``key, rest_blocks``; where that is one, each member is sent once.
+
+def with_rest(rows: DataFrame, sizes: DataFrame, rest: DataFrame, rest_sizes: DataFrame) -> DataFrame:
+    """``place, id, body`` in which each group's rest meets all its members: each block of one with each block
+    of the other. ``rest_sizes`` has ``key, rest_blocks``; where that is one, each member is sent once.
     """
     hashed = F.xxhash64("id", F.lit(SEED))
     all_ = rows.join(sizes.select("key", "blocks"), "key").join(rest_sizes, "key")
@@ -356,7 +335,7 @@ def rest_stars(rows: DataFrame, sizes: DataFrame, rest: DataFrame, rest_sizes: D
     members = all_.withColumn("block", F.pmod(hashed, "blocks")).withColumn("other", each("rest_blocks"))
     others = all_.join(rest.select("key", "id"), ["key", "id"], "left_semi").withColumn("other", F.pmod(hashed, "rest_blocks")).withColumn("block", each("blocks"))
     place = F.xxhash64("key", "block", "other").alias("place")
-    return stars(members.select(place, "id", "body").unionByName(others.select(place, "id", "body")), find)
+    return members.select(place, "id", "body").unionByName(others.select(place, "id", "body"))
 
 
 def blocks_of(rest: DataFrame, most: int) -> DataFrame:
@@ -367,31 +346,29 @@ def candidates(signs: DataFrame, trees: int, node: int, depth: int) -> DataFrame
     """Stars of documents that nodes find alike, from ``id, signature``."""
     rows = descended(signs, trees)
     found: list[DataFrame] = []
+    meet: list[DataFrame] = []  # what is compared exhaustively, of all levels together
+    body = F.col("signature").alias("body")
     for level in range(1, depth + 1):
         # Another tree may lead a document to a node twice, as long as names differ by path it doesn't.
         rows = written(rows.distinct() if level > 1 else rows, "nodes")
         counts = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node-sizes")
         small = rows.join(counts.where(F.col("n") <= node).select("node"), "node", "left_semi").join(signs, "id")
-        found.append(written(stars(small.select(F.col("node").alias("place"), "id", F.col("signature").alias("body")), by_signature).distinct(), "stars"))
+        meet.append(small.select(F.col("node").alias("place"), "id", body))
         sizes = counts.where(F.col("n") > node).select(F.col("node").alias("key"), "n", F.ceil(F.col("n") / node).cast("long").alias("blocks"))
         if sizes.isEmpty():
             break
         crowded = rows.join(sizes.select(F.col("key").alias("node")), "node", "left_semi").join(signs, "id")
-        crowded = written(crowded.select(F.col("node").alias("key"), "id", F.lit(1).cast("long").alias("weight"), F.col("signature").alias("body")), "crowded")
+        crowded = written(crowded.select(F.col("node").alias("key"), "id", F.lit(1).cast("long").alias("weight"), body), "crowded")
         links, rest = in_blocks(crowded, sizes, node, by_signature)
-        found.append(written(links, "stars"))
+        found.append(links)
         left = written(blocks_of(rest, node), "rest-sizes")
-        now = left if level == depth else left.where("rest_blocks = 1")
-        if not now.isEmpty():
-            found.append(written(rest_stars(crowded, sizes, rest, now, by_signature).distinct(), "stars"))
-        if level == depth or left.where("rest_blocks > 1").isEmpty():
+        meet.append(with_rest(crowded, sizes, rest, left if level == depth else left.where("rest_blocks = 1")))
+        unlike = left.where("rest_blocks > 1").select("key")
+        if level == depth or unlike.isEmpty():
             break
-        unlike = crowded.join(left.where("rest_blocks > 1").select("key"), "key", "left_semi")
-        rows = descended(unlike.select(F.col("key").alias("node"), "id", F.col("body").alias("signature")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+        rows = descended(crowded.join(unlike, "key", "left_semi").select(F.col("key").alias("node"), "id", F.col("body").alias("signature")))
+    out = stars(reduce(DataFrame.unionByName, meet), by_signature)
+    return reduce(DataFrame.unionByName, found, out).distinct()
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -473,7 +450,7 @@ def verified(docs: DataFrame, clusters: DataFrame, id_col: str, text_col: str, w
     links, rest = in_blocks(rows, large, most, find)
     found = found.unionByName(links)
     left = written(blocks_of(rest, most), "rest-sizes")
-    return found if left.isEmpty() else found.unionByName(rest_stars(rows, large, rest, left, find))
+    return found if left.isEmpty() else found.unionByName(stars(with_rest(rows, large, rest, left), find))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN, trees: int = TREES, node: int = NODE, cluster: int = CLUSTER, depth: int = DEPTH) -> DataFrame:

@@ -78,6 +78,23 @@ def test_token_files(spark, tokenizer):
         at += len(ids)
 
 
+def test_token_files_of_one_hot_id(spark, tokenizer, tmp_path):
+    """Rows without an id, and those of one id, spread over the shards; the saved files hold the same ids."""
+    rows = [(None, f"text {i} of none") for i in range(200)] + [(5, f"text {i} of five") for i in range(200)] + [(i, "x") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("draw", F.lit("clash")).withColumn("shard", F.lit(1))
+    files = pfor_tokens.write_files(d, PATH, shards=6).cache()
+    got = collect(pfor_tokens.read_files(files).orderBy("start"))
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == Counter((i, crc(t)) for i, t in rows)
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert ids == sorted(ids) and [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) > 1 and len({r["shard"] for r in got if r["doc_id"] == 5}) > 1
+    named = sorted(collect(pfor_tokens.saved(files, f"file://{tmp_path}/out")), key=lambda r: r["name"])
+    read = [pfor_tokens.TokenFile((tmp_path / "out" / r["name"]).read_bytes()) for r in named]
+    assert sum(f.n for f in read) == sum(r["n_tokens"] for r in got) and len(list((tmp_path / "out").iterdir())) == len(named)
+    assert sum((list(f.doc_ids) for f in read), []) == [-(1 << 63) if r["doc_id"] is None else r["doc_id"] for r in got]
+
+
 # --- 2 ---
 
 
@@ -337,7 +354,7 @@ def test_large_groups_in_blocks(spark, loose):
     links, rest = chosen_path.in_blocks(d, sizes, 40, find)
     left = chosen_path.blocks_of(rest, 40)
     assert (left.first().rest_blocks > 1) == loose
-    links = links.unionByName(chosen_path.rest_stars(d, sizes, rest, left, find))
+    links = links.unionByName(chosen_path.stars(chosen_path.with_rest(d, sizes, rest, left), find))
     got = {r.id: r.root for r in chosen_path.connected(links).collect()}
     assert {i: got.get(i, i) for i in range(500)} == want
 
@@ -442,6 +459,89 @@ def test_no_row_is_rejected_for_a_language_without_model(spark):
     assert judge(None)[1] and not judge(None)[2] and not judge(("en",))[1] and judge(("new",))[1]
 
 
+def _fused(rows, model, declared=True, suffix=False, host=True):
+    """Brute force of the fusion: ``(text, declared, suffix, host)`` to ``(language, confidence, accepted)``."""
+    names, table = model
+    n = len(names) + 1
+    base = np.array([0.99 / len(names)] * len(names) + [0.01])
+    norm = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    loglik = []
+    for text, *_ in rows:
+        raw = (text or "").encode().lower()
+        grams = [lang_fusion._trigrams(np.frombuffer(raw[i : i + 3], np.uint8))[0] for i in range(len(raw) - 2)]
+        total = sum((table[:, g].astype(np.float64) for g in grams), np.zeros(n))
+        loglik.append(total * min(1.0, lang_fusion.EVIDENCE / max(1, sum(g > 0 for g in grams))))
+    guess = [norm(v + np.log(base)) for v in loglik]
+    mass = np.sum(guess, 0)
+    everyone = (mass + base) / (mass.sum() + 1)
+    share = lambda ids, i, towards, k: (sum((guess[j] for j in ids if j != i), np.zeros(n)) + k * towards) / (sum(guess[j].sum() for j in ids if j != i) + k)
+    groups = [defaultdict(list) for _ in range(3)]
+    for i, (_, d, s, h) in enumerate(rows):
+        for g, key in zip(groups, (d, s, (h, s) if h is not None else None), strict=True):
+            if key is not None:
+                g[key].append(i)
+    out = []
+    for i, (_, d, s, h) in enumerate(rows):
+        start = everyone
+        if suffix and s is not None:
+            start = share(groups[1][s], i, start, lang_fusion.SUFFIX_STRENGTH)
+        if host and h is not None:
+            start = share(groups[2][h, s], i, start, lang_fusion.HOST_STRENGTH)
+        total = loglik[i] + np.log(start)
+        if declared and d is not None:
+            total = total + np.log(share(groups[0][d], i, everyone, lang_fusion.FIELD_STRENGTH) / everyone)
+        p = norm(total)
+        k = int(p.argmax())
+        out.append(([*names, "und"][k], round(float(p[k]), 6), k < len(names) and p[k] >= 0.5 or (declared and d is not None and d not in names)))
+    return out
+
+
+@pytest.mark.parametrize("suffix", [False, True])
+def test_language_fusion_by_brute_force(spark, suffix):
+    """Rows with and without each evidence, of null ids, repeated, and with columns of clashing names."""
+    rng = random.Random(51)
+    voices = {"en": "the and with that have this from".split(), "fr": "les des avec pour dans que une".split(), "xx": "qzxw vkjq wpgk zzhq xkvd".split()}
+    rows = []
+    for i in range(240):
+        voice = rng.choice(["en", "en", "fr", "xx"])
+        text = rng.choice([None, "", "12 34", *[" ".join(rng.choice(voices[voice]) for _ in range(rng.randint(1, 12)))] * 7])
+        rows.append((rng.choice([None, i, i]), text, rng.choice([None, "en", "fr", "zz", voice]), rng.choice([None, "org", "fr"]), rng.choice([None, "h0", "h1", "h2"]), 1.0, "g"))
+    rows += rows[:10]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, suffix string, host string, mass double, guess string")
+    train = spark.createDataFrame([(i, " ".join(rng.choice(voices[v]) for _ in range(20)), v) for i, v in enumerate(["en", "fr"] * 20)], "doc_id long, text string, lang string")
+    model = lang_fusion.train(train, "lang", "doc_id", "text")
+    fields = {"declared": F.col("lang"), "host": F.col("host")} | ({"suffix": F.col("suffix")} if suffix else {})
+    got = collect(lang_fusion.fused(d, "doc_id", "text", model, **fields))
+    want = _fused([(t, lang, s if suffix else None, h) for _, t, lang, s, h, *_ in rows], model, suffix=suffix)
+    mine = sorted((str(r["doc_id"]), r["lang_pred"], r["accepted"], r["confidence"]) for r in got)
+    for a, b in zip(mine, sorted((str(r[0]), w[0], bool(w[2]), w[1]) for r, w in zip(rows, want, strict=True)), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-4
+    assert 5 < sum(not w[2] for w in want) < 200
+    kept = lang_fusion.accepted(d.where("doc_id is not null"), "doc_id", "text", model, **fields)
+    assert kept.columns == d.columns
+
+
+def test_language_on_held_out_rows(spark):
+    """Rows that no model has seen: by their text alone, with a wrong declaration and with none; and junk of no language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = llm_queries.language_model(docs)
+    rng = random.Random(53)
+    held = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and len(WORD.findall(r.text)) >= 5]
+    other = {"en": "fr", "fr": "de", "de": "es", "es": "en"}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(rng.choice(letters) for _ in range(300)) for _ in range(20)] + [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(40)) for _ in range(20)]
+    assert len(held) > 150
+    for kind, least in (("right", 0.98), ("wrong", 0.95), ("none", 0.98)):
+        said = {"right": lambda r: r.lang, "wrong": lambda r: other[r.lang] if r.doc_id % 10 == 2 else r.lang, "none": lambda r: None}[kind]
+        d = spark.createDataFrame([(r.doc_id, r.text, said(r), r.lang) for r in held] + [(-i - 1, t, None, None) for i, t in enumerate(junk)], "doc_id long, text string, said string, lang string")
+        got = {r["doc_id"]: r for r in collect(lang_fusion.fused(d, "doc_id", "text", model, declared=F.col("said")))}
+        judged = [r for r in held if kind != "wrong" or r.doc_id % 10 == 2]
+        right = sum(got[r.doc_id]["lang_pred"] == r.lang for r in judged)
+        assert right >= least * len(judged), (kind, right, len(judged))
+        assert all(got[r.doc_id]["accepted"] for r in judged)
+        assert sum(got[-i - 1]["accepted"] for i in range(len(junk))) == 0
+
+
 def test_language_likelihoods_are_of_whole_rows():
     import pyarrow as pa
 
@@ -695,6 +795,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 0.9 * len(held) and all(0 <= s <= 1 for s in got.values()) and got[1000] == got[1001] < 0.3
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All labelled texts are longer than the sample's stretches; the given corpus is told apart on held-out rows."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(120):
+        w = data.words(rng, 4000).split(" ")
+        for k in range(0, 4000, 12) if i % 3 == 0 else ():
+            w[k] = rng.choice(["scumbag", "worthless", "idiotic"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert min(len(t) for _, t in rows) > zstd_toxicity.LONGEST_SAMPLE
+    model = zstd_toxicity.train(docs, spark.createDataFrame(labels[:90], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in collect(zstd_toxicity.scored(docs, model))}
+    held = labels[90:]
+    order = sorted(range(len(held)), key=lambda k: got[held[k][0]])
+    ones = [rank for rank, k in enumerate(order) if held[k][1]]
+    auc = (sum(ones) - len(ones) * (len(ones) - 1) / 2) / (len(ones) * (len(held) - len(ones)))
+    assert auc >= 0.95, auc
+
+
+def test_toxicity_of_null_and_repeated_rows(spark):
+    """Null ids are never held out; repeated rows have equal scores; columns with the output's names are not read."""
+    docs, labels, _ = _toxic(spark)
+    model = zstd_toxicity.train(docs, labels)
+    d = spark.createDataFrame([(None, "scumbag text"), (1, "some text"), (1, "some text")], "doc_id long, text string").withColumn("score", F.lit(9.0)).withColumn("toxic", F.lit(1))
+    got = collect(zstd_toxicity.scored(d, model))
+    assert Counter(r["doc_id"] for r in got) == Counter({None: 1, 1: 2}) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+
+
 def test_toxicity_without_labels(spark):
     e = data.empty(spark)
     model = zstd_toxicity.train(e, spark.createDataFrame([], "doc_id long, toxic int"))
