@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words after which a full stop ends no sentence (fixed values).
@@ -227,3 +227,28 @@ def chunked(parsed: DataFrame, budget: Budget = Budget()) -> DataFrame:  # noqa:
     kind = parsed.schema["document_id"].dataType.simpleString()
     rows = parsed.select("document_id", "title", "blocks").mapInPandas(run, f"document_id {kind}, chunks {CHUNKS}")
     return rows.select("document_id", F.explode("chunks").alias("c")).select("document_id", "c.*")
+
+
+def neighbours(chunks: DataFrame, most: int) -> DataFrame:
+    """Adds the tokens of the chunk ``before`` in its document, and the ``overlap`` that may be repeated of it:
+    half of it and ``most`` at most."""
+    before = F.coalesce(F.lag("token_count").over(Window.partitionBy("document_id").orderBy("position")), F.lit(0))
+    return chunks.withColumn("before", before).withColumn("overlap", F.least(F.lit(most), F.floor(F.col("before") / 2)).cast("int"))
+
+
+def dominant_kind(units: DataFrame, by: list[str]) -> DataFrame:
+    """The kind with most tokens in each group of units, the first in place of equal ones: ``by, kind``."""
+    per = units.groupBy(*by, "kind").agg(F.sum("token_count").alias("__t"), F.min("position").alias("__first"))
+    return per.groupBy(*by).agg(F.max_by("kind", F.struct("__t", -F.col("__first"))).alias("kind"))
+
+
+def merged_anchors(units: DataFrame, by: list[str], symbol: str) -> DataFrame:
+    """Line anchors of grouped units as one: first and last line, and the symbol if all share it."""
+    return units.groupBy(*by).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.when(F.count_distinct(symbol) == 1, F.min(symbol)).alias("symbol"))
+
+
+def with_breadcrumb(chunks: DataFrame, crumb: str = "heading_text") -> DataFrame:
+    """Adds ``embed_text``, the breadcrumb above the text, and its ``token_count``; an empty breadcrumb adds nothing."""
+    embed = F.when(F.coalesce(F.col(crumb), F.lit("")) == "", F.col("text")).otherwise(F.concat_ws("\n\n", crumb, "text"))
+    # The offline counter's rule in the engine's own expression.
+    return chunks.withColumn("embed_text", embed).withColumn("token_count", F.regexp_count("embed_text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")))

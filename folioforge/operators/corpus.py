@@ -212,3 +212,9 @@ def violations(documents: DataFrame) -> DataFrame:
     failed = (F.col("status") == "failed") != F.col("failed_stage").isNotNull()
     silent = F.col("status").isin("failed", "no_extractable_text", "unsupported_media_type") & F.col("status_detail").isNull()
     return documents.select("document_id", F.concat_ws("+", F.when(failed, "failed_stage"), F.when(silent, "status_detail")).alias("broken")).where("broken <> ''")
+
+
+def trash(rows: DataFrame, now: Column, grace_days: int = 30) -> DataFrame:
+    """Deleted rows with the time up to which they may be restored, and whether that is over."""
+    until = F.col("deleted_at") + F.make_dt_interval(F.lit(grace_days))
+    return rows.withColumn("restorable_until", until).withColumn("purged", until < now)

@@ -107,3 +107,15 @@ def backfilled(vectors: DataFrame) -> DataFrame:
 def table_name(fingerprint: str) -> str:
     """Directory of the vectors of one embedding fingerprint."""
     return f"vectors_{hashlib.sha256(fingerprint.encode()).hexdigest()[:8]}"
+
+
+def over_budget(chunks: DataFrame, most: int) -> DataFrame:
+    """One row: chunks that a model's window can't take, and the longest."""
+    return chunks.agg(F.count_if(F.col("token_count") > most).alias("over"), F.coalesce(F.max("token_count"), F.lit(0)).alias("longest"))
+
+
+def require_within(chunks: DataFrame, most: int) -> None:
+    """Refuse a run whose longest chunk a model's window can't take, before anything is embedded."""
+    row = over_budget(chunks, most).first()
+    if row["over"]:
+        raise ValueError(f"{row['over']} chunks are above {most} tokens, the longest has {row['longest']}")

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators import chunking, conversations, embedding
 from folioforge.operators import corpus as C
+from folioforge.operators import lifecycle as L
+from folioforge.operators import store as T
 from folioforge.plans import fixtures as fx
 from folioforge.plans.registry import Registry
 
@@ -26,6 +29,16 @@ def tab(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return fx.table(spark, sf_dir, name)
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acquisition runs: the orders."""
+    return tab(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("scope"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("priority"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their records: the line items, each with its blob (the part) and its bytes (the quantity)."""
+    return tab(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ordinal"), F.col("l_partkey").alias("blob"), F.col("l_suppkey").alias("source_id"), F.col("l_quantity").alias("bytes"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("state"), F.col("l_discount").alias("share"))
+
+
 # --- filters ---
 
 
@@ -131,8 +144,7 @@ def flt11_change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {D}, {fx.CHUNKS} SELECT c.chunk_id, c.token_count FROM chunks c JOIN docs d USING (document_id) WHERE d.source NOT IN ('src7', 'src8')")
 def flt13_egress_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of local sources, and of unknown documents, don't leave."""
-    allowed = docs(spark, sf_dir).where(~F.col("source").isin("src7", "src8")).select("document_id")
-    return fx.chunks(spark, sf_dir).join(allowed, "document_id", "left_semi").select("chunk_id", "token_count")
+    return T.outbound(fx.chunks(spark, sf_dir), docs(spark, sf_dir), ("src7", "src8")).select("chunk_id", "token_count")
 
 
 @query(r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '^.*\.html$') AND NOT regexp_matches(url, '^https?://m\..*$')")
@@ -147,12 +159,12 @@ def flt14_ignore_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def prj02_json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tab(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return tab(spark, sf_dir, "events").select("event_id", T.json_field("props", "$.k", "long").alias("k"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'OMITTED' ELSE o_orderstatus END AS state FROM orders")
 def prj03_state_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tab(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "OMITTED").otherwise(F.col("o_orderstatus")).alias("state"))
+    return tab(spark, sf_dir, "orders").select("o_orderkey", L.public_state(F.col("o_orderstatus"), {"P": "OMITTED"}).alias("state"))
 
 
 # --- joins ---
@@ -160,21 +172,19 @@ def prj03_state_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {fx.CHUNKS}, {D} SELECT d.source, count(*) AS n_chunks, sum(c.token_count)::BIGINT AS tokens FROM chunks c JOIN docs d USING (document_id) WHERE d.status = 'indexed' GROUP BY d.source")
 def joi01_chunks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI-01, AGG-03: counted per document before the join, so the shuffle is of counts."""
-    per = fx.chunks(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("t"))
-    d = docs(spark, sf_dir).where("status = 'indexed'").select("document_id", "source")
-    return per.join(d, "document_id").groupBy("source").agg(F.sum("n").alias("n_chunks"), F.sum("t").alias("tokens"))
+    """JOI-01, AGG-03."""
+    return T.chunk_totals(fx.chunks(spark, sf_dir), docs(spark, sf_dir).where("status = 'indexed'"))
 
 
 @query(f"WITH {D}, {MANUAL}, {TAGGED} SELECT m.collection_id, t.tag, count(*) AS n FROM manual m JOIN tagged t USING (document_id) GROUP BY ALL")
 def joi04_collections_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _manual(spark, sf_dir).join(_tagged(spark, sf_dir), "document_id").groupBy("collection_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return T.both_counts(_manual(spark, sf_dir), _tagged(spark, sf_dir), "document_id", ["collection_id", "tag"])
 
 
 @query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
 def joi06_not_in_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = tab(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return tab(spark, sf_dir, "orders").join(seen, "o_orderkey", "left_anti").select("o_orderkey")
+    seen = _records(spark, sf_dir).where("flag = 'R'")
+    return L.not_in_inventory(_runs(spark, sf_dir), seen, "run_id").select(F.col("run_id").alias("o_orderkey"))
 
 
 @query("SELECT p_partkey AS blob FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 UNION SELECT l_suppkey FROM lineitem WHERE l_quantity < 10)")
@@ -187,84 +197,83 @@ def joi07_unreferenced_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 30) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def joi08_history_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tab(spark, sf_dir, "orders").where("o_orderstatus <> 'O'")
-    o = o.join(tab(spark, sf_dir, "lineitem").where("l_linestatus = 'O' and l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-    return o.join(tab(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").select("o_orderkey")
+    """Runs that neither an open record nor a customer's marker holds."""
+    runs = _runs(spark, sf_dir).where("state <> 'O'")
+    holds = [(_records(spark, sf_dir).where("state = 'O' and bytes > 30"), "run_id"), (tab(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("scope")), "scope")]
+    return L.releasable(runs, holds).select(F.col("run_id").alias("o_orderkey"))
 
 
-DEPS = "deps AS (SELECT doc_id AS parent, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS target FROM documents WHERE doc_id % 4 = 0)"
+DEPS = "deps AS (SELECT doc_id AS parent, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS target FROM documents)"
 
 
 def _deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tab(spark, sf_dir, "documents")
     n = d.agg(F.count(F.lit(1)).alias("n"))
-    return d.where("doc_id % 4 = 0").crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("parent"), ((F.col("doc_id") * 7 + 3) % F.col("n")).alias("target"))
+    return d.crossJoin(F.broadcast(n)).select(  # one row
+        F.col("doc_id").alias("parent"), ((F.col("doc_id") * 7 + 3) % F.col("n")).alias("target")
+    )
 
 
 @query(f"WITH {D}, {DEPS} SELECT d.parent, d.target FROM deps d JOIN docs p ON p.document_id = d.parent JOIN docs t ON t.document_id = d.target WHERE NOT p.deleted AND t.deleted")
 def joi10_deleted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-09, JOI-10, LIF-16: parents to fetch again when what they include changes."""
     d = docs(spark, sf_dir).select("document_id", "deleted")
-    live, gone = d.where("not deleted").select(F.col("document_id").alias("parent")), d.where("deleted").select(F.col("document_id").alias("target"))
-    return _deps(spark, sf_dir).join(live, "parent", "left_semi").join(gone, "target", "left_semi").select("parent", "target")
+    return L.refetch_parents(_deps(spark, sf_dir), d, d.where("deleted"))
 
 
 @query("SELECT o.o_orderstatus AS state, count(DISTINCT p.p_partkey) AS blobs, count(*) AS records FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1")
 def joi11_records_runs_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = tab(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    o = tab(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("state"))
-    p = tab(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
-    return li.join(o, "l_orderkey").join(p, "l_partkey").groupBy("state").agg(F.count_distinct("l_partkey").alias("blobs"), F.count(F.lit(1)).alias("records"))
+    blobs = tab(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob"))
+    return L.run_blob_counts(_records(spark, sf_dir), _runs(spark, sf_dir), blobs)
 
 
 @query("SELECT c.c_custkey AS marker, o.o_orderkey AS run, count(l.l_orderkey) AS records FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_partkey % 5 = c.c_custkey % 5 GROUP BY ALL")
 def joi12_markers_left_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-12, JOI-19: composite keys, left outer."""
-    c = tab(spark, sf_dir, "customer").select(F.col("c_custkey").alias("marker"), (F.col("c_custkey") % 5).alias("m"))
-    o = tab(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("marker"), F.col("o_orderkey").alias("run"))
-    per = tab(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run"), (F.col("l_partkey") % 5).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    return c.join(o, "marker", "left").join(per, ["run", "m"], "left").groupBy("marker", "run").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"))
+    markers = tab(spark, sf_dir, "customer").select(F.col("c_custkey").alias("marker"), (F.col("c_custkey") % 5).alias("binding"))
+    runs = _runs(spark, sf_dir).where("state = 'F'").withColumnRenamed("scope", "marker")
+    return L.marker_records(markers, runs, _records(spark, sf_dir).withColumn("binding", F.col("blob") % 5), "binding").withColumnRenamed("run_id", "run")
 
 
 @query("SELECT conv_id, count(*) AS n_messages, count(*) FILTER (role = 'user') AS n_turns, min(turn) AS first_turn FROM conversations GROUP BY conv_id")
 def joi15_conversation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-14, JOI-15, CNV-01."""
-    return tab(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(F.col("role") == "user").alias("n_turns"), F.min("turn").alias("first_turn"))
+    return conversations.listed(tab(spark, sf_dir, "conversations"))
 
 
 @query("WITH prior AS (SELECT l_orderkey AS id FROM lineitem WHERE l_linestatus = 'F'), now AS (SELECT l_orderkey AS id FROM lineitem WHERE l_linestatus = 'O') SELECT count(*) AS gone FROM (SELECT DISTINCT id FROM prior) p WHERE NOT EXISTS (SELECT 1 FROM now WHERE now.id = p.id)")
 def joi20_self_anti_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = tab(spark, sf_dir, "lineitem")
-    prior, now = li.where("l_linestatus = 'F'").select("l_orderkey").distinct(), li.where("l_linestatus = 'O'").select("l_orderkey")
-    return prior.join(now, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("gone"))
+    r = _records(spark, sf_dir)
+    return L.gone_count(r.where("state = 'F'"), r.where("state = 'O'"), "run_id")
 
 
 @query("SELECT DISTINCT l_partkey, l_suppkey, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%' AND l_discount > 0.05")
 def joi21_distinct_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-21, JOI-22, SET-07."""
-    o = tab(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    return tab(spark, sf_dir, "lineitem").where("l_discount > 0.05").select("l_orderkey", "l_partkey", "l_suppkey").join(o, "l_orderkey").select("l_partkey", "l_suppkey", "o_orderstatus").distinct()
+    records = _records(spark, sf_dir).where("share > 0.05").select("run_id", F.col("blob").alias("l_partkey"), F.col("source_id").alias("l_suppkey"))
+    runs = _runs(spark, sf_dir).where("priority like '1%'").select("run_id", F.col("state").alias("o_orderstatus"))
+    return L.representations(records, runs, ["l_partkey", "l_suppkey", "o_orderstatus"])
 
 
 @query("SELECT s.s_suppkey, count(*) AS n FROM supplier s JOIN lineitem l ON l.l_suppkey = s.s_suppkey JOIN orders o ON o.o_orderkey = l.l_orderkey AND (o.o_orderstatus = 'O' OR s.s_acctbal < 0) GROUP BY 1")
 def joi23_or_over_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tab(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
-    o = tab(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    j = tab(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(s, "l_suppkey").join(o, "l_orderkey")
-    return j.where("o_orderstatus = 'O' or s_acctbal < 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
+    s = tab(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    rows = _records(spark, sf_dir).select("run_id", F.col("source_id").alias("s_suppkey"))
+    runs = _runs(spark, sf_dir).select("run_id", F.col("state").alias("run_state"))
+    return T.counted_either(rows, s, runs, "s_suppkey", "run_id", (F.col("run_state") == "O") | (F.col("s_acctbal") < 0))
 
 
 @query("SELECT o_orderkey, coalesce(s, 0) AS bytes FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_quantity), 2) AS s FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) ON l_orderkey = o_orderkey")
 def joi25_sum_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = tab(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_quantity"), 2).alias("s"))
-    return tab(spark, sf_dir, "orders").select("o_orderkey").join(per, "o_orderkey", "left").select("o_orderkey", F.coalesce("s", F.lit(0)).alias("bytes"))
+    children = _records(spark, sf_dir).where("flag = 'A'")
+    return T.sum_or_zero(_runs(spark, sf_dir), children, "run_id", "bytes", "bytes").withColumnRenamed("run_id", "o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 49) AND o_orderstatus = 'O'")
 def joi27_lease_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOI-24, JOI-27."""
-    lease = tab(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return tab(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(lease, "o_orderkey", "left_semi").select("o_orderkey")
+    leases = _records(spark, sf_dir).where("bytes >= 49")
+    return L.guarded(_runs(spark, sf_dir).where("state = 'O'"), leases, "run_id").select(F.col("run_id").alias("o_orderkey"))
 
 
 # --- aggregates ---
@@ -273,15 +282,12 @@ def joi27_lease_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {D} SELECT CASE WHEN source IS NOT NULL THEN 'source' WHEN media_type IS NOT NULL THEN 'media_type' ELSE 'status' END AS dimension, coalesce(source, media_type, status) AS value, count(*) AS n FROM docs WHERE NOT deleted GROUP BY GROUPING SETS ((source), (media_type), (status))")
 def agg02_document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01, AGG-02: three groupings in one pass."""
-    kinds = ("source", "media_type", "status")
-    d = docs(spark, sf_dir).where("not deleted")
-    return d.groupingSets([[k] for k in kinds], *kinds).agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("source").isNotNull(), "source").when(F.col("media_type").isNotNull(), "media_type").otherwise("status").alias("dimension"), F.coalesce(*kinds).alias("value"), "n")
+    return T.statistics(docs(spark, sf_dir).where("not deleted"))
 
 
 @query(f"WITH {fx.CHUNKS}, {D}, {MANUAL} SELECT collection_id, count(DISTINCT document_id) AS n_documents, coalesce(sum(n), 0)::BIGINT AS n_chunks FROM manual LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) USING (document_id) GROUP BY 1")
 def agg05_collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = fx.chunks(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    return _manual(spark, sf_dir).join(per, "document_id", "left").groupBy("collection_id").agg(F.count_distinct("document_id").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"))
+    return T.collection_counts(_manual(spark, sf_dir), fx.chunks(spark, sf_dir))
 
 
 @query(f"WITH {D}, {MANUAL}, {RULED} SELECT document_id FROM docs WHERE document_id NOT IN (SELECT document_id FROM manual UNION SELECT document_id FROM ruled)")
@@ -293,54 +299,52 @@ def agg06_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {fx.CHUNKS} SELECT count(*) FILTER (token_count > 60) AS over, coalesce(max(token_count), 0) AS longest FROM chunks")
 def agg07_over_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-07, EMB-10."""
-    return fx.chunks(spark, sf_dir).agg(F.count_if(F.col("token_count") > 60).alias("over"), F.coalesce(F.max("token_count"), F.lit(0)).alias("longest"))
+    return embedding.over_budget(fx.chunks(spark, sf_dir), 60)
 
 
 @query("SELECT l_partkey, l_suppkey, count(*) AS n, coalesce(round(sum(l_quantity), 2), 0) AS bytes FROM lineitem GROUP BY 1, 2")
 def agg08_blob_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tab(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.round(F.sum("l_quantity"), 2), F.lit(0)).alias("bytes"))
+    r = _records(spark, sf_dir).select(F.col("blob").alias("l_partkey"), F.col("source_id").alias("l_suppkey"), "bytes")
+    return T.blob_bytes(r, ["l_partkey", "l_suppkey"], "bytes")
 
 
 @query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
 def agg09_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return tab(spark, sf_dir, "orders").groupBy("o_custkey").agg(*[F.count_if(s == v).alias(v.lower()) for v in "FOP"])
+    return T.state_counters(_runs(spark, sf_dir).withColumnRenamed("scope", "o_custkey"), "o_custkey", "state", ("F", "O", "P"))
 
 
 @query("SELECT coalesce(json_extract_string(props, '$.reason'), event_type, 'unknown') AS reason, count(*) AS n FROM events GROUP BY 1")
 def agg10_omission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-10, AGG-16."""
-    return tab(spark, sf_dir, "events").groupBy(F.coalesce(F.get_json_object("props", "$.reason"), "event_type", F.lit("unknown")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return L.omission_reasons(tab(spark, sf_dir, "events"), T.json_field("props", "$.reason"), F.col("event_type"))
 
 
 @query("SELECT user_id, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) + 1 AS next_version, count(DISTINCT json_extract_string(props, '$.k') || '/' || event_type) AS n FROM events GROUP BY 1")
 def agg12_next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-11, AGG-12."""
-    k = F.get_json_object("props", "$.k")
-    return tab(spark, sf_dir, "events").groupBy("user_id").agg((F.max(k.cast("long")) + 1).alias("next_version"), F.count_distinct(F.concat_ws("/", k, "event_type")).alias("n"))
+    return T.next_versions(tab(spark, sf_dir, "events"), "user_id", T.json_field("props", "$.k", "long"), [T.json_field("props", "$.k"), F.col("event_type")])
 
 
 @query("SELECT event_id, user_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 25 OFFSET 25")
 def agg13_log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-13, TEL-01: a page of the log and its total."""
-    e = tab(spark, sf_dir, "events").where("event_type = 'error'")
-    page = e.orderBy(F.desc("ts"), "event_id").offset(25).limit(25).select("event_id", "user_id")
-    return page.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("total"))))
+    errors = tab(spark, sf_dir, "events").where("event_type = 'error'")
+    return T.page_with_total(errors, [F.desc("ts"), F.col("event_id")], 25, 25).select("event_id", "user_id", "total")
 
 
-@query("SELECT o_orderkey AS run, sha256(string_agg(l_partkey || ':' || l_suppkey, chr(10) ORDER BY l_partkey, l_suppkey, l_quantity)) AS manifest, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("""WITH l AS (SELECT l_orderkey AS run, l_partkey || ':' || l_suppkey AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_linenumber) - 1 AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+b AS (SELECT run, k // 3 AS block, sha256(string_agg(line, chr(10) ORDER BY k)) AS digest, count(*) AS n FROM l GROUP BY ALL)
+SELECT run, sha256(string_agg(digest, chr(10) ORDER BY block)) AS manifest, sum(n)::BIGINT AS n FROM b GROUP BY run""")
 def agg15_manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-15, LIF-04: a digest of each run's records in order."""
-    li = tab(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.struct("l_partkey", "l_suppkey", "l_quantity").alias("r"))
-    lines = F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat_ws(":", r["l_partkey"], r["l_suppkey"]))
-    runs = tab(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"))
-    return li.join(runs, "run", "left_semi").groupBy("run").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("manifest"), F.count(F.lit(1)).alias("n"))
+    """AGG-15, LIF-04: a digest of each run's records in order, by blocks of three lines."""
+    records = L.guarded(_records(spark, sf_dir), _runs(spark, sf_dir), "run_id")
+    found = L.manifest(records, F.concat_ws(":", "blob", "source_id"), ["blob", "source_id", "bytes", "ordinal"], block=3)
+    return found.select(F.col("run_id").alias("run"), "manifest", "n")
 
 
 @query(f"WITH {D} SELECT count(*) AS documents, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed, sum(n_chars)::BIGINT AS chars FROM docs")
 def agg17_run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("status")
-    return docs(spark, sf_dir).agg(F.count(F.lit(1)).alias("documents"), F.count_if(s == "indexed").alias("indexed"), F.count_if(s == "failed").alias("failed"), F.sum("n_chars").alias("chars"))
+    return T.totals(docs(spark, sf_dir))
 
 
 # --- windows ---
@@ -356,15 +360,13 @@ def win01_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS ordinal FROM conversations QUALIFY ordinal > 2 AND ordinal <= 5")
 def win02_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-02, SRC-18: resume at an ordinal."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return tab(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("ordinal")).where("ordinal > 2 and ordinal <= 5")
+    return T.ordinals(tab(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], 2, 3).select("conv_id", "turn", "ordinal")
 
 
 @query(f"WITH {fx.CHUNKS} SELECT chunk_id, coalesce(lag(token_count) OVER (PARTITION BY document_id ORDER BY position), 0) AS before, least(64, coalesce(lag(token_count) OVER (PARTITION BY document_id ORDER BY position), 0) // 2)::INTEGER AS overlap FROM chunks")
 def win06_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-05, WIN-06: the chunk before, and how much of it may be repeated."""
-    before = F.coalesce(F.lag("token_count").over(Window.partitionBy("document_id").orderBy("position")), F.lit(0))
-    return fx.chunks(spark, sf_dir).select("chunk_id", before.alias("before"), F.least(F.lit(64), F.floor(before / 2)).cast("int").alias("overlap"))
+    return chunking.neighbours(fx.chunks(spark, sf_dir), 64).select("chunk_id", "before", "overlap")
 
 
 MESSAGES = r"messages AS (SELECT conv_id, turn, role, len(regexp_extract_all(text, '\S+'))::BIGINT AS tokens FROM conversations)"
@@ -391,13 +393,12 @@ def win07_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE (o_custkey, o_orderkey) > (500, 7000) ORDER BY o_custkey, o_orderkey LIMIT 100")
 def srt04_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRT-04, SET-02."""
-    o = tab(spark, sf_dir, "orders")
-    return o.where("o_custkey > 500 or (o_custkey = 500 and o_orderkey > 7000)").orderBy("o_custkey", "o_orderkey").limit(100).select("o_orderkey", "o_custkey")
+    return T.keyset_page(tab(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], (500, 7000), 100).select("o_orderkey", "o_custkey")
 
 
 @query(f"WITH {FOUND}, {HAVE} SELECT document_id FROM have EXCEPT SELECT document_id FROM found")
 def set03_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _have(spark, sf_dir).select("document_id").join(_found(spark, sf_dir).select("document_id"), "document_id", "left_anti")
+    return T.difference(_have(spark, sf_dir), _found(spark, sf_dir), "document_id")
 
 
 STAGES = "l(name, config) AS (VALUES ('dense', 'k=10'), ('lexical', 'k=10'), ('rrf', 'c=60')), r(name, config) AS (VALUES ('dense', 'k=20'), ('rrf', 'c=60'), ('rerank', 'n=5'))"
@@ -412,10 +413,9 @@ def set05_stage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT round(sum(p_retailprice), 2) AS bytes, count(*) AS blobs FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0) x JOIN part ON p_partkey = l_partkey WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 <> 0 AND l_quantity > 40)")
 def set06_freed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET-06, LIF-13: what deleting some runs would free."""
-    li = tab(spark, sf_dir, "lineitem")
-    gone = li.where("l_orderkey % 100 = 0").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    kept = li.where("l_orderkey % 100 <> 0 and l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"))
-    return tab(spark, sf_dir, "part").join(gone.join(kept, "p_partkey", "left_anti"), "p_partkey").agg(F.round(F.sum("p_retailprice"), 2).alias("bytes"), F.count(F.lit(1)).alias("blobs"))
+    r = _records(spark, sf_dir)
+    blobs = tab(spark, sf_dir, "part").select(F.col("p_partkey").alias("blob"), F.col("p_retailprice").alias("bytes"))
+    return L.freed(blobs, r.where("run_id % 100 = 0"), r.where("run_id % 100 <> 0 and bytes > 40"))
 
 
 OLD_NEW = "o AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, 'new' AS v FROM orders WHERE o_orderkey % 4 = 0)"
@@ -481,8 +481,8 @@ def his02_resolve_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS version, (o_orderdate + INTERVAL 30 DAY) AS restorable_until, o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1998-01-01' AS purged FROM orders WHERE o_orderstatus = 'F'")
 def his04_trash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HIS-03, HIS-04: what may still be restored."""
-    until = F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")
-    return tab(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("version"), until.alias("restorable_until"), (until < F.lit("1998-01-01").cast("timestamp_ntz")).alias("purged"))
+    rows = _runs(spark, sf_dir).where("state = 'F'").select(F.col("run_id").alias("version"), F.col("at").alias("deleted_at"))
+    return C.trash(rows, F.lit("1998-01-01").cast("timestamp_ntz")).select("version", "restorable_until", "purged")
 
 
 @query(f"WITH {D}, e AS (SELECT document_id AS src, (document_id * 3) % 1000 AS dst, 'k' || (document_id % 2) AS kind FROM docs), b AS (SELECT * FROM e UNION SELECT dst, src, kind FROM e), v AS (SELECT document_id AS id FROM docs WHERE status = 'indexed' AND NOT deleted) SELECT * FROM b WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
@@ -507,29 +507,28 @@ def lif08_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS run, count(*) FILTER (l_returnflag = 'R') AS missing, CASE WHEN count(*) FILTER (l_returnflag = 'R') = 0 THEN 'complete' ELSE 'partial' END AS completeness FROM lineitem GROUP BY 1")
 def lif03_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.count_if(F.col("l_returnflag") == "R")
-    return tab(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(m.alias("missing")).withColumn("completeness", F.when(F.col("missing") == 0, "complete").otherwise("partial"))
+    return L.completeness(_records(spark, sf_dir), F.col("flag") == "R").withColumnRenamed("run_id", "run")
 
 
 @query(f"WITH {FOUND}, {HAVE} SELECT f.document_id FROM found f JOIN have h ON h.document_id = f.document_id AND h.token = f.token")
 def lif05_reuse_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies kept from an earlier run, by equal and known version token."""
-    return _found(spark, sf_dir).join(_have(spark, sf_dir).select("document_id", "token"), ["document_id", "token"], "left_semi").select("document_id")
+    return L.reusable(_found(spark, sf_dir), _have(spark, sf_dir)).select("document_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN datediff('day', o_orderdate, TIMESTAMP '1998-06-01') >= 7 THEN 'due' ELSE 'waits' END AS reconcile, o_orderstatus = 'O' AND o_orderdate + INTERVAL 1 HOUR < TIMESTAMP '1998-06-01' AS requeue FROM orders")
 def lif09_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LIF-09, LIF-14: due checks against a fixed clock."""
     now = F.lit("1998-06-01").cast("timestamp_ntz")
-    d = F.col("o_orderdate")
-    return tab(spark, sf_dir, "orders").select("o_orderkey", F.when(F.datediff(now, d) >= 7, "due").otherwise("waits").alias("reconcile"), ((F.col("o_orderstatus") == "O") & (d + F.expr("INTERVAL 1 HOUR") < now)).alias("requeue"))
+    return _runs(spark, sf_dir).select(F.col("run_id").alias("o_orderkey"), L.reconcile_due(F.col("at"), now).alias("reconcile"), L.interrupted(F.col("state"), ("O",), F.col("at"), now).alias("requeue"))
 
 
-@query("SELECT (SELECT count(*) FROM lineitem) AS records, (SELECT sum(length(text))::BIGINT FROM documents) AS bytes, (SELECT count(*) FROM lineitem) <= 10000000 AND (SELECT sum(length(text)) FROM documents) <= 10000000000 AS admitted")
+@query("WITH n AS (SELECT (SELECT count(*) FROM lineitem) AS records, sum(length(text))::BIGINT AS bytes, count(*) FILTER (length(text) > 10000) AS backlog FROM documents) SELECT *, concat_ws('+', CASE WHEN records > 10000000 THEN 'records' END, CASE WHEN bytes > 10000000000 THEN 'bytes' END, CASE WHEN backlog > 3 THEN 'backlog' END) AS exceeded, records <= 10000000 AND bytes <= 10000000000 AND backlog <= 3 AS admitted FROM n")
 def lif07_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = tab(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("records"))
-    b = tab(spark, sf_dir, "documents").agg(F.sum(F.length("text")).alias("bytes"))
-    return li.crossJoin(b).withColumn("admitted", (F.col("records") <= 10_000_000) & (F.col("bytes") <= 10_000_000_000))
+    """Needs against limits, one of which is exceeded here."""
+    records = _records(spark, sf_dir).agg(F.count(F.lit(1)).alias("records"))
+    needs = records.crossJoin(tab(spark, sf_dir, "documents").agg(F.sum(F.length("text")).alias("bytes"), F.count_if(F.length("text") > 10_000).alias("backlog")))  # one row each
+    return L.capacity(needs, {"records": 10_000_000, "bytes": 10_000_000_000, "backlog": 3}).select("records", "bytes", "backlog", "exceeded", "admitted")
 
 
 @query(f"WITH {D} SELECT document_id, concat_ws('+', CASE WHEN (status = 'failed') <> (document_id % 2 = 0) THEN 'failed_stage' END, CASE WHEN status IN ('failed', 'no_extractable_text') AND document_id % 5 <> 0 THEN 'status_detail' END) AS broken FROM docs WHERE (status = 'failed') <> (document_id % 2 = 0) OR (status IN ('failed', 'no_extractable_text') AND document_id % 5 <> 0)")
@@ -541,18 +540,129 @@ def grd05_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {fx.CHUNKS}, {D} SELECT count(*) AS leaks FROM (SELECT chunk_id, document_id FROM chunks WHERE token_count > 50) h WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.document_id = h.document_id AND d.status = 'indexed' AND NOT d.deleted)")
 def grd02_scope_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = fx.chunks(spark, sf_dir).where("token_count > 50").select("chunk_id", "document_id")
-    return hits.join(docs(spark, sf_dir).where("status = 'indexed' and not deleted").select("document_id"), "document_id", "left_anti").agg(F.count(F.lit(1)).alias("leaks"))
+    return T.leaks(hits, docs(spark, sf_dir).where("status = 'indexed' and not deleted")).agg(F.count(F.lit(1)).alias("leaks"))
 
 
-@query(f"WITH {HAVE}, n AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN doc_id % 5 <> 0 THEN 'pub2' END AS publication FROM documents WHERE doc_id % 2 = 0) SELECT h.document_id, coalesce(n.status, 'indexed') AS status, coalesce(n.publication, 'pub1') AS publication FROM have h LEFT JOIN n USING (document_id)")
+@query(f"WITH {HAVE}, n AS (SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN doc_id % 5 <> 0 THEN 'pub2' END AS publication FROM documents WHERE doc_id % 2 = 0) SELECT h.document_id, coalesce(n.status, 'indexed') AS status, coalesce(n.publication, CASE WHEN h.document_id % 3 = 0 THEN 'pub0' END, 'pub1') AS publication FROM have h LEFT JOIN n USING (document_id)")
 def grd06_last_good_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A failed run is recorded, the last good publication stays."""
     i = F.col("doc_id")
-    n = tab(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(i.alias("document_id"), F.when(i % 5 == 0, "failed").otherwise("indexed").alias("status"), F.when(i % 5 != 0, "pub2").alias("publication"))
-    return _have(spark, sf_dir).select("document_id").join(n, "document_id", "left").select("document_id", F.coalesce("status", F.lit("indexed")).alias("status"), F.coalesce("publication", F.lit("pub1")).alias("publication"))
+    outcomes = tab(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(i.alias("document_id"), F.when(i % 5 == 0, "failed").otherwise("indexed").alias("status"), F.lit("pub2").alias("publication"))
+    current = _have(spark, sf_dir).select("document_id", F.when(F.col("document_id") % 3 == 0, "pub0").alias("publication"))
+    return L.last_good(current, outcomes)
 
 
-@query(r"SELECT page_id, concat_ws('+', CASE WHEN length(url) > 45 THEN 'long' END, CASE WHEN NOT regexp_matches(url, '^https?://[^/]+') THEN 'uri' END, CASE WHEN regexp_matches(url, '[\x00-\x1f]') THEN 'unprintable' END) AS refused FROM pages")
+@query(r"SELECT page_id, concat_ws('+', CASE WHEN length(url) > 45 THEN 'long' END, CASE WHEN NOT regexp_matches(url, '^https?://[^/?#]+') THEN 'uri' END, CASE WHEN regexp_matches(url, '[\x00-\x1f]') THEN 'unprintable' END, CASE WHEN len(string_split(url, '/')) > 4 THEN 'sections' END) AS refused FROM pages")
 def grd08_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    return tab(spark, sf_dir, "pages").select("page_id", F.concat_ws("+", F.when(F.length(u) > 45, "long"), F.when(~u.rlike("^https?://[^/]+"), "uri"), F.when(u.rlike(r"[\x00-\x1f]"), "unprintable")).alias("refused"))
+    parts = F.split("url", "/")
+    return tab(spark, sf_dir, "pages").select("page_id", T.provenance_problems(F.col("url"), F.col("url"), parts, 45, 4).alias("refused"))
+
+
+def _state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of records: one record per user and day."""
+    t = F.col("event_type")
+    state = F.when(t == "signup", "listed").when(t == "click", "fetching").when(t == "view", "fetched").when(t == "error", "failed").otherwise("derived")
+    return tab(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("date").cast("string").alias("source_id"), F.col("event_id").alias("seq"), state.alias("state"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS run_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS k, CASE event_type WHEN 'signup' THEN 'listed' WHEN 'click' THEN 'fetching' WHEN 'view' THEN 'fetched' WHEN 'error' THEN 'failed' ELSE 'derived' END AS state FROM events),
+m(a, b) AS (VALUES ('', 'listed'), ('listed', 'fetching'), ('fetching', 'fetched'), ('fetching', 'failed'), ('failed', 'fetching'), ('fetched', 'derived'), ('fetched', 'failed')),
+r AS (SELECT DISTINCT run_id, source_id, 0::BIGINT AS k, '' AS state, 0 AS refused FROM e
+ UNION ALL SELECT r.run_id, r.source_id, e.k, CASE WHEN m.a IS NOT NULL THEN e.state ELSE r.state END, r.refused + CASE WHEN m.a IS NULL THEN 1 ELSE 0 END FROM r JOIN e ON e.run_id = r.run_id AND e.source_id = r.source_id AND e.k = r.k + 1 LEFT JOIN m ON m.a = r.state AND m.b = e.state)
+SELECT run_id, source_id, nullif(arg_max(state, k), '') AS state, max(refused) AS refused FROM r GROUP BY 1, 2""")
+def lif02_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF-02: events folded through the machine of record states; moves it doesn't have are counted and refused."""
+    return L.settled(_state_events(spark, sf_dir))
+
+
+@query("""WITH page AS (SELECT l_orderkey AS run_id, l_suppkey AS source_id, l_linenumber AS ordinal FROM lineitem WHERE l_linenumber > 2), had AS (SELECT l_orderkey AS run_id, l_suppkey AS source_id, l_linenumber AS ordinal FROM lineitem WHERE l_linenumber = 1)
+SELECT * FROM had UNION ALL SELECT run_id, source_id, min(ordinal) FROM page p WHERE NOT EXISTS (SELECT 1 FROM had h WHERE h.run_id = p.run_id AND h.source_id = p.source_id) GROUP BY 1, 2""")
+def lif01_enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF-01: a page of listed records appended, one of each source."""
+    r = _records(spark, sf_dir).select("run_id", "source_id", "ordinal")
+    return L.enumerated(r.where("ordinal = 1"), r.where("ordinal > 2"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS run_id, count(*) FILTER (l_returnflag = 'R') = 0 AS whole, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 6 = 0 OR c.n IS NULL THEN 'manifest_mismatch' WHEN NOT coalesce(whole, false) THEN 'incomplete' ELSE 'promoted' END AS outcome,
+ o_orderkey % 6 <> 0 AND c.n IS NOT NULL AND coalesce(whole, false) AND o_orderkey % 4 = 1 AS moves_watermark FROM orders LEFT JOIN c ON c.run_id = o_orderkey""")
+def lif03_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF-03, LIF-04: promotion of complete runs whose manifest verifies, and whether the watermark moves."""
+    records, k = _records(spark, sf_dir), F.col("run_id")
+    counts = records.groupBy("run_id").agg(F.count(F.lit(1)).cast("string").alias("manifest"))
+    runs = _runs(spark, sf_dir).join(counts, "run_id", "left").select("run_id", F.concat(F.lit("c"), k % 4).alias("connector"), F.lit("s").alias("scope"), F.when(k % 4 == 1, 7).otherwise(6).alias("base_watermark"), F.when(k % 6 == 0, "other").otherwise(F.coalesce("manifest", F.lit("none"))).alias("manifest"))
+    marks = spark.createDataFrame([(f"c{i}", 7, "s") for i in range(4)], "connector string, watermark int, scope string")
+    return L.promoted(runs, L.completeness(records, F.col("flag") == "R"), counts, marks)
+
+
+@query(f"""WITH {HAVE}, p AS (SELECT doc_id AS document_id, 'v' || (doc_id % 3) AS token, 's' || (doc_id % 2) AS scope FROM documents), r(run_id, scope, promoted_at, good) AS (VALUES (1, 's0', 5, true), (2, 's0', 6, true), (3, 's0', 9, false), (4, 's1', 4, true)),
+n AS (SELECT scope, arg_max(run_id, promoted_at) AS run_id FROM r WHERE good GROUP BY 1)
+SELECT p.document_id FROM p JOIN n USING (scope) JOIN have h ON h.document_id = p.document_id AND h.token = p.token AND h.document_id % 5 = n.run_id""")
+def lif05_reuse_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF-05: bodies of the newest promoted run of the same scope whose manifest verifies."""
+    i = F.col("doc_id")
+    found = tab(spark, sf_dir, "documents").select(i.alias("document_id"), F.concat(F.lit("v"), i % 3).alias("token"), F.concat(F.lit("s"), i % 2).alias("scope"))
+    have = _have(spark, sf_dir).withColumn("run_id", (F.col("document_id") % 5).cast("int"))
+    runs = spark.createDataFrame([(1, "s0", 5, True), (2, "s0", 6, True), (3, "s0", 9, False), (4, "s1", 4, True)], "run_id int, scope string, promoted_at int, verified boolean")
+    return L.reusable(found, have, "document_id", runs).select("document_id")
+
+
+def _rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("document_id")
+    d = docs(spark, sf_dir).select("document_id", (i % 900).alias("blob"), "deleted", F.when(i % 3 != 0, F.concat(F.lit("p"), i % 4)).alias("parse_fp"))
+    blobs = tab(spark, sf_dir, "documents").where("doc_id < 850").select(F.col("doc_id").alias("blob"), F.length("text").alias("bytes"))
+    return L.rebuild_plan(d, blobs, 6000, {"parse_fp": "p1"})
+
+
+PLAN = f"""{D}, plan AS (SELECT document_id, CASE WHEN parse_fp = 'p1' THEN 'keep' WHEN bytes IS NULL OR bytes > 6000 THEN 'refuse' ELSE 'derive' END AS action, CASE WHEN parse_fp = 'p1' THEN NULL WHEN bytes IS NULL THEN 'body_missing' WHEN bytes > 6000 THEN 'body_too_large' END AS refusal
+ FROM (SELECT document_id, document_id % 900 AS blob, coalesce(CASE WHEN document_id % 3 <> 0 THEN 'p' || (document_id % 4) END, '') AS parse_fp FROM docs WHERE NOT deleted) LEFT JOIN (SELECT doc_id AS blob, length(text) AS bytes FROM documents WHERE doc_id < 850) USING (blob))"""
+
+
+@query(f"WITH {PLAN} SELECT * FROM plan")
+def lif10_rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF-10: what a rebuild keeps, derives and refuses, with the reason."""
+    return _rebuild(spark, sf_dir)
+
+
+@query(f"""WITH {PLAN}, b AS (SELECT document_id FROM plan WHERE action <> 'refuse' AND document_id % 10 <> 0 UNION ALL SELECT document_id FROM docs WHERE document_id % 25 = 0), a AS (SELECT document_id FROM plan WHERE action <> 'refuse')
+SELECT document_id, 'not_built' AS problem FROM a WHERE document_id NOT IN (SELECT document_id FROM b) UNION ALL SELECT DISTINCT document_id, 'not_planned' FROM b WHERE document_id NOT IN (SELECT document_id FROM a) UNION ALL SELECT document_id, 'built_twice' FROM b GROUP BY 1 HAVING count(*) > 1""")
+def lif10_rebuild_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF-10, LIF-11: what a built generation lacks or has too much of."""
+    plan = _rebuild(spark, sf_dir)
+    built = plan.where("action <> 'refuse' and document_id % 10 <> 0").select("document_id").unionByName(docs(spark, sf_dir).where("document_id % 25 = 0").select("document_id"))
+    return L.rebuild_problems(plan, built)
+
+
+@query(f"WITH {fx.CHUNKS}, {D} SELECT chunk_id FROM chunks WHERE document_id NOT IN (SELECT document_id FROM docs WHERE NOT deleted)")
+def dml06_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-06, LIF-15: index entries whose document is gone or deleted."""
+    return L.tombstones(fx.chunks(spark, sf_dir), docs(spark, sf_dir)).select("chunk_id")
+
+
+@query("SELECT o_orderkey AS document_id, CASE WHEN o_orderdate + INTERVAL 30 DAY < TIMESTAMP '1996-01-01' THEN 'expired' WHEN EXISTS (SELECT 1 FROM orders r WHERE r.o_orderstatus = 'O' AND r.o_custkey = o.o_custkey) THEN 'rival' ELSE 'restored' END AS verdict FROM orders o WHERE o_orderstatus = 'F'")
+def dml05_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-05: restore from the trash, unless the time is over or a rival has the identity."""
+    o = _runs(spark, sf_dir).select(F.col("run_id").alias("document_id"), F.col("scope").alias("identity"), "state", F.col("at").alias("deleted_at"))
+    return L.restorable(o.where("state = 'F'"), o.where("state = 'O'"), ["identity"], F.lit("1996-01-01").cast("timestamp_ntz"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def cnv01_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CNV-01: the last messages of each conversation, oldest first."""
+    return conversations.history(tab(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "place")
+
+
+@query("WITH f AS (SELECT user_id % 87 AS conv_id, event_id % 8 AS turn, event_id AS seen, event_type AS feedback FROM events) SELECT m.conv_id, m.turn, x.feedback FROM conversations m LEFT JOIN (SELECT conv_id, turn, arg_max(feedback, seen) AS feedback FROM f GROUP BY 1, 2) x ON x.conv_id = m.conv_id AND x.turn = m.turn WHERE m.role = 'assistant'")
+def cnv01_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CNV-01: the last feedback on each answer."""
+    e = tab(spark, sf_dir, "events")
+    given = e.select((F.col("user_id") % 87).alias("conv_id"), (F.col("event_id") % 8).alias("turn"), F.col("event_id").alias("at"), F.col("event_type").alias("feedback"))
+    return conversations.with_feedback(tab(spark, sf_dir, "conversations"), given)
+
+
+@query("SELECT md5(o_orderkey::VARCHAR) AS token_hash, o_custkey AS conv_id FROM orders WHERE o_orderstatus <> 'P' AND (o_orderkey % 5 = 0 OR o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1998-01-01')")
+def cnv01_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CNV-01: shares that may still be opened."""
+    k = F.col("run_id")
+    shares = _runs(spark, sf_dir).select(F.md5(k.cast("string")).alias("token_hash"), F.col("scope").alias("conv_id"), (F.col("state") == "P").alias("revoked"), F.when(k % 5 != 0, F.col("at") + F.expr("INTERVAL 30 DAYS")).alias("expires_at"))
+    return conversations.shareable(shares, F.lit("1998-01-01").cast("timestamp_ntz"))
