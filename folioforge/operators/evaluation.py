@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,3 +98,46 @@ def corpus_digest(documents: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("document_id"), F.lit(4096))
     groups = documents.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("d"))
     return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.count(F.lit(1)).alias("groups"))
+
+
+def probe_hits(ranked: DataFrame, answers: DataFrame, k: int) -> DataFrame:
+    """``query_id, hit``: whether each probe's known answer is among its ``k`` first."""
+    found = ranked.where(F.col("rank") <= k).select("query_id", "chunk_id").join(answers, ["query_id", "chunk_id"], "left_semi").select("query_id", F.lit(True).alias("__hit")).distinct()
+    return answers.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.coalesce("__hit", F.lit(False)).alias("hit"))
+
+
+def probes_from_titles(titles: DataFrame, key: str, most: int, least_chars: int = 3) -> DataFrame:
+    """Titles that name one document only, as probes with a known answer: the first ``most`` in order."""
+    once = titles.where(F.length("title") >= least_chars).groupBy("title").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("__n"))
+    return once.where("__n = 1").orderBy("title").limit(most).select("title", key)
+
+
+def paired(left: DataFrame, right: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``query_id, left_rank, right_rank, same``: where two systems rank the wanted row of each query, null
+    if not at all, and whether both ran with the same settings."""
+    side = lambda rows, name: rows.groupBy("query_id").agg(F.min("config").alias(f"__{name}"))
+    rank = lambda rows, name: rows.join(wanted, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias(f"{name}_rank"))
+    out = side(left, "l").join(side(right, "r"), "query_id")
+    out = out.join(rank(left, "left"), "query_id", "left").join(rank(right, "right"), "query_id", "left")
+    return out.select("query_id", "left_rank", "right_rank", (F.col("__l") == F.col("__r")).alias("same"))
+
+
+#: What makes a run incomparable with another (fixed values).
+INCOMPARABLE = ("degraded_leg", "cached", "exhausted")
+
+
+def incomparable(runs: DataFrame) -> DataFrame:
+    """``query_id, reasons``: why a run's ranks say nothing beside another's; empty if they may be compared.
+
+    ``runs`` has ``query_id, degraded, cached, outcome``.
+    """
+    reasons = F.array(F.when(F.col("degraded"), INCOMPARABLE[0]), F.when(F.col("cached"), INCOMPARABLE[1]), F.when(F.col("outcome") == "exhausted_corpus", INCOMPARABLE[2]))
+    return runs.select("query_id", F.filter(reasons, lambda r: r.isNotNull()).alias("reasons"))
+
+
+def as_system(name: str, search: Callable[[DataFrame], DataFrame], config: dict) -> Callable[[DataFrame], DataFrame]:
+    """A search as a system under evaluation: its ranked rows carry its name and a digest of its settings."""
+    import json
+
+    settings = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
+    return lambda queries: search(queries).select("query_id", "chunk_id", "rank", F.lit(name).alias("system"), F.lit(settings).alias("config"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.plans.scratch import written
+
 # --- reading ---
 
 
@@ -200,12 +202,16 @@ def imported(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def include_closure(edges: DataFrame, depth: int) -> DataFrame:
     """``src, dst, level, cycle``: what each page includes at any depth, by the shortest way, up to ``depth``.
 
-    One join per level, over what the level before found new; ``cycle`` marks pages that include themselves.
+    One join per level, over what the level before found new and wrote; ``cycle`` marks pages that
+    include themselves.
     """
-    out = edges.select("src", "dst").distinct().withColumn("level", F.lit(1))
-    new, step = out, edges.select(F.col("src").alias("dst"), F.col("dst").alias("__next"))
+    new = written(edges.select("src", "dst").distinct().withColumn("level", F.lit(1)), "closure")
+    levels, step = [new], edges.select(F.col("src").alias("dst"), F.col("dst").alias("__next"))
     for level in range(2, depth + 1):
         reached = new.join(step, "dst").select("src", F.col("__next").alias("dst")).distinct()
-        new = reached.join(out.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("level", F.lit(level))
-        out = out.unionByName(new)
-    return out.withColumn("cycle", F.col("src") == F.col("dst"))
+        known = reduce(DataFrame.unionByName, levels).select("src", "dst")
+        new = written(reached.join(known, ["src", "dst"], "left_anti").withColumn("level", F.lit(level)), "closure")
+        if new.isEmpty():
+            break
+        levels.append(new)
+    return reduce(DataFrame.unionByName, levels).withColumn("cycle", F.col("src") == F.col("dst"))

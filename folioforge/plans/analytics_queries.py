@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from folioforge.functions import hashing as H
 from folioforge.functions import text as X
 from folioforge.operators import analytics as A
-from folioforge.operators import chunking, embedding, evaluation, parsing
+from folioforge.operators import chunking, conversations, embedding, evaluation, parsing
+from folioforge.operators import store as T
 from folioforge.plans import fixtures as fx
 from folioforge.plans.corpus_queries import tab
 from folioforge.plans.registry import Registry
@@ -78,16 +79,11 @@ def src13_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.covering_roots(pages, ["n7", "r2"]).select(F.col("page_id").cast("long").alias("page_id"), F.array_join("roots", ",").alias("roots"))
 
 
-@query("WITH RECURSIVE e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id > 0), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON e.src = r.dst WHERE depth < 4) SELECT DISTINCT src, dst FROM r")
+@query("WITH RECURSIVE e AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, depth + 1 FROM r JOIN e ON e.src = r.dst WHERE depth < 12) SELECT DISTINCT src, dst, src = dst AS cycle FROM r")
 def src14_include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that a page includes, to a depth of four: one join per level, cycles end by the depth."""
-    e = tab(spark, sf_dir, "documents").where("doc_id > 0").select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"))
-    out = level = e
-    step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for _ in range(3):
-        level = level.join(step, "dst").select("src", F.col("next").alias("dst")).distinct()
-        out = out.union(level)
-    return out.distinct()
+    """Pages that a page includes, to a depth of twelve: one join per level, over what is new."""
+    e = tab(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"))
+    return T.include_closure(e, 12).select("src", "dst", "cycle")
 
 
 @query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) <> '' AS titled, contains(html, '<article') AS adapted FROM pages")
@@ -169,24 +165,23 @@ def chk01_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tab(spark, sf_dir, "documents").select("doc_id", F.size(X.paragraphs(F.replace("text", F.lit(".\n"), F.lit(".\n \n")))).alias("n"))
 
 
-@query(rf"WITH {fx.CHUNKS} SELECT chunk_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS token_count, heading_text || chr(10) || chr(10) || text AS embed_text FROM chunks")
+@query(rf"WITH {fx.CHUNKS}, e AS (SELECT chunk_id, heading_text || chr(10) || chr(10) || text AS embed_text FROM chunks) SELECT chunk_id, len(regexp_extract_all(embed_text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS token_count, embed_text FROM e")
 def chk11_embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CHK-10, CHK-11, CHK-13 for untruncated breadcrumbs."""
-    c = fx.chunks(spark, sf_dir)
-    return c.select("chunk_id", F.regexp_count("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")).alias("token_count"), F.concat_ws("\n\n", "heading_text", "text").alias("embed_text"))
+    """CHK-10, CHK-11, CHK-13 for untruncated breadcrumbs: the tokens are those of the text that is embedded."""
+    return chunking.with_breadcrumb(fx.chunks(spark, sf_dir)).select("chunk_id", "token_count", "embed_text")
 
 
 @query(f"WITH {fx.CHUNKS}, k AS (SELECT document_id, CASE WHEN token_count > 50 THEN 'prose' ELSE 'list' END AS kind, sum(token_count) AS t, min(position) AS first FROM chunks GROUP BY ALL) SELECT document_id, arg_max(kind, t * 100000 - first) AS kind FROM k GROUP BY 1")
 def chk12_dominant_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.chunks(spark, sf_dir).withColumn("kind", F.when(F.col("token_count") > 50, "prose").otherwise("list"))
-    per = c.groupBy("document_id", "kind").agg(F.sum("token_count").alias("t"), F.min("position").alias("first"))
-    return per.groupBy("document_id").agg(F.max_by("kind", F.struct("t", -F.col("first"))).alias("kind"))
+    units = fx.chunks(spark, sf_dir).withColumn("kind", F.when(F.col("token_count") > 50, "prose").otherwise("list"))
+    return chunking.dominant_kind(units, ["document_id"])
 
 
-@query(f"WITH {fx.CHUNKS} SELECT document_id, position // 4 AS part, min(position) AS start, max(position) AS end_, count(DISTINCT heading_text) = 1 AS shared FROM chunks GROUP BY 1, 2")
+@query(f"WITH {fx.CHUNKS} SELECT document_id, position // 4 AS part, min(position) AS start, max(position) AS end_, CASE WHEN count(DISTINCT left(text, 1)) = 1 THEN min(left(text, 1)) END AS symbol FROM chunks GROUP BY 1, 2")
 def chk09_anchor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.chunks(spark, sf_dir)
-    return c.groupBy("document_id", F.floor(F.col("position") / 4).alias("part")).agg(F.min("position").alias("start"), F.max("position").alias("end_"), (F.count_distinct("heading_text") == 1).alias("shared"))
+    """CHK-09: line anchors of four units each as one, and the symbol that all share."""
+    units = fx.chunks(spark, sf_dir).select("document_id", F.floor(F.col("position") / 4).alias("part"), F.col("position").alias("start"), F.col("position").alias("end"), F.substring("text", 1, 1).alias("symbol"))
+    return chunking.merged_anchors(units, ["document_id", "part"], "symbol").withColumnRenamed("end", "end_")
 
 
 # --- identity, scalar functions ---
@@ -371,9 +366,15 @@ def eva01_known_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", (n > 0).alias("found"), n.alias("n_documents"))
 
 
-@query("SELECT vec_id AS query_id, 1 AS x FROM embeddings WHERE vec_id % 50 = 0")
+@query("SELECT vec_id AS query_id, true AS hit FROM embeddings WHERE vec_id % 50 = 0")
 def eva01_probe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.vector_queries(spark, sf_dir).select("query_id", F.lit(1).alias("x"))
+    """EVA-01: the known answer of each probe is the nearest other vector; is it among the five first?"""
+    from folioforge.operators.retrieval import dense_batched
+
+    v, q = fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    near = dense_batched(v, q, 2).where("chunk_id <> query_id")
+    answers = near.groupBy("query_id").agg(F.min_by("chunk_id", F.struct("rank")).alias("chunk_id"))
+    return evaluation.probe_hits(dense_batched(v, q, 5), answers, 5).select("query_id", "hit")
 
 
 @query()
@@ -388,8 +389,8 @@ def eva01_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"WITH t AS (SELECT regexp_replace(url, '\.[A-Za-z0-9]{1,5}$', '') AS title, page_id FROM pages) SELECT title, min(page_id) AS page_id FROM t WHERE length(title) >= 3 GROUP BY title HAVING count(*) = 1 ORDER BY title LIMIT 100")
 def eva02_probe_from_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tab(spark, sf_dir, "pages").select(X.strip_extension(F.col("url")).alias("title"), "page_id").where(F.length("title") >= 3)
-    return t.groupBy("title").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n")).where("n = 1").orderBy("title").limit(100).select("title", "page_id")
+    t = tab(spark, sf_dir, "pages").select(X.strip_extension(F.col("url")).alias("title"), "page_id")
+    return evaluation.probes_from_titles(t, "page_id", 100)
 
 
 @query("""WITH o AS (SELECT d.lang AS intent, CASE WHEN quality = 1 AND toxic = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'right' ELSE 'left' END WHEN quality = 1 THEN 'tie' ELSE 'neither' END AS outcome FROM labels JOIN documents d USING (doc_id)),
@@ -415,13 +416,16 @@ def eva03_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tab(spark, sf_dir, "benchmark").select("item_id", evaluation.slot(F.lit("seed"), F.col("item_id").cast("string")).alias("slot"))
 
 
-@query("SELECT l.item_id AS query_id, l.k AS left_rank, r.k AS right_rank, l.config = r.config AS same FROM (SELECT item_id, item_id % 7 AS k, 'a' AS config FROM benchmark) l JOIN (SELECT item_id, item_id % 5 AS k, CASE WHEN item_id % 2 = 0 THEN 'a' ELSE 'b' END AS config FROM benchmark) r USING (item_id)")
+@query("SELECT vec_id AS query_id, 1 AS left_rank, CASE WHEN vec_id % 4 <> 0 THEN 1 END AS right_rank, vec_id % 100 = 0 AS same FROM embeddings WHERE vec_id % 50 = 0")
 def eva04_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVA-04, JOI-18: two systems paired by query, with a guard against drifted settings."""
-    b, i = tab(spark, sf_dir, "benchmark"), F.col("item_id")
-    left = b.select(i.alias("query_id"), (i % 7).alias("left_rank"), F.lit("a").alias("lc"))
-    right = b.select(i.alias("query_id"), (i % 5).alias("right_rank"), F.when(i % 2 == 0, "a").otherwise("b").alias("rc"))
-    return left.join(right, "query_id").select("query_id", "left_rank", "right_rank", (F.col("lc") == F.col("rc")).alias("same"))
+    from folioforge.operators.retrieval import dense_batched
+
+    v, q = fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    wanted = q.select("query_id", F.col("query_id").alias("chunk_id"))
+    left = dense_batched(v, q, 3).withColumn("config", F.lit("a"))
+    right = dense_batched(v.where("chunk_id % 4 <> 0"), q, 3).withColumn("config", F.when(F.col("query_id") % 100 == 0, "a").otherwise("b"))
+    return evaluation.paired(left, right, wanted)
 
 
 @query()
@@ -460,31 +464,44 @@ def str03_stream_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(at).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_id").alias("users"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+@query("SELECT 'set-' || (item_id % 3) AS name, item_id::VARCHAR AS id, text, item_id % 2 = 0 AS thumbs FROM benchmark")
 def snk05_export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-05, SNK-06, SRC-20, SRC-21: written as JSON lines, read with a schema, refused if malformed."""
+    """SNK-05, SNK-06, SRC-20, SRC-21: query sets written as JSON lines, read with their schema, refused if malformed."""
     at = new_dir(spark, "export")
-    tab(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).write.json(at)
-    return spark.read.schema("id INT, name STRING").json(at, mode="FAILFAST")
+    b = tab(spark, sf_dir, "benchmark")
+    sets = b.select(F.lit(1).alias("schema_version"), F.concat(F.lit("set-"), F.col("item_id") % 3).alias("name"), F.struct(F.col("item_id").cast("string").alias("id"), F.col("text"), F.lit("find").alias("intent"), (F.col("item_id") % 2 == 0).alias("thumbs")).alias("query"))
+    T.exported(sets.groupBy("schema_version", "name").agg(F.collect_list("query").alias("queries")), at)
+    read = T.imported(spark, at, "schema_version INT, name STRING, queries ARRAY<STRUCT<id: STRING, text: STRING, intent: STRING, thumbs: BOOLEAN>>")
+    return read.select("name", F.explode("queries").alias("q")).select("name", "q.id", "q.text", "q.thumbs")
 
 
-@query("SELECT page_id, sha256(html) AS sha256, 'same' AS state FROM pages")
+@query("WITH l AS (SELECT page_id, sha256(html) AS sha256 FROM pages WHERE page_id % 5 <> 0), n AS (SELECT page_id, page_id % 7 = 2 AS moved FROM pages WHERE page_id % 9 <> 1) SELECT coalesce(l.page_id, n.page_id) AS page_id, sha256, CASE WHEN l.page_id IS NULL THEN 'new' WHEN n.page_id IS NULL THEN 'missing' WHEN moved THEN 'changed' ELSE 'same' END AS state FROM l FULL JOIN n ON l.page_id = n.page_id")
 def snk04_backup_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inventory of digests against what is there."""
-    p = tab(spark, sf_dir, "pages")
-    inventory = p.select("page_id", F.sha2("html", 256).alias("sha256"))
-    now = p.select("page_id", F.sha2("html", 256).alias("__now"))
-    state = F.when(F.col("sha256").isNull(), "new").when(F.col("__now").isNull(), "missing").when(F.col("sha256") == F.col("__now"), "same").otherwise("changed")
-    return inventory.join(now, "page_id", "full_outer").select("page_id", "sha256", state.alias("state"))
+    """An inventory of digests against pages of which some changed, are missing or new."""
+    p, i = tab(spark, sf_dir, "pages").select("page_id", "html"), F.col("page_id")
+    now = p.where("page_id % 9 <> 1").select(i, F.when(i % 7 == 2, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("html"))
+    return T.backup_states(T.inventory(p.where("page_id % 5 <> 0"), "page_id", "html"), T.inventory(now, "page_id", "html"), "page_id")
 
 
-@query("SELECT md5(text) AS blob, min(doc_id) AS first, count(*) AS n, min(length(text)) AS size FROM documents GROUP BY 1")
+@query("SELECT md5(text) AS blob, min(doc_id) AS first, count(*) AS n, min(length(text)) AS size, CASE WHEN min(strlen(text)) > 20000 THEN 'too_large' END AS omitted, max(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) = 1 AS compressed FROM documents GROUP BY 1")
 def snk03_blob_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content-addressed: one blob per content."""
-    return tab(spark, sf_dir, "documents").groupBy(F.md5("text").alias("blob")).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.length("text")).alias("size"))
+    """Content-addressed: one blob per content, too large ones known but not kept."""
+    d = tab(spark, sf_dir, "documents").withColumn("media_type", F.when(F.col("doc_id") % 2 == 0, "text/plain").otherwise("image/png"))
+    return T.blobs(d, "text", "doc_id", 20_000, "media_type").select("blob", "first", "n", "size", "omitted", "compressed")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'page' ELSE 'hidden' END AS shown, CASE WHEN turn % 4 = 0 THEN role END AS trail FROM conversations")
+@query(f"WITH {ANSWERS}, s AS (SELECT answer_id, s1 AS slot FROM answers UNION ALL SELECT answer_id, s2 FROM answers WHERE s2 <= 2 AND s2 // 2 <> s1 // 2) SELECT answer_id, slot::INTEGER AS slot, slot::INTEGER + 1 AS page, CASE WHEN slot <> 1 THEN 'chapter ' || slot END AS trail FROM s")
 def cnv02_anonymous_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("turn")
-    return tab(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t % 2 == 0, "page").otherwise("hidden").alias("shown"), F.when(t % 4 == 0, F.col("role")).alias("trail"))
+    """CNV-02: what an anonymous reader sees of each citation."""
+    a, p = _answers(spark, sf_dir)
+    kinds = F.when(F.col("slot") == 0, "page").when(F.col("slot") == 1, "mail").otherwise("manual")
+    cited = A.bound(a, p).where("outcome = 'bound'").select("answer_id", "slot", (F.col("slot") + 1).alias("page"), kinds.alias("kind"), F.concat(F.lit("chapter "), "slot").alias("heading_text"), F.lit("secret title").alias("title"))
+    return conversations.anonymous(cited)
+
+
+@query("WITH l AS (SELECT page_id, html FROM pages WHERE page_id % 5 <> 0), n AS (SELECT page_id, CASE WHEN page_id % 7 = 2 THEN html || '!' ELSE html END AS html FROM pages WHERE page_id % 9 <> 1) SELECT coalesce(l.page_id, n.page_id) AS page_id, md5(coalesce(l.html, n.html)) AS content FROM l FULL JOIN n ON l.page_id = n.page_id")
+def snk04_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-04: what changed or went missing is taken from the backup, what is new stays."""
+    p, i = tab(spark, sf_dir, "pages").select("page_id", "html"), F.col("page_id")
+    now = p.where("page_id % 9 <> 1").select(i, F.when(i % 7 == 2, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("html"))
+    return T.restored(p.where("page_id % 5 <> 0"), now, "page_id", "html").select("page_id", F.md5("html").alias("content"))
