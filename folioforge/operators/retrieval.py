@@ -37,12 +37,15 @@ class Bm25:
     weights: tuple[tuple[str, float], ...] = (("text", 1.0), ("heading_text", 0.4))
     idf_floor: float = 1e-6
     stem: bool = False
+    #: Decimals of a score, so that chunks of equal text tie whatever the order of sums.
+    digits: int = 9
 
     def terms(self, text: Column) -> Column:
         return stemmed(tokens(unaccented(text))) if self.stem else tokens(text)
 
-    def search(self, chunks: DataFrame, queries: DataFrame, k: int, visible: DataFrame | None = None) -> DataFrame:
-        """The ``k`` best chunks of each query that hold all of its terms: ``query_id, chunk_id, score, rank``.
+    def search(self, chunks: DataFrame, queries: DataFrame, k: int | None, visible: DataFrame | None = None) -> DataFrame:
+        """The ``k`` best chunks of each query that hold all of its terms: ``query_id, chunk_id, score, rank``;
+        without ``k`` all that do, not ranked.
 
         ``chunks`` has ``chunk_id`` and the fields; ``queries`` ``query_id, text``. Counts of
         documents and lengths are over all chunks; ``visible`` (``chunk_id``) then restricts
@@ -65,11 +68,11 @@ class Bm25:
         idf = F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         scored = tf.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
         part = F.greatest(idf, F.lit(self.idf_floor)) * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
-        found = asked.join(scored.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "n_terms", "chunk_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("hit"))
+        found = asked.join(scored.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "n_terms", "chunk_id").agg(F.round(F.sum("part"), self.digits).alias("score"), F.count(F.lit(1)).alias("hit"))
         found = found.where("hit = n_terms").drop("hit", "n_terms")
         if visible is not None:
             found = found.join(visible.select("chunk_id"), "chunk_id", "left_semi")
-        return top_k(found, k)
+        return found if k is None else top_k(found, k)
 
 
 def top_k(candidates: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -317,3 +320,36 @@ def promoted(definitions: DataFrame, ranked: DataFrame, visible: DataFrame) -> D
     joined = seen.join(known, ["query_id", "chunk_id"], "left")
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "chunk_id")
     return joined.select("query_id", "chunk_id", F.coalesce("__s", F.lit(0.0)).alias("score"), F.row_number().over(order).alias("rank"), F.col("__s").isNull().alias("cold"))
+
+
+# --- outcomes and estimates ---------------------------------------------------------------
+
+
+def outcomes(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``query_id, n, outcome`` of an exact search: ``satisfied`` with ``k`` rows, else the corpus has no more."""
+    per = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("__n"))
+    n = F.coalesce("__n", F.lit(0))
+    return queries.select("query_id").join(per, "query_id", "left").select("query_id", n.alias("n"), F.when(n >= k, "satisfied").otherwise("exhausted_corpus").alias("outcome"))
+
+
+def context_tokens(encoded: Column, factor: float = 1.2) -> Column:
+    """What a context of so many tokens of one encoding may take in another: a fifth more, and one."""
+    return (F.floor(encoded * factor) + 1).cast("long")
+
+
+def drifted(estimated: Column, measured: Column, most_below: float = 0.15) -> Column:
+    """Whether an estimate lies so far below what was measured that budgets no longer hold."""
+    return estimated < measured * (1 - most_below)
+
+
+def best_of_documents(hits: DataFrame, document: Column) -> DataFrame:
+    """Documents by their best chunk: ``query_id, chunk_id, score``, the document in place of the chunk."""
+    return hits.groupBy("query_id", document.alias("chunk_id")).agg(F.max("score").alias("score"))
+
+
+def leg_counts(legs: DataFrame, names: tuple[str, ...] = ("lexical", "dense")) -> DataFrame:
+    """Per query the rows of each leg, how many are in more than one, and whether a leg has none."""
+    per = legs.groupBy("query_id", "chunk_id").agg(*[F.count_if(F.col("leg") == n).alias(n) for n in names])
+    met = sum(((F.col(n) > 0).cast("int") for n in names[1:]), (F.col(names[0]) > 0).cast("int"))
+    out = per.groupBy("query_id").agg(*[F.sum(n).alias(f"n_{n}") for n in names], F.count_if(met > 1).alias("overlap"))
+    return out.withColumn("degraded", F.least(*[F.col(f"n_{n}") for n in names]) == 0)

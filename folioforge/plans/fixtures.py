@@ -61,11 +61,11 @@ CHUNKS = r"""chunks AS (SELECT doc_id || '-' || (p - 1) AS chunk_id, doc_id AS d
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's first two words, as a query."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 2).alias("text"))
+    """Each benchmark item's whole text, as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-QUESTIONS = "questions AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS text FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,3 +82,16 @@ COSINES = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS
 u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
 cosines AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, greatest(-1.0, least(1.0, list_dot_product(q.e, u.e))) AS score
   FROM u, u AS q WHERE q.vec_id % 50 = 0)"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of both kinds, ``query_id, text, vec``: every question and every fiftieth vector, the fewer of them in turn."""
+    b = table(spark, sf_dir, "benchmark")
+    counts = b.agg(F.count(F.lit(1)).alias("n")).crossJoin(vector_queries(spark, sf_dir).agg(F.count(F.lit(1)).alias("m")))  # one row each
+    every = counts.select("n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("n", "m") - 1)).alias("query_id")).where("n > 0 and m > 0")
+    placed = every.select("query_id", (F.col("query_id") % F.col("n")).alias("item_id"), (F.col("query_id") % F.col("m") * 50).alias("vec"))
+    return placed.join(b.select("item_id", "text"), "item_id").select("query_id", "text", "vec")
+
+
+ASKED = """pairs AS (SELECT unnest(range((SELECT greatest((SELECT count(*) FROM benchmark), (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0))))) AS query_id),
+both_asked AS (SELECT query_id, b.text, (query_id % (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0)) * 50 AS vec FROM pairs JOIN benchmark b ON b.item_id = query_id % (SELECT count(*) FROM benchmark))"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
 from folioforge.operators import retrieval as R
+from folioforge.operators import store as T
 from folioforge.plans import fixtures as fx
 
 QUERIES: dict = {}
@@ -38,8 +39,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    found = R.Bm25().search(fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir), 1 << 30).drop("rank")
-    return R.top_k(found.withColumn("score", F.round("score", 9)), k)
+    return R.Bm25().search(fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir), k)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
@@ -73,7 +73,7 @@ DENSE = f"WITH {fx.COSINES}, ranked AS (SELECT *, row_number() OVER (PARTITION B
 
 @query(f"{DENSE}) SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def ret09_dense_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.dense_exact(fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir), 1 << 30).drop("rank")
+    found = R.dense_exact(fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir), 12).drop("rank")
     return R.top_k(found.withColumn("score", F.round("score", 9)), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -105,35 +105,32 @@ def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {fx.CHUNKS}, {fx.DOCUMENTS}, {VISIBLE} SELECT (SELECT count(*) FROM chunks JOIN visible USING (document_id, publication_id)) AS live, (SELECT count(*) FROM chunks) AS stored, round((SELECT count(*) FROM chunks JOIN visible USING (document_id, publication_id)) / greatest((SELECT count(*) FROM chunks), 1), 6) AS fraction")
 def ret08_live_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.chunks(spark, sf_dir).select("document_id", "publication_id")
-    live = c.join(visible(spark, sf_dir).withColumn("seen", F.lit(1)), ["document_id", "publication_id"], "left")
-    return live.agg(F.count("seen").alias("live"), F.count(F.lit(1)).alias("stored")).withColumn("fraction", F.round(F.col("live") / F.greatest("stored", F.lit(1)), 6))
+    return T.live_fraction(fx.chunks(spark, sf_dir), visible(spark, sf_dir))
 
 
 @query(f"WITH {fx.CHUNKS}, {fx.DOCUMENTS}, {VISIBLE} SELECT chunk_id, document_id, publication_id, token_count FROM chunks JOIN visible USING (document_id, publication_id)")
 def flt08_visible_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-11, FLT-08 and JOI-02: hydration against the documents' own publication."""
-    return fx.chunks(spark, sf_dir).join(visible(spark, sf_dir), ["document_id", "publication_id"]).select("chunk_id", "document_id", "publication_id", "token_count")
+    return T.hydrated(fx.chunks(spark, sf_dir), visible(spark, sf_dir)).select("chunk_id", "document_id", "publication_id", "token_count")
 
 
-LEGS = f"""{BM25}, {fx.COSINES},
-lexical AS (SELECT query_id, 'lexical' AS leg, document_id AS chunk_id, round(max(score), 9) AS score FROM ranked JOIN chunks USING (chunk_id) GROUP BY ALL),
-vq AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS i, count(*) OVER () AS n FROM questions),
-dense AS (SELECT vq.query_id, 'dense' AS leg, c.chunk_id, round(c.score, 9) AS score FROM vq JOIN cosines c ON c.query_id = ((vq.i - 1) % 10) * 50),
+LEGS = f"""{BM25.replace("FROM questions", "FROM both_asked").replace(fx.QUESTIONS, fx.ASKED)}, {fx.COSINES},
+lexical AS (SELECT query_id, 'lexical' AS leg, document_id AS chunk_id, max(round(score, 9)) AS score FROM hits JOIN chunks USING (chunk_id) GROUP BY ALL),
+dense AS (SELECT a.query_id, 'dense' AS leg, c.chunk_id, round(c.score, 9) AS score FROM both_asked a JOIN cosines c ON c.query_id = a.vec),
 legs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, chunk_id) AS r FROM (SELECT * FROM lexical UNION ALL SELECT * FROM dense)) WHERE r <= 50),
 fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score, count(*) AS n_legs FROM legs GROUP BY ALL)"""
 
 
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by their best chunk, and the vectors of the same ids."""
-    bm = _bm25(spark, sf_dir, 1 << 30)
-    lexical = bm.groupBy("query_id", F.substring_index("chunk_id", "-", 1).cast("long").alias("chunk_id")).agg(F.round(F.max("score"), 9).alias("score")).withColumn("leg", F.lit("lexical"))
-    q = fx.questions(spark, sf_dir).select("query_id", ((F.row_number().over(Window.orderBy("query_id")) - 1) % 10 * 50).alias("vec"))
-    pairs = R.dense_exact(fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir).where("query_id < 500"), 1 << 30)
-    dense = pairs.withColumnRenamed("query_id", "vec").join(q, "vec").select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.lit("dense").alias("leg"))
-    both = lexical.unionByName(dense)
+    """Documents by their best chunk, and the vectors of the same ids: fifty of each leg."""
+    asked = fx.asked(spark, sf_dir)
+    hits = R.Bm25().search(fx.chunks(spark, sf_dir), asked, None)
+    lexical = R.best_of_documents(hits, F.substring_index("chunk_id", "-", 1).cast("long")).withColumn("leg", F.lit("lexical"))
+    # Some more than fifty, as ranks are by rounded scores.
+    near = R.dense_batched(fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir), 60).withColumnRenamed("query_id", "vec")
+    dense = near.join(asked.select("query_id", "vec"), "vec").select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.lit("dense").alias("leg"))
     order = Window.partitionBy("query_id", "leg").orderBy(F.desc("score"), "chunk_id")
-    return both.withColumn("r", F.row_number().over(order)).where("r <= 50").drop("r")
+    return lexical.unionByName(dense).withColumn("r", F.row_number().over(order)).where("r <= 50").drop("r")
 
 
 @query(f"WITH {LEGS} SELECT query_id, chunk_id, round(score, 6) AS score, n_legs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10")
@@ -148,10 +145,7 @@ SQL["flagship"] = SQL["ret13_hybrid_rrf"]
 
 @query(f"WITH {LEGS} SELECT query_id, count(*) FILTER (leg = 'lexical') AS n_lexical, count(*) FILTER (leg = 'dense') AS n_dense, count(*) - count(DISTINCT chunk_id) AS overlap, count(DISTINCT leg) < 2 AS degraded FROM legs GROUP BY query_id")
 def ret35_fusion_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = _legs(spark, sf_dir)
-    per = legs.groupBy("query_id", "chunk_id").agg(F.count_if(F.col("leg") == "lexical").alias("l"), F.count_if(F.col("leg") == "dense").alias("d"))
-    out = per.groupBy("query_id").agg(F.sum("l").alias("n_lexical"), F.sum("d").alias("n_dense"), F.count_if((F.col("l") > 0) & (F.col("d") > 0)).alias("overlap"))
-    return out.withColumn("degraded", (F.col("n_lexical") == 0) | (F.col("n_dense") == 0))
+    return R.leg_counts(_legs(spark, sf_dir))
 
 
 @query(f"""WITH {LEGS}, a AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS position FROM legs WHERE leg = 'dense'),
@@ -259,4 +253,19 @@ def ret10_ann_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {fx.DOCUMENTS} SELECT status, count(*) AS n FROM docs WHERE NOT deleted GROUP BY status")
 def ret17_utility_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.documents(spark, sf_dir).where(~F.col("deleted")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return T.status_counts(fx.documents(spark, sf_dir))
+
+
+@query(f"WITH {fx.COSINES}, n AS (SELECT query_id, count(*) FILTER (greatest(score, 0) >= 0.35) AS n FROM cosines GROUP BY query_id) SELECT query_id, least(n, 8) AS n, CASE WHEN n >= 8 THEN 'satisfied' ELSE 'exhausted_corpus' END AS outcome FROM n")
+def ret07_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-07: an exact search ends satisfied or with the corpus exhausted, never by a guess."""
+    asked = fx.vector_queries(spark, sf_dir)
+    return R.outcomes(asked, R.dense_batched(fx.vectors(spark, sf_dir), asked, 8, 0.35), 8)
+
+
+@query(f"WITH {fx.CHUNKS} SELECT chunk_id, CAST(floor(token_count * 1.2) AS BIGINT) + 1 AS estimate, floor(token_count * 1.2) + 1 < length(text) / 4.0 * 0.85 AS drifted FROM chunks")
+def ret26_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-26: what a passage takes of a context, and where that falls short of a rule by characters."""
+    c = fx.chunks(spark, sf_dir)
+    estimate = R.context_tokens(F.col("token_count"))
+    return c.select("chunk_id", estimate.alias("estimate"), R.drifted(estimate, F.length("text") / 4.0).alias("drifted"))
