@@ -294,7 +294,7 @@ def in_blocks(rows: DataFrame, sizes: DataFrame, most: int, find: Find) -> tuple
     placed = rows.join(sizes, "key").withColumn("block", own)
     # About four times as many as are wanted, by a hash limit; only those are ranked.
     draw = F.pmod(F.xxhash64("id", "key", F.lit(SEED + 1)), F.lit(1 << 30))
-    few = placed.withColumn("draw", draw).where(F.col("draw") * F.col("n") < F.lit(4 * REPS << 30))
+    few = placed.withColumn("draw", draw).where(F.col("draw").cast("double") * F.col("n") < float(4 * REPS << 30))
     order = Window.partitionBy("key").orderBy("draw", "id")
     reps = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= REPS)
     reps = reps.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
