@@ -1,14 +1,17 @@
 """The engine: a corpus in a directory of Parquet tables, and the verbs that work on it.
 
-Every table is a set of immutable versions below one root; a small pointer file names the
-current one. A write makes a new version and then moves the pointer, so readers see the old
-rows until it is whole, and a job that dies leaves the corpus as it was. One writer at a
-time is assumed, as there is no lock; the pointer is compared before it is moved, and a
-writer that finds another version there is told that it is superseded.
+Every table is a set of immutable versions below one root, and one pointer names the current
+version of all of them: a small file with a number, of which the highest counts. A write makes
+new versions of the tables it changes and then the pointer with the next number, which can be
+made only once. So readers see all of a write or nothing of it, a job that dies at any point
+leaves the corpus as it was, and of two writers that began together the second is told that it
+is superseded.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.hashing import content_hash, embedding_identity, fingerprint
 from folioforge.functions.hashing import chunk_id as chunk_id_of
 from folioforge.functions.hashing import document_id as document_id_of
-from folioforge.operators import analytics, chunking, corpus, embedding, parsing, retrieval
+from folioforge.operators import analytics, chunking, corpus, embedding, lifecycle, parsing, retrieval, store
 from folioforge.sources import filesystem
 
 
@@ -60,6 +63,7 @@ class Engine:
     embed_name: str = "hashing-64"
     budget: chunking.Budget = field(default_factory=chunking.Budget)
     cached: int = 512
+    cache_seconds: float = 300.0
     _cache: OrderedDict = field(default_factory=OrderedDict)
 
     # --- tables ---
@@ -69,32 +73,53 @@ class Engine:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self, table: str) -> str | None:
-        p, fs = self._fs(f"{self.root}/{table}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.root}/{table}/CURRENT").first()[0]
+    def state(self) -> tuple[int, dict[str, str]]:
+        """The number of the current pointer (0 before the first write) and the version of each table."""
+        folder, fs = self._fs(f"{self.root}/_current")
+        if not fs.exists(folder):
+            return 0, {}
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        top = max(numbers)
+        return top, json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/_current/{top:012}", wholetext=True).collect()))
 
     def table(self, name: str) -> DataFrame | None:
-        v = self.version(name)
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{name}/{v}")
-
-    def publish(self, name: str, rows: DataFrame, expected: str | None) -> str:
-        """Write a version and move the pointer, if it is still where it was expected."""
-        new = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{name}/{new}")
-        if self.version(name) != expected:
-            raise Superseded(name)
-        p, fs = self._fs(f"{self.root}/{name}/CURRENT.{new}")
-        out = fs.create(p, True)
-        out.write(bytearray(new.encode()))
+        version = self.state()[1].get(name)
+        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
+
+    def publish(self, changes: dict[str, DataFrame], expected: int) -> int:
+        """Write new versions of some tables, then the pointer that follows number ``expected``, if there is none yet."""
+        now, versions = self.state()
+        if now != expected:
+            raise Superseded(f"{now} instead of {expected}")
+        for name, rows in changes.items():
+            versions[name] = uuid.uuid4().hex
+            rows.write.parquet(f"{self.root}/{name}/{versions[name]}")
+        return self._point(expected + 1, versions)
+
+    def _point(self, number: int, versions: dict[str, str]) -> int:
+        """The pointer is written beside its place and then given its number, which fails if that is taken."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        made, fs = self._fs(f"{self.root}/_current/.{uuid.uuid4().hex}")
+        out = fs.create(made, False)
+        out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
         out.close()
-        current, _ = self._fs(f"{self.root}/{name}/CURRENT")
-        if expected is not None:
-            fs.delete(current, False)
-        fs.rename(p, current)
+        target, _ = self._fs(f"{self.root}/_current/{number:012}")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(kind, 1)
+        how[0] = kind.NONE
+        try:
+            files.rename(made, target, how)
+        except Exception as e:
+            fs.delete(made, False)
+            if fs.exists(target):
+                raise Superseded(f"another writer has made {number}") from e
+            raise
         self._cache.clear()
-        return new
+        return number
 
     def fingerprints(self) -> dict[str, str]:
         b = self.budget
@@ -103,66 +128,93 @@ class Engine:
     # --- indexing ---
 
     def index_path(self, path: str, source: str = "files") -> dict[str, int]:
-        """Take in a directory: files that are new or changed are parsed, chunked and embedded; the rest stays."""
+        """Take in a directory: files that are new or changed are read, parsed, chunked and embedded; the rest is only listed."""
         found = filesystem.discover(self.spark, path)
+        old = self.table("documents")
+        if old is not None:
+            same = self._fresh(old).where(F.col("source") == source).select("source_id", "version_token")
+            found = found.join(same, ["source_id", "version_token"], "left_anti")
         raw = filesystem.fetch(self.spark, path, found.drop("length"))
         rows = raw.select(F.lit(source).alias("source"), "source_id", F.col("path").alias("uri"), "media_type", "version_token", "content")
         return self.index(rows)
 
+    def _fresh(self, documents: DataFrame) -> DataFrame:
+        """Live documents that didn't fail and were made under today's fingerprints."""
+        same = documents.where(~F.col("deleted") & (F.col("status") != "failed"))
+        for name, value in self.fingerprints().items():
+            same = same.where(F.col(name) == value)
+        return same
+
     def index(self, raw: DataFrame) -> dict[str, int]:
         """Take in ``source, source_id, uri, media_type, version_token, content``.
 
-        A row whose token and content are those already indexed under the current fingerprints
-        is skipped; a row that fails is recorded and keeps its last good chunks.
+        A row whose content is that already indexed under the current fingerprints is skipped; a row that
+        fails is recorded and keeps its last good chunks. Chunks, vectors, history and documents are
+        published together.
         """
-        old, old_version = self.table("documents"), self.version("documents")
+        began, _ = self.state()
+        old = self.table("documents")
         fps = self.fingerprints()
         raw = raw.withColumn("document_id", document_id_of(F.lit(self.workspace), "source", "source_id")).withColumn("content_hash", content_hash("content"))
         if old is not None:
-            same = old.where(~F.col("deleted") & (F.col("status") != "failed"))
-            for name, value in fps.items():
-                same = same.where(F.col(name) == value)
-            raw = raw.join(same.select("document_id", "content_hash"), ["document_id", "content_hash"], "left_anti")
+            raw = raw.join(self._fresh(old).select("document_id", "content_hash"), ["document_id", "content_hash"], "left_anti")
         parsed = parsing.parsed(raw).join(raw.drop("content"), "document_id")
         docs = parsed.select(
             "document_id", "source", "source_id", "uri", "media_type", "version_token", "content_hash", "blocks",
             F.when(F.col("status") == "parsed", "indexed").otherwise(F.col("status")).alias("status"), F.when(F.col("status") == "failed", "parse").alias("failed_stage"), F.when(F.col("detail") != "", F.col("detail")).alias("status_detail"),
             F.lit(False).alias("deleted"), F.lit(None).cast("timestamp").alias("deleted_at"), F.current_timestamp().alias("updated_at"), *[F.lit(v).alias(k) for k, v in fps.items()],
         )
-        new_version = uuid.uuid4().hex
-        docs.write.parquet(f"{self.root}/incoming/{new_version}")
-        docs = self.spark.read.parquet(f"{self.root}/incoming/{new_version}")
+        docs = self._built("incoming", docs)
         good = docs.where("status = 'indexed'")
         chunks = chunking.chunked(good.select("document_id", F.regexp_extract("source_id", "([^/]+)$", 1).alias("title"), "blocks"), self.budget)
         chunks = chunks.withColumn("chunk_id", chunk_id_of("document_id", "position", "text")).withColumn("heading_text", F.array_join("heading_path", " > ")).withColumn("identity", embedding_identity("document_id", F.lit(fps["embed_fp"]), "embed_text"))
-        chunk_version = self.version("chunks")
         kept = self.table("chunks")
-        chunks = chunks if kept is None else kept.join(good.select("document_id"), "document_id", "left_anti").unionByName(chunks)
-        self.publish("chunks", chunks, chunk_version)
-        self._embed()
+        chunks = self._built("building", chunks if kept is None else kept.join(good.select("document_id"), "document_id", "left_anti").unionByName(chunks))
         revisions = docs.where("status = 'indexed'").select("document_id", F.col("updated_at").alias("at"), "content_hash")
         before = self.table("history")
-        self.publish("history", revisions if before is None else before.unionByName(revisions), self.version("history"))
         rows = docs.drop("blocks")
-        self.publish("documents", rows if old is None else corpus.upserted(old, rows, ["document_id"]), old_version)
+        self.publish(
+            {
+                "chunks": chunks,
+                "vectors": self._vectors(chunks),
+                "history": revisions if before is None else before.unionByName(revisions),
+                "documents": rows if old is None else corpus.upserted(old, rows, ["document_id"]),
+            },
+            began,
+        )
         return {r["status"]: r["count"] for r in docs.groupBy("status").count().collect()}
 
-    def _embed(self) -> None:
-        """Vectors of all chunks: those whose input is the same are taken, the others made."""
-        chunks = self.table("chunks").select("chunk_id", "identity", "embed_text", "document_id", "kind")
+    def _built(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows written beside the tables, for what reads them several times."""
+        at = f"{self.root}/_{name}/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.parquet(at)
+
+    def _vectors(self, chunks: DataFrame) -> DataFrame:
+        """Vectors of all chunks: those whose input is the same are taken, the others made; checked before they are published."""
+        embedding.require_within(chunks, self.budget.most)
+        wanted = chunks.select("chunk_id", "identity", "embed_text", "document_id", "kind")
         stored = self.table("vectors")
         empty = self.spark.createDataFrame([], "chunk_id string, identity string, vector array<float>")
-        made = embedding.embed_or_reuse(chunks, empty if stored is None else stored.select("chunk_id", "identity", "vector"), self.embed)
-        rows = made.join(chunks.drop("embed_text"), "chunk_id").withColumn("checksum", F.lit(None).cast("string"))
-        self.publish("vectors", embedding.backfilled(rows), self.version("vectors"))
+        made = embedding.embed_or_reuse(wanted, empty if stored is None else stored.select("chunk_id", "identity", "vector"), self.embed)
+        rows = made.join(wanted.drop("embed_text"), "chunk_id").withColumn("checksum", F.lit(None).cast("string"))
+        built = self._built("building", embedding.backfilled(rows))
+        problems = lifecycle.rebuild_problems(wanted.select("chunk_id", F.lit("derive").alias("action")), built, "chunk_id")
+        if (bad := problems.first()) is not None:
+            raise Incompatible(f"a generation of vectors with faults, as {bad['chunk_id']}: {bad['problem']}")
+        return built
 
     def reembed(self) -> None:
-        """Make every vector anew beside the old ones, then switch."""
+        """Make every vector anew beside the old ones, check them, then switch chunks, vectors and documents at once."""
+        began, _ = self.state()
         fp = self.fingerprints()["embed_fp"]
-        chunks = self.table("chunks").withColumn("identity", embedding_identity("document_id", F.lit(fp), "embed_text"))
-        self.publish("chunks", chunks, self.version("chunks"))
-        self._embed()
-        self.publish("documents", self.table("documents").withColumn("embed_fp", F.lit(fp)), self.version("documents"))
+        chunks = self._built("building", self.table("chunks").withColumn("identity", embedding_identity("document_id", F.lit(fp), "embed_text")))
+        self.publish({"chunks": chunks, "vectors": self._vectors(chunks), "documents": self.table("documents").withColumn("embed_fp", F.lit(fp))}, began)
+
+    def rebuild_plan(self, bodies: DataFrame, most_bytes: int = 1 << 28) -> DataFrame:
+        """What a rebuild from ``bodies`` (``document_id, bytes``) would keep, derive and refuse."""
+        docs = self.table("documents").withColumn("blob", F.col("document_id"))
+        return lifecycle.rebuild_plan(docs, bodies.select(F.col("document_id").alias("blob"), "bytes"), most_bytes, self.fingerprints())
 
     def stale(self) -> DataFrame:
         """Documents made under other fingerprints than today's."""
@@ -171,18 +223,22 @@ class Engine:
     def checksum(self) -> dict[str, int]:
         return {r["integrity"]: r["count"] for r in embedding.integrity(self.table("vectors")).groupBy("integrity").count().collect()}
 
-    def gc(self) -> dict[str, int]:
-        """Drop the chunks and vectors of documents that are gone for good."""
-        docs = self.table("documents").where("status <> 'purged'").select("document_id")
-        out = {}
+    def sweep(self, grace_days: int = 30) -> dict[str, int]:
+        """Purge what has been in the trash for longer than the grace period, with its chunks and vectors."""
+        began, _ = self.state()
+        docs = lifecycle.swept(self.table("documents"), F.current_timestamp(), grace_days)
+        kept = docs.where("not purged").drop("purged")
+        out, changes = {"documents": docs.where("purged").count()}, {"documents": kept}
         for name in ("chunks", "vectors"):
             t = self.table(name)
-            kept = t.join(docs, "document_id", "left_semi")
-            out[name] = t.count() - kept.count()
-            if out[name]:
-                self.publish(name, kept, self.version(name))
+            changes[name] = t.join(kept.select("document_id"), "document_id", "left_semi")
+            out[name] = t.join(kept.select("document_id"), "document_id", "left_anti").count()
+        if any(out.values()):
+            self.publish(changes, began)
         return out
 
+    gc = sweep
+
     # --- documents ---
 
     def visible(self) -> DataFrame:
@@ -192,18 +248,68 @@ class Engine:
         d = self.table("documents").where(~F.col("deleted")).where(filter.predicate())
         return d.orderBy(F.desc("updated_at"), "document_id").offset(offset).limit(limit)
 
-    def _marked(self, ids: list[str], deleted: bool) -> None:
-        d = self.table("documents")
-        hit = F.col("document_id").isin(*ids)
+    def _marked(self, hit: DataFrame, deleted: bool) -> None:
+        began, _ = self.state()
+        d = self.table("documents").join(hit.select("document_id").distinct().withColumn("__hit", F.lit(True)), "document_id", "left")
+        is_hit = F.coalesce("__hit", F.lit(False))
         now = F.current_timestamp() if deleted else F.lit(None).cast("timestamp")
-        self.publish("documents", d.withColumn("deleted_at", F.when(hit, now).otherwise(F.col("deleted_at"))).withColumn("deleted", F.when(hit, deleted).otherwise(F.col("deleted"))), self.version("documents"))
+        marked = d.withColumn("deleted_at", F.when(is_hit, now).otherwise(F.col("deleted_at"))).withColumn("deleted", F.when(is_hit, deleted).otherwise(F.col("deleted")))
+        self.publish({"documents": marked.drop("__hit")}, began)
 
     def document_delete(self, ids: list[str]) -> None:
         """Into the trash, from where it may be restored."""
-        self._marked(ids, True)
+        self._marked(self.spark.createDataFrame([(i,) for i in ids], "document_id string"), True)
 
-    def document_restore(self, ids: list[str]) -> None:
-        self._marked(ids, False)
+    def document_restore(self, ids: list[str], grace_days: int = 30) -> dict[str, str]:
+        """Back from the trash, unless the grace period is over or a rival has the same identity: the verdict of each."""
+        d = self.table("documents")
+        wanted = d.where("deleted").join(self.spark.createDataFrame([(i,) for i in ids], "document_id string"), "document_id", "left_semi")
+        verdicts = lifecycle.restorable(wanted, d.where("not deleted"), ["source", "source_id"], F.current_timestamp(), grace_days).collect()
+        good = [(r["document_id"],) for r in verdicts if r["verdict"] == "restored"]
+        if good:
+            self._marked(self.spark.createDataFrame(good, "document_id string"), False)
+        return {r["document_id"]: r["verdict"] for r in verdicts}
+
+    # --- organisation ---
+
+    def _changed(self, name: str, rows: list[tuple], schema: str, keys: list[str], add: bool) -> None:
+        began, _ = self.state()
+        now, new = self.table(name), self.spark.createDataFrame(rows, schema)
+        if now is None:
+            now = self.spark.createDataFrame([], schema)
+        self.publish({name: corpus.appended(now, new, keys) if add else now.join(new, keys, "left_anti")}, began)
+
+    def collect(self, collection: str, ids: list[str]) -> None:
+        """Put documents into a collection; being there already is no error."""
+        self._changed("memberships", [(collection, i) for i in ids], "collection_id string, document_id string", ["collection_id", "document_id"], True)
+
+    def uncollect(self, collection: str, ids: list[str]) -> None:
+        self._changed("memberships", [(collection, i) for i in ids], "collection_id string, document_id string", ["collection_id", "document_id"], False)
+
+    def tag(self, ids: list[str], tags: list[str]) -> None:
+        self._changed("tags", [(i, t) for i in ids for t in tags], "document_id string, tag string", ["document_id", "tag"], True)
+
+    def untag(self, ids: list[str], tags: list[str]) -> None:
+        self._changed("tags", [(i, t) for i in ids for t in tags], "document_id string, tag string", ["document_id", "tag"], False)
+
+    def relate(self, edges: list[tuple[str, str, str]]) -> None:
+        """``src, dst, kind`` of related documents, read from both ends."""
+        self._changed("relations", edges, "src string, dst string, kind string", ["src", "dst", "kind"], True)
+
+    def unrelate(self, edges: list[tuple[str, str, str]]) -> None:
+        self._changed("relations", edges, "src string, dst string, kind string", ["src", "dst", "kind"], False)
+
+    def related(self) -> DataFrame:
+        return corpus.related(self.table("relations"), self.visible().select(F.col("document_id").alias("id")))
+
+    def scope(self, collections: tuple[str, ...] = (), tags: tuple[str, ...] = ()) -> DataFrame:
+        """Visible documents in any of the collections and with all of the tags."""
+        out = [self.visible().select("document_id")]
+        if collections:
+            out.append(self.table("memberships").where(F.col("collection_id").isin(*collections)))
+        if tags:
+            out.append(corpus.in_all(self.table("tags"), "tag", tags))
+        return corpus.scoped(out)
 
     def trash(self, grace_days: int = 30) -> DataFrame:
         until = F.col("deleted_at") + F.make_dt_interval(F.lit(grace_days))
@@ -214,16 +320,11 @@ class Engine:
         live = self.table("documents").where((F.col("source") == source) & ~F.col("deleted"))
         plan = corpus.reconciled(live, seen, "source_id", most_share).first().asDict()
         if plan["outcome"] == "applied" and plan["missing"]:
-            gone = live.join(seen.select("source_id"), "source_id", "left_anti").select("document_id").withColumn("__gone", F.lit(True))
-            d = self.table("documents").join(gone, "document_id", "left")
-            hit = F.col("__gone").isNotNull()
-            self.publish("documents", d.withColumn("deleted_at", F.when(hit, F.current_timestamp()).otherwise(F.col("deleted_at"))).withColumn("deleted", hit | F.col("deleted")).drop("__gone"), self.version("documents"))
+            self._marked(lifecycle.not_in_inventory(live, seen, "source_id"), True)
         return plan
 
     def stats(self) -> DataFrame:
-        kinds = ("source", "media_type", "status")
-        d = self.table("documents").where("not deleted").groupingSets([[k] for k in kinds], *kinds).agg(F.count(F.lit(1)).alias("n"))
-        return d.select(F.when(F.col("source").isNotNull(), "source").when(F.col("media_type").isNotNull(), "media_type").otherwise("status").alias("dimension"), F.coalesce(*kinds).alias("value"), "n")
+        return store.statistics(self.table("documents").where("not deleted"))
 
     def versions(self) -> DataFrame:
         return corpus.versions(self.table("history"))
@@ -232,8 +333,48 @@ class Engine:
         return analytics.glossary(self.table("chunks").join(self.visible().select("document_id"), "document_id", "left_semi"))
 
     def export(self, path: str) -> None:
-        self.visible().write.json(f"{path}/documents")
-        self.table("chunks").join(self.visible().select("document_id"), "document_id", "left_semi").write.json(f"{path}/chunks")
+        store.exported(self.visible(), f"{path}/documents")
+        store.exported(self.table("chunks").join(self.visible().select("document_id"), "document_id", "left_semi"), f"{path}/chunks")
+
+    def import_(self, path: str) -> int:
+        """Take in an export of this or another corpus: its documents and chunks replace those of the same ids.
+        Returns the number of documents; their vectors are made here."""
+        began, _ = self.state()
+        docs, chunks = self.table("documents"), self.table("chunks")
+        if docs is None:
+            raise Incompatible("a corpus without tables has no schema to import into")
+        new = store.imported(self.spark, f"{path}/documents", docs.schema)
+        their = store.imported(self.spark, f"{path}/chunks", chunks.schema)
+        together = self._built("building", chunks.join(new.select("document_id"), "document_id", "left_anti").unionByName(their))
+        self.publish({"documents": corpus.upserted(docs, new, ["document_id"]), "chunks": together, "vectors": self._vectors(together)}, began)
+        return new.count()
+
+    def backup(self, path: str) -> None:
+        """The tables of one state, and an inventory of their rows' digests."""
+        _, versions = self.state()
+        for name in versions:
+            rows = self.table(name)
+            rows.write.parquet(f"{path}/{name}")
+            rows.select(F.lit(name).alias("table"), F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("sha256")).groupBy("table", "sha256").count().write.mode("append").parquet(f"{path}/_inventory")
+
+    def verify_backup(self, path: str) -> DataFrame:
+        """``table, sha256, state`` of rows that the backup lacks or has too much of; empty if it is whole."""
+        listed = self.spark.read.parquet(f"{path}/_inventory")
+        found = []
+        for r in listed.select("table").distinct().collect():
+            rows = self.spark.read.parquet(f"{path}/{r[0]}")
+            found.append(rows.select(F.lit(r[0]).alias("table"), F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("sha256")).groupBy("table", "sha256").count())
+        now = reduce(DataFrame.unionByName, found).withColumnRenamed("count", "__now")
+        joined = listed.join(now, ["table", "sha256"], "full_outer").where(~F.col("count").eqNullSafe(F.col("__now")))
+        return joined.select("table", "sha256", F.when(F.col("count").isNull(), "new").otherwise("missing").alias("state"))
+
+    def restore_backup(self, path: str) -> int:
+        """The backup's tables as the next state, if the backup is whole."""
+        began, _ = self.state()
+        if not self.verify_backup(path).isEmpty():
+            raise Incompatible("the backup differs from its inventory")
+        names = [r[0] for r in self.spark.read.parquet(f"{path}/_inventory").select("table").distinct().collect()]
+        return self.publish({n: self.spark.read.parquet(f"{path}/{n}") for n in names}, began)
 
     # --- search ---
 
@@ -260,18 +401,36 @@ class Engine:
         if rerank:
             fused = retrieval.overlap_rerank(fused, chunks, queries, k).withColumn("n_legs", F.lit(None).cast("long"))
         hits = fused.where(F.col("rank") <= limit)
+        # The join is the re-check of the scope: a hit outside it has no row to be shown with.
         return hits.join(live.select("chunk_id", "document_id", "text", "token_count"), "chunk_id").select("query_id", "chunk_id", "document_id", "text", "token_count", "score", "n_legs", "rank")
 
     def ask_one(self, text: str, **how) -> list[dict]:
-        """One query's hits as rows, kept for the corpus as it is now."""
-        key = (self.version("documents"), self.version("vectors"), text, tuple(sorted((k, str(v)) for k, v in how.items())))
-        if key not in self._cache:
+        """One query's hits as rows, kept for some minutes and for the corpus as it is now; each call is logged."""
+        key = (self.state()[0], json.dumps(self.fingerprints(), sort_keys=True), text, tuple(sorted((k, str(v)) for k, v in how.items())))
+        began = time.monotonic()
+        held = self._cache.get(key)
+        cached = held is not None and began - held[0] < self.cache_seconds
+        if not cached:
             q = self.spark.createDataFrame([(0, text)], "query_id int, text string")
-            self._cache[key] = [r.asDict() for r in self.search(q, **how).orderBy("rank").collect()]
+            hits = [r.asDict() for r in self.search(q, **how).orderBy("rank").collect()]
+            self._cache[key] = (began, hits)
             while len(self._cache) > self.cached:
                 self._cache.popitem(last=False)
         self._cache.move_to_end(key)
-        return self._cache[key]
+        hits = self._cache[key][1]
+        self._log(text, str(how.get("profile", "balanced")), [h["chunk_id"] for h in hits], cached, int(1000 * (time.monotonic() - began)))
+        return hits
+
+    LOG = "query string, profile string, chunk_ids array<string>, cached boolean, response_time_ms int, created_at timestamp"
+
+    def _log(self, *row) -> None:
+        rows = self.spark.createDataFrame([(*row, None)], self.LOG).withColumn("created_at", F.current_timestamp())
+        rows.coalesce(1).write.mode("append").json(f"{self.root}/_query_log")
+
+    def query_log(self, limit: int = 50, offset: int = 0) -> DataFrame:
+        """The latest queries, each with the total."""
+        log = self.spark.read.schema(self.LOG).json(f"{self.root}/_query_log")
+        return store.page_with_total(log, [F.desc("created_at"), F.col("query")], offset, limit)
 
     def context(self, hits: DataFrame, profile: str = "balanced") -> DataFrame:
         p = PROFILES[profile]

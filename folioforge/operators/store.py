@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioforge.plans.scratch import written
 
@@ -41,6 +43,18 @@ def page_with_total(rows: DataFrame, order: list[Column], offset: int, limit: in
     return page.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
 
 
+def streamed(rows: DataFrame, at_once: int) -> Iterator[list[Row]]:
+    """Rows in lists of ``at_once``, a partition at a time: the driver holds that and no more."""
+    held: list[Row] = []
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == at_once:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 # --- counting ---
 
 
@@ -194,7 +208,7 @@ def exported(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
-def imported(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def imported(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON lines of a schema; a malformed line fails the read and is never skipped."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 

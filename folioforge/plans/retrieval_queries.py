@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
+from folioforge.operators import ann
 from folioforge.operators import retrieval as R
 from folioforge.operators import store as T
 from folioforge.plans import fixtures as fx
@@ -269,3 +270,22 @@ def ret26_token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = fx.chunks(spark, sf_dir)
     estimate = R.context_tokens(F.col("token_count"))
     return c.select("chunk_id", estimate.alias("estimate"), R.drifted(estimate, F.length("text") / 4.0).alias("drifted"))
+
+
+@query("SELECT vec_id AS chunk_id, 1 AS n FROM embeddings")
+def ret10_ann_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-10: the built index holds every vector once."""
+    index = ann.build(fx.vectors(spark, sf_dir))
+    return index.table(spark).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id AS query_id, 10 AS n, true AS finds_itself FROM embeddings WHERE vec_id % 50 = 0")
+def ret10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-10: a search of the index over as many partitions as reach a recall of 0.9 on the stated queries."""
+    v, q = fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    index = ann.build(v)
+    probes, reached = ann.calibrated(spark, index, v, q, 10)
+    if reached < 0.9:
+        raise RuntimeError(f"recall {reached} with all {probes} partitions")
+    found = ann.search(spark, index, q, 10, probes)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), (F.count_if((F.col("chunk_id") == F.col("query_id")) & (F.col("rank") == 1)) == 1).alias("finds_itself"))

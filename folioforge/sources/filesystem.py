@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,12 +48,25 @@ def discover(spark: SparkSession, root: str, hidden: bool = False, most_bytes: i
     return rows.select("path", "source_id", media_type(F.col("path")).alias("media_type"), version_token(F.unix_micros("modificationTime"), F.col("length")).alias("version_token"), "length")
 
 
-def fetch(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Content of the discovered files in ``wanted``; nothing outside ``root`` can be named."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def fetch(spark: SparkSession, root: str, wanted: DataFrame, most_listed: int = 10_000) -> DataFrame:
+    """Content of the discovered files in ``wanted``; nothing outside ``root`` can be named.
+
+    Up to ``most_listed`` files are read by their names, so an almost unchanged corpus costs as much as
+    its changes; beyond that all of ``root`` is read once and joined.
+    """
+    listed = [r[0] for r in wanted.select("path").limit(most_listed + 1).collect()]
+    if not listed:
+        return wanted.select("path").withColumn("content", F.lit(None).cast("binary")).join(wanted, "path").limit(0)
+    reader = spark.read.format("binaryFile")
+    files = reader.load([_escaped(p) for p in listed]) if len(listed) <= most_listed else reader.option("recursiveFileLookup", "true").load(root)
     return files.select("path", "content").join(wanted, "path")
 
 
+def _escaped(path: str) -> str:
+    """A path that names itself where patterns are read."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def version_token(*stamps: Column) -> Column:
     return F.concat_ws("+", *[s.cast("string") for s in stamps])
 

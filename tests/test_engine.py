@@ -42,7 +42,11 @@ def test_unchanged_files_are_skipped_and_changed_ones_versioned(engine):
     (engine.src / "b.txt").write_text("The southern office has sold the archive.")
     assert engine.index_path(str(engine.src))["indexed"] == 1
     assert engine.versions().groupBy("document_id").count().agg(F.max("count")).first()[0] == 2
-    assert engine.ask_one("sold archive") is engine.ask_one("sold archive")
+    first = engine.ask_one("sold archive")
+    assert engine.ask_one("sold archive") is first
+    assert [(r["cached"], r["total"]) for r in engine.query_log().collect()] == [(True, 2), (False, 2)]
+    engine.cache_seconds = 0
+    assert engine.ask_one("sold archive") is not first
 
 
 def test_trash_restore_reconcile(engine):
@@ -65,8 +69,74 @@ def test_reembed_and_fences(engine):
     other.reembed()
     assert ask(other, "maps")
     with pytest.raises(Superseded):
-        engine.publish("documents", engine.table("documents"), "elsewhere")
+        engine.publish({"documents": engine.table("documents")}, -5)
     with pytest.raises(ValueError):
         Profile(candidates=3, final_top_k=5)
     with pytest.raises(ValueError):
         folded([("a", lambda d: d), ("a", lambda d: d)], engine.spark.range(1))
+
+
+def test_a_write_that_dies_changes_nothing(engine, monkeypatch):
+    """Whatever step fails, readers see the state before, and the next write goes on from it."""
+    before, docs = engine.state(), engine.table("documents").count()
+    raw = engine.spark.createDataFrame([("files", "new.txt", "u", "text/plain", "1", bytearray(b"The eastern office opened."))], "source string, source_id string, uri string, media_type string, version_token string, content binary")
+    for step in ("_built", "_vectors", "_point"):
+        with monkeypatch.context() as m:
+            m.setattr(type(engine), step, lambda self, *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                engine.index(raw)
+        assert engine.state() == before and engine.table("documents").count() == docs
+    assert engine.index(raw) == {"indexed": 1} and engine.table("documents").count() == docs + 1
+    assert engine.checksum() == {"verified": engine.table("chunks").count()}
+
+
+def test_of_two_writers_one_is_superseded(engine):
+    number, versions = engine.state()
+    engine._point(number + 1, versions)
+    with pytest.raises(Superseded):
+        engine._point(number + 1, versions)
+    with pytest.raises(Superseded):
+        engine.publish({"documents": engine.table("documents")}, number)
+    assert engine.state() == (number + 1, versions)
+
+
+def test_collections_tags_and_relations(engine):
+    ids = [r[0] for r in engine.visible().select("document_id").orderBy("document_id").collect()]
+    engine.collect("c", ids[:2])
+    engine.collect("c", ids[1:2])
+    engine.tag(ids[1:], ["t", "u"])
+    engine.untag(ids[2:], ["u"])
+    assert [r[0] for r in engine.scope(("c",), ("t", "u")).collect()] == ids[1:2]
+    engine.uncollect("c", ids[1:2])
+    assert engine.scope(("c",), ("t",)).count() == 0 and engine.table("memberships").count() == 1
+    engine.relate([(ids[0], ids[1], "k")])
+    assert {(r.src, r.dst) for r in engine.related().collect()} == {(ids[0], ids[1]), (ids[1], ids[0])}
+    engine.unrelate([(ids[0], ids[1], "k")])
+    assert engine.related().count() == 0
+
+
+def test_export_backup_and_restore(engine, tmp_path):
+    engine.export(f"file://{tmp_path}/export")
+    n = engine.table("documents").count()
+    assert engine.import_(f"file://{tmp_path}/export") == engine.visible().count() and engine.table("documents").count() == n
+    engine.backup(f"file://{tmp_path}/backup")
+    assert engine.verify_backup(f"file://{tmp_path}/backup").count() == 0
+    one = engine.visible().first()["document_id"]
+    engine.document_delete([one])
+    engine.restore_backup(f"file://{tmp_path}/backup")
+    assert engine.visible().where(F.col("document_id") == one).count() == 1
+    engine.table("tags").limit(1).write.mode("append").parquet(f"file://{tmp_path}/backup/tags")
+    assert engine.verify_backup(f"file://{tmp_path}/backup").count() > 0
+    with pytest.raises(Incompatible):
+        engine.restore_backup(f"file://{tmp_path}/backup")
+
+
+def test_sweep_and_rebuild_plan(engine):
+    one = engine.visible().first()["document_id"]
+    engine.document_delete([one])
+    assert engine.document_restore([one], grace_days=-1) == {one: "expired"}
+    assert engine.sweep()["documents"] == 0 and engine.sweep(-1)["documents"] == 1
+    assert engine.table("chunks").where(F.col("document_id") == one).count() == 0
+    bodies = engine.table("documents").select("document_id", F.lit(10).alias("bytes"))
+    actions = {r.action for r in engine.rebuild_plan(bodies).collect()}
+    assert actions <= {"keep", "derive"} and engine.rebuild_plan(bodies.limit(0)).where("action = 'refuse'").count() == engine.rebuild_plan(bodies).where("action = 'derive'").count()
