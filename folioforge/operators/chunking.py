@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.vendor import embedded_text
+
 #: Words after which a full stop ends no sentence (fixed values).
 ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e cf fig no vol pp ed al inc ltd co dept approx".split())
 BOUNDARY = re.compile(r"[.!?][\"'”’)\]]?\s+(?=[\"'“‘(\[]?[A-Z0-9])")
@@ -191,7 +193,8 @@ def chunk(title: str, blocks: list[dict], budget: Budget = Budget(), count: Call
         body = "\n\n".join(u.text for u in g)
         if before and not g[0].opens and g[0].kind in ("prose", "list") and before[-1].kind in ("prose", "list"):
             body = _overlap(before, body, budget, count) + body
-        embed = f"{crumbs}\n\n{body}" if crumbs else body
+        said = embedded_text(g[0].kind, g[0].lang, body)
+        embed = f"{crumbs}\n\n{said}" if crumbs else said
         weights: dict[str, int] = {}
         for u in g:
             weights[u.kind] = weights.get(u.kind, 0) + u.tokens

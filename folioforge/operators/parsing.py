@@ -167,6 +167,12 @@ class _Html(HTMLParser):
                 self.lists[-1][1] = True
             self.out.append(block(self.kind, f"{self.marker if self.kind == 'list' else ''}{text}", self.heads.path, anchor=f"heading:{slug(self.heads.path[-1]) if self.heads.path else ''}", lang=self.lang if self.kind == "code" else None))
 
+    def end_cell(self) -> None:
+        """Close an open cell, whose end tag may be left out."""
+        if self.cell is not None and self.rows:
+            self.rows[-1].append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
+        self.cell = None
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
         if tag in self.DROP:
@@ -185,8 +191,10 @@ class _Html(HTMLParser):
             self.flush()
             self.rows, self.head_rows = [], 0
         elif tag == "tr" and self.rows is not None:
+            self.end_cell()
             self.rows.append([])
         elif tag in ("td", "th") and self.rows:
+            self.end_cell()
             self.cell = []
             if tag == "th" and len(self.rows) == self.head_rows + 1 and not self.rows[-1]:
                 self.head_rows += 1
@@ -216,10 +224,10 @@ class _Html(HTMLParser):
             self.flush()
             self.kind = "list" if tag == "pre" and self.lists else "prose"
             self.pre = 0
-        elif tag in ("td", "th") and self.cell is not None and self.rows:
-            self.rows[-1].append(re.sub(r"\s+", " ", "".join(self.cell)).strip())
-            self.cell = None
+        elif tag in ("td", "th", "tr") and self.cell is not None and self.rows:
+            self.end_cell()
         elif tag == "table" and self.rows is not None:
+            self.end_cell()
             rows = [r for r in self.rows if any(r)]
             if rows:
                 self.out.append(block("table", "\n".join(" | ".join(r) for r in rows), self.heads.path, anchor="unlocated:table", header_rows=min(self.head_rows, len(rows))))
@@ -410,7 +418,22 @@ def structured_json(raw: bytes) -> list[dict]:
 def structured_toml(raw: bytes) -> list[dict]:
     text = decoded(raw)
     tomllib.loads(text)
-    return _marked(text, re.compile(r"^\[+([^\]]+)\]+\s*$|^([A-Za-z0-9_.-]+)\s*="), "toml")
+    return _marked(text, _TomlMarks(), "toml")
+
+
+class _TomlMarks:
+    """Keys up to the first table, then tables: a key below a table's head is the table's. Asked line by line."""
+
+    TABLE, KEY = re.compile(r"^\[+([^\]]+)\]+\s*(?:#.*)?$"), re.compile(r"^([A-Za-z0-9_.-]+)\s*=")
+
+    def __init__(self) -> None:
+        self.in_table = False
+
+    def match(self, line: str) -> re.Match | None:
+        if m := self.TABLE.match(line):
+            self.in_table = True
+            return m
+        return None if self.in_table else self.KEY.match(line)
 
 
 def structured_yaml(raw: bytes) -> list[dict]:
@@ -419,10 +442,16 @@ def structured_yaml(raw: bytes) -> list[dict]:
     return _marked(decoded(raw), re.compile(r"^([A-Za-z_][\w.-]*)\s*:"), "yaml")
 
 
-def _marked(text: str, mark: re.Pattern, lang: str) -> list[dict]:
-    """Spans from one top-level key to the next, cut by lines where they are too tall."""
+def _marked(text: str, mark: re.Pattern | _TomlMarks, lang: str, above: re.Pattern | None = None) -> list[dict]:
+    """Spans from one top-level key to the next, cut by lines where they are too tall; lines that match ``above``
+    right before a key are its own."""
     lines = text.splitlines()
     marks = [(i, next(g for g in m.groups() if g)) for i, line in enumerate(lines) if (m := mark.match(line))]
+    for k, (i, name) in enumerate(marks if above else ()):
+        floor = marks[k - 1][0] + 1 if k else 0
+        while i > floor and above.match(lines[i - 1]):
+            i -= 1
+        marks[k] = (i, name)
     if not marks:
         return [block("code", text.rstrip(), (), 1, max(1, len(lines)), "unlocated:no key positions", lang)] if text.strip() else []
     spans = ([(0, marks[0][0], "")] if marks[0][0] else []) + [(a, b, name) for (a, name), b in zip(marks, [*[m[0] for m in marks[1:]], len(lines)], strict=True)]
@@ -456,11 +485,66 @@ def source_python(raw: bytes) -> list[dict]:
     return [block("code", "\n".join(lines[s - 1 : min(b, s + LINES - 1)]), [name] if name else [], s, min(b, s + LINES - 1), lang="python") for a, b, name in merged for s in range(a, b + 1, LINES)]
 
 
+#: How a definition begins at the left margin, by language (the languages' own syntax).
+DEFINITIONS = {
+    "javascript": r"(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)",
+    "typescript": r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|enum|type|namespace|const|let|var)\s+([A-Za-z_$][\w$]*)",
+    "java": r"(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(?:class|interface|enum|record|@interface)\s+(\w+)",
+    "kotlin": r"(?:(?:public|private|internal|open|abstract|sealed|data|inline|suspend)\s+)*(?:class|interface|object|fun|val|var|typealias)\s+(?:<[^>]*>\s*)?([\w.]+)",
+    "scala": r"(?:(?:private|protected|final|sealed|abstract|implicit|case)\s+)*(?:class|trait|object|def|val|type|enum)\s+(\w+)",
+    "csharp": r"(?:(?:public|private|internal|protected|static|abstract|sealed|partial)\s+)*(?:class|interface|struct|enum|record|namespace|delegate)\s+([\w.]+)",
+    "c": r"(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)|(?!return|else|typedef)[A-Za-z_][\w\s*]*?[\s*](\w+)\s*\([^;]*$",
+    "c++": r"(?:template\s*<.*>\s*)?(?:class|struct|enum(?:\s+class)?|union|namespace)\s+(\w+)|(?!return|else|using|typedef)[A-Za-z_][\w\s*&:<>,]*?[\s*&](~?[\w:]+)\s*\([^;]*$",
+    "go": r"func\s+(?:\([^)]*\)\s*)?(\w+)|(?:type|var|const)\s+(\w+)",
+    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+(?=fn)|extern\s+\S+\s+)*(?:fn|struct|enum|trait|mod|type|static|const|union|macro_rules!)\s+(\w+)|impl(?:<[^>]*>)?\s+([\w:<>' ]+?)\s*(?:where\b|\{|$)",
+    "swift": r"(?:(?:public|private|internal|open|final|fileprivate)\s+)*(?:class|struct|enum|protocol|extension|actor|func|let|var)\s+(\w+)",
+    "ruby": r"(?:class|module|def)\s+([\w.:?!]+)",
+    "php": r"(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum|function|namespace)\s+([\w\\\\]+)",
+    "perl": r"(?:sub|package)\s+([\w:]+)",
+    "lua": r"(?:local\s+)?function\s+([\w.:]+)",
+    "shell": r"(?:function\s+)?([\w-]+)\s*\(\)\s*\{?|function\s+([\w-]+)",
+    "sql": r"(?i:create)\s+(?i:or\s+replace\s+)?(?i:temp(?:orary)?\s+|unique\s+|materialized\s+)?(?i:table|view|index|function|procedure|trigger|type|schema|sequence)\s+(?i:if\s+not\s+exists\s+)?([\w.\"]+)",
+    "r": r"([\w.]+)\s*(?:<-|=)\s*function\b",
+    "julia": r"(?:mutable\s+)?(?:function|struct|module|macro|abstract\s+type)\s+([\w.!]+)",
+    "haskell": r"(?:data|newtype|class|instance|module|type)\s+([\w.]+)|(\w+)\s*::",
+    "elixir": r"(?:defmodule|def|defp|defmacro|defprotocol)\s+([\w.?!]+)",
+    "erlang": r"([a-z]\w*)\s*\(.*\)\s*(?:when\b.*)?->",
+    "dart": r"(?:abstract\s+)?(?:class|mixin|enum|extension|typedef)\s+(\w+)|(?!return|else|import)[A-Za-z_][\w<>?, ]*\s(\w+)\s*\([^;]*\{",
+    "css": r"([.#@:\w][^{};]*?)\s*\{",
+}
+COMMENT = re.compile(r"\s*(?://|/\*|\*|#(?!include|define|if|endif)|--|%|;;)")
+
+
+def source_of(lang: str) -> Callable[[bytes], list[dict]]:
+    """A parser of one language: top-level definitions with the comments above them, the rest in runs of lines."""
+    mark = re.compile(rf"^(?:{DEFINITIONS[lang]})")
+
+    def source(raw: bytes) -> list[dict]:
+        if not probably_text(raw):
+            raise Declined("not text")
+        return _marked(decoded(raw), mark, lang, COMMENT)
+
+    source.__name__ = f"source_{re.sub('[^a-z]', '', lang)}"
+    return source
+
+
 def source_lines(raw: bytes) -> list[dict]:
     """Source in other languages: runs of lines, cut at blank ones."""
     return [b | {"kind": "code"} for b in plaintext(raw)]
 
 
+def diagram_of(lang: str) -> Callable[[bytes], list[dict]]:
+    """A diagram's source is one block, as its statements belong together."""
+
+    def diagram(raw: bytes) -> list[dict]:
+        if not probably_text(raw):
+            raise Declined("not text")
+        text = decoded(raw).strip()
+        return [block("code", text, (), 1, len(text.splitlines()), lang=lang)] if text else []
+
+    return diagram
+
+
 #: Parsers by media type; the first that takes the bytes and finds text wins, plain text ends every chain.
 CHAINS: dict[str, tuple[Callable[[bytes], list[dict]], ...]] = {
     "text/plain": (plaintext,),
@@ -479,13 +563,24 @@ CHAINS: dict[str, tuple[Callable[[bytes], list[dict]], ...]] = {
     "application/toml": (structured_toml, plaintext),
     "application/yaml": (structured_yaml, plaintext),
     "text/x-python": (source_python, source_lines),
-    **dict.fromkeys("text/javascript text/x-typescript text/x-java text/x-c text/x-c++ text/x-go text/x-rust text/x-ruby text/x-shellscript application/sql text/vnd.graphviz text/vnd.mermaid".split(), (source_lines,)),
+    **{f"text/{'' if lang in ('javascript', 'css') else 'x-'}{lang if lang != 'shell' else 'shellscript'}": (source_of(lang), source_lines) for lang in DEFINITIONS if lang != "sql"},
+    "application/sql": (source_of("sql"), source_lines),
+    "text/vnd.graphviz": (diagram_of("dot"),),
+    "text/vnd.mermaid": (diagram_of("mermaid"),),
+    "text/x-source": (source_lines,),
 }
 
 
+def _vendor() -> dict[str, tuple[Callable[[bytes], list[dict]], ...]]:
+    """Chains of the bodies that ``vendor`` reads, which itself builds on this module."""
+    from folioforge.operators import vendor
+
+    return {"application/pdf": (vendor.pdf,), "application/vnd.wiki.storage+xml": (vendor.storage_format, html), "application/vnd.document-nodes+json": (vendor.document_nodes, structured_json)}
+
+
 def parse(raw: bytes, media_type: str) -> tuple[list[dict], str, str]:
     """Blocks, status and detail of one document."""
-    chain = CHAINS.get(media_type, ())
+    chain = CHAINS.get(media_type) or _vendor().get(media_type, ())
     if not chain:
         return [], "unsupported_media_type", f"no parser for {media_type}"
     said, declined = [], 0

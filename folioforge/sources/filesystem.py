@@ -16,6 +16,8 @@ MEDIA_TYPES = {
     ".pdf": "application/pdf", ".csv": "text/csv", ".tsv": "text/tab-separated-values", ".json": "application/json", ".yaml": "application/yaml", ".yml": "application/yaml", ".toml": "application/toml", ".xml": "application/xml", ".eml": "message/rfc822", ".zip": "application/zip",
     ".ipynb": "application/x-ipynb+json", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
     ".py": "text/x-python", ".js": "text/javascript", ".ts": "text/x-typescript", ".java": "text/x-java", ".c": "text/x-c", ".cpp": "text/x-c++", ".go": "text/x-go", ".rs": "text/x-rust", ".rb": "text/x-ruby", ".sh": "text/x-shellscript", ".sql": "application/sql", ".dot": "text/vnd.graphviz", ".mmd": "text/vnd.mermaid",
+    ".jsx": "text/javascript", ".mjs": "text/javascript", ".tsx": "text/x-typescript", ".kt": "text/x-kotlin", ".scala": "text/x-scala", ".cs": "text/x-csharp", ".h": "text/x-c", ".hpp": "text/x-c++", ".cc": "text/x-c++", ".swift": "text/x-swift", ".php": "text/x-php", ".pl": "text/x-perl", ".lua": "text/x-lua",
+    ".bash": "text/x-shellscript", ".r": "text/x-r", ".jl": "text/x-julia", ".hs": "text/x-haskell", ".ex": "text/x-elixir", ".exs": "text/x-elixir", ".erl": "text/x-erlang", ".dart": "text/x-dart", ".css": "text/css", ".gv": "text/vnd.graphviz", ".adf": "application/vnd.document-nodes+json", ".storage": "application/vnd.wiki.storage+xml",
 }
 IGNORED_DIRS = ("node_modules", "__pycache__", ".git", ".venv", "venv", "dist", "build")
 SIDECAR = ".meta.json"
