@@ -92,10 +92,14 @@ def report(outcomes: DataFrame) -> DataFrame:
 def corpus_digest(documents: DataFrame) -> DataFrame:
     """One row: the SHA-256 of all ``document_id, content_hash`` in order.
 
-    Ids are digested in 4096 groups first, so that no task gathers more than its share.
+    Ids are digested in groups first, by the first digits of their own digests, as many as leave about a
+    thousand in each; so no task gathers more than its share.
     """
     line = F.concat(F.col("document_id").cast("string"), F.lit("\0"), "content_hash", F.lit("\n"))
-    part = F.pmod(F.xxhash64("document_id"), F.lit(4096))
+    digits, n = 1, documents.count()
+    while n > 1000 * 16**digits:
+        digits += 1
+    part = F.left(F.md5(F.col("document_id").cast("string")), F.lit(digits))
     groups = documents.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("d"))
     return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.count(F.lit(1)).alias("groups"))
 

@@ -8,7 +8,8 @@ query before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -353,3 +354,15 @@ def leg_counts(legs: DataFrame, names: tuple[str, ...] = ("lexical", "dense")) -
     met = sum(((F.col(n) > 0).cast("int") for n in names[1:]), (F.col(names[0]) > 0).cast("int"))
     out = per.groupBy("query_id").agg(*[F.sum(n).alias(f"n_{n}") for n in names], F.count_if(met > 1).alias("overlap"))
     return out.withColumn("degraded", F.least(*[F.col(f"n_{n}") for n in names]) == 0)
+
+
+def traced(stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stages in a row over candidates, each written before the next: the result, and ``stage, place, rows, ms``."""
+    if len({n for n, _ in stages}) != len(stages):
+        raise ValueError("two stages of one name")
+    rows, spans = start, []
+    for place, (name, run) in enumerate(stages):
+        began = time.monotonic()
+        rows = written(run(rows), "stage")
+        spans.append((name, place, rows.count(), int(1000 * (time.monotonic() - began))))
+    return rows, start.sparkSession.createDataFrame(spans, "stage string, place int, rows long, ms long")

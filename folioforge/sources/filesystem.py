@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,3 +144,34 @@ def content_query(space: str, types: tuple[str, ...], since_minute: str | None =
         ids = ", ".join(roots)
         clauses.append(f"(id in ({ids}) or ancestor in ({ids}))")
     return " AND ".join(clauses)
+
+
+def title_query(title: str, space: str | None = None) -> str:
+    """A page by its title, in one space if one is named."""
+    return " AND ".join(([f"space = {quoted(space)}"] if space else []) + [f"title = {quoted(title)}"])
+
+
+def status_clause(statuses: tuple[str, ...]) -> str:
+    """Rows of any of the statuses; none restricts nothing."""
+    return f"status IN ({', '.join(quoted(s) for s in sorted(set(statuses)))})" if statuses else ""
+
+
+def next_page(payload: Column, base: Column) -> Column:
+    """Where the next page of a listing is, null at its end; a link to another origin is null too, and never followed."""
+    link = F.get_json_object(payload, "$._links.next")
+    origin = F.regexp_extract(base, r"^([A-Za-z][\w+.-]*://[^/?#]+)", 1)
+    whole = F.when(link.startswith("/") & ~link.startswith("//"), F.concat(origin, link)).otherwise(link)
+    return F.when(link.isNotNull() & same_origin(base, whole), whole)
+
+
+def inside(root: str, paths: DataFrame) -> DataFrame:
+    """Paths that lie below a local root once links are followed: ``path, inside``. One that can't be resolved is outside."""
+    import os
+
+    @F.pandas_udf("boolean")
+    def below(path: pd.Series) -> pd.Series:
+        top = os.path.realpath(root.removeprefix("file:"))
+        local = path.str.replace(r"^file:/*", "/", regex=True)
+        return local.map(lambda p: os.path.exists(p) and os.path.commonpath([top, os.path.realpath(p)]) == top)
+
+    return paths.withColumn("inside", below("path"))
