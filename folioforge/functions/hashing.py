@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def digest(*parts: bytes | str) -> str:
-    """BLAKE2b of 128 bits over the parts, each after its length in eight bytes."""
+def digest(*parts: bytes | str | None) -> str:
+    """BLAKE2b of 128 bits over the parts, each after its length in eight bytes; a null part has a length of its own."""
     h = hashlib.blake2b(digest_size=16)
     for p in parts:
+        if p is None:
+            h.update(b"\xff" * 8)
+            continue
         raw = p.encode() if isinstance(p, str) else p
         h.update(len(raw).to_bytes(8, "big") + raw)
     return h.hexdigest()

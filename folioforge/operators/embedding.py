@@ -61,14 +61,20 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def embedded(texts: DataFrame, embed: Callable[[list[str]], np.ndarray], text_col: str = "embed_text") -> DataFrame:
-    """Adds ``vector``: every distinct text is embedded once, then joined back."""
+    """Adds ``vector``: every distinct text is embedded once, then joined back by its digest.
+
+    The texts under a digest are compared where they meet, so no text gets another one's vector.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(t: pd.Series) -> pd.Series:
         return pd.Series(list(embed(list(t)))) if len(t) else pd.Series([], dtype=object)
 
-    once = texts.select(text_col).where(F.col(text_col).isNotNull()).distinct().withColumn("vector", run(text_col))
-    return texts.join(once, text_col, "left")
+    keyed = texts.withColumn("__key", F.sha2(text_col, 256))
+    known = keyed.where(F.col(text_col).isNotNull())
+    once = known.groupBy("__key").agg(F.min(text_col).alias("__text"), F.max(text_col).alias("__other"))
+    made = once.select("__key", F.when(F.col("__text") == F.col("__other"), F.col("__text")).otherwise(F.raise_error(F.lit("two texts of one digest"))).alias("__text"))
+    return keyed.join(made.select("__key", run("__text").alias("vector")), "__key", "left").drop("__key")
 
 
 def embed_or_reuse(chunks: DataFrame, stored: DataFrame, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:
