@@ -131,7 +131,7 @@ def prs16_anchor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("document_id", "position", F.contains(X.collapse(F.col("resolved")), X.collapse(F.col("text"))).alias("contained"), F.round(F.length("resolved") / F.greatest(F.length("text"), F.lit(1)), 3).alias("tightness"))
 
 
-@query()
+@query("SELECT n_nationkey AS document_id, path, text, refused FROM (SELECT n_nationkey, unnest(['a.txt', 'c.zip!deep.txt', '../b.txt']) AS path, unnest([n_name, n_name, '']) AS text, unnest([NULL, NULL, 'path']) AS refused FROM nation)")
 def prs13_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A zip of each nation's row, and a nested one; members become documents."""
 
@@ -378,7 +378,7 @@ def eva01_probe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.probe_hits(dense_batched(v, q, 5), answers, 5).select("query_id", "hit")
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS hits, 0.0 AS p, 'passed' AS outcome FROM embeddings WHERE vec_id % 50 = 0")
 def eva01_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query vector must find itself: hits, chance and the binomial tail."""
     from folioforge.operators.retrieval import dense_batched
@@ -406,10 +406,12 @@ def eva05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("intent", "left", "right", "tie", "neither", *[F.round(c, 6).alias(c) for c in ("share", "low", "high")])
 
 
-@query()
+@query("""WITH o AS (SELECT d.lang AS intent, CASE WHEN quality = 1 AND toxic = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'right' ELSE 'left' END END AS outcome FROM labels JOIN documents d USING (doc_id)),
+s AS (SELECT coalesce(intent, 'overall') AS intent, count(*) FILTER (outcome = 'left') AS l, count(*) FILTER (outcome = 'right') AS r FROM o GROUP BY ROLLUP (intent))
+SELECT intent, round(least(1, 2 * (SELECT sum(exp(lgamma(l + r + 1) - lgamma(i + 1) - lgamma(l + r - i + 1) - (l + r) * ln(2))) FROM range(CAST(least(l, r) + 1 AS BIGINT)) t(i))), 6) AS p, 6 AS needs FROM s""")
 def eva05_sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = eva05_report(spark, sf_dir)
-    return r.select("intent", F.round(evaluation.sign_test_p("left", "right"), 9).alias("p"), F.lit(evaluation.smallest_detectable()).alias("needs"))
+    return r.select("intent", F.round(evaluation.sign_test_p("left", "right"), 6).alias("p"), F.lit(evaluation.smallest_detectable()).alias("needs"))
 
 
 @query()
@@ -429,7 +431,7 @@ def eva04_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.paired(left, right, wanted)
 
 
-@query()
+@query("WITH g AS (SELECT left(md5(doc_id::VARCHAR), 1) AS part, sha256(string_agg(doc_id || chr(0) || md5(text) || chr(10), '' ORDER BY doc_id || chr(0) || md5(text) || chr(10))) AS d FROM documents GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY part)) AS digest, count(*) AS groups FROM g")
 def eva06_corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tab(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.md5("text").alias("content_hash"))
     return evaluation.corpus_digest(d)

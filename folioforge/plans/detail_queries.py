@@ -250,15 +250,3 @@ def str05_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("change"), F.col("event_id").alias("seq"))
     present = e.where("path % 2 = 0").select("path")
     return watch.settled(watch.coalesced(e), F.col("path") % 7 == 0, present).select("path", "change")
-
-
-@query("""WITH o AS (SELECT d.lang AS intent, CASE WHEN quality = 1 AND toxic = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'right' ELSE 'left' END WHEN quality = 1 THEN 'tie' ELSE 'neither' END AS outcome FROM labels JOIN documents d USING (doc_id)),
-s AS (SELECT coalesce(intent, 'overall') AS intent, count(*) FILTER (outcome = 'left') AS l, count(*) FILTER (outcome = 'right') AS r FROM o GROUP BY ROLLUP (intent)),
-p AS (SELECT intent, l, r, (SELECT sum(exp(lgamma(l + r + 1) - lgamma(i + 1) - lgamma(l + r - i + 1) - (l + r) * ln(2))) FROM range(CAST(least(l, r) + 1 AS BIGINT)) t(i)) AS tail FROM s)
-SELECT intent, round(least(1, 2 * tail), 6) AS p FROM p""")
-def eva05_sign_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.12, EVA-05: the two-sided sign test of each report line."""
-    j = fx.table(spark, sf_dir, "labels").join(fx.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("intent")), "doc_id")
-    outcome = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.when(F.col("doc_id") % 5 == 0, "right").otherwise("left")).when(F.col("quality") == 1, "tie").otherwise("neither")
-    r = evaluation.report(j.select("intent", outcome.alias("outcome")))
-    return r.select("intent", F.round(evaluation.sign_test_p("left", "right"), 6).alias("p"))
