@@ -311,17 +311,22 @@ def in_blocks(rows: DataFrame, sizes: DataFrame, most: int, find: Find) -> tuple
             label = np.full(len(ids), -1)
             label[roots[rep][::-1]] = np.flatnonzero(rep)[::-1]
             named = label[roots]
-            mine = [group.column(c).combine_chunks().take(pa.array(at)) for c in ("key", "weight")]
-            yield pa.record_batch([mine[0], pa.array(ids), mine[1], pa.array(ids[roots]), pa.array(ids[named], mask=named < 0), pa.array(rep)], ["key", "id", "weight", "root", "label", "rep"])
+            mine = [group.column(c).combine_chunks().take(pa.array(at)) for c in ("place", "key", "weight")]
+            yield pa.record_batch([*mine, pa.array(ids), pa.array(ids[roots]), pa.array(ids[named], mask=named < 0), pa.array(rep)], ["place", "key", "weight", "id", "root", "label", "rep"])
         _POWERS.clear()
         tidy()
 
-    out = written(_met(met).mapInArrow(run, "key long, id long, weight long, root long, label long, rep boolean"), "blocks")
+    out = written(_met(met).mapInArrow(run, "place long, key long, weight long, id long, root long, label long, rep boolean"), "blocks")
     # Sets that share a representative anywhere are one: each goes by the least name its own one has in any block.
+    # There are REPS names in a block at most, so these tables are small beside the members, who meet them by block.
+    at_place = ["key", "place", "label"]
     up = out.where("rep").groupBy("key", F.col("id").alias("label")).agg(F.min("label").alias("set"))
-    sets = out.join(up, ["key", "label"], "left").select("key", "id", "weight", "rep", "set")
-    main = sets.where("set is not null and not rep").groupBy("key", "set").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("set", F.struct("n", "set")).alias("main"))
-    rest = sets.join(main, "key", "left").where(~F.col("set").eqNullSafe(F.col("main")) | F.col("set").isNull()).select("key", "id", "weight")
+    names = written(out.where("rep").select("key", "place", F.col("id").alias("label")).join(up, ["key", "label"]), "names")
+    counts = out.where("label is not null and not rep").groupBy(*at_place).agg(F.count(F.lit(1)).alias("n"))
+    sums = counts.join(names, at_place).groupBy("key", "set").agg(F.sum("n").alias("n"))
+    main = sums.groupBy("key").agg(F.max_by("set", F.struct("n", "set")).alias("set"))
+    inside = names.join(main, ["key", "set"], "left_semi").select(*at_place)
+    rest = out.join(inside, at_place, "left_anti").select("key", "id", "weight")
     return out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), written(rest.distinct(), "rest")
 
 
