@@ -58,6 +58,8 @@ NODE, CLUSTER = 1024, 1 << 21
 DOC_WEIGHT = 500
 #: Representatives of a group that is dealt out in blocks.
 REPS = 32
+#: Parts of a group of documents with one set.
+SALTS = 32
 DEPTH = 6
 #: Signatures that agree in fewer positions are no candidates: 0.75 less five standard deviations.
 LEAST_AGREE = 0.55
@@ -471,9 +473,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs = written(named.join(repeated.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").unionByName(least), "once")
         made = written(sketched(docs, id_col, text_col, words), "sketches")
     once = made.where("n_shingles > 0 and doc_id is not null")
-    equal = once.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    copies = equal.where("n > 1").select("set_key", F.col("id").alias("__rep"))
-    stands = written(once.select("doc_id", "set_key").join(copies, "set_key").select("doc_id", "__rep").distinct(), "copies")
+    # A set that many documents share is dealt over SALTS tasks; only its sums meet by its key.
+    keyed = once.select("doc_id", "set_key", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(SALTS)).alias("salt"))
+    parts = keyed.groupBy("set_key", "salt").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    copies = parts.groupBy("set_key").agg(F.min("id").alias("__rep"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    named = parts.select("set_key", "salt").join(copies, "set_key")
+    stands = written(keyed.join(named, ["set_key", "salt"]).select("doc_id", "__rep").distinct(), "copies")
     others = stands.where("doc_id <> __rep").select("doc_id")
     signs = written(once.select(F.col("doc_id").alias("id"), "signature").join(others.withColumnRenamed("doc_id", "id"), "id", "left_anti").dropDuplicates(["id"]), "signatures")
     clusters = written(connected(candidates(signs, trees, node, depth)), "clusters")

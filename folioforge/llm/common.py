@@ -218,7 +218,9 @@ class FastEncoder:
                         new[p] = None
             new = self._learn(list(new))
             found = [new[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
-            self.young.update((p, v) for p, v in new.items() if len(p) <= self.LONGEST_CACHED)
+            self.young.update(new)
+            for p in [p for p in new if len(p) > self.LONGEST_CACHED]:
+                del self.young[p]
             if len(self.young) > self.cached:
                 self.old, self.young = self.young, {}
         return found

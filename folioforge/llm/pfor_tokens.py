@@ -22,7 +22,7 @@ readers and writers wherever that folder is, and a task that runs again replaces
 
 Cases: a null or empty text has the end id alone; a very long text is one document, whole in its
 file; documents of one id keep their rows, in no
-order among themselves but by a hash of their text; a null id comes first; an empty table gives no file and no rows; further
+order among themselves but that of the table; a null id comes first; an empty table gives no file and no rows; further
 columns are not read.
 """
 
@@ -59,6 +59,27 @@ def _widths(v: np.ndarray) -> np.ndarray:
     return np.frexp(v.astype(np.float64))[1].astype(np.int64)
 
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values in ``width`` bits each, the lowest first: bytes by row."""
+    rows, n = values.shape
+    if width > 16 or n % 8:
+        bits = np.empty((rows, n, width), np.uint8)
+        for j in range(width):
+            bits[:, :, j] = (values >> np.uint32(j)) & np.uint32(1)
+        return np.packbits(bits.reshape(rows, -1), axis=1, bitorder="little")
+    # Eight values make ``width`` bytes: four of them in a word each, the second shifted behind the first.
+    v = values.reshape(rows, n // 8, 2, 4).astype(np.uint64)
+    shift = np.uint64(width)
+    half = v[..., 0] | v[..., 1] << shift | v[..., 2] << (shift * np.uint64(2)) | v[..., 3] << (shift * np.uint64(3))
+    words = np.empty((rows, n // 8, 2), "<u8")
+    if width == 16:
+        words[...] = half
+    else:
+        words[..., 0] = half[..., 0] | half[..., 1] << np.uint64(4 * width)
+        words[..., 1] = half[..., 1] >> np.uint64(64 - 4 * width)
+    return words.view(np.uint8).reshape(rows, n // 8, 16)[:, :, :width].reshape(rows, -1)
+
+
 def pack(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, id_bytes: int = 2, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """A file of ``ids``; ``starts`` has the first id of each document and, last, their number."""
     n = len(ids)
@@ -85,11 +106,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, id_bytes: int
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         for part in np.array_split(rows, max(1, len(rows) // 2048)) if w else []:
-            bits = np.empty((len(part), block, w), np.uint8)
-            d = delta[part]
-            for j in range(w):
-                bits[:, :, j] = (d >> np.uint32(j)) & np.uint32(1)
-            packed = np.packbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+            packed = _packed(delta[part], w)
             body[places[part][:, None] + np.arange(packed.shape[1])] = packed
     head = HEAD.pack(MAGIC, id_bytes, block, len(doc_ids), n, blocks, len(values))
     parts = [doc_ids.astype("<i8"), starts.astype("<u8"), places.astype("<u8"), least.astype("<u4"), width.astype("<u1"), first.astype("<u8"), col.astype("<u2"), values.astype("<u4"), body]
@@ -117,6 +134,8 @@ class TokenFile:
         self.value, self.body = take("<u4", exceptions), np.frombuffer(data, np.uint8, offset=at)
         if len(self.body) != (self.places[-1] if self.blocks else 0):
             raise ValueError("a cut token file")
+        padded = np.concatenate((self.body, np.zeros(8, np.uint8)))
+        self.windows = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
 
     def read(self, start: int, end: int) -> np.ndarray:
         """Ids ``start`` to ``end`` (exclusive), from the blocks that hold them."""
@@ -128,12 +147,10 @@ class TokenFile:
         for w in np.unique(width).tolist():
             rows = np.flatnonzero(width == w)
             for part in np.array_split(rows, max(1, len(rows) // 2048)) if w else []:
-                raw = self.body[self.places[a + part][:, None] + np.arange((w * self.block + 7) // 8)]
-                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : w * self.block].reshape(len(part), self.block, w)
-                got = np.zeros((len(part), self.block), np.uint32)
-                for j in range(w):
-                    got |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
-                grid[part] = got
+                at = np.arange(self.block) * w
+                # Eight bytes from the one in which an id begins hold all of it, as it has 32 bits at most.
+                words = self.windows[self.places[a + part][:, None] + (at >> 3)]
+                grid[part] = (words >> (at & 7).astype(np.uint64)) & np.uint64((1 << w) - 1)
         lo, hi = self.first[a], self.first[b]
         owner = np.repeat(np.arange(b - a), np.diff(self.first[a : b + 1]))
         grid[owner, self.position[lo:hi]] = self.value[lo:hi]
@@ -186,9 +203,10 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         tidy()
 
     texts = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
-    # Rows of one id, and those without any, are told apart by a hash, so that no range need hold them all.
-    texts = texts.withColumn("draw", F.xxhash64("text"))
-    dealt = texts.repartitionByRange(shards, "doc_id", "draw").sortWithinPartitions("doc_id", "draw", "text").drop("draw")
+    # Rows of one id, and those without any, are told apart by their place in the table, so that no range need hold
+    # them all; the sample of the ranges then reads no text.
+    texts = texts.withColumn("place", F.monotonically_increasing_id())
+    dealt = texts.repartitionByRange(shards, "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     return written(dealt.mapInArrow(run, "shard long, file long, first_doc long, n_docs long, n_ids long, data binary"), "tokens")
 
 
