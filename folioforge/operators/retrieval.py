@@ -76,6 +76,12 @@ class Bm25:
         return found if k is None else top_k(found, k)
 
 
+def term_counts(chunks: DataFrame, terms: Column) -> DataFrame:
+    """``term, df, cf``: in how many chunks a term is, and how often; counted per chunk first."""
+    per = chunks.select("chunk_id", F.explode(terms).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("__tf"))
+    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("__tf").alias("cf"))
+
+
 def top_k(candidates: DataFrame, k: int, by: str = "score") -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -26,6 +26,18 @@ def ordinals(rows: DataFrame, by: list[str], order: list[str], after: int = 0, l
     return kept if limit is None else kept.where(F.col("ordinal") <= after + limit)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place in one order over all of them, from 1: sorted by ranges in many tasks, each of
+    which goes on where the ranges before it end."""
+    placed = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range.
+    starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    joined = placed.withColumn("__inside", inside).join(starts, "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__before")
+
+
 def keyset_page(rows: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:
     """The next page in order of ``keys``: ``a > x or (a = x and b > y)`` and so on."""
     if after is not None:

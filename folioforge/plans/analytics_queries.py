@@ -44,12 +44,12 @@ def src04_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.identities(tab(spark, sf_dir, "events").select(F.concat(F.lit("file"), e).alias("path"), F.when(e % 3 == 0, F.concat(F.lit("id"), F.floor(e / 4))).alias("declared_id")))
 
 
-@query("WITH n AS (SELECT user_id AS space, max(ts) AS w, bool_and(event_type <> 'error') AS ok FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT DISTINCT user_id AS space, TIMESTAMP '2024-01-02' AS position FROM events WHERE user_id % 3 = 0) SELECT coalesce(n.space, c.space) AS space, coalesce(CASE WHEN ok THEN greatest(w, coalesce(position, w)) END, position) AS position FROM n FULL JOIN c ON n.space = c.space")
+@query("WITH e AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS space, * FROM events), n AS (SELECT space, max(ts) AS w, bool_and(event_type <> 'error') AS ok FROM e GROUP BY 1), c AS (SELECT DISTINCT user_id || '/2024-01-03' AS space, TIMESTAMP '2024-01-03 12:00:00' AS position FROM events WHERE user_id % 3 = 0) SELECT coalesce(n.space, c.space) AS space, coalesce(CASE WHEN ok THEN greatest(w, coalesce(position, w)) END, position) AS position FROM n FULL JOIN c ON n.space = c.space")
 def src08_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-08, STR-01: moved only by a complete enumeration."""
+    """SRC-08, STR-01: moved only by a complete enumeration, of each user's day."""
     e = tab(spark, sf_dir, "events")
-    seen = e.where("event_id % 2 = 0").select(F.col("user_id").alias("space"), F.col("ts").alias("when"), (F.col("event_type") != "error").alias("fine"))
-    carried = e.where("user_id % 3 = 0").select(F.col("user_id").alias("space")).distinct().withColumn("position", F.lit("2024-01-02").cast("timestamp_ntz"))
+    seen = e.select(F.concat_ws("/", "user_id", F.col("ts").cast("date")).alias("space"), F.col("ts").alias("when"), (F.col("event_type") != "error").alias("fine"))
+    carried = e.where("user_id % 3 = 0").select(F.concat(F.col("user_id"), F.lit("/2024-01-03")).alias("space")).distinct().withColumn("position", F.lit("2024-01-03 12:00:00").cast("timestamp_ntz"))
     return S.watermarks(seen, carried, F.col("fine"))
 
 
@@ -96,13 +96,6 @@ def src17_saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- parsing and chunking ---
 
 
-@query(f"WITH {fx.DOCUMENTS}, l AS (SELECT document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM docs), k AS (SELECT *, n // 7 AS part FROM l WHERE trim(line) <> '') SELECT document_id, part, count(*) AS n_lines, min(n) AS first, max(n) AS last FROM k GROUP BY 1, 2")
-def prs01_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = tab(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.trim("line") != "")
-    n = F.col("i") + 1
-    return lines.groupBy("document_id", F.floor(n / 7).alias("part")).agg(F.count(F.lit(1)).alias("n_lines"), F.min(n).alias("first"), F.max(n).alias("last"))
-
-
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as HTML and documents as plain text, as bytes."""
     p = tab(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("document_id"), F.encode("html", "UTF-8").alias("content"), F.lit("text/html").alias("media_type"))
@@ -187,12 +180,10 @@ def chk09_anchor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- identity, scalar functions ---
 
 
-@query("SELECT doc_id, left(sha256(unhex(lpad(hex(octet_length(encode(source))), 16, '0') || hex(encode(source)) || lpad(hex(octet_length(encode(text))), 16, '0') || hex(encode(text)))), 32) AS id FROM documents")
+@query("SELECT doc_id, left(sha256(lpad(hex(octet_length(encode(source))), 16, '0') || hex(encode(source)) || lpad(hex(octet_length(encode(text))), 16, '0') || hex(encode(text))), 32) AS id FROM documents")
 def ids_plain_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity by length-prefixed parts, in the variant that SQL can check."""
-    size = lambda c: F.lpad(F.hex(F.octet_length(c).cast("long")), 16, "0")
-    raw = F.unhex(F.concat(size("source"), F.hex(F.encode("source", "UTF-8")), size("text"), F.hex(F.encode("text", "UTF-8"))))
-    return tab(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(raw, 256), 1, 32).alias("id"))
+    return tab(spark, sf_dir, "documents").select("doc_id", H.plain_digest(F.col("source"), F.col("text")).alias("id"))
 
 
 @query()
@@ -221,10 +212,9 @@ def scl_brackets_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tab(spark, sf_dir, "pages").select("page_id", X.brackets_balance(F.col("html")).alias("balanced"))
 
 
-@query(r"SELECT doc_id, upper(replace(array_to_string(list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+')[1:8], lambda w: lower(w) NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with')), lambda w: w[1]), ''), 'ß', 'SS')) AS initials FROM documents")
+@query(r"SELECT doc_id, upper(replace(array_to_string(list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w) NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with')), lambda w: w[1]), ''), 'ß', 'SS')) AS initials FROM documents")
 def scl_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 8), " ")
-    return tab(spark, sf_dir, "documents").select("doc_id", X.initials(first).alias("initials"))
+    return tab(spark, sf_dir, "documents").select("doc_id", X.initials(F.col("text")).alias("initials"))
 
 
 @query(r"SELECT page_id, regexp_replace(url, '\.[A-Za-z0-9]{1,5}$', '') AS title FROM pages")
@@ -443,7 +433,7 @@ def eva06_corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH l AS (SELECT user_id AS path, arg_max(event_type, event_id) AS change, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1) SELECT path, change, first, last, row_number() OVER (ORDER BY first, path)::INTEGER AS place FROM l")
 def str04_coalesced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tab(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("change"), F.col("event_id").alias("seq"))
-    return watch.coalesced(e)
+    return watch.coalesced(e).withColumn("place", F.col("place").cast("int"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")

@@ -58,9 +58,7 @@ def ret02_match_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {fx.CHUNKS} SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest({TOK.format('text')}) AS term FROM chunks) GROUP BY term")
 def ret03_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = fx.chunks(spark, sf_dir).select("chunk_id", F.explode(X.tokens(F.col("text"))).alias("term"))
-    per = terms.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return R.term_counts(fx.chunks(spark, sf_dir), X.tokens(F.col("text")))
 
 
 @query()

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.store import numbered
+
 FILES = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
@@ -18,7 +20,7 @@ def watched(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFram
 def coalesced(changes: DataFrame, path: str = "path", order: str = "seq", kind: str = "change") -> DataFrame:
     """The last change of each path, and its place by when the path was first seen."""
     last = changes.groupBy(path).agg(F.max_by(kind, order).alias(kind), F.min(order).alias("first"), F.max(order).alias("last"))
-    return last.withColumn("place", F.row_number().over(Window.orderBy("first", path)))
+    return numbered(last, ["first", path], "place")
 
 
 def settled(changes: DataFrame, ignored: Column, present: DataFrame, path: str = "path") -> DataFrame:

@@ -77,3 +77,10 @@ def test_closure_ends_at_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
     got = {(r.src, r.dst): (r.level, r.cycle) for r in store.include_closure(e, 9).collect()}
     assert got[("a", "a")] == (3, True) and got[("x", "y")] == (1, False) and len(got) == 10
+
+
+def test_places_over_ranges(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "a int, b int").repartition(5)
+    got = store.numbered(rows, ["a", "b"], "place")
+    assert [r.place for r in got.orderBy("a").collect()] == list(range(1, 102)) and got.columns == ["a", "b", "place"]
+    assert store.numbered(rows.limit(0), ["a"], "place").count() == 0
