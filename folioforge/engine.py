@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.hashing import content_hash, embedding_identity, fingerprint
 from folioforge.functions.hashing import chunk_id as chunk_id_of
 from folioforge.functions.hashing import document_id as document_id_of
-from folioforge.operators import analytics, chunking, corpus, embedding, lifecycle, parsing, retrieval, store
+from folioforge.operators import analytics, chunking, corpus, embedding, inverted, lifecycle, parsing, retrieval, store
 from folioforge.sources import filesystem
 
 
@@ -177,6 +177,7 @@ class Engine:
             {
                 "chunks": chunks,
                 "vectors": self._vectors(chunks),
+                "lexical": self._lexical(chunks),
                 "history": revisions if before is None else before.unionByName(revisions),
                 "documents": rows if old is None else corpus.upserted(old, rows, ["document_id"]),
             },
@@ -190,6 +191,12 @@ class Engine:
         rows.write.parquet(at)
         return self.spark.read.parquet(at)
 
+    def _lexical(self, chunks: DataFrame) -> DataFrame:
+        """One row: where the inverted index of these chunks has been written."""
+        path = f"{self.root}/_lexical/{uuid.uuid4().hex}"
+        inverted.build(chunks, path)
+        return self.spark.createDataFrame([(path,)], "path string")
+
     def _vectors(self, chunks: DataFrame) -> DataFrame:
         """Vectors of all chunks: those whose input is the same are taken, the others made; checked before they are published."""
         embedding.require_within(chunks, self.budget.most)
@@ -234,7 +241,7 @@ class Engine:
             changes[name] = t.join(kept.select("document_id"), "document_id", "left_semi")
             out[name] = t.join(kept.select("document_id"), "document_id", "left_anti").count()
         if any(out.values()):
-            self.publish(changes, began)
+            self.publish(changes | {"lexical": self._lexical(changes["chunks"])}, began)
         return out
 
     gc = sweep
@@ -346,7 +353,7 @@ class Engine:
         new = store.imported(self.spark, f"{path}/documents", docs.schema)
         their = store.imported(self.spark, f"{path}/chunks", chunks.schema)
         together = self._built("building", chunks.join(new.select("document_id"), "document_id", "left_anti").unionByName(their))
-        self.publish({"documents": corpus.upserted(docs, new, ["document_id"]), "chunks": together, "vectors": self._vectors(together)}, began)
+        self.publish({"documents": corpus.upserted(docs, new, ["document_id"]), "chunks": together, "vectors": self._vectors(together), "lexical": self._lexical(together)}, began)
         return new.count()
 
     def backup(self, path: str) -> None:
@@ -392,7 +399,8 @@ class Engine:
         chunks = self.table("chunks")
         live = chunks.join(seen, "document_id", "left_semi")
         k = max(p.candidates, limit)
-        lexical = retrieval.Bm25().search(chunks, queries, k, live.select("chunk_id")).withColumn("leg", F.lit("lexical"))
+        index = inverted.opened(self.spark, self.table("lexical").first()["path"])
+        lexical = inverted.search(index, queries, k, live.select("chunk_id")).withColumn("leg", F.lit("lexical"))
         asked = queries.select("query_id", F.col("text").alias("embed_text"))
         q = embedding.embedded(asked, self.embed).where("vector is not null").select("query_id", "vector")
         dense = retrieval.dense_batched(self.table("vectors").join(seen, "document_id", "left_semi").select("chunk_id", "vector"), q, k, p.floor).withColumn("leg", F.lit("dense"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
-from folioforge.operators import ann
+from folioforge.operators import ann, inverted
 from folioforge.operators import retrieval as R
 from folioforge.operators import store as T
 from folioforge.plans import fixtures as fx
@@ -39,8 +39,13 @@ hits AS (SELECT query_id, chunk_id, sum(part) AS score FROM asked JOIN parts USI
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM hits)"""
 
 
+def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> inverted.InvertedIndex:
+    """The chunks' index; the first query of a session over these files builds it."""
+    return inverted.kept(fx.chunks(spark, sf_dir), "lines", R.Bm25(stem=stem))
+
+
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.Bm25().search(fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir), k)
+    return inverted.search(_index(spark, sf_dir), fx.questions(spark, sf_dir), k)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
@@ -61,10 +66,30 @@ def ret03_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.term_counts(fx.chunks(spark, sf_dir), X.tokens(F.col("text")))
 
 
+@query(f"""WITH {fx.CHUNKS}, occ AS (SELECT chunk_id, unnest({TOK.format("text")}) AS term, 1.0::DOUBLE AS w FROM chunks UNION ALL SELECT chunk_id, unnest({TOK.format("heading_text")}), 0.4::DOUBLE FROM chunks)
+SELECT term, count(*) AS n_chunks, round(sum(tf), 4) AS frequency, round(max(tf), 4) AS highest FROM (SELECT term, chunk_id, sum(w) AS tf FROM occ GROUP BY ALL) GROUP BY term""")
+def ret03_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-03: what the kept index has written of each term: its posting lists, from all blocks."""
+    lists = _index(spark, sf_dir).table("postings").select("term", F.size("at").alias("n"), F.aggregate("tf", F.lit(0.0), lambda s, x: s + x).alias("f"), F.array_max("tf").alias("m"))
+    return lists.groupBy("term").agg(F.sum("n").alias("n_chunks"), F.round(F.sum("f"), 4).alias("frequency"), F.round(F.max("m"), 4).alias("highest"))
+
+
+#: Queries of one term, which no rarer term cuts down: every word of the first twenty terms by code point of a question.
+SINGLE = rf"single AS (SELECT DISTINCT term AS query_id, term AS text FROM (SELECT unnest(list_slice(list_sort(list_distinct({TOK.format('text')})), 1, 20)) AS term FROM benchmark))"
+
+
+@query(f"WITH {BM25.replace(fx.QUESTIONS, SINGLE).replace('FROM questions', 'FROM single')} SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
+def ret04_single_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-04: one-term queries, in which the bounds of blocks decide what is read."""
+    terms = F.slice(F.array_sort(F.array_distinct(X.tokens(F.col("text")))), 1, 20)
+    asked = fx.table(spark, sf_dir, "benchmark").select(F.explode(terms).alias("query_id")).distinct().select("query_id", F.col("query_id").alias("text"))
+    return inverted.search(_index(spark, sf_dir), asked, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def ret03_stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search over Porter stems without marks; stems run in Arrow batches."""
-    return R.Bm25(stem=True).search(fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return inverted.search(_index(spark, sf_dir, stem=True), fx.questions(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 DENSE = f"WITH {fx.COSINES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cosines"
@@ -123,7 +148,7 @@ fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score, count
 def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by their best chunk, and the vectors of the same ids: fifty of each leg."""
     asked = fx.asked(spark, sf_dir)
-    hits = R.Bm25().search(fx.chunks(spark, sf_dir), asked, None)
+    hits = inverted.search(_index(spark, sf_dir), asked, None)
     lexical = R.best_of_documents(hits, F.substring_index("chunk_id", "-", 1).cast("long")).withColumn("leg", F.lit("lexical"))
     # Some more than fifty, as ranks are by rounded scores.
     near = R.dense_batched(fx.vectors(spark, sf_dir), fx.vector_queries(spark, sf_dir), 60).withColumnRenamed("query_id", "vec")
