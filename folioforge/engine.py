@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.hashing import content_hash, embedding_identity, fingerprint
 from folioforge.functions.hashing import chunk_id as chunk_id_of
 from folioforge.functions.hashing import document_id as document_id_of
-from folioforge.operators import analytics, chunking, corpus, embedding, inverted, lifecycle, parsing, retrieval, store
+from folioforge.operators import analytics, ann, chunking, corpus, embedding, inverted, lifecycle, parsing, retrieval, store
 from folioforge.sources import filesystem
 
 
@@ -64,6 +64,8 @@ class Engine:
     budget: chunking.Budget = field(default_factory=chunking.Budget)
     cached: int = 512
     cache_seconds: float = 300.0
+    #: Vectors from which on searches go through a coarse index, if there is one.
+    ann_least: int = 100_000
     _cache: OrderedDict = field(default_factory=OrderedDict)
 
     # --- tables ---
@@ -403,7 +405,7 @@ class Engine:
         lexical = inverted.search(index, queries, k, live.select("chunk_id")).withColumn("leg", F.lit("lexical"))
         asked = queries.select("query_id", F.col("text").alias("embed_text"))
         q = embedding.embedded(asked, self.embed).where("vector is not null").select("query_id", "vector")
-        dense = retrieval.dense_batched(self.table("vectors").join(seen, "document_id", "left_semi").select("chunk_id", "vector"), q, k, p.floor).withColumn("leg", F.lit("dense"))
+        dense = self._dense(q, seen, k, p.floor).withColumn("leg", F.lit("dense"))
         legs = lexical.select("query_id", "leg", "chunk_id", "score").unionByName(dense.select("query_id", "leg", "chunk_id", "score"))
         fused = retrieval.rrf(legs)
         if rerank:
@@ -412,6 +414,39 @@ class Engine:
         # The join is the re-check of the scope: a hit outside it has no row to be shown with.
         return hits.join(live.select("chunk_id", "document_id", "text", "token_count"), "chunk_id").select("query_id", "chunk_id", "document_id", "text", "token_count", "score", "n_legs", "rank")
 
+    def _dense(self, queries: DataFrame, seen: DataFrame, k: int, floor: float) -> DataFrame:
+        """The dense leg: over the coarse index's codes where it is of these vectors, else over all of them."""
+        live = self.table("vectors").join(seen, "document_id", "left_semi").select("chunk_id", "vector")
+        if self.vector_index_status() != "ready":
+            return retrieval.dense_batched(live, queries, k, floor)
+        held = self.table("ann").first()
+        found = ann.search_coded(self.spark, ann.opened(self.spark, held["path"]), queries, k, held["probes"], held["rerank"], live)
+        return found.where(F.greatest("score", F.lit(0.0)) >= floor)
+
+    def vector_index_build(self, k: int = 10, least: float = 0.9) -> dict:
+        """Build the coarse index of all vectors, and find the fewest partitions and the shallowest re-rank that
+        reach a recall of ``least`` on every fiftieth vector, by a hash of its chunk (on all, where there are few)."""
+        began, versions = self.state()
+        path = f"{self.root}/_ann/{uuid.uuid4().hex}"
+        vectors = self.table("vectors").select("chunk_id", "vector")
+        index = ann.build(vectors, path=path)
+        asked = vectors.where("vector is not null").select(F.col("chunk_id").alias("query_id"), "vector")
+        if index.rows > 5000:
+            asked = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(50)) == 0)
+        probes, _ = ann.calibrated(self.spark, index, vectors, asked, k, (1 + least) / 2)
+        rerank, reached = ann.calibrated_codes(self.spark, index, vectors, asked, k, probes, least)
+        row = {"path": path, "vectors": versions["vectors"], "rows": index.rows, "probes": probes, "rerank": rerank, "recall": reached}
+        self.publish({"ann": self.spark.createDataFrame([tuple(row.values())], "path string, vectors string, rows long, probes int, rerank int, recall double")}, began)
+        return row
+
+    def vector_index_status(self) -> str:
+        """``exhaustive`` below ``ann_least`` vectors, then ``pending``, ``stale`` or ``ready``."""
+        _, versions = self.state()
+        if self.table("vectors").limit(self.ann_least).count() < self.ann_least:
+            return "exhaustive"
+        held = None if "ann" not in versions else self.table("ann").first()
+        return "pending" if held is None else "ready" if held["vectors"] == versions["vectors"] else "stale"
+
     def ask_one(self, text: str, **how) -> list[dict]:
         """One query's hits as rows, kept for some minutes and for the corpus as it is now; each call is logged."""
         key = (self.state()[0], json.dumps(self.fingerprints(), sort_keys=True), text, tuple(sorted((k, str(v)) for k, v in how.items())))

@@ -1,38 +1,60 @@
-"""A coarse index over vectors: partitions around centres, searched from the nearest centres on.
+"""A coarse index over vectors with product-quantised codes.
 
-``build`` fits ⌊√rows⌋ centres (or as many as are asked for) on a sample of at most ``SAMPLE``
-vectors and puts every vector into the partition of its nearest centre; the table is written,
-partitioned by centre, so a search reads only the partitions it probes. ``calibrated`` measures
-recall against the exact search over stated queries and returns the fewest partitions that
-reach it. Vectors are of length 1 inside the index; a null or zero vector is in none.
+``build`` fits ⌊√rows⌋ centres (or as many as are asked for, and a sixteenth of the sample at most) and, on
+what vectors differ from their centres by, one codebook per sub-vector; both on a sample of at most
+``SAMPLE`` vectors. It writes one row per vector: id, partition (its nearest centre), one byte per
+sub-vector, and the vector, sorted by partition; a partition that holds a third of all rows is written by
+several tasks. ``search`` compares whole vectors of the partitions nearest to a query. ``search_coded``
+reads codes alone: a query's products with all codewords are looked up and summed, the best
+``rerank * k`` rows of each query are then scored by their vectors, which are read for these only.
+``calibrated`` and ``calibrated_codes`` measure recall against the exact search over stated queries and
+return the least effort that reaches it. Vectors are of length 1 inside the index; a null or zero vector
+is in none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.operators.retrieval import dense_batched, top_k
-from folioforge.plans.scratch import new_dir
+from folioforge.operators.retrieval import SCORES, RunningTop, ann_sub_vectors, clamped, dense_batched, dot, in_passes, matrix_of, named, top_k, unit
+from folioforge.plans.scratch import new_dir, written
 
 SAMPLE = 100_000
 ROUNDS = 12
 SEED = 5
+#: Codewords of a sub-vector: what one byte tells apart.
+WORDS = 256
+#: Vectors that are compared with all centres at once.
+STEP = 4096
+#: From what is broadcast, rows of a partition, the partition and its queries to scores: queries x rows.
+Scores = Callable[[tuple, pa.RecordBatch, int, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
 class Index:
     path: str
     centres: np.ndarray
+    #: Codewords by sub-vector: sub-vectors x WORDS x their components.
+    books: np.ndarray
     rows: int
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("chunk_id long, vector array<float>, part int").parquet(self.path)
+        """``chunk_id, vector, part, codes``."""
+        return spark.read.parquet(f"{self.path}/codes")
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """An index that ``build`` has written."""
+    fitted = spark.read.parquet(f"{path}/fitted")
+    rows = {r["kind"]: r for r in fitted.collect()}
+    return Index(path, *(np.array(rows[kind]["values"]).reshape(rows[kind]["shape"]) for kind in ("centres", "books")), rows["centres"]["rows"])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -40,84 +62,171 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
 
-def centres_of(sample: np.ndarray, n: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
-    """Spherical k-means; a centre that loses all its members takes the worst served vector."""
+def nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest centre by Euclidean distance, and the squared distance; some rows at a time."""
+    own, far = np.empty(len(rows), np.int64), np.empty(len(rows))
+    half = (centres**2).sum(1) / 2
+    for i in range(0, len(rows), STEP):
+        part = rows[i : i + STEP]
+        score = part @ centres.T - half
+        own[i : i + STEP] = best = score.argmax(1)
+        far[i : i + STEP] = (part**2).sum(1) - 2 * score[np.arange(len(part)), best]
+    return own, far
+
+
+def centres_of(sample: np.ndarray, n: int, rounds: int = ROUNDS, seed: int = SEED, spherical: bool = True) -> np.ndarray:
+    """k-means, of centres of length 1 if ``spherical``; a centre that loses all its members takes the worst served vector."""
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), n, replace=False)].copy()
     for _ in range(rounds):
-        score = sample @ centres.T
-        own = score.argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, sample)
-        empty = np.flatnonzero(np.bincount(own, minlength=n) == 0)
+        own, far = nearest(sample, centres)
+        count = np.bincount(own, minlength=n)
+        sums = np.stack([np.bincount(own, column, n) for column in sample.T], axis=1)
+        empty = np.flatnonzero(count == 0)
         if len(empty):
-            sums[empty] = sample[np.argsort(score.max(1))[: len(empty)]]
-        centres = _unit(sums)
+            sums[empty], count[empty] = sample[np.argsort(-far)[: len(empty)]], 1
+        centres = _unit(sums) if spherical else sums / count[:, None]
     return centres
 
 
-def build(vectors: DataFrame, partitions: int | None = None, sample: int = SAMPLE) -> Index:
-    """Index ``chunk_id, vector``. The sample is drawn by a hash of the ids, so it is the same each time."""
-    known = vectors.where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector")
+def codebooks(rest: np.ndarray, sub_vectors: int, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
+    """Codewords of each sub-vector of what vectors differ from their centres by; the last is repeated where there are too few."""
+    books = []
+    for part in np.split(rest, sub_vectors, axis=1):
+        book = centres_of(part, min(WORDS, len(part)), rounds, seed, spherical=False)
+        books.append(np.concatenate([book, np.repeat(book[-1:], WORDS - len(book), axis=0)]))
+    return np.stack(books)
+
+
+def encoded(rest: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The nearest codeword of each sub-vector: rows x sub-vectors, a byte each."""
+    return np.stack([nearest(part, book)[0] for part, book in zip(np.split(rest, len(books), axis=1), books, strict=True)], axis=1).astype(np.uint8)
+
+
+def build(vectors: DataFrame, partitions: int | None = None, sample: int = SAMPLE, sub_vectors: int | None = None, path: str | None = None) -> Index:
+    """Index ``chunk_id, vector`` below ``path``, or else in the shared folder. The sample is the least by a hash of the ids, so it is the same each time.
+
+    Without ``sub_vectors`` there are as many as leave sixteen components at least to each.
+    """
+    known = vectors.where("vector is not null").select("chunk_id", "vector")
     n = known.count()
     if n == 0:
         raise ValueError("no vectors to index")
-    draw = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30))
-    some = known.where(draw.cast("double") * n < 2.0 * sample * (1 << 30)).limit(sample)
-    data = _unit(np.array([r[0] for r in some.orderBy("chunk_id").select("vector").collect()], np.float64))
+    draw = F.xxhash64(F.col("chunk_id").cast("string"))
+    some = known.orderBy(draw, "chunk_id").limit(sample).select("vector")
+    data = _unit(np.array([r[0] for r in some.collect()], np.float64))
     data = data[np.abs(data).sum(1) > 0]
-    centres = centres_of(data, min(len(data), partitions or max(1, int(n**0.5))))
+    if not len(data):
+        raise ValueError("no vectors to index")
+    centres = centres_of(data, min(len(data), partitions or max(1, min(len(data) // 16, int(n**0.5)))))
+    books = codebooks(data - centres[nearest(data, centres)[0]], sub_vectors or ann_sub_vectors(data.shape[1]))
     spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(centres)  # a root of the rows, of one vector each
+    # A sixteenth of the sample at most, and 256 codewords per sub-vector: bounded whatever the table's size.
+    shared = spark.sparkContext.broadcast((centres, books))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, books = shared.value
         for batch in batches:
-            rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, shared.value.shape[1]))
+            rows = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, centres.shape[1]))
             live = np.flatnonzero(np.abs(rows).sum(1) > 0)
-            part = (rows[live] @ shared.value.T).argmax(1).astype(np.int32)
+            rows = _unit(rows[live])
+            part = nearest(rows, centres)[0]
+            codes = encoded(rows - centres[part], books) if len(live) else np.zeros((0, len(books)), np.uint8)
             kept = batch.take(pa.array(live))
-            yield pa.record_batch([kept.column("chunk_id"), kept.column("vector"), pa.array(part)], ["chunk_id", "vector", "part"])
+            yield pa.record_batch([kept.column("chunk_id"), kept.column("vector"), pa.array(part.astype(np.int32)), pa.array(map(bytes, codes), pa.binary())], ["chunk_id", "vector", "part", "codes"])
 
-    path = new_dir(spark, "ann")
-    placed = known.mapInArrow(run, "chunk_id long, vector array<float>, part int")
-    placed.repartition("part").write.partitionBy("part").parquet(path)
-    return Index(path, centres, n)
+    path = path or new_dir(spark, "ann")
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+    placed = written(known.mapInArrow(run, f"chunk_id {kind}, vector {vectors.schema['vector'].dataType.simpleString()}, part int, codes binary"), "ann-placed")
+    placed.repartitionByRange("part", F.xxhash64("chunk_id")).sortWithinPartitions("part").write.parquet(f"{path}/codes")
+    fitted = [(kind, list(x.shape), x.reshape(-1).tolist(), n) for kind, x in (("centres", centres), ("books", books))]
+    spark.createDataFrame(fitted, "kind string, shape array<int>, values array<double>, rows long").coalesce(1).write.parquet(f"{path}/fitted")
+    return Index(path, centres, books, n)
 
 
-def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int, most_queries: int = 10_000) -> DataFrame:
-    """``query_id, chunk_id, score, rank`` from the ``probes`` partitions nearest to each query.
-
-    Each vector meets only the queries that probe its partition; a batch keeps ``k`` rows a query.
-    """
-    asked = queries.select("query_id", "vector").limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in parts")
-    names, matrix = [r[0] for r in asked], _unit(np.array([r[1] for r in asked], np.float64).reshape(len(asked), -1))
+def _probed(spark: SparkSession, index: Index, matrix: np.ndarray, probes: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """Rows of the partitions that any query probes, and the queries of each partition."""
     near = np.argsort(-(matrix @ index.centres.T), axis=1, kind="stable")[:, :probes]
-    by_part: dict[int, np.ndarray] = {int(p): np.flatnonzero((near == p).any(1)) for p in np.unique(near)}
-    shared = spark.sparkContext.broadcast((matrix, by_part))
+    asked = np.repeat(np.arange(len(near)), near.shape[1])
+    order = np.argsort(near.reshape(-1), kind="stable")
+    parts, first = np.unique(near.reshape(-1)[order], return_index=True)
+    by_part = {int(p): np.sort(qs) for p, qs in zip(parts, np.split(asked[order], first[1:]), strict=True)}
+    return index.table(spark).where(F.col("part").isin(*by_part)) if by_part else index.table(spark).limit(0), by_part
+
+
+def _scan(rows: DataFrame, k: int, shared: Broadcast, scores: Scores) -> DataFrame:
+    """``q, chunk_id, score``: the ``k`` best of each query in each task, by ``scores(rows of a part, its queries)``."""
+    kind = rows.schema["chunk_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_of, wanted = shared.value
+        asked_of, best = shared.value[0], RunningTop(k)
         for batch in batches:
             parts = np.asarray(batch.column("part"))
-            rows = _unit(np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, asked_of.shape[1]))
-            ids = np.asarray(batch.column("chunk_id"))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for p in np.unique(parts).tolist():
-                mine, qs = np.flatnonzero(parts == p), wanted.get(p, np.zeros(0, np.int64))
-                score = rows[mine] @ asked_of[qs].T
-                for j, q in enumerate(qs.tolist()):
-                    best = np.lexsort((ids[mine], -score[:, j]))[:k]
-                    out.append((np.full(len(best), q), ids[mine][best], np.clip(score[best, j], -1, 1)))
-            cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
-            yield pa.record_batch([pa.array(c) for c in cols], ["q", "chunk_id", "score"])
+                qs = asked_of.get(p, np.zeros(0, np.int64))
+                mine = batch.take(pa.array(np.flatnonzero(parts == p)))
+                step = max(1, SCORES // max(1, mine.num_rows))
+                for some in np.split(qs, range(step, len(qs), step)):
+                    if len(some):
+                        score = scores(shared.value, mine, p, some)
+                        least = np.partition(score, -k, axis=1)[:, -k:][:, :1] if score.shape[1] > k else -np.inf
+                        i, j = np.nonzero(score >= least)
+                        best.add(some[i], mine.column("chunk_id").take(pa.array(j)), score[i, j])
+        if (found := best.rows()) is not None:
+            yield pa.record_batch([pa.array(found[0]), found[1], pa.array(found[2])], ["q", "chunk_id", "score"])
+
+    return rows.mapInArrow(run, f"q long, chunk_id {kind}, score double")
+
 
-    probed = index.table(spark).where(F.col("part").isin(*by_part)) if by_part else index.table(spark).limit(0)
-    found = probed.mapInArrow(run, "q long, chunk_id long, score double")
-    kind = queries.schema["query_id"].dataType
-    named = spark.createDataFrame(list(enumerate(names)), f"q long, query_id {kind.simpleString()}")
-    return top_k(found.join(F.broadcast(named), "q").select("query_id", "chunk_id", "score"), k)  # one row per query
+def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int, most_queries: int = 10_000) -> DataFrame:
+    """``query_id, chunk_id, score, rank`` from the ``probes`` partitions nearest to each query, by whole vectors.
+
+    Each vector meets only the queries that probe its partition; about ``most_queries`` go in one pass.
+    """
+
+    def one_pass(some: DataFrame) -> DataFrame:
+        names, matrix = matrix_of(some, index.centres.shape[1])
+        rows, by_part = _probed(spark, index, matrix, probes)
+        shared = spark.sparkContext.broadcast((by_part, matrix))
+
+        def scores(state: tuple, mine: pa.RecordBatch, part: int, qs: np.ndarray) -> np.ndarray:
+            vectors = _unit(np.asarray(mine.column("vector").flatten(), np.float64).reshape(mine.num_rows, -1))
+            return np.clip(state[1][qs] @ vectors.T, -1, 1)
+
+        return top_k(named(_scan(rows.select("chunk_id", "vector", "part"), k, shared, scores), names, some).select("query_id", "chunk_id", "score"), k)
+
+    return in_passes(queries, most_queries, one_pass)
+
+
+def search_coded(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int, rerank: int = 10, visible: DataFrame | None = None, most_queries: int = 10_000) -> DataFrame:
+    """The same result from codes: the best ``rerank * k`` of each query by code are scored by their vectors.
+
+    ``visible`` (``chunk_id``) restricts the rows before anything is ranked.
+    """
+
+    def one_pass(some: DataFrame) -> DataFrame:
+        names, matrix = matrix_of(some, index.centres.shape[1])
+        rows, by_part = _probed(spark, index, matrix, probes)
+        if visible is not None:
+            rows = rows.join(visible.select("chunk_id"), "chunk_id", "left_semi")
+        # Products of each query with each centre and, per sub-vector, with each codeword.
+        tables = np.einsum("qms,mws->qmw", matrix.reshape(len(matrix), len(index.books), -1), index.books)
+        shared = spark.sparkContext.broadcast((by_part, matrix @ index.centres.T, tables))
+
+        def scores(state: tuple, mine: pa.RecordBatch, part: int, qs: np.ndarray) -> np.ndarray:
+            codes = np.frombuffer(b"".join(mine.column("codes").to_pylist()), np.uint8).reshape(mine.num_rows, -1)
+            out = np.repeat(state[1][qs, part][:, None], len(codes), axis=1)
+            for m in range(codes.shape[1]):
+                out += state[2][qs, m][:, codes[:, m]]
+            return out
+
+        coded = _scan(rows.select("chunk_id", "part", "codes"), k * rerank, shared, scores)
+        few = top_k(named(coded, names, some).select("query_id", "chunk_id", "score"), k * rerank).select("query_id", "chunk_id")
+        whole = few.join(index.table(spark).select("chunk_id", "vector"), "chunk_id").join(some.select("query_id", F.col("vector").alias("asked")), "query_id")
+        score = clamped(dot(unit(F.col("vector")), unit(F.col("asked"))), -1.0, 1.0)
+        return top_k(whole.select("query_id", "chunk_id", score.alias("score")), k)
+
+    return in_passes(queries, most_queries, one_pass)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
@@ -128,11 +237,21 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
 
 def calibrated(spark: SparkSession, index: Index, vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.9) -> tuple[int, float]:
     """The fewest probes, by doubling, that reach the recall on the stated queries; all partitions reach any."""
-    exact = dense_batched(vectors, queries, k).select("query_id", "chunk_id").cache()
+    exact = written(dense_batched(vectors, queries, k).select("query_id", "chunk_id"), "exact")
     probes = 1
     while True:
         got = recall(search(spark, index, queries, k, probes).select("query_id", "chunk_id"), exact)
         if got >= least or probes >= len(index.centres):
-            exact.unpersist()
             return probes, got
         probes = min(len(index.centres), 2 * probes)
+
+
+def calibrated_codes(spark: SparkSession, index: Index, vectors: DataFrame, queries: DataFrame, k: int, probes: int, least: float = 0.9) -> tuple[int, float]:
+    """The least ``rerank``, by doubling, with which the search over codes reaches the recall; as many as there are rows reach any."""
+    exact = written(dense_batched(vectors, queries, k).select("query_id", "chunk_id"), "exact")
+    rerank = 4
+    while True:
+        got = recall(search_coded(spark, index, queries, k, probes, rerank).select("query_id", "chunk_id"), exact)
+        if got >= least or rerank * k >= index.rows:
+            return rerank, got
+        rerank *= 2

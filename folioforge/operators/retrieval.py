@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -126,44 +127,101 @@ def dense_exact(vectors: DataFrame, queries: DataFrame, k: int, floor: float | N
     return top_k(found, k)
 
 
+class RunningTop:
+    """The ``k`` best rows of each query that a task has seen, ties by id: never much more than ``k`` per query."""
+
+    def __init__(self, k: int, spare: int = 1 << 18):
+        self.k, self.spare = k, spare
+        self.held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.size, self.kept = 0, 0
+
+    def add(self, query: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        if len(query):
+            self.held.append((query, ids, score))
+            self.size += len(query)
+            if self.size > 2 * self.kept + self.spare:
+                self.rows()
+
+    def rows(self) -> tuple[np.ndarray, pa.Array, np.ndarray] | None:
+        """What is left of all that was added; that is also all that stays."""
+        if not self.held:
+            return None
+        query, score = (np.concatenate([h[i] for h in self.held]) for i in (0, 2))
+        ids = pa.concat_arrays([h[1] for h in self.held])
+        by_id = np.unique(np.asarray(ids), return_inverse=True)[1]
+        order = np.lexsort((by_id, -score, query))
+        first = np.concatenate(([0], np.flatnonzero(np.diff(query[order])) + 1))
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        best = order[place < self.k]
+        self.held = [(query[best], ids.take(pa.array(best)), score[best])]
+        self.size = self.kept = len(best)
+        return self.held[0]
+
+
+#: Scores that a task computes at a time.
+SCORES = 1 << 22
+
+
+def matrix_of(queries: DataFrame, width: int = 1) -> tuple[list, np.ndarray]:
+    """Ids of ``query_id, vector`` and their vectors, of length 1, as one matrix on the driver; of ``width`` columns if there are none."""
+    rows = queries.select("query_id", "vector").collect()
+    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1 if rows else width)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return [r[0] for r in rows], np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+
+def in_passes(queries: DataFrame, most: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A search that takes about ``most`` queries at once, over any number of them: one pass for each share, by a hash of the id."""
+    passes = -(-queries.count() // most)
+    if passes <= 1:
+        return search(queries)
+    share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    return reduce(DataFrame.unionByName, [search(queries.where(share == i)) for i in range(passes)])
+
+
 def dense_batched(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None, most_queries: int = 100_000) -> DataFrame:
-    """The same result by one matrix product per Arrow batch; each batch keeps ``k`` rows per query.
+    """The same result by matrix products over Arrow batches; a task keeps ``k`` rows per query.
 
-    The queries' matrix is broadcast, ``most_queries`` rows at most; more are refused.
+    The queries' matrix is broadcast, about ``most_queries`` of them in each pass over the vectors.
     """
-    rows = queries.select("query_id", "vector").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in parts")
-    names = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = vectors.sparkSession.sparkContext.broadcast(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0))
+    return in_passes(queries, most_queries, lambda some: _dense_pass(vectors, some, k, floor))
+
+
+def _dense_pass(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None) -> DataFrame:
+    names, matrix = matrix_of(queries)
+    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
     chunk_type = vectors.schema["chunk_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
+        q, best = shared.value, RunningTop(k)
         for batch in batches:
             if not batch.num_rows or not len(q):
                 continue
-            lists = batch.column(1)
-            v = np.asarray(lists.flatten(), np.float64).reshape(batch.num_rows, -1)
+            v = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
             size = np.linalg.norm(v, axis=1, keepdims=True)
-            score = np.clip(np.divide(v, size, out=np.zeros_like(v), where=size > 0) @ q.T, -1.0, 1.0)
-            if score.shape[0] > k:
-                # All rows that reach the k-th best, so that ties stay for the final order.
-                least = np.partition(score, -k, axis=0)[-k]
+            v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+            step = max(1, SCORES // len(v))
+            for start in range(0, len(q), step):
+                score = np.clip(v @ q[start : start + step].T, -1.0, 1.0)
+                # All rows that reach the k-th best, so that ties are settled by id.
+                least = np.partition(score, -k, axis=0)[-k] if len(v) > k else -1.0
                 i, j = np.nonzero(score >= least)
-            else:
-                i, j = (x.reshape(-1) for x in np.indices(score.shape))
-            s = score[i, j]
-            if floor is not None:
-                keep = np.maximum(s, 0) >= floor
-                i, j, s = i[keep], j[keep], s[keep]
-            yield pa.record_batch([pa.array(j), batch.column(0).take(pa.array(i)), pa.array(s)], ["q", "chunk_id", "score"])
+                s = score[i, j]
+                if floor is not None:
+                    near = np.maximum(s, 0) >= floor
+                    i, j, s = i[near], j[near], s[near]
+                best.add(j + start, batch.column(0).take(pa.array(i)), s)
+        if (rows := best.rows()) is not None:
+            yield pa.record_batch([pa.array(rows[0]), rows[1], pa.array(rows[2])], ["q", "chunk_id", "score"])
 
     found = vectors.select("chunk_id", "vector").mapInArrow(run, f"q long, chunk_id {chunk_type}, score double")
-    index = vectors.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], f"q long, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return top_k(found.join(index, "q").select("query_id", "chunk_id", "score"), k)
+    return top_k(named(found, names, queries).select("query_id", "chunk_id", "score"), k)
+
+
+def named(found: DataFrame, names: list, queries: DataFrame) -> DataFrame:
+    """Rows by a query's place in a matrix, ``q``, with its id."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return found.join(found.sparkSession.createDataFrame(list(enumerate(names)), f"q long, query_id {kind}"), "q").drop("q")
 
 
 def ann_lifecycle(rows: Column, indexed: Column, threshold: int = 100_000, enabled: bool = True) -> Column:

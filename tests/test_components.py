@@ -51,7 +51,51 @@ def test_index_recall_and_probes(spark):
     found = {(r.query_id, r.chunk_id) for r in ann.search(spark, index, q, 10, len(index.centres)).collect()}
     assert found == exact
     few = ann.search(spark, index, q, 10, 2)
-    assert "PartitionFilters: [isnotnull" in few._jdf.queryExecution().toString() or "part" in few._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(part" in few._jdf.queryExecution().toString() or "part" in few._jdf.queryExecution().toString()
+    assert ann.build(v).centres.tolist() == index.centres.tolist()  # the sample doesn't depend on the order of rows
+
+
+def test_codes_reach_the_recall_they_are_asked_for(spark):
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(12, 32))
+    rows = [(f"c{i:04}", (middles[i % 12] + 0.8 * rng.normal(size=32)).tolist()) for i in range(1200)]
+    rows += [(f"same{i:03}", [1.0] * 32) for i in range(500)] + [("none", None), ("zero", [0.0] * 32)]
+    v = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(4)
+    q = v.where("chunk_id rlike '^c.*[05]0$' or chunk_id = 'same007'").withColumnRenamed("chunk_id", "query_id")
+    built = ann.build(v, sub_vectors=8)
+    index = ann.opened(spark, built.path)
+    assert (index.books == built.books).all() and index.rows == built.rows and index.books.shape == (8, 256, 4)
+    assert index.table(spark).where("length(codes) <> 8").count() == 0 and index.table(spark).count() == 1700
+    rerank, got = ann.calibrated_codes(spark, index, v.where("chunk_id <> 'none'"), q, 10, len(index.centres))
+    assert got >= 0.9 and rerank * 10 < 400
+    scan = ann.search_coded(spark, index, q, 10, 3)
+    plan = scan._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<chunk_id:string,part:int,codes:binary>" in plan or "codes" in plan
+    # Equal vectors tie by id, however many they are; and shares of the queries are passes of their own.
+    want = {(r.query_id, r.chunk_id, r.rank) for r in retrieval.dense_batched(v.where("chunk_id <> 'none'"), q, 10).collect()}
+    assert {(x, y) for x, y, _ in want if x == "same007"} == {("same007", f"same{i:03}") for i in range(10)}
+    assert {(r.query_id, r.chunk_id, r.rank) for r in retrieval.dense_batched(v.where("chunk_id <> 'none'"), q, 10, most_queries=7).collect()} == want
+    assert {(r.query_id, r.chunk_id, r.rank) for r in ann.search(spark, index, q, 10, len(index.centres), most_queries=5).collect()} == want
+    deep = ann.search_coded(spark, index, q, 10, len(index.centres), 60, most_queries=9)
+    assert {(r.query_id, r.chunk_id, r.rank) for r in deep.collect()} == want
+    seen = v.where("chunk_id like 'same%'")
+    assert {r.chunk_id for r in ann.search_coded(spark, index, q, 3, len(index.centres), 5, seen).collect()} == {"same000", "same001", "same002"}
+
+
+def test_a_task_keeps_the_best_rows_of_each_query():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    top, rows = retrieval.RunningTop(5, spare=50), []
+    for _ in range(40):
+        q, score = rng.integers(0, 7, 30), rng.integers(0, 9, 30) / 8
+        ids = [f"i{int(x):04}" for x in rng.integers(0, 10_000, 30)]
+        top.add(q, pa.array(ids), score)
+        rows += list(zip(q.tolist(), (-score).tolist(), ids, strict=True))
+        assert top.size < 200
+    q, ids, score = top.rows()
+    want = sorted(r for x in range(7) for r in sorted(r for r in rows if r[0] == x)[:5])
+    assert sorted(zip(q.tolist(), (-score).tolist(), ids.to_pylist(), strict=True)) == want
 
 
 def test_window_guard(spark):

@@ -61,13 +61,25 @@ def test_trash_restore_reconcile(engine):
     engine.document_restore([d])
 
 
+def test_search_through_the_coarse_index(engine):
+    plain = [(h["chunk_id"], h["score"]) for h in ask(engine, "maps of the office")]
+    assert engine.vector_index_status() == "exhaustive"
+    engine.ann_least = 1
+    assert engine.vector_index_status() == "pending"
+    assert engine.vector_index_build()["recall"] >= 0.9 and engine.vector_index_status() == "ready"
+    assert [(h["chunk_id"], h["score"]) for h in ask(engine, "maps of the office")] == plain
+    assert all("Friday" in h["text"] for h in ask(engine, "maps", filter=Filter(media_types=("text/html",))))
+
+
 def test_reembed_and_fences(engine):
     other = Engine(engine.spark, engine.root, embed=engine.embed, embed_name="other")
     with pytest.raises(Incompatible):
         ask(other, "maps")
     assert other.stale().count() > 0
+    other.ann_least = 1
     other.reembed()
-    assert ask(other, "maps")
+    assert other.vector_index_status() == "stale" and ask(other, "maps")
+    engine.ann_least = 100_000
     with pytest.raises(Superseded):
         engine.publish({"documents": engine.table("documents")}, -5)
     with pytest.raises(ValueError):
