@@ -74,7 +74,9 @@ def embedded(texts: DataFrame, embed: Callable[[list[str]], np.ndarray], text_co
     known = keyed.where(F.col(text_col).isNotNull())
     once = known.groupBy("__key").agg(F.min(text_col).alias("__text"), F.max(text_col).alias("__other"))
     made = once.select("__key", F.when(F.col("__text") == F.col("__other"), F.col("__text")).otherwise(F.raise_error(F.lit("two texts of one digest"))).alias("__text"))
-    return keyed.join(made.select("__key", run("__text").alias("vector")), "__key", "left").drop("__key")
+    # Marked so that no filter on the vectors is pushed below and makes them twice.
+    vector = run.asNondeterministic()("__text").alias("vector")
+    return keyed.join(made.select("__key", vector), "__key", "left").drop("__key")
 
 
 def embed_or_reuse(chunks: DataFrame, stored: DataFrame, embed: Callable[[list[str]], np.ndarray]) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioforge.plans.scratch import written
+
 
 def binomial_tail(hits: int, n: int, p: float) -> float:
     """P(X >= hits) of n trials, summed in logarithms."""
@@ -89,19 +92,69 @@ def report(outcomes: DataFrame) -> DataFrame:
     return sums.select(F.coalesce("intent", F.lit("overall")).alias("intent"), "left", "right", "tie", "neither", F.when(decided > 0, F.col("left") / decided).alias("share"), low.alias("low"), high.alias("high"))
 
 
-def corpus_digest(documents: DataFrame) -> DataFrame:
-    """One row: the SHA-256 of all ``document_id, content_hash`` in order.
+def merkle_tree(documents: DataFrame, digits: int | None = None) -> DataFrame:
+    """A tree of digests over ``document_id, content_hash``, as rows ``level, prefix, digest, n``.
 
-    Ids are digested in groups first, by the first digits of their own digests, as many as leave about a
-    thousand in each; so no task gathers more than its share.
+    A leaf holds the rows whose ids' digests begin alike, in as many digits as leave about a thousand in
+    each; a node above digests its sixteen children at most. No row gathers more than its share, and no
+    level needs the rows below it once more.
     """
     line = F.concat(F.col("document_id").cast("string"), F.lit("\0"), "content_hash", F.lit("\n"))
-    digits, n = 1, documents.count()
-    while n > 1000 * 16**digits:
-        digits += 1
-    part = F.left(F.md5(F.col("document_id").cast("string")), F.lit(digits))
-    groups = documents.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("d"))
-    return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.count(F.lit(1)).alias("groups"))
+    if digits is None:
+        digits, n = 1, documents.count()
+        while n > 1000 * 16**digits:
+            digits += 1
+    prefix = F.left(F.md5(F.col("document_id").cast("string")), F.lit(digits))
+    level = documents.groupBy(prefix.alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ""), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    level = written(level, "merkle")
+    levels = [level.select(F.lit(digits).alias("level"), "prefix", "digest", "n")]
+    for depth in reversed(range(digits)):
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: x["digest"]), "")
+        level = level.groupBy(F.left("prefix", F.lit(depth)).alias("prefix")).agg(F.sha2(children, 256).alias("digest"), F.sum("n").alias("n"))
+        levels.append(level.select(F.lit(depth).alias("level"), "prefix", "digest", "n"))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def corpus_digest(documents: DataFrame) -> DataFrame:
+    """One row: the root's digest of all ``document_id, content_hash``, and the number of leaves."""
+    tree = merkle_tree(documents)
+    leaf = tree.agg(F.max("level")).first()[0]
+    if leaf is None:
+        return documents.sparkSession.createDataFrame([(hashlib.sha256(b"").hexdigest(), 0)], "digest string, groups long")
+    return tree.agg(F.max(F.when(F.col("level") == 0, F.col("digest"))).alias("digest"), F.count_if(F.col("level") == leaf).alias("groups"))
+
+
+def unequal_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``level, prefix`` of the leaves at which two trees of one depth differ, found from the root downwards:
+    a level's nodes are compared only below nodes that differ."""
+    columns = ["level", "prefix", "digest"]
+    depth = max(t.agg(F.max("level")).first()[0] or 0 for t in (left, right))
+    open_ = None
+    for level in range(depth + 1):
+        a, b = (t.select(*columns).where(F.col("level") == level) for t in (left, right))
+        if open_ is not None:
+            parent = F.left("prefix", F.lit(level - 1))
+            a, b = (t.withColumn("__up", parent).join(open_.select(F.col("prefix").alias("__up")), "__up", "left_semi").drop("__up") for t in (a, b))
+        differ = a.join(b.withColumnRenamed("digest", "__other"), ["level", "prefix"], "full_outer").where(~F.col("digest").eqNullSafe(F.col("__other")))
+        open_ = written(differ.select("level", "prefix"), "unequal")
+        if open_.isEmpty():
+            break
+    return open_
+
+
+def disagreement(left: DataFrame, right: DataFrame, digits: int | None = None) -> DataFrame:
+    """``document_id, state`` of rows that two corpora of ``document_id, content_hash`` don't share:
+    ``missing`` on the right, ``new`` there, or ``changed``. Only rows below unequal leaves are compared."""
+    if digits is None:
+        digits, n = 1, max(left.count(), right.count())
+        while n > 1000 * 16**digits:
+            digits += 1
+    trees = [merkle_tree(side, digits) for side in (left, right)]
+    unequal = unequal_leaves(*trees).where(F.col("level") == digits).select(F.col("prefix").alias("__leaf"))
+    leaf = F.left(F.md5(F.col("document_id").cast("string")), F.lit(digits))
+    a, b = (side.select("document_id", "content_hash").withColumn("__leaf", leaf).join(unequal, "__leaf", "left_semi").drop("__leaf") for side in (left, right))
+    both = a.join(b.select("document_id", F.col("content_hash").alias("__other")), "document_id", "full_outer").where(~F.col("content_hash").eqNullSafe(F.col("__other")))
+    return both.select("document_id", F.when(F.col("__other").isNull(), "missing").when(F.col("content_hash").isNull(), "new").otherwise("changed").alias("state"))
 
 
 def probe_hits(ranked: DataFrame, answers: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import hashing as H
 from folioforge.functions import text as X
-from folioforge.operators import analytics as A
+from folioforge.operators import analytics as A, passages
 from folioforge.operators import chunking, conversations, embedding, evaluation, parsing
 from folioforge.operators import store as T
 from folioforge.plans import fixtures as fx
@@ -347,16 +347,22 @@ def cit02_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH b AS (SELECT item_id, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1) SELECT item_id, n > 0 AS found, n::BIGINT AS n_documents FROM b")
 def eva01_known_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that occur verbatim; the benchmark is the stated query set, against all documents."""
-    b, d = tab(spark, sf_dir, "benchmark"), tab(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-    n, size = b.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    if n > 10_000 or size > 64 << 20:
-        raise ValueError(f"{n} passages of {size} bytes are too many to look for at once")
-    hits = d.join(F.broadcast(b), F.contains("doc_text", "text")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    """Passages that occur verbatim, found by anchors that they share with texts."""
+    b = tab(spark, sf_dir, "benchmark")
+    hits = passages.occurrences(tab(spark, sf_dir, "documents"), b, "doc_id", "text", "item_id", "text").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     return b.select("item_id").join(hits, "item_id", "left").select("item_id", (n > 0).alias("found"), n.alias("n_documents"))
 
 
+@query("""WITH lines AS (SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE length(line) > 0)
+SELECT line, count(*) AS n_documents FROM lines JOIN documents d ON contains(d.text, line) GROUP BY 1""")
+def eva01_passage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVA-01: every line of every passage, of whatever length, in all documents."""
+    lines = tab(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 0").distinct()
+    asked = lines.select("line", F.col("line").alias("key"))
+    return passages.occurrences(tab(spark, sf_dir, "documents"), asked, "doc_id", "text", "key", "line").groupBy(F.col("key").alias("line")).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @query("SELECT vec_id AS query_id, true AS hit FROM embeddings WHERE vec_id % 50 = 0")
 def eva01_probe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVA-01: the known answer of each probe is the nearest other vector; is it among the five first?"""
@@ -427,6 +433,31 @@ def eva06_corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.corpus_digest(d)
 
 
+SIDES = """l AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 97 <> 5), r AS (SELECT doc_id, CASE WHEN doc_id % 89 = 7 THEN md5(text || '!') ELSE md5(text) END AS h FROM documents WHERE doc_id % 83 <> 11)"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents twice: some are missing on either side and some changed on the right."""
+    d, i = tab(spark, sf_dir, "documents"), F.col("doc_id")
+    right = F.when(i % 89 == 7, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text"))
+    return d.where("doc_id % 97 <> 5").select(i.alias("document_id"), F.md5("text").alias("content_hash")), d.where("doc_id % 83 <> 11").select(i.alias("document_id"), right.alias("content_hash"))
+
+
+@query(f"WITH {SIDES} SELECT coalesce(l.doc_id, r.doc_id) AS document_id, CASE WHEN r.h IS NULL THEN 'missing' WHEN l.h IS NULL THEN 'new' ELSE 'changed' END AS state FROM l FULL JOIN r ON l.doc_id = r.doc_id WHERE l.h IS DISTINCT FROM r.h")
+def eva06_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVA-06, SNK-04: rows that two corpora don't share, by trees of digests of which only unequal nodes are descended."""
+    return evaluation.disagreement(*_sides(spark, sf_dir), digits=2)
+
+
+@query("""WITH a AS (SELECT md5(doc_id::VARCHAR) AS k, doc_id || chr(0) || md5(text) || chr(10) AS line FROM documents), l2 AS (SELECT left(k, 2) AS prefix, sha256(string_agg(line, '' ORDER BY line)) AS digest, count(*) AS n FROM a GROUP BY 1),
+l1 AS (SELECT left(prefix, 1) AS prefix, sha256(string_agg(digest, '' ORDER BY prefix)) AS digest, sum(n)::BIGINT AS n FROM l2 GROUP BY 1), l0 AS (SELECT '' AS prefix, sha256(string_agg(digest, '' ORDER BY prefix)) AS digest, sum(n)::BIGINT AS n FROM l1)
+SELECT 2 AS level, * FROM l2 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 0, * FROM l0""")
+def eva06_merkle_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EVA-06: the tree of a corpus's digests, two digits deep."""
+    d = tab(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.md5("text").alias("content_hash"))
+    return evaluation.merkle_tree(d, 2)
+
+
 # --- streams ---
 
 

@@ -71,17 +71,17 @@ RULED = f"ruled AS (SELECT 'c1' AS collection_id, document_id FROM docs WHERE la
 TAGGED = "tagged AS (SELECT doc_id AS document_id, 't' || (doc_id % k) AS tag FROM documents, (VALUES (2), (3), (4)) AS m(k))"
 
 
-def _manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def manual_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tab(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("c"), F.col("doc_id") % 5).alias("collection_id"), F.col("doc_id").alias("document_id"))
 
 
-def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ruled_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     one = d.where(C.Filter(langs=("es",)).predicate()).select(F.lit("c1").alias("collection_id"), "document_id")
     return one.union(d.where(C.Filter(sources=("src4", "src5"), updated_before=30000).predicate()).select(F.lit("c2").alias("collection_id"), "document_id"))
 
 
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tagged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tab(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
     return d.select("document_id", F.explode(F.array(*[F.concat(F.lit("t"), F.col("document_id") % k) for k in (2, 3, 4)])).alias("tag"))
 
@@ -89,20 +89,20 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {D}, {MANUAL}, {RULED} SELECT DISTINCT collection_id, document_id FROM (SELECT * FROM manual UNION ALL SELECT * FROM ruled)")
 def flt07_collection_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-06, FLT-07, ORG-02."""
-    return C.members(_manual(spark, sf_dir), _ruled(spark, sf_dir))
+    return C.members(manual_members(spark, sf_dir), ruled_members(spark, sf_dir))
 
 
 @query(f"WITH {D}, {MANUAL}, {RULED}, {TAGGED}, m AS (SELECT * FROM manual UNION SELECT * FROM ruled) SELECT document_id FROM m WHERE collection_id IN ('c1', 'c2') INTERSECT SELECT document_id FROM tagged WHERE tag IN ('t1')")
 def flt05_membership_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT-05, SET-04, JOI-05: OR in a dimension, AND across."""
-    m = C.members(_manual(spark, sf_dir), _ruled(spark, sf_dir)).where("collection_id in ('c1', 'c2')")
-    return C.scoped([m, _tagged(spark, sf_dir).where("tag in ('t1')")])
+    m = C.members(manual_members(spark, sf_dir), ruled_members(spark, sf_dir)).where("collection_id in ('c1', 'c2')")
+    return C.scoped([m, tagged_documents(spark, sf_dir).where("tag in ('t1')")])
 
 
 @query(f"WITH {TAGGED} SELECT document_id FROM tagged WHERE tag IN ('t1', 't2', 't3') GROUP BY document_id HAVING count(DISTINCT tag) = 3")
 def agg04_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-04, ORG-03."""
-    return C.in_all(_tagged(spark, sf_dir), "tag", ("t1", "t2", "t3"))
+    return C.in_all(tagged_documents(spark, sf_dir), "tag", ("t1", "t2", "t3"))
 
 
 FPS = "fps AS (SELECT doc_id AS document_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'p1' WHEN 2 THEN 'p2' ELSE 'p0' END AS parse_fp, CASE doc_id % 3 WHEN 0 THEN 'c2' WHEN 1 THEN 'c1' END AS chunk_fp FROM documents)"
@@ -178,7 +178,7 @@ def joi01_chunks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {D}, {MANUAL}, {TAGGED} SELECT m.collection_id, t.tag, count(*) AS n FROM manual m JOIN tagged t USING (document_id) GROUP BY ALL")
 def joi04_collections_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.both_counts(_manual(spark, sf_dir), _tagged(spark, sf_dir), "document_id", ["collection_id", "tag"])
+    return T.both_counts(manual_members(spark, sf_dir), tagged_documents(spark, sf_dir), "document_id", ["collection_id", "tag"])
 
 
 @query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')")
@@ -287,12 +287,12 @@ def agg02_document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {fx.CHUNKS}, {D}, {MANUAL} SELECT collection_id, count(DISTINCT document_id) AS n_documents, coalesce(sum(n), 0)::BIGINT AS n_chunks FROM manual LEFT JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) USING (document_id) GROUP BY 1")
 def agg05_collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.collection_counts(_manual(spark, sf_dir), fx.chunks(spark, sf_dir))
+    return T.collection_counts(manual_members(spark, sf_dir), fx.chunks(spark, sf_dir))
 
 
 @query(f"WITH {D}, {MANUAL}, {RULED} SELECT document_id FROM docs WHERE document_id NOT IN (SELECT document_id FROM manual UNION SELECT document_id FROM ruled)")
 def agg06_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = C.members(_manual(spark, sf_dir), _ruled(spark, sf_dir)).select("document_id")
+    m = C.members(manual_members(spark, sf_dir), ruled_members(spark, sf_dir)).select("document_id")
     return docs(spark, sf_dir).join(m, "document_id", "left_anti").select("document_id")
 
 

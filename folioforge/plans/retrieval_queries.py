@@ -145,7 +145,7 @@ legs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, leg
 fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + r)) AS score, count(*) AS n_legs FROM legs GROUP BY ALL)"""
 
 
-def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def legs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by their best chunk, and the vectors of the same ids: fifty of each leg."""
     asked = fx.asked(spark, sf_dir)
     hits = inverted.search(_index(spark, sf_dir), asked, None)
@@ -159,7 +159,7 @@ def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LEGS} SELECT query_id, chunk_id, round(score, 6) AS score, n_legs FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM fused) WHERE rank <= 10")
 def ret13_hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = R.rrf(_legs(spark, sf_dir)).drop("rank").withColumn("score", F.round("score", 12))
+    fused = R.rrf(legs_of(spark, sf_dir)).drop("rank").withColumn("score", F.round("score", 12))
     return R.top_k(fused, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "n_legs")
 
 
@@ -169,14 +169,14 @@ SQL["flagship"] = SQL["ret13_hybrid_rrf"]
 
 @query(f"WITH {LEGS} SELECT query_id, count(*) FILTER (leg = 'lexical') AS n_lexical, count(*) FILTER (leg = 'dense') AS n_dense, count(*) - count(DISTINCT chunk_id) AS overlap, count(DISTINCT leg) < 2 AS degraded FROM legs GROUP BY query_id")
 def ret35_fusion_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.leg_counts(_legs(spark, sf_dir))
+    return R.leg_counts(legs_of(spark, sf_dir))
 
 
 @query(f"""WITH {LEGS}, a AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS position FROM legs WHERE leg = 'dense'),
 b AS (SELECT * FROM legs WHERE leg = 'lexical'), m AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.position AS old, a.score AS dense, b.score AS lexical FROM a FULL JOIN b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)
 SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY old NULLS LAST, lexical DESC, chunk_id) - 1 AS INTEGER) AS position, round(dense, 6) AS dense, round(lexical, 6) AS lexical FROM m""")
 def ret12_union_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    legs = _legs(spark, sf_dir)
+    legs = legs_of(spark, sf_dir)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     dense = legs.where("leg = 'dense'").select("query_id", "chunk_id", (F.row_number().over(order) - 1).alias("position"), F.create_map(F.lit("dense"), "score").alias("scores"))
     out = R.union_scored(dense, legs.where("leg = 'lexical'"), "lexical")
@@ -190,7 +190,7 @@ g AS (SELECT query_id, chunk_id, min(place) AS place, max(score) AS score FROM m
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id) AS rank FROM g) WHERE rank <= 10""")
 def ret23_merge_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("query_id", "leg").orderBy(F.desc("score"), "chunk_id")
-    legs = _legs(spark, sf_dir).withColumn("rank", F.row_number().over(order))
+    legs = legs_of(spark, sf_dir).withColumn("rank", F.row_number().over(order))
     lexical = legs.where("leg = 'lexical'")
     promoted = lexical.where("rank between 4 and 5").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
     return R.merge_rankings(legs.where("leg = 'dense'"), lexical, promoted, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
