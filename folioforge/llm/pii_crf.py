@@ -313,46 +313,52 @@ def _padded(rows: list[np.ndarray], fill: int = 0) -> np.ndarray:
 ALLOWED = np.array([[not b.startswith("I-") or a[2:] == b[2:] for b in LABELS] for a in LABELS])
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
 @lru_cache(maxsize=1)
 def trained(epochs: int = 60, rate: float = 0.25, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Emission (buckets x labels) and move weights, the same at every call."""
-    data = [_tagged(t, s) for t, s in labelled_table()]
+    """Emission (buckets x labels) and move weights, the same at every call.
+
+    Forward and backward sums are scaled step by step, over sentences in order of their lengths, so
+    each step is a product of small matrices over the sentences that are that long.
+    """
+    data = sorted((_tagged(t, s) for t, s in labelled_table()), key=lambda d: -len(d[1]))
     x, y = _padded([f for f, _ in data]), _padded([t for _, t in data])
     lengths = np.array([len(t) for _, t in data])
-    live = np.arange(x.shape[1])[None, :] < lengths[:, None]
-    n, labels = len(data), len(LABELS)
+    n, width, labels = len(data), x.shape[1], len(LABELS)
+    long = [int((lengths > t).sum()) for t in range(width)]
+    live = np.arange(width)[None, :] < lengths[:, None]
     emit, move = np.zeros((BUCKETS, labels)), np.zeros((labels, labels))
     g_emit, g_move = np.full_like(emit, 1e-6), np.full_like(move, 1e-6)
-    barrier = np.where(ALLOWED, 0.0, -1e4)
-    begin = np.array([-1e4 if name.startswith("I-") else 0.0 for name in LABELS])
-    gold = np.zeros((n, x.shape[1], labels))
+    begin = np.array([not name.startswith("I-") for name in LABELS], np.float64)
+    gold = np.zeros((n, width, labels))
     np.put_along_axis(gold, y[:, :, None], 1.0, 2)
     gold *= live[:, :, None]
     gold_move = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
+    tokens = x[live].reshape(-1)
+    order = np.argsort(tokens, kind="stable")
+    used, first = np.unique(tokens[order], return_index=True)
+    of_token = order // x.shape[2]
     for _ in range(epochs):
         score = emit[x].sum(2)
-        score[:, 0] += begin
-        steps = move + barrier
-        alpha = np.empty_like(score)
-        alpha[:, 0] = score[:, 0]
-        for t in range(1, score.shape[1]):
-            nxt = _logsum(alpha[:, t - 1, :, None] + steps, 1) + score[:, t]
-            alpha[:, t] = np.where(live[:, t, None], nxt, alpha[:, t - 1])
-        beta = np.zeros_like(score)
-        for t in range(score.shape[1] - 2, -1, -1):
-            nxt = _logsum(steps + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(live[:, t + 1, None], nxt, 0.0)
-        z = _logsum(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-        edge = np.exp(alpha[:, :-1, :, None] + steps + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
-        d_move = gold_move - edge.sum((0, 1)) - decay * n * move
+        score = np.exp(score - score.max(2, keepdims=True))
+        steps = np.where(ALLOWED, np.exp(move), 0.0)
+        alpha, beta = np.zeros_like(score), np.ones_like(score)
+        ahead = np.zeros_like(score)  # of a token and all after it, divided as alpha is
+        for t in range(width):
+            k = long[t]
+            here = score[:k, t] * (alpha[:k, t - 1] @ steps if t else begin)
+            alpha[:k, t] = here / here.sum(1, keepdims=True)
+        for t in range(width - 1, 0, -1):
+            k = long[t]
+            after = score[:k, t] * beta[:k, t]
+            before = after @ steps.T
+            scale = (alpha[:k, t - 1] * before).sum(1, keepdims=True)
+            ahead[:k, t], beta[:k, t - 1] = after / scale, before / scale
+        node = alpha * beta
+        node *= live[:, :, None] / np.maximum(node.sum(2, keepdims=True), 1e-300)
+        edge = steps * sum(alpha[: long[t], t - 1].T @ ahead[: long[t], t] for t in range(1, width))
+        d_move = gold_move - edge - decay * n * move
         d_emit = -decay * n * emit
-        np.add.at(d_emit, x.reshape(-1, x.shape[2]), (gold - node).reshape(-1, 1, labels))
+        d_emit[used] += np.add.reduceat((gold - node)[live][of_token], first)
         g_emit += d_emit**2
         g_move += d_move**2
         emit += rate * d_emit / np.sqrt(g_emit)
@@ -427,12 +433,14 @@ def _good(kind: str, text: str) -> bool:
     return len(text.split(".")) == 4 and all(p.isdigit() and int(p) <= 255 for p in text.split("."))
 
 
-def spans_of(texts: list[str], emit: np.ndarray, move: np.ndarray) -> list[tuple[list[Span], list[Span]]]:
-    """Of each text the base spans, and all spans, both by kind and start."""
+def spans_of(texts: list[str], emit: np.ndarray, move: np.ndarray, every: bool = False) -> list[tuple[list[Span], list[Span]]]:
+    """Of each text the base spans, and all spans, both by kind and start; with ``every``, each text is one window."""
     base = [base_spans(t) for t in texts]
     owners, toks, rows = [], [], []
     for i, t in enumerate(texts):
-        for w in _windows(t):
+        for w in [_tokens(t)] if every else _windows(t):
+            if not w:
+                continue
             owners.append(i)
             toks.append(w)
             rows.append(_features(_atoms(t, w)))

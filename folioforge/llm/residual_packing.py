@@ -42,6 +42,8 @@ FAN_IN = 8
 MOST_ROUNDS = 11
 #: Items that a task gathers before it packs them with the underfull bins it has.
 AT_ONCE = 200_000
+#: Documents of a task at least: tasks of few pieces leave many bins above half full, which no merge can join.
+LEAST_ROWS = 2000
 #: What a bin keeps of a piece, besides its place.
 FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32")
 BIN = "part long, sequence_id long, fill long, closed boolean, members array<struct<doc_id:long,piece:long,start:long,length:long,ids_crc32:long,offset:long>>"
@@ -173,6 +175,8 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
     texts = docs.select(known_id(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
     useful = lambda rounds: FAN_IN * rounds if spare is None else spare
+    tasks = max(1, texts.count() // LEAST_ROWS)
+    texts = texts if texts.rdd.getNumPartitions() <= tasks else texts.coalesce(tasks)
     level = written(texts.mapInArrow(_first(tokenizer, end_id, length, slack, useful(MOST_ROUNDS), at_once), BIN), "bins")
     parts = (level.agg(F.max("part")).first()[0] or 0) + 1
     rounds = 0

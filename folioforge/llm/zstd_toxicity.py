@@ -42,7 +42,7 @@ LEVEL = 6
 PARSE = {"strategy": zstandard.STRATEGY_BTULTRA2, "min_match": 3, "window_log": 15, "hash_log": 15, "chain_log": 15, "search_log": 6, "target_length": 64}
 #: Length of the byte strings that are compared; the z-score and the share of toxic documents from which one
 #: speaks for toxicity (copies of one document make up less).
-GRAM, Z, LEAST_SHARE = 5, 5.0, 0.02
+GRAM, Z, LEAST_SHARE = 6, 6.0, 0.02
 FEATURES = 6
 
 
@@ -147,9 +147,11 @@ def _pair(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     plain = _dictionary([w for t in ordinary for w in windows(t)])
     stretches = _stretches(toxic, ordinary)
     counted = sorted(Counter(stretches).items(), key=lambda x: (-x[1], x[0]))
-    # The most frequent stretches whole, then what training finds in the rest.
+    # The most frequent stretches whole, then, in what room they leave, what training finds in the rest; a trained
+    # dictionary has its header in front and its best content at the end, so it is cut in front.
     often = b" ".join(t for t, n in counted if n > 2)[:DICT_BYTES]
-    rest = _dictionary(stretches)[: max(0, DICT_BYTES - len(often))] if stretches else b""
+    room = DICT_BYTES - len(often)
+    rest = _dictionary(stretches)[-room:] if stretches and room else b""
     return rest + b" " + often + b" " + plain, plain
 
 

@@ -603,6 +603,14 @@ def test_packing_is_the_same_with_all_bins_sent(spark):
     assert sum(f <= 512 for f in fills.values()) <= 1
 
 
+def test_few_sequences_whatever_the_tasks(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(data.WORDS) for _ in range(rng.choice([5, 60, 200, 420])))) for i in range(900)], "doc_id long, text string")
+    made = {n: residual_packing.packed(docs.repartition(n), PATH).agg(F.countDistinct("sequence_id"), F.sum("length")).first() for n in (1, 7, 90)}
+    assert len({m[1] for m in made.values()}) == 1
+    assert max(m[0] for m in made.values()) <= 1.01 * min(m[0] for m in made.values()) + 1
+
+
 def test_merges_leave_out_no_useful_bin():
     """Rounds over bins of random sizes, with the bound and without it."""
     import pyarrow as pa
@@ -745,6 +753,30 @@ def test_given_secrets_are_found(spark):
     assert len(want) > 5 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
 
 
+def test_windows_lose_nothing_of_a_full_decode():
+    """The field over whole texts finds what it finds in windows, in corpus texts and in marked sentences among them."""
+    import pandas as pd
+
+    emit, move = pii_crf.trained()
+    corpus = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")["text"].fillna("").tolist()
+    marked = [t for t, _ in pii_crf.labelled_table(3, seed=11)]
+    texts = [t for t in corpus if len(t) < 20_000] + marked + [f"{c[:2000]} {m} {c[2000:4000]}" for c, m in zip(corpus, marked, strict=False)]
+    assert pii_crf.spans_of(texts, emit, move) == pii_crf.spans_of(texts, emit, move, every=True)
+    tokens = sum(len(pii_crf._tokens(t)) for t in corpus)
+    inside = sum(len(w) for t in corpus for w in pii_crf._windows(t))
+    assert 0 < inside < 0.1 * tokens
+
+
+def test_marked_sentences_are_labelled_as_marked():
+    emit, move = pii_crf.trained()
+    wrong = 0
+    table = pii_crf.labelled_table(1)
+    for text, spans in table:
+        rows, tags = pii_crf._tagged(text, spans)
+        wrong += (pii_crf.viterbi([rows], emit, move)[0] != tags).any()
+    assert wrong <= 0.02 * len(table)
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -825,6 +857,56 @@ def test_toxicity_of_null_and_repeated_rows(spark):
     assert Counter(r["doc_id"] for r in got) == Counter({None: 1, 1: 2}) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
 
 
+def _plain_score(model, text):
+    """A score from its definition: windows, sizes under each dictionary, features, logistic curve."""
+    import zstandard
+
+    def sizes(content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(**zstd_toxicity.PARSE, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return [len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(p)) for p in parts]
+
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    parts = []
+    while raw:
+        space = raw.find(b" ", zstd_toxicity.WINDOW, 4 * zstd_toxicity.WINDOW)
+        end = space if space >= 0 else 4 * zstd_toxicity.WINDOW if len(raw) > zstd_toxicity.WINDOW else len(raw)
+        parts.append(raw[:end])
+        raw = raw[end:]
+    saved = [b - a for a, b in zip(sizes(model.toxic), sizes(model.ordinary), strict=True)]
+    if saved:
+        top, n = sorted(saved, reverse=True), len(saved)
+        mean = sum(saved) / n
+        quarter = top[: max(1, n // 4)]
+        features = [mean, top[0], sum(quarter) / len(quarter), top[-1], mean * n**0.5, math.log1p(n)]
+    else:
+        features = [0.0] * 6
+    z = model.weights[0] + sum(w * (f - c) / s for w, f, c, s in zip(model.weights[1:], features, model.center, model.scale, strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    docs, labels, _ = _toxic(spark)
+    model = zstd_toxicity.train(docs, labels)
+    assert model.toxic and model.ordinary
+    more = spark.createDataFrame([(9001, None), (9002, ""), (9003, "x" * 9000), (9004, "Ünï " * 700), (9005, "A b\n" * 400)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    texts = {r.doc_id: r.text for r in both.collect()}
+    got = {r.doc_id: r.score for r in zstd_toxicity.scored(both, model).collect()}
+    assert got.keys() == texts.keys()
+    for doc_id in [*list(texts)[::9], 9001, 9002, 9003, 9004, 9005]:
+        assert abs(got[doc_id] - _plain_score(model, texts[doc_id])) < 1e-9
+
+
+def test_toxic_dictionary_keeps_its_best_end(monkeypatch):
+    """Of a trained dictionary that doesn't fit beside the frequent stretches the header goes, not the end."""
+    made = bytes(range(256)) * 32
+    monkeypatch.setattr(zstd_toxicity, "_stretches", lambda toxic, ordinary: [b"often so"] * 3 + [b"seldom"])
+    monkeypatch.setattr(zstd_toxicity, "_dictionary", lambda samples: made if b"seldom" in samples else b"plain")
+    toxic, plain = zstd_toxicity._pair([b"x y"], [b"a b c"])
+    assert plain == b"plain" and toxic == made[-(zstd_toxicity.DICT_BYTES - 8) :] + b" often so plain"
+
+
 def test_toxicity_without_labels(spark):
     e = data.empty(spark)
     model = zstd_toxicity.train(e, spark.createDataFrame([], "doc_id long, toxic int"))
