@@ -214,3 +214,22 @@ def porter(word: str) -> str:
 def stemmed(terms: pd.Series) -> pd.Series:
     """The stems of an array of terms, in Arrow batches."""
     return terms.map(lambda ts: None if ts is None else [porter(t) for t in ts])
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """An object of text fields as JSON in one form: names in order, absent fields left out, so equal objects have equal digests."""
+    named = [F.when(fields[name].isNotNull(), F.struct(F.lit(name).alias("key"), fields[name].cast("string").alias("value"))) for name in sorted(fields)]
+    return F.to_json(F.map_from_entries(F.filter(F.array(*named), lambda e: e.isNotNull())))
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from the first on."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    both = F.slice(same, F.lit(1), F.least(F.size(a), F.size(b)))
+    first = F.array_position(both, F.lit(False)).cast("int")
+    return F.when(first == 0, F.size(both)).otherwise(first - 1)
+
+
+def shared_suffix(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common up to the last."""
+    return shared_prefix(F.reverse(a), F.reverse(b))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.functions.text import acronym_key
+from folioforge.functions.text import acronym_key, acronym_shaped, initials
 
 # --- glossary ----------------------------------------------------------------------------
 
@@ -94,7 +94,46 @@ def glossary(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame({"chunk_id": f["chunk_id"], "e": found})
 
     rows = chunks.select("chunk_id", "text", "heading_text").mapInPandas(run, f"chunk_id string, e {ENTRY}")
-    return rows.select("chunk_id", F.explode("e").alias("e")).select("chunk_id", "e.*")
+    entries = rows.select("chunk_id", F.explode("e").alias("e")).select("chunk_id", "e.*")
+    return entries.unionByName(headed(chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", "heading_text"))).where(refusal(F.col("acronym"), F.col("expansion"), F.col("form")).isNull())
+
+
+#: Words that no expansion begins with (fixed values): circumstances, and words that point instead of naming.
+NO_OPENING = ("after", "although", "because", "before", "if", "once", "since", "though", "unless", "until", "when", "whenever", "whether", "while", "he", "it", "she", "that", "these", "they", "this", "those", "we", "you", "there")
+#: Words of an expansion at most; longer ones are about a term.
+MOST_WORDS = 10
+
+
+def spelled(acronym: Column, phrase: Column) -> Column:
+    """Whether the initials of a phrase's words, with or without function words, are the acronym."""
+    return (initials(phrase, False) == acronym) | (initials(phrase, True) == acronym)
+
+
+def refusal(acronym: Column, expansion: Column, form: Column) -> Column:
+    """Why an entry is no definition, null if it is one: too long, of several sentences, a heading over prose that doesn't
+    spell it, or prose by its first word. Initials that agree outrank the first word; an acronym is no such word."""
+    words = F.split(F.trim(expansion), r"\s+")
+    first = F.regexp_extract(expansion, r"^[^\w]*([\w'’]+)", 1)
+    proved = spelled(acronym, expansion)
+    return (
+        F.when((F.trim(expansion) == "") | (F.size(words) > MOST_WORDS), "too_long")
+        .when(F.rlike(expansion, F.lit(r"[.!?]\s")), "several_sentences")
+        .when((form == "heading") & ~proved, "unproved_heading")
+        .when(~proved & F.lower(first).isin(*NO_OPENING) & ~acronym_shaped(first), "refused_opening")
+    )
+
+
+def headed(chunks: DataFrame) -> DataFrame:
+    """Headings that are acronyms, with the line below them: ``chunk_id, acronym, expansion, form, confidence, line``.
+
+    Where the line goes on with a description, the part before it is the expansion if its initials are the acronym.
+    """
+    acronym = acronym_key(F.trim(F.regexp_extract("heading_text", "([^>]*)$", 1)))
+    line = F.trim(F.regexp_replace(F.split("text", "\\n")[0], r"[\s.!?]+$", ""))
+    rows = chunks.select("chunk_id", acronym.alias("acronym"), line.alias("line_")).where("acronym is not null and line_ <> ''")
+    head = F.trim(F.regexp_extract("line_", r"^([^,;:.–—]*)", 1))
+    expansion = F.when(spelled(F.col("acronym"), F.col("line_")), F.col("line_")).when(spelled(F.col("acronym"), head), head).otherwise(F.col("line_"))
+    return rows.select("chunk_id", "acronym", expansion.alias("expansion"), F.lit("heading").alias("form"), F.lit(FORMS["dash"] + INITIALS).alias("confidence"), F.lit(1).alias("line"))
 
 
 def parenthetical(text: Column) -> Column:

@@ -37,3 +37,20 @@ def anonymous(citations: DataFrame, disclosable: tuple[str, ...] = DISCLOSABLE)
     kinds; no title, address, text or id of a document leaves."""
     trail = F.when(F.col("kind").isin(*disclosable), F.col("heading_text"))
     return citations.select("answer_id", "slot", F.col("page"), trail.alias("trail"))
+
+
+def prompts(questions: DataFrame, passages: DataFrame, messages: DataFrame, system: str, budget: int) -> DataFrame:
+    """``query_id, prompt``: the system's words, numbered passages, the conversation so far, and the question.
+
+    ``questions`` has ``query_id, conv_id, text``; ``passages`` ``query_id, rank, text``; ``messages`` ``conv_id, turn,
+    role, text, tokens``, of which the latest that fit ``budget`` are told, oldest first. Parts that are empty are left out.
+    """
+    from folioforge.operators.corpus import history_cut
+
+    shown = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"))
+    numbered = F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["text"])), "\n")
+    told = history_cut(messages, budget).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    lines = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
+    joined = questions.join(shown, "query_id", "left").join(told, "conv_id", "left")
+    part = lambda title, body: F.when(body.isNotNull() & (body != ""), F.concat(F.lit(f"{title}\n"), body))
+    return joined.select("query_id", F.concat_ws("\n\n", F.lit(system), part("Passages:", numbered), part("Conversation:", lines), F.concat(F.lit("Question: "), "text")).alias("prompt"))

@@ -218,3 +218,47 @@ def trash(rows: DataFrame, now: Column, grace_days: int = 30) -> DataFrame:
     """Deleted rows with the time up to which they may be restored, and whether that is over."""
     until = F.col("deleted_at") + F.make_dt_interval(F.lit(grace_days))
     return rows.withColumn("restorable_until", until).withColumn("purged", until < now)
+
+
+def version_changes(history: DataFrame, fields: list[str]) -> DataFrame:
+    """Revisions as ``versions`` has them, each with its ``chunk_count`` and ``changes``: for every one of ``fields`` that
+    differs from the revision before, a struct of what it was and is, as text."""
+    w = Window.partitionBy("document_id").orderBy("at")
+    kept = history.withColumn("__before", F.lag("content_hash").over(w)).where(F.col("__before").isNull() | (F.col("__before") != F.col("content_hash")))
+    told = []
+    for name in fields:
+        now, old = F.col(name).cast("string"), F.lag(F.col(name).cast("string")).over(w)
+        told.append(F.when((F.col("version") > 1) & ~now.eqNullSafe(old), F.struct(F.lit(name).alias("key"), F.struct(old.alias("before"), now.alias("after")).alias("value"))))
+    numbered = kept.withColumn("version", F.row_number().over(w)).withColumn("changes", F.map_from_entries(F.filter(F.array(*told), lambda e: e.isNotNull())))
+    return numbered.select("document_id", "at", "content_hash", "version", "chunk_count", "changes")
+
+
+class Rules:
+    """Rules of collections by name: a document that a rule's filter accepts is a member. Names are compared without
+    regard to case and runs of white space; a rule may be set anew or cleared."""
+
+    def __init__(self) -> None:
+        self.filters: dict[str, Filter] = {}
+
+    @staticmethod
+    def key(name: str) -> str:
+        import unicodedata
+
+        key = " ".join(unicodedata.normalize("NFKC", name).split()).casefold()
+        if not key:
+            raise ValueError("a collection needs a name")
+        return key
+
+    def set(self, name: str, rule: Filter) -> None:
+        if not rule.given() and not rule.matches_nothing:
+            raise ValueError("a rule that restricts nothing would take in the whole corpus")
+        self.filters[self.key(name)] = rule
+
+    def clear(self, name: str) -> bool:
+        return self.filters.pop(self.key(name), None) is not None
+
+    def members(self, documents: DataFrame) -> DataFrame:
+        """``collection_id, document_id`` of all rules, in one pass over the documents."""
+        names = [F.when(rule.predicate(), F.lit(name)) for name, rule in sorted(self.filters.items())]
+        hit = F.filter(F.array(*names), lambda n: n.isNotNull()) if names else F.array().cast("array<string>")
+        return documents.select(F.explode(hit).alias("collection_id"), "document_id")

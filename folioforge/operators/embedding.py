@@ -46,6 +46,11 @@ def batch_size(window: int, most: int = 64, tokens: int = 16384) -> int:
     return max(1, min(most, tokens // max(1, window)))
 
 
+def batch_sizes(window: Column, most: int = 64, tokens: int = 16384) -> Column:
+    """``batch_size`` of a column of windows."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(tokens) / F.greatest(window, F.lit(1))))).cast("long")
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for a model: signed hashes of words."""
 

@@ -198,3 +198,20 @@ def as_system(name: str, search: Callable[[DataFrame], DataFrame], config: dict)
 
     settings = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
     return lambda queries: search(queries).select("query_id", "chunk_id", "rank", F.lit(name).alias("system"), F.lit(settings).alias("config"))
+
+
+#: Versions of the query-set format that can be read (fixed values).
+SCHEMA_VERSIONS = (1,)
+
+
+def query_set_problems(sets: DataFrame) -> DataFrame:
+    """``name, id, problem`` of query sets ``name, schema_version, queries`` (``id, text, created_at`` as text): a version
+    that can't be read, an id that is missing or not unique in its set, a text that is empty, a time without an offset
+    from UTC. A set is taken in only without any."""
+    bad = sets.where(~F.col("schema_version").isin(*SCHEMA_VERSIONS) | F.col("schema_version").isNull()).select("name", F.lit(None).cast("string").alias("id"), F.lit("schema_version").alias("problem"))
+    q = sets.select("name", F.explode("queries").alias("q")).select("name", "q.*")
+    twice = q.where("id is not null").groupBy("name", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", "id", F.lit("repeated_id").alias("problem"))
+    aware = F.col("created_at").rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?\s*(Z|[+-]\d\d:?\d\d)$")
+    checks = F.array(F.when(F.col("id").isNull(), "missing_id"), F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty_text"), F.when(F.col("created_at").isNotNull() & ~aware, "naive_time"))
+    own = q.select("name", "id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("problem"))
+    return bad.unionByName(twice).unionByName(own)

@@ -245,3 +245,29 @@ def restorable(trashed: DataFrame, live: DataFrame, identity: list[str], now: Co
     until = F.col("deleted_at") + F.make_dt_interval(F.lit(grace_days))
     verdict = F.when(until < now, "expired").when(F.col("__rival"), "rival").otherwise("restored")
     return j.select("document_id", verdict.alias("verdict"))
+
+
+def released(versions: DataFrame, cutoff: Column) -> DataFrame:
+    """Versions with the bodies of those superseded before ``cutoff`` let go: the row stays, its ``blob`` is null and
+    ``released`` says so, which is another thing than never having had one. The current version keeps its body.
+
+    ``versions`` has ``document_id, version, at, blob``; a version is superseded when the next one is made.
+    """
+    after = F.lead("at").over(Window.partitionBy("document_id").orderBy("version"))
+    gone = after.isNotNull() & (after < cutoff) & F.col("blob").isNotNull()
+    marked = versions.withColumn("released", gone)
+    return marked.withColumn("blob", F.when(~F.col("released"), F.col("blob")))
+
+
+def impacts(references: DataFrame, blobs: DataFrame, actions: dict[str, Column]) -> DataFrame:
+    """What each action would free, before any is taken: ``action, references, blobs, bytes``.
+
+    ``references`` are rows that name a ``blob``; an action lets go of those its condition holds for, and a
+    blob goes if no other reference is left. All actions are summed in one pass per blob.
+    """
+    hit = {name: F.coalesce(condition, F.lit(False)) for name, condition in actions.items()}
+    per = references.groupBy("blob").agg(F.count(F.lit(1)).alias("__all"), *[F.count_if(c).alias(f"__n{i}") for i, c in enumerate(hit.values())])
+    sized = per.join(blobs.select("blob", "bytes"), "blob", "left")
+    rows = F.array(*[F.struct(F.lit(name).alias("action"), F.col(f"__n{i}").alias("let_go")) for i, name in enumerate(hit)])
+    each = sized.select("__all", "bytes", F.explode(rows).alias("a")).select("a.action", "a.let_go", (F.col("a.let_go") == F.col("__all")).alias("gone"), "bytes")
+    return each.groupBy("action").agg(F.sum("let_go").alias("references"), F.count_if("gone").alias("blobs"), F.coalesce(F.round(F.sum(F.when(F.col("gone"), F.col("bytes"))), 2), F.lit(0)).alias("bytes"))

@@ -293,6 +293,54 @@ def overlap_rerank(candidates: DataFrame, texts: DataFrame, queries: DataFrame,
     return out.withColumn("rank", F.row_number().over(by))
 
 
+#: What a task loads once: pairs of query and passage to scores.
+Scorer = Callable[[list[tuple[str, str]]], np.ndarray]
+
+
+def reranked(candidates: DataFrame, texts: DataFrame, queries: DataFrame, head: int, load: Callable[[], Scorer], at_once: int = 64) -> DataFrame:
+    """The first ``head`` candidates by a scorer of pairs, such as a cross-encoder; the tail goes.
+
+    ``load`` is called once in each task, which is where a model is read; pairs go in batches of
+    ``at_once``. Scores that aren't finite are refused.
+    """
+    order = Window.partitionBy("query_id").orderBy("rank")
+    first = candidates.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= head).select("query_id", "chunk_id")
+    pairs = first.join(texts.select("chunk_id", F.col("text").alias("passage")), "chunk_id").join(queries.select("query_id", F.col("text").alias("asked")), "query_id")
+    kinds = [candidates.schema[c].dataType.simpleString() for c in ("query_id", "chunk_id")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                score = score or load()
+                some = batch.slice(start, at_once)
+                asked, passage = (some.column(c).to_pylist() for c in ("asked", "passage"))
+                made = np.asarray(score([(a or "", p or "") for a, p in zip(asked, passage, strict=True)]), np.float64)
+                if made.shape != (some.num_rows,) or not np.isfinite(made).all():
+                    raise ValueError("a scorer must give one finite score per pair")
+                yield pa.record_batch([some.column("query_id"), some.column("chunk_id"), pa.array(made)], ["query_id", "chunk_id", "score"])
+
+    scored = pairs.select("query_id", "chunk_id", "asked", "passage").mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+
+
+def overlap_scorer() -> Scorer:
+    """The share of a query's words that a passage holds; stands in for a model."""
+    import re
+
+    word = re.compile(r"[^\W_]+")
+    words = lambda text: dict.fromkeys(word.findall(text.lower()))
+
+    def score(pairs: list[tuple[str, str]]) -> np.ndarray:
+        out = np.zeros(len(pairs))
+        for i, (asked, passage) in enumerate(pairs):
+            wanted = words(asked)
+            out[i] = len(wanted.keys() & words(passage).keys()) / max(1, len(wanted))
+        return out
+
+    return score
+
+
 # --- routing -----------------------------------------------------------------------------
 
 

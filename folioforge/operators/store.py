@@ -241,3 +241,36 @@ def include_closure(edges: DataFrame, depth: int) -> DataFrame:
             break
         levels.append(new)
     return reduce(DataFrame.unionByName, levels).withColumn("cycle", F.col("src") == F.col("dst"))
+
+
+def gotten(asked: DataFrame, contents: DataFrame, content: str, omitted: DataFrame | None = None) -> DataFrame:
+    """``blob``, the content under each address asked for, and ``state``: found, omitted (known, but not kept) or unknown.
+
+    ``omitted`` has the addresses of what was too large to keep. An address is that of ``blobs``.
+    """
+    kept = contents.groupBy(F.md5(content).alias("blob")).agg(F.first(content).alias(content))
+    out = asked.select("blob").distinct().join(kept, "blob", "left")
+    if omitted is not None:
+        out = out.join(omitted.select("blob", F.lit(True).alias("__omitted")).distinct(), "blob", "left")
+    known = F.coalesce(F.col("__omitted"), F.lit(False)) if omitted is not None else F.lit(False)
+    return out.select("blob", F.when(~known, F.col(content)).alias(content), F.when(known, "omitted").when(F.col(content).isNotNull(), "found").otherwise("unknown").alias("state"))
+
+
+def audited(log: DataFrame, events: tuple[str, ...] = (), since: Column | None = None, actor: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of an audit log ``at, id, event, actor``, latest first, of some events, from a time on or by one actor, with the total."""
+    rows = log.where(F.col("event").isin(*events)) if events else log
+    rows = rows if since is None else rows.where(F.col("at") >= since)
+    rows = rows if actor is None else rows.where(F.col("actor") == actor)
+    return page_with_total(rows, [F.desc("at"), F.desc("id")], offset, limit)
+
+
+def utility_answers(documents: DataFrame, chunks: DataFrame, embedder: str, most: int = 50) -> DataFrame:
+    """``kind, text, n`` of the questions about the index itself: its latest documents, how many there are, and its state."""
+    live = documents.where(~F.col("deleted"))
+    listed = live.orderBy(F.desc("updated_s"), "document_id").limit(most)
+    titles = listed.agg(F.array_sort(F.collect_list(F.struct((-F.col("updated_s")).alias("o"), "document_id", "title"))).alias("t"))
+    names = F.array_join(F.col("t.title"), ", ")
+    list_ = titles.select(F.lit("document_list").alias("kind"), F.when(F.size("t") == 0, "no documents are indexed").otherwise(F.concat(F.size("t"), F.lit(" document(s): "), names)).alias("text"), F.size("t").cast("long").alias("n"))
+    count = live.agg(F.count(F.lit(1)).alias("n")).select(F.lit("document_count").alias("kind"), F.concat("n", F.lit(" document(s) are indexed")).alias("text"), "n")
+    state = chunks.agg(F.count(F.lit(1)).alias("n")).select(F.lit("index_status").alias("kind"), F.concat("n", F.lit(f" chunk(s) indexed, embedded by {embedder}")).alias("text"), "n")
+    return list_.unionByName(count).unionByName(state)

@@ -401,13 +401,15 @@ def set03_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.difference(_have(spark, sf_dir), _found(spark, sf_dir), "document_id")
 
 
-STAGES = "l(name, config) AS (VALUES ('dense', 'k=10'), ('lexical', 'k=10'), ('rrf', 'c=60')), r(name, config) AS (VALUES ('dense', 'k=20'), ('rrf', 'c=60'), ('rerank', 'n=5'))"
+STAGES = "l AS (SELECT event_type || '-' || user_id AS name, count(*)::VARCHAR AS config FROM events WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT event_type || '-' || user_id AS name, count(*)::VARCHAR AS config FROM events WHERE event_id % 2 = 1 GROUP BY 1)"
 
 
 @query(f"WITH {STAGES} SELECT coalesce(l.name, r.name) AS name, CASE WHEN l.name IS NULL THEN 'right' WHEN r.name IS NULL THEN 'left' ELSE 'differs' END AS delta FROM l FULL JOIN r USING (name) WHERE l.config IS DISTINCT FROM r.config")
 def set05_stage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = spark.createDataFrame([("dense", "k=10"), ("lexical", "k=10"), ("rrf", "c=60")], "name string, config string")
-    return C.stage_delta(left, spark.createDataFrame([("dense", "k=20"), ("rrf", "c=60"), ("rerank", "n=5")], left.schema))
+    """SET-05: stages of two configurations, each the counts of one half of the events."""
+    e = tab(spark, sf_dir, "events").select("event_id", F.concat_ws("-", "event_type", "user_id").alias("name"))
+    left, right = (e.where(F.col("event_id") % 2 == half).groupBy("name").agg(F.count(F.lit(1)).cast("string").alias("config")) for half in (0, 1))
+    return C.stage_delta(left, right)
 
 
 @query("SELECT round(sum(p_retailprice), 2) AS bytes, count(*) AS blobs FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 100 = 0) x JOIN part ON p_partkey = l_partkey WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 100 <> 0 AND l_quantity > 40)")
@@ -609,13 +611,13 @@ def lif05_reuse_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("document_id")
-    d = docs(spark, sf_dir).select("document_id", (i % 900).alias("blob"), "deleted", F.when(i % 3 != 0, F.concat(F.lit("p"), i % 4)).alias("parse_fp"))
-    blobs = tab(spark, sf_dir, "documents").where("doc_id < 850").select(F.col("doc_id").alias("blob"), F.length("text").alias("bytes"))
+    d = docs(spark, sf_dir).select("document_id", (i + i % 3).alias("blob"), "deleted", F.when(i % 3 != 0, F.concat(F.lit("p"), i % 4)).alias("parse_fp"))
+    blobs = tab(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob"), F.length("text").alias("bytes"))
     return L.rebuild_plan(d, blobs, 6000, {"parse_fp": "p1"})
 
 
 PLAN = f"""{D}, plan AS (SELECT document_id, CASE WHEN parse_fp = 'p1' THEN 'keep' WHEN bytes IS NULL OR bytes > 6000 THEN 'refuse' ELSE 'derive' END AS action, CASE WHEN parse_fp = 'p1' THEN NULL WHEN bytes IS NULL THEN 'body_missing' WHEN bytes > 6000 THEN 'body_too_large' END AS refusal
- FROM (SELECT document_id, document_id % 900 AS blob, coalesce(CASE WHEN document_id % 3 <> 0 THEN 'p' || (document_id % 4) END, '') AS parse_fp FROM docs WHERE NOT deleted) LEFT JOIN (SELECT doc_id AS blob, length(text) AS bytes FROM documents WHERE doc_id < 850) USING (blob))"""
+ FROM (SELECT document_id, document_id + document_id % 3 AS blob, coalesce(CASE WHEN document_id % 3 <> 0 THEN 'p' || (document_id % 4) END, '') AS parse_fp FROM docs WHERE NOT deleted) LEFT JOIN (SELECT doc_id AS blob, length(text) AS bytes FROM documents) USING (blob))"""
 
 
 @query(f"WITH {PLAN} SELECT * FROM plan")

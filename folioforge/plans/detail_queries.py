@@ -121,28 +121,26 @@ def chk08_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, greatest(1, least(64, 16384 // greatest(1, o_orderkey % 9000))) AS n FROM orders")
 def emb05_batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("long")
-    def size(window: pd.Series) -> pd.Series:
-        return window.map(embedding.batch_size)
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", embedding.batch_sizes(F.col("o_orderkey") % 9000).alias("n"))
 
-    return fx.table(spark, sf_dir, "orders").select("o_orderkey", size(F.col("o_orderkey") % 9000).alias("n"))
 
-
-@query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings) SELECT vec_id AS chunk_id, round(e[1], 5) AS cls, round((e[1] + e[2] + e[3]) / 3, 5) AS mean, round(e[3], 5) AS last FROM v")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), t AS (SELECT vec_id, unnest(range(1, 5)) AS d, e FROM v)
+SELECT vec_id AS chunk_id, d, round(e[d], 5) AS cls, round(list_sum(list_transform(range(0, 12), lambda k: e[4 * k + d])) / 12, 5) + 0.0 AS mean, round(e[44 + d], 5) AS last FROM t""")
 def emb01_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EMB-01: four tokens of one dimension, of which the last is padding."""
+    """EMB-01: a vector as sixteen tokens of four dimensions, of which the last four are padding."""
     import numpy as np
 
     def pool(how: str):
-        @F.pandas_udf("double")
+        @F.pandas_udf("array<double>")
         def run(v: pd.Series) -> pd.Series:
-            states = np.array([x[:4] for x in v], np.float64)[:, :, None]
-            return pd.Series(embedding.pooled(states, np.array([[1, 1, 1, 0]] * len(v)), how)[:, 0])
+            states = np.array(list(v), np.float64).reshape(len(v), 16, 4)
+            return pd.Series(list(embedding.pooled(states, np.array([[1] * 12 + [0] * 4] * len(v)), how)))
 
         return run
 
-    v = F.col("vector")
-    return fx.vectors(spark, sf_dir).select("chunk_id", *[F.round(pool(h)(v), 5).alias(h) for h in ("cls", "mean", "last")])
+    hows = ("cls", "mean", "last")
+    made = fx.vectors(spark, sf_dir).select("chunk_id", F.posexplode(F.arrays_zip(*[pool(h)("vector").alias(h) for h in hows])).alias("d", "x"))
+    return made.select("chunk_id", (F.col("d") + 1).alias("d"), *[(F.round(F.col("x")[h], 5) + 0.0).alias(h) for h in hows])
 
 
 @query("SELECT vec_id AS chunk_id, 1.0 AS norm, true AS stable FROM embeddings")

@@ -44,13 +44,13 @@ def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> inverted.Inv
     return inverted.kept(fx.chunks(spark, sf_dir), "lines", R.Bm25(stem=stem))
 
 
-def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def best_chunks(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return inverted.search(_index(spark, sf_dir), fx.questions(spark, sf_dir), k)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10")
 def ret04_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return best_chunks(spark, sf_dir, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -200,7 +200,7 @@ def ret23_merge_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.query_id, d.chunk_id, round(coalesce(r.score, 0), 6) AS score, CAST(row_number() OVER (PARTITION BY d.query_id ORDER BY confidence DESC, d.chunk_id) AS INTEGER) AS rank, r.score IS NULL AS cold
 FROM defs d JOIN chunks c USING (chunk_id) LEFT JOIN r ON r.query_id = d.query_id AND r.chunk_id = d.chunk_id WHERE c.document_id % 2 = 0""")
 def ret24_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _bm25(spark, sf_dir, 5)
+    found = best_chunks(spark, sf_dir, 5)
     defs = found.where("rank in (1, 5)").select("query_id", "chunk_id", (0.5 + F.col("query_id") % 3 / 10.0).alias("confidence"))
     visible = fx.chunks(spark, sf_dir).where("document_id % 2 = 0")
     return R.promoted(defs, found.where("rank <= 3"), visible).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "cold")
@@ -210,7 +210,7 @@ def ret24_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT h.query_id, h.chunk_id, len(list_intersect(list_distinct({TOK.format("q.text")}), {TOK.format("c.text")})) / greatest(len(list_distinct({TOK.format("q.text")})), 1) AS score FROM head h JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id))
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s""")
 def ret14_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.overlap_rerank(_bm25(spark, sf_dir, 20), fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir), 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return R.overlap_rerank(best_chunks(spark, sf_dir, 20), fx.chunks(spark, sf_dir), fx.questions(spark, sf_dir), 20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 GREETINGS, UTILITIES = ("hello", "hi", "thanks", "thank you", "good morning"), ("list documents", "how many documents", "index status")
@@ -233,7 +233,7 @@ f AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, 0 AS kept, 0 AS ski
   UNION ALL SELECT c.query_id, c.rank, CASE WHEN used + t <= 300 THEN used + t ELSE used END, CASE WHEN used + t <= 300 THEN kept + 1 ELSE kept END, CASE WHEN used + t <= 300 THEN skipped ELSE skipped + 1 END FROM f JOIN c ON c.query_id = f.query_id AND c.rank = f.rank + 1)
 SELECT query_id, used AS token_count, kept AS n_passages, skipped > 0 AS truncated, (SELECT t > 300 FROM c WHERE c.query_id = f.query_id AND c.rank = 1) AS refused FROM f WHERE rank = (SELECT max(rank) FROM c WHERE c.query_id = f.query_id)""")
 def ret25_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _bm25(spark, sf_dir, 12).join(fx.chunks(spark, sf_dir).select("chunk_id", "token_count"), "chunk_id")
+    found = best_chunks(spark, sf_dir, 12).join(fx.chunks(spark, sf_dir).select("chunk_id", "token_count"), "chunk_id")
     return R.assembled(found, 300, 12).select("query_id", "token_count", "n_passages", "truncated", "refused")
 
 

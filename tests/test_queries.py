@@ -5,12 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from folioforge.plans import analytics_queries, corpus_queries, detail_queries, index_queries, parser_queries, retrieval_queries, stream_queries
+from folioforge.plans import analytics_queries, corpus_queries, detail_queries, index_queries, parser_queries, retrieval_queries, service_queries, stream_queries
 
 from .oracle import connection, difference
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-FAMILIES = (retrieval_queries, corpus_queries, analytics_queries, parser_queries, detail_queries, index_queries, stream_queries)
+FAMILIES = (retrieval_queries, corpus_queries, analytics_queries, parser_queries, detail_queries, index_queries, service_queries, stream_queries)
 NAMES = [n for f in FAMILIES for n in f.QUERIES]
 
 
