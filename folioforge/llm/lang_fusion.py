@@ -35,6 +35,8 @@ from folioforge.plans.scratch import written
 
 SAMPLE = 1500
 LONGEST_SAMPLE = 20_000
+#: Languages with a model of their own, by the number of their texts; the others share one, by the code of uncoded languages.
+MOST_LANGUAGES, OTHERS = 128, "mis"
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 EVIDENCE = 60.0
@@ -57,24 +59,36 @@ def _trigrams(flat: np.ndarray) -> np.ndarray:
     return bucket * (plain[:-2] & plain[1:-1] & plain[2:])
 
 
-def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int = SAMPLE, longest: int = LONGEST_SAMPLE) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int = SAMPLE, longest: int = LONGEST_SAMPLE, most: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the log-likelihood of each bucket under each and under none.
 
-    Every language with a text that holds a trigram has a model. The sample is ``sample`` texts
-    per language at most; of a text longer than ``longest`` it has a window placed by its id.
+    Every language with a text that holds a trigram has a model, the ``most`` of the most texts one of their
+    own and all others together that of ``OTHERS``. The sample is ``sample`` texts per model at most; of a
+    text longer than ``longest`` it has a window placed by its id.
     """
     shown = stretch(F.col(text_col), F.col(id_col), longest)
     known = docs.where(F.col(lang).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang).alias("lang"), F.col(id_col).cast("string").alias("id"), shown.alias("text"))
-    counts: dict[str, np.ndarray] = {}
-    # Partition by partition: the driver holds counts, not all languages' texts.
-    for name, text in bounded_sample(known, "lang", "id", sample).select("lang", "text").toLocalIterator():
-        found = np.bincount(_trigrams(np.frombuffer(text.encode(), np.uint8)), minlength=BUCKETS)
-        if found[1:].any():
-            counts[name] = counts[name] + found if name in counts else found
-    names = sorted(counts)
+    common = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).select("lang").collect()]
+    if len(common) > most:
+        known = known.withColumn("lang", F.when(F.col("lang").isin(common[:most]), F.col("lang")).otherwise(OTHERS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a task, by language."""
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for name, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = np.bincount(_trigrams(np.frombuffer(text.encode(), np.uint8)), minlength=BUCKETS)
+                held[name] = held[name] + found if name in held else found
+        for name, found in held.items():
+            at = np.flatnonzero(found[1:]) + 1
+            yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(found[at])], ["lang", "bucket", "n"])
+
+    summed = bounded_sample(known, "lang", "id", sample).select("lang", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # A row per model and bucket at most.
+    counts = summed.toPandas()
+    names = sorted(counts["lang"].unique().tolist())
     rows = np.full((len(names) + 1, BUCKETS), SMOOTHING)
-    for i, name in enumerate(names):
-        rows[i] += counts.pop(name)
+    rows[np.searchsorted(np.array(names, object), counts["lang"].to_numpy(object)) if names else [], counts["bucket"]] += counts["n"]
     rows[-1] = 1.0
     rows[:, 0] = 0
     table = np.zeros(rows.shape, np.float32)
@@ -85,7 +99,7 @@ def train(docs: DataFrame, lang: str, id_col: str, text_col: str, sample: int =
 def likelihoods(rows: DataFrame, table: np.ndarray, prior: np.ndarray, keys: list[str], text_col: str) -> DataFrame:
     """Adds two arrays over the languages and none to the columns ``keys``: ``loglik``, and ``guess``, the
     posterior by the text and the prior alone."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)  # languages x BUCKETS numbers
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # MOST_LANGUAGES and two more x BUCKETS numbers at most
     kept = rows.select(*keys, F.col(text_col).alias("__text"))
     schema = kept.drop("__text").schema.add("loglik", T.ArrayType(T.DoubleType())).add("guess", T.ArrayType(T.DoubleType()))
 

@@ -451,6 +451,20 @@ def test_every_labelled_language_has_a_model(spark):
     assert all(got[i]["lang_pred"] == n and got[i]["accepted"] for i, (_, n) in enumerate(rows))
 
 
+def test_thousands_of_declared_values_share_a_model(spark):
+    """A column of declared languages full of noise bounds the model; the languages that texts are in stay apart."""
+    rng = random.Random(6)
+    a, b = (["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for letters in ("abcdef", "uvwxyz"))
+    say = lambda words: " ".join(rng.choice(words) for _ in range(12))
+    rows = [(say(a), "aa") for _ in range(300)] + [(say(b), "bb") for _ in range(300)] + [(say(rng.choice([a, b])), f"noise-{i}") for i in range(10_000)]
+    d = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(rows)], "doc_id long, text string, lang string").repartition(4)
+    names, table = lang_fusion.train(d, "lang", "doc_id", "text", sample=100, most=5)
+    assert len(names) == 6 and {"aa", "bb", lang_fusion.OTHERS} <= set(names) and table.shape == (7, lang_fusion.BUCKETS)
+    got = {r["doc_id"]: r for r in collect(lang_fusion.fused(d.where("doc_id < 600"), "doc_id", "text", (names, table), declared=F.col("lang")))}
+    assert all(got[i]["lang_pred"] == rows[i][1] for i in range(600))
+    assert lang_fusion.train(d.limit(0), "lang", "doc_id", "text")[0] == []
+
+
 def test_no_row_is_rejected_for_a_language_without_model(spark):
     d = spark.createDataFrame([(i, "the and with that " * 8, "en") for i in range(20)], "doc_id long, text string, lang string")
     model = lang_fusion.train(d, "lang", "doc_id", "text")
@@ -521,6 +535,27 @@ def test_language_fusion_by_brute_force(spark, suffix):
     assert kept.columns == d.columns
 
 
+def test_language_of_pages_by_brute_force(spark, tmp_path):
+    """Pages: text without markup, the declared language of the html tag, suffix and host of the address."""
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").limit(40).unionByName(spark.createDataFrame([(10**6, None, None), (10**6 + 1, "nothing", "<html lang=EN><p>the and of</p>"), (10**6 + 2, "http://a.xx/", "")], "page_id long, url string, html string"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet(f"{sf}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.page_id: r for r in llm_queries.op5_language_id_pages(spark, str(tmp_path)).collect()}
+    rows, ids = [], []
+    for r in pages.collect():
+        html = None if r.html is None else re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ", r.html)
+        tag = re.search("(?i)<html[^>]*\\blang\\s*=\\s*[\"']?([A-Za-z]+)", r.html or "")
+        at = re.search("(?s)^.*?://([^/?#]*)", r.url or "")
+        host = (at.group(1).lower() if at else "") or None
+        end = re.search(r"\.([a-z]+)$", host or "")
+        rows.append((html, tag.group(1).lower() if tag else None, end.group(1) if end else None, host))
+        ids.append(r.page_id)
+    model = llm_queries.language_model(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    for i, (name, confidence, good) in zip(ids, _fused(rows, model, suffix=True), strict=True):
+        assert (got[i].lang_pred, got[i].accepted) == (name, good) and abs(got[i].confidence - confidence) < 1e-6
+
+
 def test_language_on_held_out_rows(spark):
     """Rows that no model has seen: by their text alone, with a wrong declaration and with none; and junk of no language."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
