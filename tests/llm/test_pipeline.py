@@ -1,5 +1,6 @@
 """The pipeline's stages, each followed by brute force from what the one before it wrote."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -96,6 +97,33 @@ def test_run_is_the_stages_in_order(spark, stages):
     assert sorted(map(key, run)) == sorted(map(key, got[-1]))
 
 
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    """Rows of one id, and those of none, stay or go together: with c or e among them those of none stay. What stays is packed."""
+    rng = random.Random(2)
+    a, b, c, d, e = (data.words(rng, 120) for _ in range(5))
+    near = " ".join([*d.split(" ")[:-2], "other", "end"])
+    rows = [(None, a), (5, a), (5, b), (20, near), (None, c), (None, c), (9, d), (9, d), (None, e), (12, None), (13, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        kept[name] = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+    assert len(kept["language"]) == len(rows)
+    assert {t for _, t in kept["exact_dedup"]} == {a, b, c, d, e, near, ""}
+    assert [i for i, t in kept["exact_dedup"] if t == a] == ["5", "None"] and {i for i, t in kept["exact_dedup"] if t in (c, e)} == {"None"}
+    assert [i for i, t in kept["exact_dedup"] if t == ""] == ["13"]
+    assert {t for _, t in kept["near_dedup"]} >= {b, c, d, e} and near not in {t for _, t in kept["near_dedup"]}
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+    packed = docs.collect()
+    assert {str(r.doc_id) for r in packed} <= {i for i, _ in kept["near_dedup"]} and "None" in {str(r.doc_id) for r in packed}
+
+
+def test_an_empty_table_passes_all_stages(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert entry.queries()["pipeline"](spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", llm.QUERIES)
 def test_query(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
