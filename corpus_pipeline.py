@@ -8,9 +8,9 @@ stage by brute force.
 
 Cases: a null text counts as empty; all empty texts are equal, so one of them passes the exact
 stage, and the mix, which takes words, leaves it out; very long texts go through whole; of ties
-the largest id stays among equal texts and the least among near copies; rows that repeat an id
-stay or go together up to the mix; rows without an id stay unless an equal text has one; an
-empty table gives no rows; further columns, whatever their names, are kept up to the mix.
+the largest id stays among equal texts and the least among near copies; rows that repeat an id,
+and those without one, stay or go together up to the mix, so one of them that is kept keeps the
+others; an empty table gives no rows; further columns, whatever their names, are kept up to the mix.
 """
 
 from __future__ import annotations
