@@ -16,6 +16,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import reduce
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from folioforge.functions.hashing import content_hash, embedding_identity, fingerprint
 from folioforge.functions.hashing import chunk_id as chunk_id_of
 from folioforge.functions.hashing import document_id as document_id_of
-from folioforge.operators import analytics, ann, chunking, corpus, embedding, inverted, lifecycle, parsing, retrieval, store
+from folioforge.operators import analytics, ann, chunking, corpus, embedding, evaluation, inverted, lifecycle, parsing, retrieval, store, trace
 from folioforge.sources import filesystem
 
 
@@ -67,6 +68,11 @@ class Engine:
     #: Vectors from which on searches go through a coarse index, if there is one.
     ann_least: int = 100_000
     _cache: OrderedDict = field(default_factory=OrderedDict)
+    #: Calls that are kept before they are written to the logs together.
+    logged: int = 64
+    rules: corpus.Rules = field(default_factory=corpus.Rules)
+    _calls: list = field(default_factory=list)
+    _events: list = field(default_factory=list)
 
     # --- tables ---
 
@@ -385,13 +391,33 @@ class Engine:
         names = [r[0] for r in self.spark.read.parquet(f"{path}/_inventory").select("table").distinct().collect()]
         return self.publish({n: self.spark.read.parquet(f"{path}/{n}") for n in names}, began)
 
+    def set_rule(self, name: str, rule: corpus.Filter) -> None:
+        """Documents that a filter accepts are members of a collection from now on."""
+        self.rules.set(name, rule)
+
+    def clear_rule(self, name: str) -> bool:
+        return self.rules.clear(name)
+
+    def collection_members(self) -> DataFrame:
+        """``collection_id, document_id``: put in by hand, or accepted by a rule."""
+        ruled = self.rules.members(self.visible())
+        manual = self.table("memberships")
+        return ruled.distinct() if manual is None else corpus.members(manual, ruled)
+
+    def disagreement(self, other: Engine) -> DataFrame:
+        """``document_id, state`` of documents that two corpora don't share."""
+        mine, theirs = (e.visible().select("document_id", "content_hash") for e in (self, other))
+        return evaluation.disagreement(mine, theirs)
+
     # --- search ---
 
-    def search(self, queries: DataFrame, profile: str = "balanced", filter: corpus.Filter = corpus.Filter(), limit: int = 10, rerank: bool = False) -> DataFrame:  # noqa: B008
+    def search(self, queries: DataFrame, profile: str = "balanced", filter: corpus.Filter = corpus.Filter(), limit: int = 10, rerank: bool | Callable[[], retrieval.Scorer] = False, traced: trace.Trace | None = None) -> DataFrame:  # noqa: B008
         """``query_id, chunk_id, document_id, text, score, n_legs, rank`` for each of ``query_id, text``.
 
-        Both legs see only visible rows that pass the filter, before anything is ranked.
+        Both legs see only visible rows that pass the filter, before anything is ranked. ``rerank`` may be a
+        loader of a scorer of pairs; ``traced`` observes the stages.
         """
+        watch = (lambda _, rows: rows) if traced is None else traced.watch
         fp = self.fingerprints()["embed_fp"]
         p = PROFILES[profile]
         docs = self.visible()
@@ -406,11 +432,12 @@ class Engine:
         asked = queries.select("query_id", F.col("text").alias("embed_text"))
         q = embedding.embedded(asked, self.embed).where("vector is not null").select("query_id", "vector")
         dense = self._dense(q, seen, k, p.floor).withColumn("leg", F.lit("dense"))
-        legs = lexical.select("query_id", "leg", "chunk_id", "score").unionByName(dense.select("query_id", "leg", "chunk_id", "score"))
-        fused = retrieval.rrf(legs)
+        legs = watch("lexical", lexical.select("query_id", "leg", "chunk_id", "score")).unionByName(watch("dense", dense.select("query_id", "leg", "chunk_id", "score")))
+        fused = watch("fusion", retrieval.rrf(legs))
         if rerank:
-            fused = retrieval.overlap_rerank(fused, chunks, queries, k).withColumn("n_legs", F.lit(None).cast("long"))
-        hits = fused.where(F.col("rank") <= limit)
+            made = retrieval.overlap_rerank(fused, chunks, queries, k) if rerank is True else retrieval.reranked(fused, chunks, queries, k, rerank)
+            fused = watch("rerank", made.withColumn("n_legs", F.lit(None).cast("long")))
+        hits = watch("hits", fused.where(F.col("rank") <= limit))
         # The join is the re-check of the scope: a hit outside it has no row to be shown with.
         return hits.join(live.select("chunk_id", "document_id", "text", "token_count"), "chunk_id").select("query_id", "chunk_id", "document_id", "text", "token_count", "score", "n_legs", "rank")
 
@@ -465,16 +492,40 @@ class Engine:
         return hits
 
     LOG = "query string, profile string, chunk_ids array<string>, cached boolean, response_time_ms int, created_at timestamp"
+    STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+    AUDIT = "at timestamp, id string, event string, actor string, subject string"
 
     def _log(self, *row) -> None:
-        rows = self.spark.createDataFrame([(*row, None)], self.LOG).withColumn("created_at", F.current_timestamp())
-        rows.coalesce(1).write.mode("append").json(f"{self.root}/_query_log")
+        self._calls.append((*row, datetime.now(timezone.utc)))
+        if len(self._calls) >= self.logged:
+            self.flush()
+
+    def audit(self, event: str, actor: str, subject: str = "") -> None:
+        """Note an event for the audit log."""
+        self._events.append((datetime.now(timezone.utc), uuid.uuid4().hex, event, actor, subject))
+        if len(self._events) >= self.logged:
+            self.flush()
+
+    def flush(self) -> None:
+        """Write what the logs hold back: one file for some calls, not for each."""
+        for held, schema, name in ((self._calls, self.LOG, "_query_log"), (self._events, self.AUDIT, "_audit_log")):
+            if held:
+                self.spark.createDataFrame(held, schema).coalesce(1).write.mode("append").json(f"{self.root}/{name}", timestampFormat=self.STAMP)
+                held.clear()
 
     def query_log(self, limit: int = 50, offset: int = 0) -> DataFrame:
         """The latest queries, each with the total."""
-        log = self.spark.read.schema(self.LOG).json(f"{self.root}/_query_log")
+        self.flush()
+        log = self.spark.read.schema(self.LOG).json(f"{self.root}/_query_log", timestampFormat=self.STAMP)
         return store.page_with_total(log, [F.desc("created_at"), F.col("query")], offset, limit)
 
+    def audit_log(self, events: tuple[str, ...] = (), since: datetime | None = None, actor: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+        """The latest events of some kinds, from a time on or by one actor, each with the total."""
+        self.flush()
+        folder, fs = self._fs(f"{self.root}/_audit_log")
+        log = self.spark.read.schema(self.AUDIT).json(f"{self.root}/_audit_log", timestampFormat=self.STAMP) if fs.exists(folder) else self.spark.createDataFrame([], self.AUDIT)
+        return store.audited(log, events, None if since is None else F.lit(since), actor, offset, limit)
+
     def context(self, hits: DataFrame, profile: str = "balanced") -> DataFrame:
         p = PROFILES[profile]
         return retrieval.assembled(hits, p.budget, p.final_top_k)

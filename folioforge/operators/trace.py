@@ -1,7 +1,8 @@
 """What each stage of a running search let through, measured while it runs.
 
 ``watch`` puts an observation into the plan, which Spark sums up as rows pass; nothing is written
-or counted a second time. After the action, ``report`` has one row per stage.
+or counted a second time. After the action, ``report`` has one row per stage. The action should write or
+collect: one that sorts all rows runs its input once more to sample it, which would count them again.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from folioforge.engine import Engine, Incompatible, Profile, Superseded, folded
 from folioforge.operators.corpus import Filter
+from folioforge.operators.trace import Trace
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +72,34 @@ def test_search_through_the_coarse_index(engine):
     assert all("Friday" in h["text"] for h in ask(engine, "maps", filter=Filter(media_types=("text/html",))))
 
 
+def test_stages_are_traced_and_a_scorer_may_be_handed_in(engine):
+    t = Trace(engine.spark)
+    asked = engine.spark.createDataFrame([(1, "maps of the office")], "query_id int, text string")
+    found = engine.search(asked, traced=t, rerank=lambda: lambda pairs: [float(len(p)) for _, p in pairs])
+    hits = sorted(found.collect(), key=lambda h: h["rank"])
+    assert [h["score"] for h in hits] == sorted((float(len(h["text"])) for h in hits), reverse=True) and hits
+    told = {r.stage: r.n_rows for r in t.report().collect()}
+    assert list(told) == ["lexical", "dense", "fusion", "rerank", "hits"] and told["hits"] == len(hits) == told["rerank"]
+
+
+def test_logs_rules_and_disagreement(engine, tmp_path):
+    engine.set_rule("Text ", Filter(media_types=("text/plain",)))
+    ids = {r.document_id for r in engine.visible().where("media_type = 'text/plain'").collect()}
+    assert ids and {r.document_id for r in engine.collection_members().where("collection_id = 'text'").collect()} == ids
+    assert engine.clear_rule("TEXT") and engine.collection_members().where("collection_id = 'text'").count() == 0
+    assert engine.audit_log().count() == 0
+    for i in range(3):
+        engine.audit("share" if i else "delete", f"u{i % 2}", str(i))
+    assert [(r.event, r.subject, r.total) for r in engine.audit_log(("share",)).collect()] == [("share", "2", 2), ("share", "1", 2)]
+    assert engine.audit_log(actor="u1").count() == 1
+    other = Engine(engine.spark, f"file://{tmp_path}/other")
+    other.index_path(str(engine.src))
+    assert engine.disagreement(other).count() == 0
+    gone = other.visible().first()["document_id"]
+    other.document_delete([gone])
+    assert [tuple(r) for r in engine.disagreement(other).collect()] == [(gone, "missing")]
+
+
 def test_reembed_and_fences(engine):
     other = Engine(engine.spark, engine.root, embed=engine.embed, embed_name="other")
     with pytest.raises(Incompatible):
