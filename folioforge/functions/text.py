@@ -233,3 +233,29 @@ def shared_prefix(a: Column, b: Column) -> Column:
 def shared_suffix(a: Column, b: Column) -> Column:
     """How many elements two arrays have in common up to the last."""
     return shared_prefix(F.reverse(a), F.reverse(b))
+
+
+#: Words after which a full stop ends no sentence, besides single letters (fixed values).
+ABBREVIATIONS = ("al", "approx", "cf", "dr", "e.g", "eg", "esp", "etc", "fig", "i.e", "ie", "inc", "jr", "ltd", "mr", "mrs", "ms", "no", "pp", "prof", "sr", "st", "vs", "vol")
+#: A mark that may end a sentence, what may close it, the space after it, and how the next one begins (fixed values).
+ENDS, CLOSERS, OPENERS = "[.!?]", "[\"'”’)\\]]?", "[\"'“‘(\\[]?[A-Z0-9]"
+#: The end of a part that goes on: an abbreviation or a single letter before its mark.
+GOES_ON = rf"(?i)(?:^|[^A-Za-z.])\.*(?:{'|'.join(w.replace('.', chr(92) + '.') for w in ABBREVIATIONS)}|[A-Za-z])\.*{ENDS}{CLOSERS}$"
+#: Stands between parts while a text is cut; taken out of texts before.
+MARK = "\u0001"
+
+
+def sentences(text: Column) -> Column:
+    """A text's sentences in order, all in expressions: cut where a mark, space and a beginning meet, then joined again
+    after an abbreviation or a single letter."""
+    clean = F.regexp_replace(F.regexp_replace(text, MARK, ""), r"^\s+|\s+$", "")
+    parts = F.split(F.regexp_replace(clean, f"({ENDS}{CLOSERS})(\\s+)(?={OPENERS})", f"$1{MARK}$2"), MARK)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, part: Column) -> Column:
+        now = F.concat(acc["open"], part)
+        stays = F.rlike(part, F.lit(GOES_ON)) | F.rlike(now, F.lit(GOES_ON))
+        return F.struct(F.when(stays, acc["done"]).otherwise(F.concat(acc["done"], F.array(now))).alias("done"), F.when(stays, now).otherwise("").alias("open"))
+
+    folded = F.aggregate(parts, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    return F.filter(F.transform(folded, lambda x: F.regexp_replace(x, r"^\s+", "")), lambda x: x != "")

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import CLOSERS, ENDS, GOES_ON, OPENERS
 from folioforge.operators.vendor import embedded_text
 
-#: Words after which a full stop ends no sentence (fixed values).
-ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e cf fig no vol pp ed al inc ltd co dept approx".split())
-BOUNDARY = re.compile(r"[.!?][\"'”’)\]]?\s+(?=[\"'“‘(\[]?[A-Z0-9])")
+#: Where a sentence may end: a mark, what closes it, space, and a beginning; by the fixed values of the text functions.
+BOUNDARY = re.compile(rf"{ENDS}{CLOSERS}\s+(?={OPENERS})")
+GOES_ON_RE = re.compile(GOES_ON)
 PIECE = re.compile(r"\w+|[^\w\s]")
+#: A blank line (fixed value).
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
 ATOMIC = ("table", "code")
 
@@ -36,9 +38,8 @@ def paragraphs(text: str) -> list[str]:
 def sentences(text: str) -> list[str]:
     out, start = [], 0
     for m in BOUNDARY.finditer(text):
-        before = text[start : m.start()].rsplit(None, 1)
-        word = before[-1].lstrip("([\"'“‘").lower() if before else ""
-        if text[m.start()] == "." and (word in ABBREVIATIONS or (len(word) == 1 and word.isalpha())):
+        last = text[start : m.end()].rsplit(None, 1)
+        if last and GOES_ON_RE.search(last[-1].rstrip()):
             continue
         out.append(text[start : m.end()].strip())
         start = m.end()

@@ -216,9 +216,9 @@ def _mermaid(source: str) -> tuple[list[tuple[str, str, str]], dict[str, list[st
     return [(shown(a), shown(b), t) for a, b, t in edges], {g: [shown(n) for n in v] for g, v in groups.items()}, [shown(n) for n in nodes]
 
 
-def statements(source: str, lang: str, most: int = 200) -> str:
-    """A diagram in statements: its edges, its groups, what no edge meets; no longer than the source itself, and
-    ``most`` statements at most. Empty if it has none."""
+def statements(source: str, lang: str) -> str:
+    """A diagram in statements: its edges, its groups, what no edge meets; no longer than the source itself.
+    Empty if it has none."""
     if lang not in ("dot", "graphviz", "mermaid"):
         return ""
     edges, groups, nodes = _mermaid(source) if lang == "mermaid" else _dot(source)
@@ -227,7 +227,7 @@ def statements(source: str, lang: str, most: int = 200) -> str:
     met = {n for a, b, _ in edges for n in (a, b)}
     said += list(dict.fromkeys(n for n in nodes if n not in met))
     out = ""
-    for s in said[:most]:
+    for s in said:
         longer = f"{out}\n{s}" if out else s
         if len(longer) > len(source):
             break

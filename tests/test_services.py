@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
-from folioforge.operators import analytics, conversations, corpus, evaluation, lifecycle, retrieval, store
+from folioforge.operators import analytics, chunking, conversations, corpus, evaluation, lifecycle, retrieval, store
 
 
 def test_a_scorer_is_loaded_once_per_task(spark):
@@ -91,3 +91,14 @@ def test_blobs_are_got_by_their_addresses(spark):
     log = spark.createDataFrame([(i, i, "abc"[i % 3], f"u{i % 2}") for i in range(12)], "at int, id int, event string, actor string")
     page = store.audited(log, ("a", "b"), F.lit(2), "u0", 1, 2).collect()
     assert [(r.id, r.total) for r in page] == [(6, 3), (4, 3)]
+
+
+def test_sentences_in_expressions_are_those_of_the_chunker(spark):
+    import random
+
+    rng = random.Random(1)
+    parts = ["Dr. ", "A. ", "word. ", 'He said "no." ', "end! ", "3.5 ", "(Yes). ", "x ", "\n", "Vol. ", "etc. ", "x9a. ", "U.S. ", "é. "]
+    texts = ["", " \n ", "no end", "See Dr. Smith. Was it 3.5? Yes."] + ["".join(rng.choice(parts) for _ in range(12)) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.sentences(F.col("t")).alias("s")).collect()
+    assert all(r.s == chunking.sentences(r.t.strip()) for r in rows)
+    assert next(r.s for r in rows if r.t.startswith("See")) == ["See Dr. Smith.", "Was it 3.5?", "Yes."]
