@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
 from folioforge.operators import analytics as A
-from folioforge.operators import chunking, corpus, embedding, evaluation
+from folioforge.operators import chunk_plan, chunking, corpus, embedding, evaluation
 from folioforge.operators import retrieval as R
 from folioforge.plans import fixtures as fx
 from folioforge.plans.registry import Registry
@@ -62,6 +62,36 @@ def chk02_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.size("s").cast("long").alias("n"), longest.alias("longest"), F.md5(F.array_join("s", "\n")).alias("digest"))
 
 
+#: Lines as blocks, those of one token as headings; units of 40 tokens: lines, else sentences, else whole words; then the
+#: groups that fill the budget, and short tails joined to the group before, both row by row.
+PLAN = r"""b AS (SELECT doc_id, i AS position, t, len(regexp_extract_all(t, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(regexp_replace(t, '\s+', ' ', 'g')) <> ''),
+k AS (SELECT *, n > 1 OR NOT bool_or(n > 1) OVER (PARTITION BY doc_id) AS body FROM b),
+o AS (SELECT *, coalesce(lag(body) OVER (PARTITION BY doc_id ORDER BY position), false) = false AS opens FROM k QUALIFY body),
+long AS (SELECT doc_id, position, string_split(regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '([.!?]["''”’)\]]?)(\s+)(["''“‘(\[]?[A-Z0-9])', '\1' || chr(1) || '\2\3', 'g'), chr(1)) AS ps FROM o WHERE n > 40),
+p AS (SELECT doc_id, position, unnest(ps) AS part, unnest(range(len(ps))) AS i FROM long),
+f AS (SELECT *, regexp_matches(part, '(?i)(?:^|[^A-Za-z.])\.*(?:al|approx|cf|dr|e\.g|eg|esp|etc|fig|i\.e|ie|inc|jr|ltd|mr|mrs|ms|no|pp|prof|sr|st|vs|vol|[A-Za-z])\.*[.!?]["''”’)\]]?$') AS goes_on FROM p),
+g AS (SELECT *, coalesce(sum((NOT goes_on)::INTEGER) OVER (PARTITION BY doc_id, position ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM f),
+s AS (SELECT doc_id, position, s, t, len(regexp_extract_all(t, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM (SELECT doc_id, position, s, regexp_replace(string_agg(part, '' ORDER BY i), '^\s+', '') AS t FROM g GROUP BY ALL) WHERE t <> ''),
+ws AS (SELECT doc_id, position, s, w, len(regexp_extract_all(w, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n, row_number() OVER (PARTITION BY doc_id, position, s ORDER BY i) AS i FROM (SELECT doc_id, position, s, unnest(string_split_regex(t, '\s+')) AS w, generate_subscripts(string_split_regex(t, '\s+'), 1) AS i FROM s WHERE n > 40) WHERE w <> ''),
+h AS (SELECT doc_id, position, s, i, w, n AS used, 1 AS g FROM ws WHERE i = 1 UNION ALL SELECT ws.doc_id, ws.position, ws.s, ws.i, ws.w, CASE WHEN used + ws.n > 40 THEN ws.n ELSE used + ws.n END, CASE WHEN used + ws.n > 40 THEN h.g + 1 ELSE h.g END FROM h JOIN ws ON ws.doc_id = h.doc_id AND ws.position = h.position AND ws.s = h.s AND ws.i = h.i + 1),
+parts AS (SELECT doc_id, position, 0 AS s, 0 AS g, t, n FROM o WHERE n <= 40 UNION ALL SELECT doc_id, position, s, 0, t, n FROM s WHERE n <= 40 UNION ALL SELECT doc_id, position, s, g, string_agg(w, ' ' ORDER BY i), max(used) FROM h GROUP BY ALL),
+u AS (SELECT doc_id, parts.t, parts.n, opens AND row_number() OVER (PARTITION BY doc_id, position ORDER BY s, g) = 1 AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY position, s, g) AS i FROM parts JOIN o USING (doc_id, position)),
+a AS (SELECT doc_id, i, n AS used, 1 AS g FROM u WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN u.opens OR used + u.n > 40 THEN u.n ELSE used + u.n END, CASE WHEN u.opens OR used + u.n > 40 THEN g + 1 ELSE g END FROM a JOIN u ON u.doc_id = a.doc_id AND u.i = a.i + 1),
+gs AS (SELECT doc_id, g, sum(n) AS n, bool_or(opens) AS opens FROM a JOIN u USING (doc_id, i) GROUP BY ALL),
+m AS (SELECT doc_id, g, n AS used, 0 AS c FROM gs WHERE g = 1 UNION ALL SELECT gs.doc_id, gs.g, CASE WHEN NOT gs.opens AND gs.n < 12 AND used + gs.n <= 40 THEN used + gs.n ELSE gs.n END, CASE WHEN NOT gs.opens AND gs.n < 12 AND used + gs.n <= 40 THEN c ELSE c + 1 END FROM m JOIN gs ON gs.doc_id = m.doc_id AND gs.g = m.g + 1)"""
+
+
+@query(f"WITH RECURSIVE {PLAN} SELECT doc_id, c::INTEGER AS position, sum(u.n)::INTEGER AS token_count, md5(string_agg(u.t, chr(10) || chr(10) ORDER BY u.i)) AS digest FROM m JOIN a USING (doc_id, g) JOIN u USING (doc_id, i) GROUP BY doc_id, c")
+def chk06_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHK-02, 04, 05, 06, 07: whole texts in chunks of forty tokens, as a plan of expressions."""
+    d = fx.dealt(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    kind = F.when(chunk_plan.token_count(F.col("text")) > 1, "prose").otherwise("heading")
+    blocks = lines.select("document_id", "position", kind.alias("kind"), F.array().cast("array<string>").alias("path"), "text", F.lit(0).alias("header_rows"))
+    made = chunk_plan.chunks(blocks, chunking.Budget(50, 0, 12, 10))
+    return made.select(F.col("document_id").alias("doc_id"), "position", "token_count", F.md5("text").alias("digest"))
+
+
 @query("SELECT s_suppkey AS k, 4 AS n, 'Dr. ' || s_name || ' left.' AS second FROM supplier")
 def chk05_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-05: sentences end at marks, but not after a title or inside a number."""
