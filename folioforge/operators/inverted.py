@@ -15,8 +15,8 @@ blocks' counts and maxima only. Arrays are read of the blocks that stay. With a
 the greatest bounds are scored first, and others only if their bound reaches the k-th score found.
 Inside a block the rarest term's places are the candidates, and the other terms are joined by place.
 
-A term that is everywhere has a row per block, each at most ``1 << BITS`` postings long, and range
-partitioning deals them over tasks. Nothing but the one row of ``corpus`` and the hashes asked for
+A term that is everywhere has a row per block, each at most ``1 << BITS`` postings long, and a bucket's
+blocks are dealt over tasks by groups of ``1 << GROUP_BITS``. Nothing but the one row of ``corpus`` and the hashes asked for
 (``BUCKETS`` at most) comes to the driver.
 """
 
@@ -32,6 +32,8 @@ from folioforge.plans.scratch import new_dir, written
 
 BITS = 10
 BUCKETS = 64
+#: Blocks of a bucket that one task writes, as a power of two: four million chunks' part of a bucket.
+GROUP_BITS = 12
 #: Blocks of each query that are scored before the others are looked at.
 BEST = 8
 POSTINGS = "term string, block long, n int, most double, at array<short>, tf array<double>, dl array<int>, bucket int"
@@ -78,7 +80,8 @@ def build(chunks: DataFrame, path: str, bm25: Bm25 = Bm25()) -> InvertedIndex:
     place = F.struct(F.col("no").bitwiseAND((1 << BITS) - 1).cast("short").alias("at"), "tf", "dl")
     rows = tf.groupBy("term", F.shiftright("no", BITS).alias("block")).agg(F.array_sort(F.collect_list(place)).alias("p"), F.max(_saturated(bm25, F.col("tf"), F.col("dl"), found.mean_length)).alias("most"))
     rows = rows.select(_bucket(F.col("term")).alias("bucket"), "term", "block", F.size("p").alias("n"), "most", F.col("p.at"), F.col("p.tf"), F.col("p.dl"))
-    rows.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    dealt = rows.repartition("bucket", F.shiftright("block", GROUP_BITS))
+    dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     found.table("postings").groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("n_blocks")).write.parquet(f"{path}/lexicon")
     return found
 
