@@ -363,7 +363,10 @@ def eva01_passage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.occurrences(tab(spark, sf_dir, "documents"), asked, "doc_id", "text", "key", "line").groupBy(F.col("key").alias("line")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-@query("SELECT vec_id AS query_id, true AS hit FROM embeddings WHERE vec_id % 50 = 0")
+RANKED = f"{fx.COSINES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM cosines)"
+
+
+@query(f"WITH {RANKED}, answers AS (SELECT query_id, arg_max(chunk_id, score) AS chunk_id FROM cosines WHERE chunk_id <> query_id GROUP BY 1) SELECT query_id, rank <= 5 AS hit FROM answers JOIN ranked USING (query_id, chunk_id)")
 def eva01_probe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVA-01: the known answer of each probe is the nearest other vector; is it among the five first?"""
     from folioforge.operators.retrieval import dense_batched
@@ -374,7 +377,11 @@ def eva01_probe_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.probe_hits(dense_batched(v, q, 5), answers, 5).select("query_id", "hit")
 
 
-@query("SELECT count(*) AS n, count(*) AS hits, 0.0 AS p, 'passed' AS outcome FROM embeddings WHERE vec_id % 50 = 0")
+#: The binomial tail, summed in logarithms, that chance finds as many of n answers among five of all rows.
+TAIL = "(SELECT least(1, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(c) + (n - i) * ln(1 - c)))) FROM range(hits, n + 1) t(i))"
+
+
+@query(f"WITH {RANKED}, h AS (SELECT count(*) AS n, count(*) FILTER (rank <= 5) AS hits, 5.0::DOUBLE / (SELECT count(*) FROM embeddings) AS c FROM ranked WHERE chunk_id = query_id), p AS (SELECT *, {TAIL} AS p FROM h) SELECT n, hits, round(p, 9) AS p, CASE WHEN pow(c, n) > 0.01 THEN 'underpowered' WHEN p < 0.01 THEN 'passed' ELSE 'failed' END AS outcome FROM p")
 def eva01_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query vector must find itself: hits, chance and the binomial tail."""
     from folioforge.operators.retrieval import dense_batched

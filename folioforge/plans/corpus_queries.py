@@ -469,13 +469,14 @@ def his01_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.versions(e)
 
 
-CITED = "cited AS (SELECT o_orderkey % 1200 || '-' || (o_orderkey % 4) AS chunk_id, o_orderkey % 1200 AS document_id FROM orders), old AS (SELECT DISTINCT doc_id AS document_id FROM documents WHERE doc_id % 2 = 0)"
+#: Citations of documents by number, a sixth of which are of none.
+CITED = "many AS (SELECT count(*) * 6 // 5 AS n FROM documents), cited AS (SELECT o_orderkey % n || '-' || (o_orderkey % 4) AS chunk_id, o_orderkey % n AS document_id FROM orders, many), old AS (SELECT DISTINCT doc_id AS document_id FROM documents WHERE doc_id % 2 = 0)"
 
 
 @query(f"WITH {fx.CHUNKS}, {D}, {CITED} SELECT c.chunk_id, c.document_id, CASE WHEN d.deleted IS NULL THEN 'unknown' WHEN d.deleted THEN 'deleted' WHEN k.chunk_id IS NOT NULL THEN 'present' WHEN old.document_id IS NOT NULL THEN 'superseded' ELSE 'unknown' END AS state FROM cited c LEFT JOIN docs d USING (document_id) LEFT JOIN chunks k USING (chunk_id) LEFT JOIN old ON old.document_id = c.document_id")
 def his02_resolve_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    cited = tab(spark, sf_dir, "orders").select(F.concat_ws("-", k % 1200, k % 4).alias("chunk_id"), (k % 1200).alias("document_id"))
+    k, many = F.col("o_orderkey"), tab(spark, sf_dir, "documents").count() * 6 // 5
+    cited = tab(spark, sf_dir, "orders").select(F.concat_ws("-", k % many, k % 4).alias("chunk_id"), (k % many).alias("document_id"))
     old = tab(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"))
     return C.citation_states(cited, fx.chunks(spark, sf_dir), docs(spark, sf_dir), old)
 
@@ -487,10 +488,11 @@ def his04_trash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.trash(rows, F.lit("1998-01-01").cast("timestamp_ntz")).select("version", "restorable_until", "purged")
 
 
-@query(f"WITH {D}, e AS (SELECT document_id AS src, (document_id * 3) % 1000 AS dst, 'k' || (document_id % 2) AS kind FROM docs), b AS (SELECT * FROM e UNION SELECT dst, src, kind FROM e), v AS (SELECT document_id AS id FROM docs WHERE status = 'indexed' AND NOT deleted) SELECT * FROM b WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
+@query(f"WITH {D}, e AS (SELECT document_id AS src, (document_id * 3) % (SELECT count(*) FROM documents) AS dst, 'k' || (document_id % 2) AS kind FROM docs), b AS (SELECT * FROM e UNION SELECT dst, src, kind FROM e), v AS (SELECT document_id AS id FROM docs WHERE status = 'indexed' AND NOT deleted) SELECT * FROM b WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
 def org04_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    edges = d.select(F.col("document_id").alias("src"), ((F.col("document_id") * 3) % 1000).alias("dst"), F.concat(F.lit("k"), F.col("document_id") % 2).alias("kind"))
+    many = tab(spark, sf_dir, "documents").count()
+    edges = d.select(F.col("document_id").alias("src"), ((F.col("document_id") * 3) % many).alias("dst"), F.concat(F.lit("k"), F.col("document_id") % 2).alias("kind"))
     return C.related(edges, d.where("status = 'indexed' and not deleted").select(F.col("document_id").alias("id")))
 
 
