@@ -381,3 +381,9 @@ def lineage(rules: dict[str, str], libraries: dict[str, str], hooks: tuple[str,
 def undetected(documents: DataFrame, current: str) -> DataFrame:
     """Documents whose entries were detected under another lineage, or not at all."""
     return documents.where(~F.col("glossary_fp").eqNullSafe(F.lit(current)))
+
+
+def with_previous(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, line_no, line, previous``: each line of a text, numbered from 1, with the one before, empty for the first."""
+    lines = chunks.select("chunk_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return lines.withColumn("previous", F.lag("line", 1, "").over(Window.partitionBy("chunk_id").orderBy("line_no")))

@@ -215,3 +215,12 @@ def query_set_problems(sets: DataFrame) -> DataFrame:
     checks = F.array(F.when(F.col("id").isNull(), "missing_id"), F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty_text"), F.when(F.col("created_at").isNotNull() & ~aware, "naive_time"))
     own = q.select("name", "id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("problem"))
     return bad.unionByName(twice).unionByName(own)
+
+
+def preferences(rows: DataFrame, path: str) -> DataFrame:
+    """Append judgements ``query_id, rater, outcome, at`` to lines of JSON and return all that are there, the last of each
+    rater on a query counting."""
+    rows.select("query_id", "rater", "outcome", "at").write.mode("append").json(path)
+    told = rows.sparkSession.read.schema(rows.select("query_id", "rater", "outcome", "at").schema).json(path)
+    last = told.groupBy("query_id", "rater").agg(F.max_by("outcome", F.struct("at", "outcome")).alias("outcome"), F.count(F.lit(1)).alias("n_told"))
+    return last

@@ -271,3 +271,15 @@ def impacts(references: DataFrame, blobs: DataFrame, actions: dict[str, Column])
     rows = F.array(*[F.struct(F.lit(name).alias("action"), F.col(f"__n{i}").alias("let_go")) for i, name in enumerate(hit)])
     each = sized.select("__all", "bytes", F.explode(rows).alias("a")).select("a.action", "a.let_go", (F.col("a.let_go") == F.col("__all")).alias("gone"), "bytes")
     return each.groupBy("action").agg(F.sum("let_go").alias("references"), F.count_if("gone").alias("blobs"), F.coalesce(F.round(F.sum(F.when(F.col("gone"), F.col("bytes"))), 2), F.lit(0)).alias("bytes"))
+
+
+def inspected(plan: DataFrame, built: DataFrame, sizes: dict[str, int], key: str = "document_id") -> DataFrame:
+    """What a shadow generation holds against its plan, before it is published: ``action, planned, built, wrong_size``.
+
+    ``plan`` has ``key, action, kind``; ``built`` ``key, size``, the size of what was made, which has to be that of its kind.
+    """
+    made = built.groupBy(key).agg(F.min("size").alias("__low"), F.max("size").alias("__high"))
+    wanted = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])[F.col("kind")]
+    j = plan.join(made, key, "left")
+    bad = F.col("__low").isNotNull() & ((F.col("__low") != wanted) | (F.col("__high") != wanted))
+    return j.groupBy("action").agg(F.count(F.lit(1)).alias("planned"), F.count("__low").alias("built"), F.count_if(F.coalesce(bad, F.lit(False))).alias("wrong_size"))

@@ -274,3 +274,9 @@ def utility_answers(documents: DataFrame, chunks: DataFrame, embedder: str, most
     count = live.agg(F.count(F.lit(1)).alias("n")).select(F.lit("document_count").alias("kind"), F.concat("n", F.lit(" document(s) are indexed")).alias("text"), "n")
     state = chunks.agg(F.count(F.lit(1)).alias("n")).select(F.lit("index_status").alias("kind"), F.concat("n", F.lit(f" chunk(s) indexed, embedded by {embedder}")).alias("text"), "n")
     return list_.unionByName(count).unionByName(state)
+
+
+def union_page(sides: list[DataFrame], keys: list[str], after: tuple | None, limit: int) -> DataFrame:
+    """A page of the rows that are on any side, each once, in order of ``keys``. A side sends its own page only."""
+    pages = [keyset_page(side.select(*keys).distinct(), keys, after, limit) for side in sides]
+    return keyset_page(reduce(DataFrame.unionByName, pages).distinct(), keys, after, limit)

@@ -16,6 +16,7 @@ from folioforge.plans import corpus_queries as Q
 from folioforge.plans import fixtures as fx
 from folioforge.plans import retrieval_queries as Z
 from folioforge.plans.registry import Registry
+from folioforge.plans.scratch import new_dir
 
 query = Registry()
 QUERIES, SQL = query.QUERIES, query.SQL
@@ -182,3 +183,39 @@ def glo03_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, kind = F.col("event_id") % 4, F.col("event_type")
     phrase = F.when(k == 0, F.concat(F.lit("when "), kind, F.lit(" is seen"))).when(k == 1, F.concat(F.lit("there is "), kind)).when(k == 2, F.concat(F.lit("IT "), kind)).otherwise(F.concat(kind, F.lit(" of a user")))
     return fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), A.refusal(F.lit("ZZ"), phrase, F.lit("dash")).alias("refusal"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)
+SELECT doc_id AS chunk_id, line_no::INTEGER AS line_no, md5(coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), '')) AS previous FROM l""")
+def win05_previous_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-05: each line with the one before it."""
+    d = fx.dealt(fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return A.with_previous(d).select("chunk_id", "line_no", F.md5("previous").alias("previous"))
+
+
+@query("SELECT * FROM (SELECT o_custkey AS scope, o_orderstatus AS state FROM orders UNION SELECT l_suppkey, l_linestatus FROM lineitem) WHERE (scope, state) > (7, 'F') ORDER BY scope, state LIMIT 150")
+def set02_union_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-02: a page of a union, in order of keys."""
+    o = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderstatus").alias("state"))
+    i = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("scope"), F.col("l_linestatus").alias("state"))
+    return T.union_page([o, i], ["scope", "state"], (7, "F"), 150)
+
+
+@query("SELECT user_id AS query_id, props AS rater, arg_max(event_type, (event_id, event_type)) AS outcome, count(*) AS n_told FROM events GROUP BY ALL")
+def snk06_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-06: judgements appended in two runs, of which each rater's last counts."""
+    e = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("props").alias("rater"), F.col("event_type").alias("outcome"), F.col("event_id").alias("at"))
+    path = new_dir(spark, "preferences")
+    evaluation.preferences(e.where("at % 2 = 0"), path)
+    return evaluation.preferences(e.where("at % 2 = 1"), path)
+
+
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'keep' ELSE 'derive' END AS action, source FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 32 WHEN source IN ('src1', 'src2') THEN 128 ELSE 64 END AS size FROM documents WHERE doc_id % 11 <> 0)
+SELECT action, count(*) AS planned, count(b.doc_id) AS built, count(*) FILTER (b.size <> CASE WHEN source IN ('src1', 'src2') THEN 128 ELSE 64 END) AS wrong_size FROM p LEFT JOIN b USING (doc_id) GROUP BY action""")
+def lif11_inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIF-11: a generation of vectors looked at against its plan: what is built, and what has another dimension than its model's."""
+    d, i = fx.table(spark, sf_dir, "documents"), F.col("doc_id")
+    kind = F.when(F.col("source").isin("src1", "src2"), "large").otherwise("small")
+    plan = d.select(i.alias("document_id"), F.when(i % 4 == 0, "keep").otherwise("derive").alias("action"), kind.alias("kind"))
+    built = d.where("doc_id % 11 <> 0").select(i.alias("document_id"), F.when(i % 7 == 3, 32).when(kind == "large", 128).otherwise(64).alias("size"))
+    return L.inspected(plan, built, {"small": 64, "large": 128})
