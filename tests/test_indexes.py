@@ -1,5 +1,6 @@
 """Passages, digest trees, includes, traces, bitmaps, ranges and the vector store against plain versions."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -145,3 +146,15 @@ def test_stored_vectors_stay_where_they_are(spark, tmp_path):
     stored = plan[plan.rindex("SortMergeJoin") :].split("+- ", 1)[1].rsplit("Exchange", 1)[-1]
     assert "Bucketed: true" in stored and plan.count("Exchange") == 1
     spark.sql("DROP TABLE vectors_of_test")
+
+
+def test_digest_of_a_corpus_does_not_follow_its_size(spark):
+    """Over 16,000 rows, where a tree of its own depth would have two digits."""
+    docs = spark.range(17_000).select(F.col("id").alias("document_id"), F.md5(F.col("id").cast("string")).alias("content_hash"))
+    groups: dict[str, list[str]] = {}
+    for i in range(17_000):
+        h = hashlib.md5(str(i).encode()).hexdigest()
+        groups.setdefault(h[0], []).append(f"{i}\0{h}\n")
+    leaves = [hashlib.sha256("".join(sorted(groups[p])).encode()).hexdigest() for p in sorted(groups)]
+    row = evaluation.corpus_digest(docs).first()
+    assert (row.digest, row.groups) == (hashlib.sha256("".join(leaves).encode()).hexdigest(), 16)
