@@ -5,25 +5,28 @@ what vectors differ from their centres by, one codebook per sub-vector; both on
 ``SAMPLE`` vectors. It writes one row per vector: id, partition (its nearest centre), one byte per
 sub-vector, and the vector, sorted by partition; a partition that holds a third of all rows is written by
 several tasks. ``search`` compares whole vectors of the partitions nearest to a query. ``search_coded``
-reads codes alone: a query's products with all codewords are looked up and summed, the best
-``rerank * k`` rows of each query are then scored by their vectors, which are read for these only.
+scans the codes twice: a query's products with all codewords are looked up and summed, and counted in
+``BINS`` classes; from the counts comes a bound that the best ``rerank * k`` rows of each query reach, and
+in the second scan a task scores by vectors the rows that reach it, and sends on ``k`` of them. However
+deep a search is re-ranked, what is shuffled are counts and the ``k`` best of each task.
 ``calibrated`` and ``calibrated_codes`` measure recall against the exact search over stated queries and
-return the least effort that reaches it. Vectors are of length 1 inside the index; a null or zero vector
+return the least effort that reaches it; the latter from one scan, as the counts tell how deep each of the
+exact search's rows lies. Vectors are of length 1 inside the index; a null or zero vector
 is in none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators.retrieval import SCORES, RunningTop, ann_sub_vectors, clamped, dense_batched, dot, in_passes, matrix_of, named, top_k, unit
+from folioforge.operators.retrieval import SCORES, RunningTop, ann_sub_vectors, dense_batched, in_passes, matrix_of, named, top_k, unit_rows
 from folioforge.plans.scratch import new_dir, written
 
 SAMPLE = 100_000
@@ -33,8 +36,10 @@ SEED = 5
 WORDS = 256
 #: Vectors that are compared with all centres at once.
 STEP = 4096
-#: From what is broadcast, rows of a partition, the partition and its queries to scores: queries x rows.
-Scores = Callable[[tuple, pa.RecordBatch, int, np.ndarray], np.ndarray]
+#: Classes of scores by code, each a 256th wide, from -2 upwards; those beyond count in the outermost.
+BINS = 1024
+#: Rows of a file of the index, where that makes more files than there are cores.
+FILE_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -138,7 +143,8 @@ def build(vectors: DataFrame, partitions: int | None = None, sample: int = SAMPL
     path = path or new_dir(spark, "ann")
     kind = vectors.schema["chunk_id"].dataType.simpleString()
     placed = written(known.mapInArrow(run, f"chunk_id {kind}, vector {vectors.schema['vector'].dataType.simpleString()}, part int, codes binary"), "ann-placed")
-    placed.repartitionByRange("part", F.xxhash64("chunk_id")).sortWithinPartitions("part").write.parquet(f"{path}/codes")
+    files = max(spark.sparkContext.defaultParallelism, n // FILE_ROWS)
+    placed.repartitionByRange(files, "part", F.xxhash64("chunk_id")).sortWithinPartitions("part").write.parquet(f"{path}/codes")
     fitted = [(kind, list(x.shape), x.reshape(-1).tolist(), n) for kind, x in (("centres", centres), ("books", books))]
     spark.createDataFrame(fitted, "kind string, shape array<int>, values array<double>, rows long").coalesce(1).write.parquet(f"{path}/fitted")
     return Index(path, centres, books, n)
@@ -154,28 +160,22 @@ def _probed(spark: SparkSession, index: Index, matrix: np.ndarray, probes: int)
     return index.table(spark).where(F.col("part").isin(*by_part)) if by_part else index.table(spark).limit(0), by_part
 
 
-def _scan(rows: DataFrame, k: int, shared: Broadcast, scores: Scores) -> DataFrame:
-    """``q, chunk_id, score``: the ``k`` best of each query in each task, by ``scores(rows of a part, its queries)``."""
-    kind = rows.schema["chunk_id"].dataType.simpleString()
+def _met(batches: Iterator[pa.RecordBatch], asked_of: dict[int, np.ndarray]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Rows of one partition, the partition, and some of the queries that probe it."""
+    for batch in batches:
+        parts = np.asarray(batch.column("part"))
+        for p in np.unique(parts).tolist():
+            qs = asked_of.get(p, np.zeros(0, np.int64))
+            mine = batch.take(pa.array(np.flatnonzero(parts == p)))
+            step = max(1, SCORES // max(1, mine.num_rows))
+            for some in np.split(qs, range(step, len(qs), step)):
+                if len(some):
+                    yield mine, p, some
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_of, best = shared.value[0], RunningTop(k)
-        for batch in batches:
-            parts = np.asarray(batch.column("part"))
-            for p in np.unique(parts).tolist():
-                qs = asked_of.get(p, np.zeros(0, np.int64))
-                mine = batch.take(pa.array(np.flatnonzero(parts == p)))
-                step = max(1, SCORES // max(1, mine.num_rows))
-                for some in np.split(qs, range(step, len(qs), step)):
-                    if len(some):
-                        score = scores(shared.value, mine, p, some)
-                        least = np.partition(score, -k, axis=1)[:, -k:][:, :1] if score.shape[1] > k else -np.inf
-                        i, j = np.nonzero(score >= least)
-                        best.add(some[i], mine.column("chunk_id").take(pa.array(j)), score[i, j])
-        if (found := best.rows()) is not None:
-            yield pa.record_batch([pa.array(found[0]), found[1], pa.array(found[2])], ["q", "chunk_id", "score"])
-
-    return rows.mapInArrow(run, f"q long, chunk_id {kind}, score double")
+
+def _best(best: RunningTop) -> Iterator[pa.RecordBatch]:
+    if (found := best.rows()) is not None:
+        yield pa.record_batch([pa.array(found[0]), found[1], pa.array(found[2])], ["q", "chunk_id", "score"])
 
 
 def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int, most_queries: int = 10_000) -> DataFrame:
@@ -187,44 +187,102 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes
     def one_pass(some: DataFrame) -> DataFrame:
         names, matrix = matrix_of(some, index.centres.shape[1])
         rows, by_part = _probed(spark, index, matrix, probes)
-        shared = spark.sparkContext.broadcast((by_part, matrix))
+        shared, kind = spark.sparkContext.broadcast((by_part, matrix)), rows.schema["chunk_id"].dataType.simpleString()
 
-        def scores(state: tuple, mine: pa.RecordBatch, part: int, qs: np.ndarray) -> np.ndarray:
-            vectors = _unit(np.asarray(mine.column("vector").flatten(), np.float64).reshape(mine.num_rows, -1))
-            return np.clip(state[1][qs] @ vectors.T, -1, 1)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked_of, asked = shared.value
+            best = RunningTop(k, queries=len(asked))
+            for mine, _, qs in _met(batches, asked_of):
+                best.add_best(qs, asked, unit_rows(mine.column("vector"), mine.num_rows), mine.column("chunk_id"))
+            yield from _best(best)
 
-        return top_k(named(_scan(rows.select("chunk_id", "vector", "part"), k, shared, scores), names, some).select("query_id", "chunk_id", "score"), k)
+        found = rows.select("chunk_id", "vector", "part").mapInArrow(run, f"q long, chunk_id {kind}, score double")
+        return top_k(named(found, names, some).select("query_id", "chunk_id", "score"), k)
 
     return in_passes(queries, most_queries, one_pass)
 
 
-def search_coded(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int, rerank: int = 10, visible: DataFrame | None = None, most_queries: int = 10_000) -> DataFrame:
-    """The same result from codes: the best ``rerank * k`` of each query by code are scored by their vectors.
+@dataclass(frozen=True)
+class _Asked:
+    """A pass of queries over the codes: their ids, the rows they probe, and what tasks are sent."""
 
-    ``visible`` (``chunk_id``) restricts the rows before anything is ranked.
-    """
+    names: list
+    rows: DataFrame
+    #: Queries of each partition, the queries, their products with each centre and, per sub-vector, with each codeword.
+    shared: Broadcast
 
-    def one_pass(some: DataFrame) -> DataFrame:
-        names, matrix = matrix_of(some, index.centres.shape[1])
+    @staticmethod
+    def of(spark: SparkSession, index: Index, queries: DataFrame, probes: int, visible: DataFrame | None = None) -> _Asked:
+        names, matrix = matrix_of(queries, index.centres.shape[1])
         rows, by_part = _probed(spark, index, matrix, probes)
         if visible is not None:
             rows = rows.join(visible.select("chunk_id"), "chunk_id", "left_semi")
-        # Products of each query with each centre and, per sub-vector, with each codeword.
         tables = np.einsum("qms,mws->qmw", matrix.reshape(len(matrix), len(index.books), -1), index.books)
-        shared = spark.sparkContext.broadcast((by_part, matrix @ index.centres.T, tables))
+        return _Asked(names, rows, spark.sparkContext.broadcast((by_part, matrix, matrix @ index.centres.T, tables)))
+
+    def depths(self, depth: int | None = None) -> DataFrame:
+        """``q, bin, above``: how many rows of a query's probed partitions are in higher classes, of each class with
+        rows; with a ``depth``, of those classes only that have fewer above them."""
+        shared = self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = shared.value
+            counts = np.zeros((len(state[1]), BINS), np.int32)
+            for mine, p, qs in _met(batches, state[0]):
+                np.add.at(counts.reshape(-1), qs[:, None] * BINS + _bins(_code_scores(state, _codes(mine), p, qs)), 1)
+            for start in range(0, len(counts), STEP):
+                some = counts[start : start + STEP]
+                wanted = some > 0
+                if depth is not None:
+                    wanted &= np.cumsum(some[:, ::-1], axis=1)[:, ::-1] - some < depth
+                q, b = np.nonzero(wanted)
+                yield pa.record_batch([pa.array(q + start), pa.array(b.astype(np.int32)), pa.array(some[q, b].astype(np.int64))], ["q", "bin", "n"])
+
+        sums = self.rows.select("part", "codes").mapInArrow(run, "q long, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        higher = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+        found = sums.select("q", "bin", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("above"))
+        return found if depth is None else found.where(F.col("above") < depth)
+
+
+def _codes(rows: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+
+
+def _code_scores(state: tuple, codes: np.ndarray, part: int, qs: np.ndarray) -> np.ndarray:
+    """Scores by code of a partition's rows: queries x rows."""
+    out = np.repeat(state[2][qs, part][:, None], len(codes), axis=1)
+    for m in range(codes.shape[1]):
+        out += state[3][qs, m][:, codes[:, m]]
+    return out
 
-        def scores(state: tuple, mine: pa.RecordBatch, part: int, qs: np.ndarray) -> np.ndarray:
-            codes = np.frombuffer(b"".join(mine.column("codes").to_pylist()), np.uint8).reshape(mine.num_rows, -1)
-            out = np.repeat(state[1][qs, part][:, None], len(codes), axis=1)
-            for m in range(codes.shape[1]):
-                out += state[2][qs, m][:, codes[:, m]]
-            return out
 
-        coded = _scan(rows.select("chunk_id", "part", "codes"), k * rerank, shared, scores)
-        few = top_k(named(coded, names, some).select("query_id", "chunk_id", "score"), k * rerank).select("query_id", "chunk_id")
-        whole = few.join(index.table(spark).select("chunk_id", "vector"), "chunk_id").join(some.select("query_id", F.col("vector").alias("asked")), "query_id")
-        score = clamped(dot(unit(F.col("vector")), unit(F.col("asked"))), -1.0, 1.0)
-        return top_k(whole.select("query_id", "chunk_id", score.alias("score")), k)
+def _bins(scores: np.ndarray) -> np.ndarray:
+    return np.clip((scores + 2) * 256, 0, BINS - 1).astype(np.int64)
+
+
+def search_coded(spark: SparkSession, index: Index, queries: DataFrame, k: int, probes: int, rerank: int = 10, visible: DataFrame | None = None, most_queries: int = 10_000) -> DataFrame:
+    """The same result from codes: of each query the best ``rerank * k`` by code, and those in one class with the last, are scored by their vectors.
+
+    ``visible`` (``chunk_id``) restricts the rows before anything is ranked.
+    """
+
+    def one_pass(some: DataFrame) -> DataFrame:
+        asked = _Asked.of(spark, index, some, probes, visible)
+        lowest = np.full(len(asked.names), BINS, np.int64)
+        for r in asked.depths(k * rerank).groupBy("q").agg(F.min("bin").alias("bin")).collect():
+            lowest[r["q"]] = r["bin"]
+        shared, bounds, kind = asked.shared, spark.sparkContext.broadcast(lowest), asked.rows.schema["chunk_id"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, lowest = shared.value, bounds.value
+            best = RunningTop(k, queries=len(lowest))
+            for mine, p, qs in _met(batches, state[0]):
+                i, j = np.nonzero(_bins(_code_scores(state, _codes(mine), p, qs)) >= lowest[qs][:, None])
+                best.add_pairs(qs[i], j, state[1], unit_rows(mine.column("vector"), mine.num_rows), mine.column("chunk_id"))
+            yield from _best(best)
+
+        found = asked.rows.select("chunk_id", "part", "codes", "vector").mapInArrow(run, f"q long, chunk_id {kind}, score double")
+        return top_k(named(found, asked.names, some).select("query_id", "chunk_id", "score"), k)
 
     return in_passes(queries, most_queries, one_pass)
 
@@ -246,12 +304,43 @@ def calibrated(spark: SparkSession, index: Index, vectors: DataFrame, queries: D
         probes = min(len(index.centres), 2 * probes)
 
 
-def calibrated_codes(spark: SparkSession, index: Index, vectors: DataFrame, queries: DataFrame, k: int, probes: int, least: float = 0.9) -> tuple[int, float]:
-    """The least ``rerank``, by doubling, with which the search over codes reaches the recall; as many as there are rows reach any."""
-    exact = written(dense_batched(vectors, queries, k).select("query_id", "chunk_id"), "exact")
-    rerank = 4
-    while True:
-        got = recall(search_coded(spark, index, queries, k, probes, rerank).select("query_id", "chunk_id"), exact)
-        if got >= least or rerank * k >= index.rows:
-            return rerank, got
-        rerank *= 2
+def calibrated_codes(spark: SparkSession, index: Index, vectors: DataFrame, queries: DataFrame, k: int, probes: int, least: float = 0.9, exact: DataFrame | None = None, most_queries: int = 10_000) -> tuple[int, float]:
+    """The least ``rerank``, by doubling, with which the search over codes reaches the recall; as many as there are rows reach any.
+
+    A row of the exact search is found if fewer than ``rerank * k`` rows are in higher classes, so one scan settles all
+    depths. ``exact`` (``query_id, chunk_id``) is that search's result, if it is at hand.
+    """
+    if exact is None:
+        exact = written(dense_batched(vectors, queries, k).select("query_id", "chunk_id"), "exact")
+    n = exact.count()
+
+    def one_pass(some: DataFrame) -> DataFrame:
+        asked = _Asked.of(spark, index, some, probes)
+        shared = asked.shared
+        q_of = spark.createDataFrame([(i, x) for i, x in enumerate(asked.names)], f"q long, query_id {some.schema['query_id'].dataType.simpleString()}")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = shared.value
+            for batch in batches:
+                parts, q = np.asarray(batch.column("part")), np.asarray(batch.column("q"))
+                codes = _codes(batch)
+                score = state[2][q, parts]
+                for m in range(codes.shape[1]):
+                    score += state[3][q, m, codes[:, m]]
+                met = np.zeros(len(q), bool)
+                for p in np.unique(parts).tolist():
+                    own = np.flatnonzero(parts == p)
+                    met[own] = np.isin(q[own], state[0].get(p, q[:0]))
+                yield pa.record_batch([pa.array(q[met]), pa.array(_bins(score[met]).astype(np.int32))], ["q", "bin"])
+
+        placed = exact.join(q_of, "query_id").join(index.table(spark).select("chunk_id", "part", "codes"), "chunk_id").select("q", "part", "codes")
+        return placed.mapInArrow(run, "q long, bin int").join(asked.depths(), ["q", "bin"]).select("above")
+
+    # ``in_passes`` takes shares of the queries; a pass finds its own queries' rows among ``exact``.
+    depths = [4]
+    while depths[-1] * k < index.rows:
+        depths.append(2 * depths[-1])
+    above = in_passes(queries, most_queries, one_pass)
+    found = above.agg(*[F.count_if(F.col("above") < d * k).alias(str(d)) for d in depths]).first()
+    reached = [(d, found[str(d)] / n if n else 1.0) for d in depths]
+    return next(((d, got) for d, got in reached if got >= least), reached[-1])

@@ -82,6 +82,42 @@ def test_codes_reach_the_recall_they_are_asked_for(spark):
     assert {r.chunk_id for r in ann.search_coded(spark, index, q, 3, len(index.centres), 5, seen).collect()} == {"same000", "same001", "same002"}
 
 
+def test_depth_of_codes_is_found_in_one_scan_and_moves_no_candidates(spark):
+    """Vectors without clusters, whose codes say little: the depth that is found is the least of its kind, and a search
+    sends on the rows it returns and no candidates."""
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, rng.normal(size=32).tolist()) for i in range(1500)], "chunk_id long, vector array<double>").repartition(3)
+    q = v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = ann.build(v)
+    exact = retrieval.dense_batched(v, q, 5).select("query_id", "chunk_id").cache()
+    for least in (0.9, 1.0):
+        rerank, got = ann.calibrated_codes(spark, index, v, q, 5, len(index.centres), least, most_queries=11)
+        assert got >= least and ann.recall(ann.search_coded(spark, index, q, 5, len(index.centres), rerank), exact) == got
+        assert rerank == 4 or ann.recall(ann.search_coded(spark, index, q, 5, len(index.centres), rerank // 2), exact) < least
+    assert rerank * 5 > 100
+    plan = ann.search_coded(spark, index, q, 5, len(index.centres), rerank)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1  # candidates aren't joined with their vectors
+
+
+def test_equal_vectors_tie_whatever_stands_beside_them(spark):
+    rng = np.random.default_rng(8)
+    same = rng.normal(size=64).tolist()
+    rows = [(i, same if i % 3 == 0 else rng.normal(size=64).tolist()) for i in range(700)]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<double>").repartition(5)
+    q = v.where("chunk_id in (3, 333, 699)").withColumnRenamed("chunk_id", "query_id")
+    for found in (retrieval.dense_batched(v, q, 7), retrieval.dense_exact(v, q, 7), retrieval.dense_exact(v, q, 7, 0.5)):
+        assert {(r.chunk_id, r["rank"]) for r in found.collect()} == {(3 * i, i + 1) for i in range(7)}
+    plan = retrieval.dense_exact(v, q, 7)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_ranks_by_rounded_scores_keep_their_own(spark):
+    c = spark.createDataFrame([(1, 5, 0.99156849991), (1, 4, 0.99156849989), (1, 3, 0.2)], "query_id long, chunk_id long, score double")
+    got = {r.chunk_id: (r.score, r["rank"]) for r in retrieval.top_k(c, 2, digits=9).collect()}
+    assert got == {4: (0.99156849989, 1), 5: (0.99156849991, 2)}
+    assert {r.s for r in retrieval.top_k(c, 2, digits=9).select(F.round("score", 6).alias("s")).collect()} == {0.991568}
+
+
 def test_a_task_keeps_the_best_rows_of_each_query():
     import pyarrow as pa
 
