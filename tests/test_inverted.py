@@ -76,3 +76,24 @@ def test_an_index_of_the_same_files_is_kept(spark, tmp_path):
 def test_index_of_nothing(spark, tmp_path):
     index = inverted.build(_chunks(spark, 5).limit(0), f"{tmp_path}/i")
     assert index.n_chunks == 0 and inverted.search(index, spark.createDataFrame([(1, "w0")], "query_id int, text string"), 3).count() == 0
+
+
+def test_lists_are_made_where_the_chunks_are(spark, tmp_path):
+    """Blocks that end inside a batch and lists that cross batches; no occurrence is shuffled, only rows of lists are."""
+    rows = [(f"c{i:05}", " ".join(f"w{(i * j) % 97}" for j in range(1, 2 + i % 5)) if i % 7 else None, "h w1 w1") for i in range(3000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, heading_text string").coalesce(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        index = inverted.build(chunks, f"file://{tmp_path}/index")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: dict[tuple, list] = {}
+    for c, text, heading in rows:
+        words = (text or "").split()
+        for t in {*words, "h", "w1"}:
+            want[t, c] = [round(words.count(t) + 0.4 * heading.split().count(t), 9), len(words) + 3]
+    lists = index.table("postings").selectExpr("term", "block", "most", "n", "explode(arrays_zip(at, tf, dl)) p").selectExpr("term", f"block * {1 << inverted.BITS} + p.at no", "p.tf tf", "p.dl dl", "n")
+    got = {(r.term, r.chunk_id): [round(r.tf, 9), r.dl] for r in lists.join(index.table("numbers"), "no").collect()}
+    assert got == want and index.n_chunks == 3000
+    assert index.table("postings").groupBy("term", "block").count().where("count > 1").count() == 0
+    assert {r.term: r.df for r in index.table("lexicon").collect()} == {t: sum(t == x for x, _ in want) for t, _ in want}
