@@ -97,3 +97,17 @@ def test_lists_are_made_where_the_chunks_are(spark, tmp_path):
     assert got == want and index.n_chunks == 3000
     assert index.table("postings").groupBy("term", "block").count().where("count > 1").count() == 0
     assert {r.term: r.df for r in index.table("lexicon").collect()} == {t: sum(t == x for x, _ in want) for t, _ in want}
+
+
+def test_queries_of_one_text_are_searched_once(spark, tmp_path, monkeypatch):
+    """With more vectors that ask than texts, the lexical leg searches texts, and every query gets its rows."""
+    from folioforge.plans import retrieval_queries
+
+    spark.createDataFrame([(0, "alpha"), (1, "beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(301)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(i, "alpha beta\nalpha" if i % 2 else "beta", "en", "s") for i in range(70)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked, search = [], inverted.search
+    monkeypatch.setattr(inverted, "search", lambda index, queries, k: asked.append(queries.count()) or search(index, queries, k))
+    legs = retrieval_queries.legs_of(spark, str(tmp_path)).where("leg = 'lexical'").groupBy("query_id").count().collect()
+    assert asked == [2] and {r.query_id: r["count"] for r in legs} == {q: 50 if q % 2 else 35 for q in range(7)}
