@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.operators import inverted
 from folioforge.operators.retrieval import Bm25
@@ -111,3 +112,32 @@ def test_queries_of_one_text_are_searched_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inverted, "search", lambda index, queries, k: asked.append(queries.count()) or search(index, queries, k))
     legs = retrieval_queries.legs_of(spark, str(tmp_path)).where("leg = 'lexical'").groupBy("query_id").count().collect()
     assert asked == [2] and {r.query_id: r["count"] for r in legs} == {q: 50 if q % 2 else 35 for q in range(7)}
+
+
+def test_all_that_a_score_needs_of_a_chunk_is_in_one_row(spark, tmp_path):
+    """A task scores its blocks alone, for all queries, whatever the limits of what it holds at a time."""
+    import pyarrow as pa
+
+    chunks = _chunks(spark, 300).coalesce(1)
+    index = inverted.build(chunks, f"file://{tmp_path}/i")
+    blocks = index.table("blocks").toArrow()
+    assert blocks.num_rows == 1 and len(blocks["ids"][0]) == 302
+    texts = ["w0 w1", "w2", "w3 w0 w5", "w1 head"]
+    idf = {r.term: r.idf for r in index.table("lexicon").select("term", index.idf(F.col("df")).alias("idf")).collect()}
+    asked = inverted.Asked([(i, t, idf[t]) for i, text in enumerate(texts) for t in text.split()])
+    row = {f: blocks[f][0] for f in blocks.schema.names}
+    want = {(r.query_id, r.chunk_id): r.score for r in Bm25().search(chunks, spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"), None).collect()}
+    for terms in (1, 1 << 15):
+        inverted.TERMS, before = terms, inverted.TERMS
+        parts = list(inverted.scored(row, asked, index.bm25, index.mean_length))
+        inverted.TERMS = before
+        got = {(int(q), i): s for qs, at, score in parts for q, i, s in zip(qs, row["ids"].values.take(pa.array(at)).to_pylist(), score, strict=True)}
+        assert got == pytest.approx(want, abs=2e-9) and len(want) > 100
+    assert len(parts) == 1
+
+
+def test_chunks_without_an_id_are_ranked_first_of_their_score(spark, tmp_path):
+    rows = [(i, "w0 w1", "") for i in ("b", None, "a", None)]
+    index = inverted.build(spark.createDataFrame(rows, "chunk_id string, text string, heading_text string"), f"file://{tmp_path}/i")
+    found = inverted.search(index, spark.createDataFrame([(1, "w1")], "query_id int, text string"), 3).orderBy("rank").collect()
+    assert [r.chunk_id for r in found] == [None, None, "a"]
