@@ -20,7 +20,7 @@ QUERIES, SQL = query.QUERIES, query.SQL
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n"))
+    return fx.dealt(fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n")))
 
 
 # --- sources ---
