@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 SCHEMA = "space string, source_id string, version long, url string, body string"
 #: Responses that a task reads.
 PER_TASK = 8
+#: Bytes of a row group of responses: a task decodes whole groups, so these and not a file's size bound what it holds.
+GROUP_BYTES = 4 << 20
 
 
 class ForeignLink(ValueError):
@@ -49,7 +51,7 @@ def record(rows: DataFrame, root: str, run: int, base: str = "https://wiki.inval
     results = dealt.groupBy("space", "cursor").agg(F.collect_list(F.struct("source_id", "version", "url", "body")).alias("results"), F.count(F.lit(1)).alias("n"), F.max("version").alias("newest"))
     after = F.lead("cursor").over(Window.partitionBy("space").orderBy("cursor"))
     link = F.when(after.isNotNull(), F.concat(F.lit(f"{base}/rest?cursor="), after))
-    results.select("space", "cursor", F.to_json(F.struct("results")).alias("payload")).repartitionByRange("space", "cursor").sortWithinPartitions("space", "cursor").write.parquet(f"{root}/run={run}/responses")
+    results.select("space", "cursor", F.to_json(F.struct("results")).alias("payload")).repartitionByRange("space", "cursor").sortWithinPartitions("space", "cursor").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{root}/run={run}/responses")
     results.select("space", "cursor", link.alias("next"), "n", "newest").write.mode("append").parquet(f"{root}/run={run}/listing")
 
 
@@ -102,7 +104,7 @@ class _Reading:
 
         files, path = _folder(self.root)
         wanted = (ds.field("space") == part.space) & ds.field("cursor").isin(part.cursors)
-        for batch in ds.dataset(f"{path}/run={part.run}/responses", filesystem=files).to_batches(columns=["payload"], filter=wanted, batch_size=16):
+        for batch in ds.dataset(f"{path}/run={part.run}/responses", filesystem=files).to_batches(columns=["payload"], filter=wanted, batch_size=16, batch_readahead=1, fragment_readahead=1, use_threads=False):
             for payload in batch.column(0).to_pylist():
                 for r in json.loads(payload)["results"]:
                     yield part.space, r["source_id"], r.get("version"), r.get("url"), r.get("body")
