@@ -87,9 +87,9 @@ m AS (SELECT doc_id, g, n AS used, 0 AS c FROM gs WHERE g = 1 UNION ALL SELECT g
 def chk06_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CHK-02, 04, 05, 06, 07: whole texts in chunks of forty tokens, as a plan of expressions."""
     d = fx.dealt(fx.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lines = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("position", "text"))
-    kind = F.when(chunk_plan.token_count(F.col("text")) > 1, "prose").otherwise("heading")
-    blocks = lines.select("document_id", "position", kind.alias("kind"), F.array().cast("array<string>").alias("path"), "text", F.lit(0).alias("header_rows"))
+    lines = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("tokens", chunk_plan.token_count(F.col("text")))
+    kind = F.when(F.col("tokens") > 1, "prose").otherwise("heading")
+    blocks = lines.select("document_id", "position", kind.alias("kind"), F.array().cast("array<string>").alias("path"), "text", F.lit(0).alias("header_rows"), "tokens")
     made = chunk_plan.chunks(blocks, chunking.Budget(50, 0, 12, 10))
     return made.select(F.col("document_id").alias("doc_id"), "position", "token_count", F.md5("text").alias("digest"))
 

@@ -41,3 +41,29 @@ def test_chunks_are_those_of_the_chunker(spark, budget):
     want = {d: made for d, bs in docs.items() if (made := [(c["position"], c["text"], c["kind"], c["heading_path"]) for c in chunking.chunk("", bs, budget)])}
     assert {d: sorted(v) for d, v in got.items()} == want
     assert sum(map(len, want.values())) > 30
+
+
+def test_a_chunk_leaves_its_document_with_its_own_text_alone(spark):
+    """A long document's rows would be as many as its chunks, each with all its texts, if its array stayed beside them."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "x", "3.5"]) for _ in range(rng.randrange(1, 12))) + "." for _ in range(4_000)]
+    texts[1_000] = " ".join(["word"] * 2_000)
+    rows = [("d", i, "prose", ["h"], t, 0) for i, t in enumerate(texts)]
+    budget = chunking.Budget(50, 10, 12, 10)
+    made = chunk_plan.chunks(spark.createDataFrame(rows, SCHEMA), budget)
+    node = made._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":
+        node = node.children().head()
+    kinds = [node.output().apply(i).dataType().catalogString() for i in range(node.output().length())]
+    assert len(kinds) == 3 and not any(k.startswith("array") for k in kinds)
+    got = sorted((r.position, r.text, r.token_count) for r in made.collect())
+    blocks = [{"kind": "prose", "text": t, "heading_path": ["h"], "header_rows": 0} for t in texts]
+    assert got == [(c["position"], c["text"], chunking.count_tokens(c["text"])) for c in chunking.chunk("", blocks, budget)]
+
+
+def test_blocks_that_are_counted_before_are_not_counted_again(spark):
+    rows = spark.createDataFrame([("d", 0, "prose", [], "One two. Three four.", 0)], SCHEMA)
+    whole = chunk_plan.chunks(rows.selectExpr("*", "6 AS tokens"), chunking.Budget(20, 0, 2, 10)).collect()
+    assert [(r.text, r.token_count) for r in whole] == [("One two. Three four.", 6)]
+    told = chunk_plan.chunks(rows.selectExpr("*", "7 AS tokens"), chunking.Budget(20, 0, 2, 10)).collect()
+    assert [r.token_count for r in told] == [7]
