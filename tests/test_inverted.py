@@ -141,3 +141,85 @@ def test_chunks_without_an_id_are_ranked_first_of_their_score(spark, tmp_path):
     index = inverted.build(spark.createDataFrame(rows, "chunk_id string, text string, heading_text string"), f"file://{tmp_path}/i")
     found = inverted.search(index, spark.createDataFrame([(1, "w1")], "query_id int, text string"), 3).orderBy("rank").collect()
     assert [r.chunk_id for r in found] == [None, None, "a"]
+
+
+@pytest.fixture
+def one_at_a_time(monkeypatch):
+    """The least that a pass hands to Python is one block; a task that gets more fails."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    real = DataFrame.mapInArrow
+
+    def spied(self, run, *args, **kw):
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    if "counts" in batch.schema.names and batch.num_rows > 1:
+                        raise ValueError(f"{batch.num_rows} blocks at once")
+                    yield batch
+
+            return run(each())
+
+        return real(self, checked, *args, **kw)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", spied)
+    monkeypatch.setattr(inverted, "HANDED", 1, raising=False)
+    monkeypatch.setattr(inverted, "BITS", 4)
+
+
+def test_a_search_gets_blocks_by_their_bytes(spark, tmp_path, one_at_a_time):
+    chunks = _chunks(spark, 300)
+    index = inverted.build(chunks, f"file://{tmp_path}/i")
+    assert index.table("blocks").count() > 10
+    queries = spark.createDataFrame(QUERIES, "query_id int, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    for k in (3, None):
+        assert _rows(inverted.search(index, queries, k)) == _rows(Bm25().search(chunks, queries, k))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def _documents(spark, path, n: int = 70):
+    docs = [(i, "\n".join(f"alpha w{i % 7} w{j}" for j in range(i % 40)), "en", "s") for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, "alpha w1"), (1, "w3 alpha")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(101)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+
+
+@pytest.mark.parametrize("sums", [3, 1 << 18])
+def test_sums_of_lists_are_of_all_blocks(spark, tmp_path, one_at_a_time, monkeypatch, sums):
+    from folioforge.plans import retrieval_queries
+
+    _documents(spark, tmp_path)
+    monkeypatch.setattr(inverted, "SUMS", sums, raising=False)
+    found = {r.term: (r.n_chunks, r.frequency, r.highest) for r in retrieval_queries.ret03_posting_lists(spark, str(tmp_path)).collect()}
+    lines = [f"alpha w{i % 7} w{j}".split() for i in range(70) for j in range(i % 40)]
+    for term in ("alpha", "w3", "w39", "w38"):
+        assert found.get(term, (0, 0, 0)) == (sum(term in x for x in lines), sum(x.count(term) for x in lines), max((x.count(term) for x in lines), default=0))
+    n = len(lines) + sum(i % 40 == 0 for i in range(70))
+    assert found["en"] == (n, pytest.approx(0.4 * n), 0.4)
+
+
+#: Queries of a table that all go by the index; each reads its blocks a few at a time.
+BY_INDEX = ["flagship"]
+
+
+@pytest.mark.parametrize("name", BY_INDEX)
+def test_a_query_gets_blocks_by_their_bytes(spark, tmp_path, one_at_a_time, name):
+    import __spark_entry__
+
+    _documents(spark, tmp_path)
+    assert __spark_entry__.queries()[name](spark, str(tmp_path)).count() > 0
+
+
+def test_blocks_lie_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """A reader unpacks a page as a whole: one block's, not a task's."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(inverted, "BITS", 10)
+    # The limit counts finished pages as they are packed.
+    monkeypatch.setitem(getattr(inverted, "GROUPED", {}), "parquet.block.size", str(1 << 20))
+    rng = random.Random(5)
+    rows = [(f"c{i:05}", " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(60)), "h") for i in range(20 << 10)]
+    index = inverted.build(spark.createDataFrame(rows, "chunk_id string, text string, heading_text string").coalesce(1), f"file://{tmp_path}/i")
+    groups = [g for f in (tmp_path / "i/blocks").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == 20 and len(groups) > 1 and max(g.total_byte_size for g in groups) < 8 << 20
