@@ -180,7 +180,8 @@ def test_a_search_gets_blocks_by_their_bytes(spark, tmp_path, one_at_a_time):
 
 def _documents(spark, path, n: int = 70):
     docs = [(i, "\n".join(f"alpha w{i % 7} w{j}" for j in range(i % 40)), "en", "s") for i in range(n)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{path}/documents.parquet")
+    sized = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) n_chars")
+    sized.repartition(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(0, "alpha w1"), (1, "w3 alpha")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(101)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
 
@@ -200,7 +201,7 @@ def test_sums_of_lists_are_of_all_blocks(spark, tmp_path, one_at_a_time, monkeyp
 
 
 #: Queries of a table that all go by the index; each reads its blocks a few at a time.
-BY_INDEX = ["flagship"]
+BY_INDEX = "flagship ret03_posting_lists".split()
 
 
 @pytest.mark.parametrize("name", BY_INDEX)
