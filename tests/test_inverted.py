@@ -201,7 +201,7 @@ def test_sums_of_lists_are_of_all_blocks(spark, tmp_path, one_at_a_time, monkeyp
 
 
 #: Queries of a table that all go by the index; each reads its blocks a few at a time.
-BY_INDEX = "flagship ret03_posting_lists ret03_stemmed_search ret04_bm25 ret04_single_terms ret12_union_scored ret14_rerank ret13_hybrid_rrf ret23_merge_rankings ret14_rerank_scorer ret24_promotion ret25_assembly ret35_fusion_trace".split()
+BY_INDEX = "flagship ret03_posting_lists ret03_stemmed_search ret04_bm25 ret04_single_terms ret12_union_scored ret14_rerank ret13_hybrid_rrf ret23_merge_rankings ret14_rerank_scorer ret24_promotion ret25_assembly ret35_fusion_trace ret35_observed_stages".split()
 
 
 @pytest.mark.parametrize("name", BY_INDEX)
